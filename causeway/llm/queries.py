@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from causeway.llm.near_dedup import near_duplicates
+from causeway.llm.repeats import substring_repeats, suffix_repeats
 from causeway.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +17,17 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of at least 50 words that another document holds too."""
+    return suffix_repeats(table(spark, sf_dir, "documents")).filter("n_repeated > 0")
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op6_suffix_array_dedup, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Texts of one chunk are handled together; a longer text is a chunk of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
