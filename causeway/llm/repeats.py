@@ -12,8 +12,8 @@ and hear the smallest id of all; (3) groups mark what is repeated. A passage tha
 documents hold reaches a bucket once for each group, however often a group has it.
 
 Anchors: `recompressed` names runs and pairs of tokens in rounds (a name is a hash of what it stands
-for, so it is the same everywhere), and takes the smallest name among those inside the window that
-no word outside it could change; `minimised` takes the smallest hashed k-word prefix among the
+for, so it is the same everywhere), and takes the smallest hash of a few names in a row among those inside
+the window that no word outside it could change; `minimised` takes the smallest hashed k-word prefix among the
 suffixes that start in the window.
 
 Windows compare by 96 bits of two independent hashes. Defined cases: null and blank texts have no
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from causeway.llm import text as T
 
 U64 = T.U64
+#: Names in a row that make an anchor of a recompressed window.
+JOINED = 3
 GROUP_BYTES = (4 << 20, 64 << 20)
 LEAST_GROUPS, MANY_GROUPS = 64, 4096
 _LAST = np.iinfo(np.int64).max
@@ -62,11 +64,11 @@ def minimised(width: int, k: int) -> Anchor:
 
 
 def recompressed(width: int, rounds: int) -> Anchor:
-    """The smallest name inside a window after the last round that leaves it one.
+    """The smallest hash of JOINED names in a row inside a window, after the last round that leaves it so many.
 
     A run at an end of the window may go on outside, the first name may be the right half of a pair
     and the last the left half; what such ends touch doesn't count as inside. A window that is left
-    no name, as in one long run, is its own anchor.
+    fewer names, as in one long run, is its own anchor.
     """
 
     def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -108,10 +110,13 @@ def recompressed(width: int, rounds: int) -> Anchor:
             levels.append((left, right, name))
         todo = np.arange(m)
         for left, right, name in reversed(levels):
-            a, b = left[todo], right[todo + width]
+            a, b = left[todo], right[todo + width] - (JOINED - 1)
             live = a < b
             a, b, own = a[live], b[live], todo[live]
-            least, power = [name], np.frexp((b - a).astype(np.float32))[1] - 1
+            row = name
+            for k in range(1, JOINED):  # of names in a row, as short names alone are common
+                row = T.mix(row * U64(0x9FB21C651E98DF25) + np.append(name[k:], np.zeros(min(k, len(name)), U64)))
+            least, power = [row], np.frexp((b - a).astype(np.float32))[1] - 1
             while 2 ** len(least) <= width:
                 half, last = 2 ** (len(least) - 1), least[-1]
                 least.append(np.append(np.minimum(last[:-half], last[half:]), last[-half:]) if len(last) > half else last)
@@ -227,8 +232,8 @@ def _shared_anchors(docs: DataFrame, n: int, anchor: Anchor, width: int) -> Data
     return asked.groupBy("bucket").applyInArrow(answer, "g int, bucket int, a binary")
 
 
-def _least_ids(docs: DataFrame, shared: DataFrame, n: int, anchor: Anchor, width: int) -> DataFrame:
-    """(g, own, a, b, c): for each group, windows that another group has too, and the smallest id of all."""
+def _least_ids(docs: DataFrame, shared: DataFrame, n: int, anchor: Anchor, width: int, all_: bool) -> DataFrame:
+    """(g, own, a, b, c): for each group, windows that another group has too (with a smaller id, unless all_), and the smallest id of all."""
 
     def ask(key, table, heard):
         group, own, keys, rows, ok_, hashes = _Group(table, width), [], [], [], [], []
@@ -254,7 +259,7 @@ def _least_ids(docs: DataFrame, shared: DataFrame, n: int, anchor: Anchor, width
         first = _firsts(names_["h"], names_["x"])
         names_, docs__ = names_[first], docs__[first]
         to = (names_["h"] % U64(n)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((docs__, to))  # ids in order compress well
         return _send(("bucket", "g"), to[order], key[0].as_py(), [names_["h"][order], names_["x"][order], docs__[order]])
 
     def answer(key, table):
@@ -263,9 +268,11 @@ def _least_ids(docs: DataFrame, shared: DataFrame, n: int, anchor: Anchor, width
         h, x, d, g = h[order], x[order], d[order], g[order]
         new = _firsts(h, x)
         least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else d
-        many = ~(new & np.append(new[1:], True)) if len(d) else new
-        h, x, least, g = h[many], x[many], least[many], g[many]
-        order = np.argsort(g, kind="stable")
+        told = ~(new & np.append(new[1:], True)) if len(d) else new
+        if not all_:
+            told &= least < d
+        h, x, least, g = h[told], x[told], least[told], g[told]
+        order = np.lexsort((least, g))
         return _send(("g", "bucket"), g[order], key[0].as_py(), [h[order], x[order], least[order]])
 
     asked = docs.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(ask, "bucket int, g int, a binary, b binary, c binary")
@@ -318,14 +325,15 @@ def _kept_bytes(w: T.Words, row: np.ndarray, keep: np.ndarray, lo: int, hi: int)
 RESULT = "doc_id long, n_words long, n_repeated long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>, first_ids array<long>"
 
 
-def repeated(docs: DataFrame, width: int, anchor: Anchor) -> DataFrame:
+def repeated(docs: DataFrame, width: int, anchor: Anchor, *, both_ways: bool = True) -> DataFrame:
     """For each row of docs (doc_id, text, ...), see RESULT: words in all, in windows that another
     document has (n_repeated; maximal spans start to end, the end exclusive, each with the smallest id
     among the documents that have one of its windows), in windows that a document of a smaller id has
-    (n_removed), and the hash of the words that are left without those."""
+    (n_removed), and the hash of the words that are left without those. Without both_ways, n_repeated and the
+    spans need not cover what only documents of larger ids have."""
     dealt, n = _groups(docs)
     shared = _shared_anchors(dealt, n, anchor, width)
-    least = _least_ids(dealt, shared, n, anchor, width)
+    least = _least_ids(dealt, shared, n, anchor, width, both_ways)
 
     def mark(key, table, heard):
         group = _Group(table, width)
@@ -411,6 +419,6 @@ def suffix_repeats(docs: DataFrame, *, min_words: int = 50, k: int = 16) -> Data
     return repeated(docs, min_words, minimised(min_words, k))
 
 
-def substring_repeats(docs: DataFrame, *, width: int = 13, rounds: int = 2) -> DataFrame:
+def substring_repeats(docs: DataFrame, *, width: int = 13, rounds: int = 2, both_ways: bool = True) -> DataFrame:
     """Words in windows of `width` words that another document has too, by recompression."""
-    return repeated(docs, width, recompressed(width, rounds))
+    return repeated(docs, width, recompressed(width, rounds), both_ways=both_ways)
