@@ -9,11 +9,12 @@ draws.
 
 Bands of a few coordinates bring candidates together. Documents with the same set are one class and
 only its smallest id goes on. In each band bucket the smallest id is compared with every other
-member (a star, not all pairs); members that this leaves in another component than most of their
-bucket are then compared with the members of other components. So every pair of a bucket ends up
-either in one component or compared: no link is lost, and a group of n near copies costs about n
-comparisons. Pairs whose sketches differ too much are not read again (`SKETCH_FLOOR` lies seven
-standard deviations below the threshold); all others are confirmed on their full shingle sets.
+member (a star, not all pairs). Where that leaves several components in a bucket, the sketches of its
+members are compared across components, block by block, and only near pairs leave the task. So
+every pair of a bucket ends up either in one component or compared: no link is lost, and a group of n
+near copies costs about n comparisons of texts. Pairs whose sketches differ too much are not read
+again (`SKETCH_FLOOR` lies eight standard deviations below the threshold); all others are confirmed
+on their full shingle sets. At the threshold itself a pair shares no band with probability 5e-5.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; a text of fewer
 than k words is one shingle; rows that repeat an id are kept, each with its component; a null id is
@@ -33,8 +34,10 @@ from pyspark.sql import functions as F
 from causeway.llm import text as T
 from causeway.llm.tables import components, stored
 
-COORDINATES, ROWS_PER_BAND = 240, 5
+COORDINATES, ROWS_PER_BAND = 300, 6
 SKETCH_FLOOR = 0.55
+#: Members of an open bucket that are compared with as many others at a time.
+BLOCK = 2048
 
 
 def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -132,25 +135,34 @@ def _confirm(k: int, percent: int):
     return rows
 
 
-def _verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches are near enough and whose sets are."""
-    small = sketched.select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"])
-    near = (
-        pairs.join(small.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a")
-        .join(small.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_alike(SKETCH_FLOOR), "a long, b long")
-    )
-    near = stored(near)
-    whole = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).dropDuplicates(["id"]) if docs.columns != ["doc_id", "text"] else docs.toDF("id", "t")
-    needed = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    whole = whole.join(needed, "id", "left_semi")
-    return (
-        near.join(whole.toDF("b", "text_b"), "b")
-        .join(whole.toDF("a", "text_a"), "a")
-        .select("a", "b", "text_a", "text_b")
-        .mapInArrow(_confirm(k, percent), "a long, b long")
-    )
+def _across(least: float):
+    """Pairs (a, b) of one cell (doc_id, c, part, sketch; i, j) in different components and near by their sketches."""
+
+    def rows(key, table):
+        part, ids, c = (table.column(x).to_numpy() for x in ("part", "doc_id", "c"))
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        left, right = np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in left.tolist():
+            others = right[(c[right] != c[x]) & (ids[right] != ids[x])]
+            others = others[(sketches[others] == sketches[x]).mean(axis=1) >= least] if len(others) else others
+            a.append(np.minimum(ids[x], ids[others]))
+            b.append(np.maximum(ids[x], ids[others]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return rows
+
+
+def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches (id, sketch) are near enough."""
+    both = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_alike(SKETCH_FLOOR), "a long, b long")
+
+
+def _verified(near: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) are near enough."""
+    both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_confirm(k, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinates: int = COORDINATES, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
@@ -161,26 +173,38 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(docs.mapInArrow(_sketch_rows(k, coordinates, rows_per_band), _SKETCHED))
     live = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = live.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = live.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    in_band = stored(reps.select("doc_id", F.explode("bands").alias("band")).distinct())
-    buckets = in_band.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    crowded = in_band.join(buckets, "band")
-    first = crowded.filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = stored(_verified(first, reps, docs, k, percent))
+    classes = stored(live.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    reps = live.select("doc_id", "bands", "sketch").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    in_band = reps.select("doc_id", F.explode("bands").alias("band"))
+    buckets = in_band.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z")
+    crowded = stored(in_band.join(buckets.select("band", "a"), "band"))
+    near = _near(crowded.filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct(), _once(reps, "sketch"))
+    near = stored(near)
+    texts = stored(_once(docs.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi"), "text"))
+    links = stored(_verified(near, texts, k, percent))
     found = components(links)
-    # Members of a bucket whose component is not the most common one there, against the bucket's other components.
-    placed = stored(crowded.select("band", "doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component_id", "doc_id").alias("c")))
-    shares = placed.groupBy("band", "c").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = placed.join(mixed.select("band", "most"), "band")
-    odd = open_.filter("c <> most").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    rest = odd.join(open_.select("band", F.col("doc_id").alias("y"), F.col("c").alias("cy")), "band").filter("cx <> cy")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, reps, docs, k, percent))
+    # Buckets whose members are in several components.
+    placed = crowded.select("band", "doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    placed = stored(placed)
+    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low < high")
+    mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    cells = (
+        placed.join(mixed, "band")
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("band", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "doc_id", "c", "part")
+        .join(_once(reps, "sketch").toDF("doc_id", "sketch"), "doc_id")
+    )
+    rest = cells.groupBy("band", "i", "j").applyInArrow(_across(SKETCH_FLOOR), "a long, b long").distinct()
+    more = stored(_verified(rest.join(near, ["a", "b"], "left_anti"), texts, k, percent))
     if more.limit(1).count():
         found = components(links.unionByName(more))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _once(rows: DataFrame, column: str) -> DataFrame:
+    """(id, column) with one row for each id."""
+    return rows.select(F.col("doc_id").alias("id"), column).groupBy("id").agg(F.first(column).alias(column))
