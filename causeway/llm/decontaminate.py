@@ -3,13 +3,13 @@
 Items are partitioned by the size of their shingle set (powers of two from `BLOCK`). Against a
 partition of size s, documents are seen as windows of about s shingles that start at every block, so
 that a short item inside a long document meets a window of its own size and the containment bound
-becomes a bound on Jaccard similarity (0.18 at worst, 0.3 and more for most sizes). An item and a
+becomes a bound on Jaccard similarity (0.2 at worst, 0.3 and more for most sizes). An item and a
 window that agree in one of `FUNCTIONS` minima are a candidate; a candidate's containment is then
 counted on the item's full set and the document's whole text. At the threshold an item is missed
 with probability below 1e-4 in the worst partition, a whole item with less than 1e-9.
 
 Items travel to the documents: as many at a time as `ITEM_BYTES` allows, measured first, in as many
-passes as that needs. Documents are not shuffled and their length doesn't matter for memory beyond
+passes as that needs. Items of at most `FEW` shingles, too small to hash, are found by each shingle itself. Documents are not shuffled and their length doesn't matter for memory beyond
 the text itself.
 
 Defined cases: null or blank items and documents match nothing; an item of fewer than k words is one
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from causeway.llm import text as T
 
 U64 = T.U64
-BLOCK, FUNCTIONS = 8, 48
+BLOCK, FUNCTIONS, FEW = 8, 48, 4
 ITEM_BYTES = 16 << 20
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, FUNCTIONS, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -78,13 +78,17 @@ class Index:
         counts = np.diff(w.first)
         self.sets = [T.shingles(w.hash[w.of(i)], k) for i in range(len(texts))]
         members: dict[tuple[int, int], list[int]] = defaultdict(list)
+        few: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, s in enumerate(self.sets):
-            if len(s):
+            if 0 < len(s) <= FEW:
+                few[min(k, int(counts[i]))] += [(int(x), i) for x in s]
+            elif len(s):
                 size = max(BLOCK, 1 << (len(s) - 1).bit_length())
                 members[min(k, int(counts[i])), size // BLOCK + 1].append(i)
-        self.widths: dict[int, list[_Partition]] = defaultdict(list)
+        self.few = {width: (np.array([x for x, _ in sorted(own)], U64), np.array([i for _, i in sorted(own)])) for width, own in few.items()}
+        self.widths: dict[int, list[_Partition]] = {width: [] for width in self.few}
         for (width, blocks), own in sorted(members.items()):
-            self.widths[width].append(_Partition(blocks, own, self.sets))
+            self.widths.setdefault(width, []).append(_Partition(blocks, own, self.sets))
 
     def search(self, w: T.Words, n: int, percent: int) -> Iterator[tuple[int, int, int]]:
         """(document, item, shared shingles) of n documents."""
@@ -98,9 +102,16 @@ class Index:
             if not len(g):
                 continue
             first = np.searchsorted(doc, np.arange(n + 1))
-            block = np.flatnonzero((np.arange(len(g)) - first[doc]) % BLOCK == 0)
-            least = np.stack([np.minimum.reduceat(g * m, block) for m in _MULTIPLIERS])
             pairs = []
+            if width in self.few:
+                known, owners = self.few[width]
+                at = np.flatnonzero(np.isin(g, known))
+                lo, hi = np.searchsorted(known, g[at], "left"), np.searchsorted(known, g[at], "right")
+                of = np.repeat(doc[at], hi - lo)
+                pairs.append(np.unique(of * len(self.sets) + owners[np.repeat(lo, hi - lo) + np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]))
+            if partitions:
+                block = np.flatnonzero((np.arange(len(g)) - first[doc]) % BLOCK == 0)
+                least = np.stack([np.minimum.reduceat(g * m, block) for m in _MULTIPLIERS])
             for p in partitions:
                 at, items = p.candidates(least)
                 # A window may run on into the next documents of the chunk: they have windows of their own.

@@ -8,11 +8,11 @@ coordinates of two sketches concentrates around their Jaccard similarity as with
 draws.
 
 Bands of a few coordinates bring candidates together. Documents with the same set are one class and
-only its smallest id goes on. In each band bucket the smallest id is compared with every other
-member (a star, not all pairs). Where that leaves several components in a bucket, the sketches of its
-members are compared across components, block by block, and only near pairs leave the task. So
-every pair of a bucket ends up either in one component or compared: no link is lost, and a group of n
-near copies costs about n comparisons of texts. Pairs whose sketches differ too much are not read
+only its smallest id goes on. The smallest id of a band bucket is its centre; a document is compared with
+at most two of its buckets' centres, the smallest and the most frequent. Where that leaves several
+components in a bucket, the sketches of its members are compared across components, block by block, and
+only near pairs leave the task. So every pair of a bucket ends up either in one component or compared: no
+link is lost, and a group of n near copies costs about n comparisons of texts. Pairs whose sketches differ too much are not read
 again (`SKETCH_FLOOR` lies eight standard deviations below the threshold); all others are confirmed
 on their full shingle sets. At the threshold itself a pair shares no band with probability 5e-5.
 
@@ -141,10 +141,13 @@ def _across(least: float):
     def rows(key, table):
         part, ids, c = (table.column(x).to_numpy() for x in ("part", "doc_id", "c"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        left, right = np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
+        i, j = key[1].as_py(), key[2].as_py()
+        sides = {i: np.flatnonzero(part == i), j: np.flatnonzero(part == j)}
+        values, counts = np.unique(c, return_counts=True)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in left.tolist():
-            others = right[(c[right] != c[x]) & (ids[right] != ids[x])]
+        for x in np.flatnonzero(c != values[counts.argmax()]).tolist():  # of each pair one is outside the largest component
+            right = sides[j if part[x] == i else i]
+            others = right[c[right] != c[x]]
             others = others[(sketches[others] == sketches[x]).mean(axis=1) >= least] if len(others) else others
             a.append(np.minimum(ids[x], ids[others]))
             b.append(np.maximum(ids[x], ids[others]))
@@ -178,8 +181,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     in_band = reps.select("doc_id", F.explode("bands").alias("band"))
     buckets = in_band.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z")
     crowded = stored(in_band.join(buckets.select("band", "a"), "band"))
-    near = _near(crowded.filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct(), _once(reps, "sketch"))
-    near = stored(near)
+    votes = crowded.filter("doc_id > a").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
+    centres = votes.groupBy("doc_id").agg(F.min("a").alias("low"), F.max_by("a", F.struct("n", -F.col("a"))).alias("most"))
+    pairs = centres.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("doc_id").alias("b"))
+    near = stored(_near(pairs, _once(reps, "sketch")))
     texts = stored(_once(docs.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi"), "text"))
     links = stored(_verified(near, texts, k, percent))
     found = components(links)

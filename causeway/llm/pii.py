@@ -169,9 +169,11 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE) -> Field:
     for t in sorted(texts):
         found = [(s, e, max(label, 0)) for s, e, label in _candidates(t, base_spans(t))]
         last: dict[str, int] = {}
+        known = {k for s, e, label in found if label for k in _keys(t[s:e])}
         for i, (s, e, label) in enumerate(found):
-            x.append(_shape(t[s:e]))
-            y.append(label)
+            if label or not known.intersection(_keys(t[s:e])):  # else a repeat of what a pattern found: not "other" for sure
+                x.append(_shape(t[s:e]))
+                y.append(label)
             total[label] += 1
             if i:
                 chain[found[i - 1][2], label] += 1

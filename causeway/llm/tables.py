@@ -1,33 +1,11 @@
-"""What the operators share on the Spark side: stored tables, sizes, components."""
+"""What the operators share on the Spark side: tables, samples of labels, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and the warehouse elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        master = spark.sparkContext.master
-        if master == "local" or master.startswith("local["):
-            found = f"file://{tempfile.mkdtemp(prefix='causeway-')}"
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: lineage ends here and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from causeway.storage import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,16 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that is unset, a temporary folder in local mode and the warehouse elsewhere."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        master = spark.sparkContext.master
-        if master == "local" or master.startswith("local["):
-            found = f"file://{tempfile.mkdtemp(prefix='causeway-')}"
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+        if app not in _folders:
+            alone = master == "local" or master.startswith("local[")
+            _folders[app] = f"file://{tempfile.mkdtemp(prefix='causeway-')}" if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
+        found = _folders[app]
     return found.rstrip("/")
 
 
