@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
         found = components(links.unionByName(more))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
