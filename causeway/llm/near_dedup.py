@@ -10,11 +10,12 @@ draws.
 Bands of a few coordinates bring candidates together. Documents with the same set are one class and
 only its smallest id goes on. The smallest id of a band bucket is its centre; a document is compared with
 at most two of its buckets' centres, the smallest and the most frequent. Where that leaves several
-components in a bucket, the sketches of its members are compared across components, block by block, and
-only near pairs leave the task. So every pair of a bucket ends up either in one component or compared: no
-link is lost, and a group of n near copies costs about n comparisons of texts. Pairs whose sketches differ too much are not read
-again (`SKETCH_FLOOR` lies eight standard deviations below the threshold); all others are confirmed
-on their full shingle sets. At the threshold itself a pair shares no band with probability 5e-5.
+components in a bucket, its members are compared across components, block by block, and only links leave the
+task, one for each two components that they join. So every pair of a bucket ends up either in one component
+or compared: no link is lost, and a bucket of n members gives at most n rows for each of its blocks. Pairs whose
+sketches differ too much are not looked at further (`SKETCH_FLOOR` lies eight standard deviations below the
+threshold); all others are confirmed on their full shingle sets. At the threshold itself a pair shares
+no band with probability 5e-5.
 
 Defined cases: null or blank texts have no shingles and are linked with nothing; a text of fewer
 than k words is one shingle; rows that repeat an id are kept, each with its component; a null id is
@@ -36,8 +37,8 @@ from causeway.llm.tables import components, stored
 
 COORDINATES, ROWS_PER_BAND = 300, 6
 SKETCH_FLOOR = 0.55
-#: Members of an open bucket that are compared with as many others at a time.
-BLOCK = 2048
+#: Members of an open bucket, and shingles of theirs, that are compared with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
 
 
 def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -135,23 +136,49 @@ def _confirm(k: int, percent: int):
     return rows
 
 
-def _across(least: float):
-    """Pairs (a, b) of one cell (doc_id, c, part, sketch; i, j) in different components and near by their sketches."""
+def _sets(k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = T.strings(batch.column(1))
+            sets = [T.shingles(T.words(data, at[i : i + 2], lower=True).hash, k).tobytes() for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
+
+    return rows
+
+
+def _across(least: float, percent: int):
+    """Links (a, b) between different components of one cell (doc_id, c, part, sketch, items; i, j): of those between
+    two components one, as it makes them the same."""
 
     def rows(key, table):
         part, ids, c = (table.column(x).to_numpy() for x in ("part", "doc_id", "c"))
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sets = table.column("items").to_pylist()
+        size = np.array([len(x) // 8 for x in sets])
+        first = np.cumsum(size) - size
+        items, at = np.unique(np.frombuffer(b"".join(sets), "<u8"), return_inverse=True)
+        own = np.zeros(len(items), bool)
         i, j = key[1].as_py(), key[2].as_py()
         sides = {i: np.flatnonzero(part == i), j: np.flatnonzero(part == j)}
-        values, counts = np.unique(c, return_counts=True)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in np.flatnonzero(c != values[counts.argmax()]).tolist():  # of each pair one is outside the largest component
+        values, c, counts = np.unique(c, return_inverse=True, return_counts=True)
+        a, b = [], []
+        for x in np.flatnonzero(c != counts.argmax()).tolist():  # of each pair one is outside the largest component
             right = sides[j if part[x] == i else i]
             others = right[c[right] != c[x]]
             others = others[(sketches[others] == sketches[x]).mean(axis=1) >= least] if len(others) else others
-            a.append(np.minimum(ids[x], ids[others]))
-            b.append(np.maximum(ids[x], ids[others]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            if not len(others):
+                continue
+            mine, theirs = at[first[x] : first[x] + size[x]], size[others]
+            begin = np.cumsum(theirs) - theirs
+            own[mine] = True
+            shared = np.add.reduceat(own[at[np.repeat(first[others] - begin, theirs) + np.arange(theirs.sum())]], begin, dtype=np.int64)
+            own[mine] = False
+            linked = others[100 * shared >= percent * (size[x] + theirs - shared)]
+            for y in linked[np.unique(c[linked], return_index=True)[1]].tolist():
+                a.append(min(ids[x], ids[y]))
+                b.append(max(ids[x], ids[y]))
+                c[c == c[y]] = c[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows
 
@@ -177,8 +204,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     rows = stored(docs.mapInArrow(_sketch_rows(k, coordinates, rows_per_band), _SKETCHED))
     live = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(live.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = live.select("doc_id", "bands", "sketch").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    in_band = reps.select("doc_id", F.explode("bands").alias("band"))
+    reps = live.select("doc_id", "n_shingles", "bands", "sketch").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    in_band = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     buckets = in_band.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z")
     crowded = stored(in_band.join(buckets.select("band", "a"), "band"))
     votes = crowded.filter("doc_id > a").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
@@ -189,19 +216,19 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     links = stored(_verified(near, texts, k, percent))
     found = components(links)
     # Buckets whose members are in several components.
-    placed = crowded.select("band", "doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    placed = stored(placed)
-    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).filter("low < high")
-    mixed = mixed.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    placed = stored(crowded.join(found, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("c")))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).filter("low < high")
+    mixed = mixed.select("band", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    open_ = stored(placed.join(mixed, "band").select("band", "doc_id", "c", "parts"))
+    sets = texts.join(open_.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(k), "id long, items binary")
+    members = _once(reps, "sketch").join(sets, "id").toDF("doc_id", "sketch", "items")
     cells = (
-        placed.join(mixed, "band")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+        open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("band", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "doc_id", "c", "part")
-        .join(_once(reps, "sketch").toDF("doc_id", "sketch"), "doc_id")
+        .join(members, "doc_id")
     )
-    rest = cells.groupBy("band", "i", "j").applyInArrow(_across(SKETCH_FLOOR), "a long, b long").distinct()
-    more = stored(_verified(rest.join(near, ["a", "b"], "left_anti"), texts, k, percent))
+    more = stored(cells.groupBy("band", "i", "j").applyInArrow(_across(SKETCH_FLOOR, percent), "a long, b long").distinct())
     if more.limit(1).count():
         found = components(links.unionByName(more))
     of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
