@@ -30,6 +30,7 @@ def test_stages(spark, tmp_path):
             field = pii.fit(before)
             assert now == {i: t if t is None else pii.redacted(t, pii.all_spans(t, field)[1]) for i, t in was.items()}
             assert "<EMAIL>" in now[2000]
+            assert all(r.n_chars == len(r.text or "") for r in after.collect())
         path = f"{tmp_path}/{name}"
         after.write.parquet(path)
         before = spark.read.parquet(path)
