@@ -32,19 +32,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
-    """At most per_class (doc_id, text, label) of each label 0 and 1, the first by a hash of their id, and how many labels there are of each.
-
-    The chosen ids are at most 2 * per_class, so they are broadcast; their texts come to the driver.
-    """
+def sampled_ids(labels: DataFrame, per_class: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """At most per_class (doc_id, label) of each label 0 and 1, the first by a hash of their id, and how many labels there are of each."""
     known = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "label").dropDuplicates(["doc_id"])
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     ordered = F.xxhash64("doc_id"), F.col("doc_id")
-    chosen = [r for y in (0, 1) for r in known.filter(F.col("label") == y).orderBy(*ordered).limit(per_class).collect()]
+    return [(r["doc_id"], r["label"]) for y in (0, 1) for r in known.filter(F.col("label") == y).orderBy(*ordered).limit(per_class).collect()], counts
+
+
+def sampled_texts(docs: DataFrame, ids: list[int]) -> DataFrame:
+    """(doc_id, text), a row for each of the ids that docs has; ids are few (a bounded sample), so they are broadcast."""
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """sampled_ids with their texts, which come to the driver: at most 2 * per_class of them."""
+    chosen, counts = sampled_ids(labels, per_class)
     if not chosen:
         return [], counts
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(r["doc_id"], r["label"]) for r in chosen], "doc_id long, label int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
-    rows = {r["doc_id"]: (r["doc_id"], r["text"], r["label"]) for r in texts.collect()}
-    return [rows[r["doc_id"]] for r in chosen if r["doc_id"] in rows], counts
+    texts = {r["doc_id"]: r["text"] for r in sampled_texts(docs, [i for i, _ in chosen]).collect()}
+    return [(i, texts[i], label) for i, label in chosen if i in texts], counts

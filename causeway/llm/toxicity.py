@@ -7,9 +7,10 @@ training, those come from models that have not seen the row (folds by a hash of
 scoring, from the models fitted on all rows. A feature is kept if its texts are dealt to the classes
 more unevenly than chance would (likelihood ratio G of LEAST_G or more), the highest G first.
 
-Models are fitted on the driver on a bounded sample of labelled texts (`per_class` of each value of
-the last category), weighted to the classes' shares among all labels. Scoring covers every word of
-every text. Defined cases: a null or blank text gets the models' intercepts; null labels are not
+Models are fitted on a bounded sample of labelled texts (`per_class` of each value of the last
+category), weighted to the classes' shares among all labels. Spark takes the sample's features and
+counts them by class; only the places of the chosen ones come to the driver, which fits the weights.
+Scoring covers every word of every text. Defined cases: a null or blank text gets the models' intercepts; null labels are not
 used; a category without both labels gets a constant probability; rows that repeat an id are scored
 each; extra columns are kept by `reject` and ignored by `score`; an empty table stays empty.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import text as T
-from causeway.llm.tables import labelled_sample
+from causeway.llm.tables import sampled_ids, sampled_texts, stored
 
 U64 = T.U64
 PER_CLASS, FEATURES, LEAST_G, FOLDS = 3000, 4096, 20.0, 5
@@ -53,8 +54,42 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(texts), np.concatenate(hashes)
 
 
-def _part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    return seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9))
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, at = T.strings(batch.column(1))
+        sets: list[np.ndarray] = []
+        for lo, hi in T.chunks(at):
+            text, hashes = features(data, at[lo : hi + 1])
+            order = np.argsort(text, kind="stable")
+            bounds = np.searchsorted(text[order], np.arange(hi - lo + 1))
+            sets += [np.unique(hashes[order[a:b]]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "features"])
+
+
+def _places(known: np.ndarray):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = _Lookup(known)
+        for batch in batches:
+            column = batch.column(1)
+            bounds = column.offsets.to_numpy().astype(np.int64)
+            values = column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].view(U64)
+            text, at = look(np.repeat(np.arange(len(batch)), np.diff(bounds)), values)
+            own = np.searchsorted(text, np.arange(len(batch) + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([at[a:b] for a, b in zip(own[:-1], own[1:], strict=True)], pa.list_(pa.int64()))], names=["doc_id", "places"])
+
+    return rows
+
+
+def _uneven(sample: DataFrame, categories: Sequence[str], totals: dict[str, int], n: int) -> np.ndarray:
+    """The hashes of at most FEATURES features of sample (features, categories), those whose shares differ most."""
+    counted = sample.select(F.explode("features").alias("feature"), *categories).groupBy("feature").agg(F.count("*").alias("_n"), *(F.sum(c).alias(c) for c in categories))
+
+    def part(seen, expected):
+        return seen * F.log(F.greatest(seen, F.lit(1e-9)) / F.greatest(expected, F.lit(1e-9)))
+
+    g = [2 * (part(F.col(c).cast("double"), F.col("_n") * (totals[c] / n)) + part((F.col("_n") - F.col(c)).cast("double"), F.col("_n") * (1 - totals[c] / n))) for c in categories]
+    best = counted.select("feature", F.greatest(*g, F.lit(0.0)).alias("g")).filter(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "feature").limit(FEATURES)
+    return np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(U64))
 
 
 class _Lookup:
@@ -120,36 +155,24 @@ def _fit(text: np.ndarray, at: np.ndarray, n_features: int, earlier: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, per_class: int = PER_CLASS) -> Chain:
     """labels: (doc_id, a 0/1 column for each category); the sample is drawn by the last category."""
     last = labels.select("doc_id", F.col(categories[-1]).cast("int").alias("label"))
-    rows, counts = labelled_sample(docs, last, per_class)
-    rows = [(i, t or "", y) for i, t, y in rows]
-    chosen = [i for i, _, _ in rows]
+    drawn, counts = sampled_ids(last, per_class)
     spark = docs.sparkSession
-    few = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
+    few = F.broadcast(spark.createDataFrame([(i,) for i, _ in drawn], "doc_id long"))
     of = {r["doc_id"]: r for r in labels.join(few, "doc_id", "left_semi").collect()}
-    data, at = T.strings(pa.array([t for _, t, _ in rows], pa.large_string()))
-    text, hashes = features(data, at) if len(data) else (np.zeros(0, np.int64), np.zeros(0, U64))
-    n = len(rows)
+    sample = stored(sampled_texts(docs, [i for i, _ in drawn]).mapInArrow(_feature_rows, "doc_id long, features array<long>"))
+    there = {r["doc_id"] for r in sample.select("doc_id").collect()}
+    rows = [(i, label) for i, label in drawn if i in there]
+    chosen, n = [i for i, _ in rows], len(rows)
     y = np.array([[1 if of[i][c] else 0 for c in categories] for i in chosen], float).reshape(n, len(categories))
-    # Of the sample's distinct features, those whose shares differ most.
-    order = np.lexsort((hashes, text))
-    text, hashes = text[order], hashes[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
-    text, hashes = text[new], hashes[new]
-    values, place = np.unique(hashes, return_inverse=True)
-    best = np.zeros(len(values))
-    for c in range(len(categories)):
-        n1, n0 = y[:, c].sum(), n - y[:, c].sum()
-        a1 = np.bincount(place, weights=y[text, c], minlength=len(values))
-        a0 = np.bincount(place, weights=1 - y[text, c], minlength=len(values))
-        share = n1 / max(n, 1)
-        g = 2 * (_part(a1, (a1 + a0) * share) + _part(a0, (a1 + a0) * (1 - share)))
-        best = np.maximum(best, np.where(g >= LEAST_G, g, 0))
-    known = np.sort(values[np.argsort(-best, kind="stable")[:FEATURES]][: np.count_nonzero(best)])
-    text, at = _Lookup(known)(text, hashes)
+    truth = spark.createDataFrame([(i, *map(int, row)) for i, row in zip(chosen, y, strict=True)], "doc_id long, " + ", ".join(f"`{c}` int" for c in categories))
+    totals = {c: int(y[:, k].sum()) for k, c in enumerate(categories)}
+    known = _uneven(sample.join(F.broadcast(truth), "doc_id"), categories, totals, n) if n else np.zeros(0, U64)
+    places = {r["doc_id"]: r["places"] for r in sample.mapInArrow(_places(known), "doc_id long, places array<long>").collect()}
+    text = np.repeat(np.arange(n), [len(places[i]) for i in chosen])
+    at = np.array([p for i in chosen for p in places[i]], np.int64)
     share = {k: v / sum(counts.values()) for k, v in counts.items()}
-    weight = np.array([share[label] / max(1, sum(x[2] == label for x in rows)) for label in (0, 1) if label in share])
-    weight = np.array([weight[label] if len(weight) > 1 else weight[0] for _, _, label in rows]) * n if n else np.zeros(0)
+    weight = np.array([share[label] / max(1, sum(x[1] == label for x in rows)) for label in (0, 1) if label in share])
+    weight = np.array([weight[label] if len(weight) > 1 else weight[0] for _, label in rows]) * n if n else np.zeros(0)
     fold = T.mix(np.array(chosen, np.int64).view(U64)) % U64(FOLDS)
     odds, parts = np.zeros((n, 0)), []
     for c in range(len(categories)):
