@@ -38,7 +38,7 @@ from causeway.llm.tables import components, stored
 COORDINATES, ROWS_PER_BAND = 300, 6
 SKETCH_FLOOR = 0.55
 #: Members of an open bucket, and shingles of theirs, that are compared with as many others at a time.
-BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:

@@ -30,7 +30,7 @@ from causeway.llm import text as T
 
 U64 = T.U64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-TOKEN_BYTES, CHUNK = 32, 1 << 21
+TOKEN_BYTES, CHUNK = 32, 1 << 19
 BYTE_WEIGHT = 1e-5
 _SPACE = "▁"
 _GOLDEN = U64(0x9E3779B97F4A7C15)

@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from causeway.storage import stored
 
 
+#: Rows of texts that go to Python at a time, by number and bytes: what a worker holds follows them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", str(8 << 20))}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; where the session has Spark's own Arrow batch sizes, it gets smaller ones."""
+    for key, (default, own) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
