@@ -7,13 +7,13 @@ slots become repeated groups, what some pages lack becomes optional. Alignment g
 distinct folded streams, of which a task sees about `ALIGNED` at most: where a host has more, shares of
 them are aligned first, then what the shares gave, and so on. So a host with a third of all pages is worked on
 by many tasks.
-Along with it come counts for each path: pages, text, linked text, and whether its text never changes.
 
-The wrapper then decides once for each host which slots are the main text: slots under an article or
-main element if the expression has them; otherwise those slots whose text changes between pages and is
-mostly not links. Slots under menus, headers and footers of the page, sidebars, notices, adverts,
-forms, comments, scripts and styles never are. Each page is matched with its host's wrapper and gives
-its main slots, in page order, a line each.
+Each page is then matched with its host's expression, which gives the slot of each of its blocks. A slot is text if what
+pages have there differs, or if one page alone has it; else it is constant, a part of the template. Main text are
+text slots under an article or main element, if the expression has them (a page whose article is all constant keeps it
+whole); otherwise the text slots that are mostly not links. Slots under menus, headers and footers of the page, sidebars,
+notices, adverts, forms, comments, scripts and styles never are. A page gives its main slots, in page order, a line
+each. What pages have in a slot is compared by 64 bits of hash of the whole text, which for a repeated slot is that of all repeats.
 
 Defined cases: null or empty html gives an empty text; a url without a host belongs to the host "";
 a page whose host has one page only is its own wrapper; unclosed and wrongly nested elements close with
@@ -23,11 +23,12 @@ ignored; an empty table stays empty.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_
 import json
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -179,28 +180,130 @@ def align(a: list, b: list) -> list:
     return out
 
 
+def match(stream: list, expression: list) -> list[int]:
+    """The item of the expression that each item of a folded stream stands for, the leftmost way; the expression covers the stream."""
+    ends, way, dead, i, j = (len(stream), len(expression)), [], set(), 0, 0
+    while (i, j) != ends:
+        fits = i < ends[0] and j < ends[1] and stream[i][1] == expression[j][1] and (not stream[i][0] or expression[j][0] in ("+", "*"))
+        if fits and (i + 1, j + 1) not in dead:
+            way.append((i, j))
+            i, j = i + 1, j + 1
+        elif j < ends[1] and expression[j][0] in ("?", "*") and (i, j + 1) not in dead:
+            way.append((i, j))
+            j += 1
+        elif way:
+            dead.add((i, j))
+            i, j = way.pop()
+        else:
+            raise ValueError("the expression does not cover the stream")
+    return [j for (i, j), (after, _) in zip(way, [*way[1:], ends], strict=False) if after > i]
+
+
+def grouped(paths: list[str], stream: list) -> list[range]:
+    """For each path of the items of fold(paths), one after another, the places of the page that it stands for."""
+    out, i = [], 0
+    for kind, body in stream:
+        size, n = len(body), 1
+        while kind and tuple(paths[i + n * size : i + (n + 1) * size]) == body:
+            n += 1
+        out += [range(i + k, i + n * size, size) for k in range(size)]
+        i += n * size
+    return out
+
+
+class Wrapper:
+    """An expression, with its slots (the paths of its items, numbered through) and which of them hold main text."""
+
+    def __init__(self, expression: str, main: list[int] | None = None) -> None:
+        self.items = _items(expression)
+        self.paths = [p for _, body in self.items for p in body]
+        self.main = frozenset(main or ())
+        self.starred = any(p.startswith("*") for p in self.paths)
+        self.first = [0, *accumulate(len(body) for _, body in self.items)]
+        self.known: dict[tuple, list[int]] = {}
+
+    def slots(self, stream: list) -> list[int]:
+        """The slot of each path of the stream's items, one after another."""
+        key = tuple(stream)
+        if key not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[key] = [self.first[j] + k for (_, body), j in zip(stream, match(stream, self.items), strict=True) for k in range(len(body))]
+        return self.known[key]
+
+    def text(self, page: str) -> str:
+        found = slots(page)
+        paths = [p for p, _, _ in found]
+        stream = fold(paths)
+        own = self.slots(stream)
+        chosen = self.chosen(own)
+        return "\n".join(found[i][1] for i in sorted(i for slot, places in zip(own, grouped(paths, stream), strict=True) if slot in chosen for i in places))
+
+    def chosen(self, own: list[int]) -> set[int]:
+        """Which of the slots that a page matches are its main text."""
+        starred = {s for s in own if self.paths[s].startswith("*")}
+        if self.starred:
+            return starred & self.main or starred
+        return self.main.intersection(own)
+
+
+def _items(expression: str) -> list[tuple[str, tuple[str, ...]]]:
+    return [(k, tuple(b)) for k, b in json.loads(expression)]
+
+
+def _key(*texts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(texts).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = slots(page or "")
-            stats: dict[str, list] = {}
-            for path, text, linked in found:
-                s = stats.setdefault(path, [0, 0, text, text])
-                s[0], s[1] = s[0] + len(text), s[1] + linked
-                s[2], s[3] = min(s[2], text), max(s[3], text)
-            low, high = ({p: s[k][:200] + f"#{len(s[k])}" for p, s in stats.items()} for k in (2, 3))
-            rows.append((host, json.dumps(fold([p for p, _, _ in found])), [{"path": p, "chars": s[0], "linked": s[1], "low": low[p], "high": high[p]} for p, s in stats.items()]))
-        yield pa.RecordBatch.from_pylist([dict(zip(("host", "stream", "paths"), r, strict=True)) for r in rows], schema=_STREAM)
+            paths = [p for p, _, _ in found]
+            stream = fold(paths)
+            own = [[found[i] for i in places] for places in grouped(paths, stream)]
+            rows.append({"host": host, "stream": json.dumps(stream), "own": [{"text": _key(*(t for _, t, _ in x)), "chars": sum(len(t) for _, t, _ in x), "linked": sum(n for _, _, n in x)} for x in own]})
+        yield pa.RecordBatch.from_pylist(rows, schema=_STREAM)
+
+
+_STREAM = pa.schema([("host", pa.string()), ("stream", pa.string()), ("own", pa.list_(pa.struct([("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])))])
+_STREAM_SQL = "host string, stream string, own array<struct<text: bigint, chars: bigint, linked: bigint>>"
+
+
+class _Wrappers(dict):
+    """The wrappers that a task has met lately, by host."""
+
+    def of(self, host: str, *parts) -> Wrapper:
+        if host not in self:
+            if len(self) > 1000:
+                self.clear()
+            self[host] = Wrapper(*parts)
+        return self[host]
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the pages (host, stream, own, expression) of a batch have in each slot of their host's expression."""
+    met = _Wrappers()
+    for batch in batches:
+        counts: dict[tuple[str, int], list] = {}
+        for host, stream, own, expression in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            wrapper = met.of(host, expression)
+            for slot, x in zip(wrapper.slots(_items(stream)), own, strict=True):
+                if not wrapper.paths[slot].startswith("!"):
+                    c = counts.setdefault((host, slot), [wrapper.paths[slot].startswith("*"), 0, 0, 0, x["text"], x["text"]])
+                    c[1:] = c[1] + 1, c[2] + x["chars"], c[3] + x["linked"], min(c[4], x["text"]), max(c[5], x["text"])
+        columns = [[h for h, _ in counts], [s for _, s in counts], *([c[i] for c in counts.values()] for i in range(6))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
 
-_STREAM = pa.schema([("host", pa.string()), ("stream", pa.string()), ("paths", pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64()), ("low", pa.string()), ("high", pa.string())])))])
+_COUNTS = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("starred", pa.bool_()), ("n", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
 def _aligned(streams: list[str]) -> str:
     whole: list | None = None
     for s in sorted(set(streams)):
-        one = [(k, tuple(b)) for k, b in json.loads(s)]
+        one = _items(s)
         whole = one if whole is None else align(whole, one)
     return json.dumps(whole or [])
 
@@ -218,42 +321,35 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, expression, main) of pages (url, html): the expression as JSON, and the paths of main text."""
-    read = stored(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_streams, "host string, stream string, paths array<struct<path: string, chars: bigint, linked: bigint, low: string, high: string>>"))
+    """(host, expression, main) of pages (url, html): the expression as JSON, and its slots of main text."""
+    read = stored(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_streams, _STREAM_SQL))
     level = stored(read.select("host", "stream").distinct())
     while level.groupBy("host").count().filter(F.col("count") > ALIGNED).limit(1).count():
         shares = level.groupBy("host").agg(F.ceil(F.count("*") / (ALIGNED // 2)).alias("shares"))
         dealt = level.join(shares, "host").withColumn("share", F.pmod(F.xxhash64("stream"), "shares"))
         level = stored(dealt.groupBy("host", "share").applyInArrow(_merge("stream", ("host", "stream")), "host string, stream string").distinct())
-    whole = level.groupBy("host").applyInArrow(_merge("stream", ("host", "expression")), "host string, expression string")
-    paths = read.select("host", F.inline("paths")).groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
-    open_ = F.substring("path", 1, 1) != "!"
+    whole = stored(level.groupBy("host").applyInArrow(_merge("stream", ("host", "expression")), "host string, expression string"))
+    matched = read.join(whole, "host").select("host", "stream", "own", "expression").mapInArrow(_slot_counts, "host string, slot int, starred boolean, n long, chars long, linked long, low long, high long")
+    counts = matched.groupBy("host", "slot").agg(F.first("starred").alias("starred"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
     moving = (F.col("n") == 1) | (F.col("low") != F.col("high"))
-    role = F.when(F.substring("path", 1, 1) == "*", 2).when(open_ & moving & (F.col("linked") * 2 <= F.col("chars")), 1).otherwise(0)
-    ranked = paths.withColumn("role", role).filter("role > 0").groupBy("host").agg(F.max("role").alias("best"), F.collect_list(F.struct("role", "path")).alias("all"))
-    main = ranked.select("host", F.transform(F.filter("all", lambda x: x["role"] == F.col("best")), lambda x: x["path"]).alias("main"))
-    return whole.join(main, "host", "left").select("host", "expression", F.coalesce("main", F.array().cast("array<string>")).alias("main"))
+    main = counts.filter(moving & (F.col("starred") | (F.col("linked") * 2 <= F.col("chars")))).groupBy("host").agg(F.collect_list("slot").alias("main"))
+    return whole.join(main, "host", "left").select("host", "expression", F.coalesce("main", F.array().cast("array<int>")).alias("main"))
 
 
 def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, frozenset] = defaultdict(frozenset)
+    met = _Wrappers()
     for batch in batches:
-        texts = []
-        for page, host, main in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-            if host not in known:
-                if len(known) > 1000:
-                    known.clear()
-                known[host] = frozenset(main or ())
-            texts.append("\n".join(t for p, t, _ in slots(page or "") if p in known[host]))
+        rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
+        texts = [met.of(host, expression, main).text(page or "") for page, host, expression, main in rows]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages (page_id, url, html, ...)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = stored(wrappers(pages)).select("host", "main")
+    found = stored(wrappers(pages))
     matched = pages.withColumn("host", host_of(F.col("url"))).join(found, "host", "left")
-    return matched.select("page_id", "url", "html", "host", "main").mapInArrow(_main_text, _RESULT)
+    return matched.select("page_id", "url", "html", "host", "expression", "main").mapInArrow(_main_text, _RESULT)
 
 
 _RESULT = Ty.StructType([Ty.StructField("page_id", Ty.LongType()), Ty.StructField("url", Ty.StringType()), Ty.StructField("text", Ty.StringType()), Ty.StructField("n_chars", Ty.LongType())])

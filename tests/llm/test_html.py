@@ -57,3 +57,31 @@ def test_expressions():
     a, b = html.fold(list("abbc")), html.fold(list("acd"))
     assert html.align(a, b) == [("", ("a",)), ("*", ("b",)), ("", ("c",)), ("?", ("d",))]
     assert html.align(html.align(a, b), a) == html.align(a, b)
+
+
+def texts_of(spark, markups, host="a.example"):
+    pages = spark.createDataFrame([(n, f"http://{host}/{n}", m) for n, m in enumerate(markups)], "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html.main_text(pages).collect()}
+
+
+def test_slots_decide(spark):
+    """One path is template in one slot of the expression and text in another; optional and repeated slots too."""
+    article = lambda n: f"<article><p>Filed under news</p><h1>Title {n}</h1>{'<p>Share</p>' if n == 7 else ''}<p>body {n}</p>" + f"<p>more {n}</p>" * (n % 3) + "<h2>Ours</h2><p>Support us</p></article>"
+    want = {n: "\n".join([f"Title {n}"] + (["Share"] if n == 7 else []) + [f"body {n}"] + [f"more {n}"] * (n % 3)) for n in range(9)}
+    assert texts_of(spark, [article(n) for n in range(9)]) == want
+    plain = lambda n: article(n).replace("article", "div")
+    assert texts_of(spark, [plain(n) for n in range(9)]) == want
+    assert texts_of(spark, ["<article><p>same</p></article><p>a</p>", "<article><p>same</p></article><p>b</p>"]) == {0: "same", 1: "same"}
+
+
+def test_match():
+    assert html.match(html.fold(list("abb")), [("?", ("b",)), ("", ("a",)), ("?", ("b",)), ("*", ("b",)), ("?", ("c",))]) == [1, 3]
+    assert html.match(html.fold(list("ab")), [("?", ("a",)), ("?", ("b",)), ("?", ("a",)), ("", ("b",))]) == [0, 3]
+    r = random.Random(5)
+    streams = [html.fold([r.choice("abc") for _ in range(r.randrange(12))]) for _ in range(40)]
+    whole = []
+    for i, s in enumerate(streams):
+        whole = html.align(whole, s) if i else s
+    for s in streams:
+        at = html.match(s, whole)
+        assert at == sorted(set(at)) and [whole[j][1] for j in at] == [b for _, b in s] and all(k in ("?", "*") for j, (k, _) in enumerate(whole) if j not in at)
