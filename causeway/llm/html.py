@@ -10,8 +10,8 @@ by many tasks.
 
 Each page is then matched with its host's expression, which gives the slot of each of its blocks. A slot is text if what
 pages have there differs, or if one page alone has it; else it is constant, a part of the template. Main text are
-text slots under an article or main element, if the expression has them (a page whose article is all constant keeps it
-whole); otherwise the text slots that are mostly not links. Slots under menus, headers and footers of the page, sidebars,
+text slots under an article or main element, on pages that match such slots (a page whose article is all constant keeps
+it whole); on the other pages of the host, the text slots that are mostly not links. Slots under menus, headers and footers of the page, sidebars,
 notices, adverts, forms, comments, scripts and styles never are. A page gives its main slots, in page order, a line
 each. What pages have in a slot is compared by 64 bits of hash of the whole text, which for a repeated slot is that of all repeats.
 
@@ -218,7 +218,6 @@ class Wrapper:
         self.items = _items(expression)
         self.paths = [p for _, body in self.items for p in body]
         self.main = frozenset(main or ())
-        self.starred = any(p.startswith("*") for p in self.paths)
         self.first = [0, *accumulate(len(body) for _, body in self.items)]
         self.known: dict[tuple, list[int]] = {}
 
@@ -239,12 +238,14 @@ class Wrapper:
         chosen = self.chosen(own)
         return "\n".join(found[i][1] for i in sorted(i for slot, places in zip(own, grouped(paths, stream), strict=True) if slot in chosen for i in places))
 
+    def asked(self, own: list[int]) -> set[int]:
+        """Of the slots that a page matches those that may be its main text: under an article, or all open ones if it has none there."""
+        return {s for s in own if self.paths[s].startswith("*")} or {s for s in own if not self.paths[s].startswith("!")}
+
     def chosen(self, own: list[int]) -> set[int]:
         """Which of the slots that a page matches are its main text."""
-        starred = {s for s in own if self.paths[s].startswith("*")}
-        if self.starred:
-            return starred & self.main or starred
-        return self.main.intersection(own)
+        asked = self.asked(own)
+        return asked & self.main or {s for s in asked if self.paths[s].startswith("*")}
 
 
 def _items(expression: str) -> list[tuple[str, tuple[str, ...]]]:
@@ -283,14 +284,16 @@ class _Wrappers(dict):
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the pages (host, stream, own, expression) of a batch have in each slot of their host's expression."""
+    """What the pages (host, stream, own, expression) of a batch have in each slot of their host's expression that may be their main text."""
     met = _Wrappers()
     for batch in batches:
         counts: dict[tuple[str, int], list] = {}
         for host, stream, own, expression in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             wrapper = met.of(host, expression)
-            for slot, x in zip(wrapper.slots(_items(stream)), own, strict=True):
-                if not wrapper.paths[slot].startswith("!"):
+            at = wrapper.slots(_items(stream))
+            asked = wrapper.asked(at)
+            for slot, x in zip(at, own, strict=True):
+                if slot in asked:
                     c = counts.setdefault((host, slot), [wrapper.paths[slot].startswith("*"), 0, 0, 0, x["text"], x["text"]])
                     c[1:] = c[1] + 1, c[2] + x["chars"], c[3] + x["linked"], min(c[4], x["text"]), max(c[5], x["text"])
         columns = [[h for h, _ in counts], [s for _, s in counts], *([c[i] for c in counts.values()] for i in range(6))]

@@ -85,3 +85,9 @@ def test_match():
     for s in streams:
         at = html.match(s, whole)
         assert at == sorted(set(at)) and [whole[j][1] for j in at] == [b for _, b in s] and all(k in ("?", "*") for j, (k, _) in enumerate(whole) if j not in at)
+
+
+def test_templates_of_a_host(spark):
+    """A page with an article does not empty the pages of the host that have none."""
+    got = texts_of(spark, ["<article><p>one</p></article><p>tail</p>"] + [f"<div class='content'><p>body {n}</p></div><p>imprint</p>" for n in range(4)])
+    assert got == {0: "one"} | {n + 1: f"body {n}" for n in range(4)}
