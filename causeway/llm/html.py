@@ -9,7 +9,7 @@ them are aligned first, then what the shares gave, and so on. So a host with a t
 by many tasks.
 
 Each page is then matched with its host's expression, which gives the slot of each of its blocks. A slot is text if what
-pages have there differs, or if one page alone has it; else it is constant, a part of the template. Main text are
+pages have there differs, or if one page alone has it, copies (pages with the same blocks outside menus and the like) being one; else it is constant, a part of the template. Main text are
 text slots under an article or main element, on pages that match such slots (a page whose article is all constant keeps
 it whole); on the other pages of the host, the text slots that are mostly not links. Slots under menus, headers and footers of the page, sidebars,
 notices, adverts, forms, comments, scripts and styles never are. A page gives its main slots, in page order, a line
@@ -264,12 +264,13 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             paths = [p for p, _, _ in found]
             stream = fold(paths)
             own = [[found[i] for i in places] for places in grouped(paths, stream)]
-            rows.append({"host": host, "stream": json.dumps(stream), "own": [{"text": _key(*(t for _, t, _ in x)), "chars": sum(len(t) for _, t, _ in x), "linked": sum(n for _, _, n in x)} for x in own]})
+            content = _key(*(x for p, t, _ in found if not p.startswith("!") for x in (p, t)))
+            rows.append({"host": host, "stream": json.dumps(stream), "content": content, "own": [{"text": _key(*(t for _, t, _ in x)), "chars": sum(len(t) for _, t, _ in x), "linked": sum(n for _, _, n in x)} for x in own]})
         yield pa.RecordBatch.from_pylist(rows, schema=_STREAM)
 
 
-_STREAM = pa.schema([("host", pa.string()), ("stream", pa.string()), ("own", pa.list_(pa.struct([("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])))])
-_STREAM_SQL = "host string, stream string, own array<struct<text: bigint, chars: bigint, linked: bigint>>"
+_STREAM = pa.schema([("host", pa.string()), ("stream", pa.string()), ("content", pa.int64()), ("own", pa.list_(pa.struct([("text", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])))])
+_STREAM_SQL = "host string, stream string, content bigint, own array<struct<text: bigint, chars: bigint, linked: bigint>>"
 
 
 class _Wrappers(dict):
@@ -284,23 +285,24 @@ class _Wrappers(dict):
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the pages (host, stream, own, expression) of a batch have in each slot of their host's expression that may be their main text."""
+    """What the pages (host, stream, content, own, expression) of a batch have in each slot of their host's expression that may be their main text."""
     met = _Wrappers()
     for batch in batches:
         counts: dict[tuple[str, int], list] = {}
-        for host, stream, own, expression in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for host, stream, content, own, expression in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             wrapper = met.of(host, expression)
             at = wrapper.slots(_items(stream))
             asked = wrapper.asked(at)
             for slot, x in zip(at, own, strict=True):
                 if slot in asked:
-                    c = counts.setdefault((host, slot), [wrapper.paths[slot].startswith("*"), 0, 0, 0, x["text"], x["text"]])
-                    c[1:] = c[1] + 1, c[2] + x["chars"], c[3] + x["linked"], min(c[4], x["text"]), max(c[5], x["text"])
-        columns = [[h for h, _ in counts], [s for _, s in counts], *([c[i] for c in counts.values()] for i in range(6))]
+                    c = counts.setdefault((host, slot), [wrapper.paths[slot].startswith("*"), 0, 0, content, content, x["text"], x["text"]])
+                    c[1:3] = c[1] + x["chars"], c[2] + x["linked"]
+                    c[3:] = min(c[3], content), max(c[4], content), min(c[5], x["text"]), max(c[6], x["text"])
+        columns = [[h for h, _ in counts], [s for _, s in counts], *([c[i] for c in counts.values()] for i in range(7))]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
 
-_COUNTS = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("starred", pa.bool_()), ("n", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+_COUNTS = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("starred", pa.bool_()), *((c, pa.int64()) for c in ("chars", "linked", "first", "last", "low", "high"))])
 
 
 def _aligned(streams: list[str]) -> str:
@@ -332,9 +334,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
         dealt = level.join(shares, "host").withColumn("share", F.pmod(F.xxhash64("stream"), "shares"))
         level = stored(dealt.groupBy("host", "share").applyInArrow(_merge("stream", ("host", "stream")), "host string, stream string").distinct())
     whole = stored(level.groupBy("host").applyInArrow(_merge("stream", ("host", "expression")), "host string, expression string"))
-    matched = read.join(whole, "host").select("host", "stream", "own", "expression").mapInArrow(_slot_counts, "host string, slot int, starred boolean, n long, chars long, linked long, low long, high long")
-    counts = matched.groupBy("host", "slot").agg(F.first("starred").alias("starred"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"))
-    moving = (F.col("n") == 1) | (F.col("low") != F.col("high"))
+    matched = read.join(whole, "host").select("host", "stream", "content", "own", "expression").mapInArrow(_slot_counts, "host string, slot int, starred boolean, chars long, linked long, first long, last long, low long, high long")
+    counts = matched.groupBy("host", "slot").agg(F.first("starred").alias("starred"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+    moving = (F.col("first") == F.col("last")) | (F.col("low") != F.col("high"))
     main = counts.filter(moving & (F.col("starred") | (F.col("linked") * 2 <= F.col("chars")))).groupBy("host").agg(F.collect_list("slot").alias("main"))
     return whole.join(main, "host", "left").select("host", "expression", F.coalesce("main", F.array().cast("array<int>")).alias("main"))
 

@@ -91,3 +91,12 @@ def test_templates_of_a_host(spark):
     """A page with an article does not empty the pages of the host that have none."""
     got = texts_of(spark, ["<article><p>one</p></article><p>tail</p>"] + [f"<div class='content'><p>body {n}</p></div><p>imprint</p>" for n in range(4)])
     assert got == {0: "one"} | {n + 1: f"body {n}" for n in range(4)}
+
+
+def test_copies_and_late_differences(spark):
+    """Copies of a page are one page, and texts that differ late differ."""
+    alone = "<h1>Title</h1><div class='content'><p>body</p></div>"
+    assert texts_of(spark, [alone] * 3) == {n: "Title\nbody" for n in range(3)}
+    assert texts_of(spark, [alone, "<nav>menu</nav>" + alone]) == {n: "Title\nbody" for n in range(2)}
+    late = [f"<div class='content'><p>{'x' * 300}{n}</p></div><h2>ours</h2>" for n in range(4)]
+    assert texts_of(spark, late) == {n: "x" * 300 + str(n) for n in range(4)}
