@@ -12,7 +12,8 @@ Each page is then matched with its host's expression, which gives the slot of ea
 pages have there differs, or if one page alone has it, copies (pages with the same blocks outside menus and the like) being one; else it is constant, a part of the template. Main text are
 text slots under an article or main element, on pages that match such slots (a page whose article is all constant keeps
 it whole); on the other pages of the host, the text slots that are mostly not links. Slots under menus, headers and footers of the page, sidebars,
-notices, adverts, forms, comments, scripts and styles never are. A page gives its main slots, in page order, a line
+notices, adverts, forms, comments, scripts and styles never are; class and id tell sidebars, notices and so on, but not
+of article and main elements, nor of what holds a page's only ones. A page gives its main slots, in page order, a line
 each. What pages have in a slot is compared by 64 bits of hash of the whole text, which for a repeated slot is that of all repeats.
 
 Defined cases: null or empty html gives an empty text; a url without a host belongs to the host "";
@@ -52,6 +53,10 @@ _NEVER = frozenset("nav footer aside form head menu dialog button select label f
 _MAIN = frozenset(("article", "main"))
 _PARTS = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|side-?bar|cookies?|consent|notices?|gdpr|comments?|disqus|respond|replies|nav\w*|menu|breadcrumbs?|footer|header|masthead|social|share|sharing|related|recommend\w*|newsletter|subscribe|signup|popup|modal|widget|toolbar|login|search"
 _MARKED = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?:$|[\s_-])", re.I)
+#: Classes that say how an element or what is in it looks, and those that hold a page's content: neither makes it a menu, notice and so on.
+_STATE = re.compile(r"(?:has|no|not|with|without|is|show|hide)[_-].*|.*[_-](?:open|opened|closed|fixed|sticky|enabled|disabled|on|off|active|visible|hidden)", re.I)
+_CONTENT = re.compile(r"(?:.*[_-])?(?:content|article|post|entry|story|page|layout|wrapper|container)", re.I)
+_HEADS = re.compile(r"(?:.*[_-])?(?:header|masthead|banner)(?:[_-].*)?", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 #: Longest repeated group, and distinct streams that one task aligns at a time.
@@ -62,24 +67,34 @@ def _space(text: str) -> str:
     return " ".join(text.split())
 
 
+def _marked(names: list[str], inside: bool) -> bool:
+    """Whether the classes and id of an element make it a menu, notice and so on; inside an article its header is none."""
+    words = [x for x in names if _MARKED.search(x) and not _STATE.fullmatch(x) and not (inside and _HEADS.fullmatch(x))]
+    return bool(words) and not any(_CONTENT.fullmatch(x) and not _MARKED.search(x) for x in names)
+
+
 def slots(html: str) -> list[tuple[str, str, int]]:
     """(path, text, characters in links) of each non-blank block of text; a path starts with "!" where it is never
     main text, with "*" under an article or main element."""
-    out, stack, pieces, linked = [], [], [], 0  # stack: (tag, label, never, main, link)
+    out, stack, pieces, linked = [], [], [], 0  # stack: (tag, label, never, main, link, mark)
     never = main = link = 0
+    marks: list[list[bool]] = []  # of the open elements that classes mark: whether each holds an article or main element
+    plain = False  # an article or main element stands outside all of them
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces and (text := _space(html_.unescape("".join(pieces)))):
             label = "/".join(x[1] for x in stack if x[0] in _BLOCK)
-            out.append((("!" if never else "*" if main else "") + label, text, min(linked, len(text))))
+            out.append((never, tuple(marks), main, label, text, min(linked, len(text))))
         pieces, linked = [], 0
 
     def close(n: int) -> None:
         nonlocal never, main, link
         flush()
-        for _, _, bad, good, anchor in stack[n:]:
+        for _, _, bad, good, anchor, mark in stack[n:]:
             never, main, link = never - bad, main - good, link - anchor
+            if mark:
+                marks.pop()
         del stack[n:]
 
     at, lower = 0, None
@@ -114,7 +129,7 @@ def slots(html: str) -> list[tuple[str, str, int]]:
         elif tag == "br" or tag in _VOID and tag != "hr":
             pieces.append(" ")
         elif tag == "a":
-            stack.append(("a", "a", 0, 0, 1))
+            stack.append(("a", "a", 0, 0, 1, False))
             link += 1
         elif tag in _BLOCK:
             flush()
@@ -125,15 +140,23 @@ def slots(html: str) -> list[tuple[str, str, int]]:
             if tag == "hr" or m[3].endswith("/"):
                 continue
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-            marks = _space(f"{attributes.get('class', '')} {attributes.get('id', '')}")
+            names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
             inside = main > 0
-            bad = tag in _NEVER or attributes.get("role", "").lower() in _ROLES or (tag == "header" and not inside) or bool(marks and tag not in ("body", "html") and _MARKED.search(marks))
+            bad = tag in _NEVER or attributes.get("role", "").lower() in _ROLES or (tag == "header" and not inside)
             good = not bad and (tag in _MAIN or attributes.get("role", "").lower() == "main")
+            mark = bool(names) and not bad and not good and tag not in ("body", "html") and _marked(names, inside)
+            if good and not never and not inside:
+                plain = plain or not marks
+                for holds in marks:
+                    holds[0] = True
+            if mark:
+                marks.append([False])
             label = tag + ("." + re.sub(r"\d+", "0", attributes["class"].split()[0]) if attributes.get("class", "").split() else "")
-            stack.append((tag, label, int(bad), int(good), 0))
+            stack.append((tag, label, int(bad), int(good), 0, mark))
             never, main = never + bad, main + good
     close(0)
-    return out
+    spared = lambda mark: mark[0] and not plain
+    return [(("!" if bad or not all(map(spared, over)) else "*" if good else "") + label, text, n) for bad, over, good, label, text, n in out]
 
 
 # An expression is a list of (kind, body): kind "" (once), "?" (optional), "+" or "*" (repeated); body is a tuple of paths.

@@ -100,3 +100,16 @@ def test_copies_and_late_differences(spark):
     assert texts_of(spark, [alone, "<nav>menu</nav>" + alone]) == {n: "Title\nbody" for n in range(2)}
     late = [f"<div class='content'><p>{'x' * 300}{n}</p></div><h2>ours</h2>" for n in range(4)]
     assert texts_of(spark, late) == {n: "x" * 300 + str(n) for n in range(4)}
+
+
+def test_class_words():
+    """Class words do not outrank articles, what holds them, and classes of content."""
+    texts = lambda m: [t for p, t, _ in html.slots(m) if not p.startswith("!")]
+    for name in ("site-content has-sidebar", "layout no-sidebar", "post comments-open", "article-content social", "header-fixed page", "nav-wrap"):
+        for m in (f"<div class='{name}'><article><p>x</article></div>", f"<article class='{name}'><p>x</article>", f"<div class='{name}'><div><main><p>x</main></div></div>"):
+            assert texts(m) == ["x"], m
+        assert name == "nav-wrap" or texts(f"<div class='{name}'><p>x</div>") == ["x"], name
+    assert texts("<article><header class='entry-header'><h1>head</h1></header><p>x<div class='comments-area'>no</div></article>") == ["head", "x"]
+    assert texts("<div class='sidebar'><article>card</article></div><main>x<div class='related'><article>card</article></div></main>") == ["x"]
+    for name in ("ad", "site-footer", "comments", "sidebar left", "cookie-notice", "main-menu", "page-header"):
+        assert texts(f"<div class='{name}'><p>no</div><p>x") == ["x"], name
