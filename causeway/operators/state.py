@@ -78,11 +78,11 @@ def project_status(n_reviewed: Column, n_results: Column, n_files: Column, n_mes
     return F.when(n_reviewed > 0, "reviewed").when(n_results > 0, "results").when((n_files > 0) | (n_messages > 0), "in_progress").otherwise("empty")
 
 
-def upserted(rows: DataFrame, key: str, pos: str = "pos", keep: int = MESSAGES) -> DataFrame:
-    """The last copy of each key at the place of its first, the last `keep` of these."""
-    rest = [c for c in rows.columns if c not in (key, pos)]
-    merged = rows.groupBy(key).agg(F.min(pos).alias(pos), F.max_by(F.struct(*rest), pos).alias("_r")).select(key, pos, "_r.*")
-    return merged.orderBy(F.desc(pos)).limit(keep)
+def upserted(rows: DataFrame, key: str, pos: str = "pos", keep: int = MESSAGES, by: Sequence[str] = ("session_id",)) -> DataFrame:
+    """The last copy of each key at the place of its first, the last `keep` of these in each group `by`."""
+    rest = [c for c in rows.columns if c not in (*by, key, pos)]
+    merged = rows.groupBy(*by, key).agg(F.min(pos).alias(pos), F.max_by(F.struct(*rest), pos).alias("_r")).select(*by, key, pos, "_r.*")
+    return newest(merged, by, [F.desc(pos), F.desc(key)], keep)
 
 
 def work_orders(rows: DataFrame, mapping: dict[str, str], required: Sequence[str]) -> DataFrame:
