@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from causeway.functions import scalars as S
 from causeway.operators.graph import clean_gates, closure, parents, reaches
@@ -22,6 +23,11 @@ Graph = tuple[DataFrame, DataFrame]
 PLAN_LIMIT = 12
 
 
+def _with_rows(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """rows and the new ones, null in what these lack."""
+    return rows.unionByName(new.select(*[c for c in rows.columns if c in new.columns]), allowMissingColumns=True)
+
+
 def delete_plain(graph: Graph, doomed: DataFrame) -> Graph:
     """Without the nodes `doomed` (tree_id, id) and the edges at them."""
     nodes, edges = graph
@@ -61,14 +67,14 @@ def add_edges(graph: Graph, new: DataFrame) -> Graph:
     """With the edges `new` (tree_id, source, target, pos) that are not there yet."""
     nodes, edges = graph
     fresh = new.filter("source <> target").dropDuplicates(["tree_id", "source", "target"]).join(edges, ["tree_id", "source", "target"], "left_anti")
-    return nodes, edges.unionByName(fresh.select(*edges.columns))
+    return nodes, _with_rows(edges, fresh)
 
 
 def move_subtrees(graph: Graph, moves: DataFrame) -> Graph:
     """Nodes of `moves` (tree_id, id, parent, pos) lose all parents but the new one."""
     nodes, edges = graph
     kept = edges.join(moves.select("tree_id", F.col("id").alias("source")), ["tree_id", "source"], "left_anti")
-    return nodes, kept.unionByName(moves.select("tree_id", F.col("id").alias("source"), F.col("parent").alias("target"), "pos").select(*kept.columns))
+    return nodes, _with_rows(kept, moves.select("tree_id", F.col("id").alias("source"), F.col("parent").alias("target"), "pos"))
 
 
 def add_nodes(graph: Graph, new: DataFrame) -> Graph:
@@ -77,7 +83,7 @@ def add_nodes(graph: Graph, new: DataFrame) -> Graph:
     hosts = new.select("tree_id", F.col("parent").alias("id"), F.lit(True).alias("host")).filter("id IS NOT NULL").distinct()
     nodes = nodes.join(hosts, ["tree_id", "id"], "left").withColumn("type", F.when(F.col("host") & (F.col("type") == "basic"), "intermediate").otherwise(F.col("type"))).drop("host").select(*nodes.columns)
     linked = new.filter("parent IS NOT NULL").select("tree_id", F.col("id").alias("source"), F.col("parent").alias("target"), "pos")
-    return nodes.unionByName(new.select(*nodes.columns)), edges.unionByName(linked.select(*edges.columns))
+    return _with_rows(nodes, new), _with_rows(edges, linked)
 
 
 def insert_gates(graph: Graph, wanted: DataFrame) -> Graph:
@@ -86,9 +92,9 @@ def insert_gates(graph: Graph, wanted: DataFrame) -> Graph:
     gates = wanted.select("tree_id", F.col("gate_id").alias("id"), "label", F.lit("gate").alias("type"), F.lit("").alias("gate"), "pos")
     kinds = nodes.select("tree_id", F.col("id").alias("source"), F.col("type").alias("kind"))
     under = edges.join(wanted.select("tree_id", F.col("parent").alias("target"), "gate_id"), ["tree_id", "target"], "left").join(kinds, ["tree_id", "source"], "left")
-    moved = under.select("tree_id", "source", F.when(F.col("gate_id").isNotNull() & (F.coalesce("kind", F.lit("")) != "gate"), F.col("gate_id")).otherwise(F.col("target")).alias("target"), "pos")
+    moved = under.select("tree_id", "source", F.when(F.col("gate_id").isNotNull() & (F.coalesce("kind", F.lit("")) != "gate"), F.col("gate_id")).otherwise(F.col("target")).alias("target"), *[c for c in edges.columns if c not in ("tree_id", "source", "target")])
     tops = wanted.select("tree_id", F.col("gate_id").alias("source"), F.col("parent").alias("target"), "pos")
-    return nodes.unionByName(gates.select(*nodes.columns)), moved.unionByName(tops)
+    return _with_rows(nodes, gates), _with_rows(moved, tops)
 
 
 def set_values(graph: Graph, values: DataFrame, column: str) -> Graph:
@@ -98,6 +104,38 @@ def set_values(graph: Graph, values: DataFrame, column: str) -> Graph:
     return out.withColumn(column, F.coalesce("value", column)).drop("value").select(*nodes.columns), edges
 
 
+#: Properties that tell nodes and edges apart, or that other operations set.
+NODE_KEYS = frozenset("tree_id pos id _id type rawtype event_type children source target".split())
+EDGE_KEYS = frozenset("tree_id pos id _id source target sourceid targetid from to".split())
+
+
+def _with_properties(rows: DataFrame, wanted: DataFrame, by: list[str], blocked: frozenset[str]) -> DataFrame:
+    """rows with the fields of `properties` (a struct of strings) of wanted (*by, properties) as columns, new ones where there are none."""
+    kind = wanted.schema["properties"].dataType
+    own = {c.lower(): c for c in rows.columns}
+    names = [n for n in kind.names if n.lower() not in blocked] if isinstance(kind, Ty.StructType) else []
+    out = rows.join(wanted.select(*by, F.col("properties").alias("_p"), F.lit(True).alias("_hit")), by, "left")
+    for n in names:
+        there = own.get(n.lower())
+        old = F.col("`" + there.replace("`", "``") + "`") if there else F.lit(None).cast("string")
+        new = F.col("_p").getField(n).cast(rows.schema[there].dataType if there else "string")
+        out = out.withColumn(there or n, F.when(F.col("_hit"), new).otherwise(old))
+    return out.drop("_p", "_hit")
+
+
+def set_node_properties(graph: Graph, wanted: DataFrame) -> Graph:
+    """Nodes of `wanted` (tree_id, id, properties) get the properties as columns."""
+    return _with_properties(graph[0], wanted, ["tree_id", "id"], NODE_KEYS), graph[1]
+
+
+def set_edge_properties(graph: Graph, wanted: DataFrame) -> Graph:
+    """The first edge of each of `wanted` (tree_id, source, target, properties) gets the properties as columns."""
+    nodes, edges = graph
+    keys = ["tree_id", "source", "target"]
+    first = edges.join(wanted, keys).groupBy(*keys).agg(F.min(edges["pos"]).alias("pos"))
+    return nodes, _with_properties(edges, wanted.select(*keys, "properties").join(first, keys), [*keys, "pos"], EDGE_KEYS)
+
+
 def directed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges that point from a more general to a more basic node, turned around."""
     kind = lambda end: nodes.select("tree_id", F.col("id").alias(end), F.col("type").alias(f"{end}_type"))
@@ -165,6 +203,10 @@ def _plain(kind: str) -> Operation:
             return add_nodes(graph, op.select("tree_id", F.col("source").alias("id"), F.col("value").alias("label"), F.coalesce("kind", F.lit("basic")).alias("type"), F.lit("").alias("gate"), "pos", F.col("target").alias("parent")))
         if kind == "insert_gate":
             return insert_gates(graph, op.select("tree_id", F.col("target").alias("parent"), F.col("source").alias("gate_id"), S.gate_type(F.col("value")).alias("label"), "pos"))
+        if kind == "set_node_properties":
+            return set_node_properties(graph, op.select("tree_id", F.col("target").alias("id"), "properties"))
+        if kind == "set_edge_properties":
+            return set_edge_properties(graph, op.select("tree_id", "source", "target", "properties"))
         column, value = {"rename_node": ("label", F.col("value")), "set_node_type": ("type", S.node_type(F.col("value"))), "set_gate_type": ("gate", S.gate_type(F.col("value")))}[kind]
         return set_values(graph, op.select("tree_id", F.col("target").alias("id"), value.alias("value")), column)
 
@@ -172,11 +214,13 @@ def _plain(kind: str) -> Operation:
 
 
 #: The vocabulary of plans.
-OPERATIONS: dict[str, Operation] = {k: _plain(k) for k in ("delete_node", "delete_edge", "add_edge", "move_subtree", "add_child_node", "insert_gate", "rename_node", "set_node_type", "set_gate_type")}
+OPERATIONS: dict[str, Operation] = {k: _plain(k) for k in ("delete_node", "delete_edge", "add_edge", "move_subtree", "add_child_node", "insert_gate", "rename_node", "set_node_type", "set_gate_type", "set_node_properties", "set_edge_properties")}
+
+_OPERATION = [Ty.StructField(c, Ty.LongType() if c == "pos" else Ty.StringType()) for c in ("tree_id", "source", "target", "value", "kind", "pos")]
 
 
 def apply_plan(spark: SparkSession, graph: Graph, plan: str, *, tree_id: str, limit: int = PLAN_LIMIT, store_every: int = 4) -> tuple[Graph, list[str]]:
-    """A plan (JSON {"operations": [{"op", "source", "target", "value", "kind"}]}) on one tree, and its errors.
+    """A plan (JSON {"operations": [{"op", "source", "target", "value", "kind", "properties"}]}) on one tree, and its errors.
 
     Names of operations are checked first; with any error nothing is applied. The fold builds one lazy plan and is
     written out every few operations, so that its lineage stays short.
@@ -186,8 +230,10 @@ def apply_plan(spark: SparkSession, graph: Graph, plan: str, *, tree_id: str, li
     if errors:
         return graph, errors
     for i, o in enumerate(operations, 1):
-        row = [(tree_id, o.get("source"), o.get("target"), o.get("value"), o.get("kind"), (1 << 41) + i)]
-        graph = OPERATIONS[o["op"]](graph, spark.createDataFrame(row, "tree_id string, source string, target string, value string, kind string, pos long"))
+        given = {str(k): v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in (o.get("properties") or {}).items()}
+        fields = Ty.StructType([Ty.StructField(k, Ty.StringType()) for k in given]) if given else Ty.StringType()
+        row = [(tree_id, o.get("source"), o.get("target"), o.get("value"), o.get("kind"), (1 << 41) + i, tuple(given.values()) or None)]
+        graph = OPERATIONS[o["op"]](graph, spark.createDataFrame(row, Ty.StructType([*_OPERATION, Ty.StructField("properties", fields)])))
         if i % store_every == 0:
             graph = stored(graph[0]), stored(graph[1])
     return graph, []

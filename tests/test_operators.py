@@ -141,3 +141,20 @@ def test_text_score(spark):
 
     row = spark.sql("SELECT 'pump seal/leak' AS needle, 'the seal of the pump' AS blob")
     assert row.select(retrieval.text_score(F.col("needle"), F.col("blob"))).first()[0] == 2
+
+
+def test_plan_properties(spark, diamond):
+    steps = [
+        {"op": "set_node_properties", "target": "b", "properties": {"probability": 0.5, "label": "B!", "id": "z"}}, {"op": "set_edge_properties", "source": "b", "target": "a", "properties": {"polarity": "neg", "source": "z"}},
+        {"op": "insert_gate", "source": "g", "target": "a", "value": "or"}, {"op": "add_child_node", "source": "e", "target": "d", "value": "E"}, {"op": "add_edge", "source": "e", "target": "c"}, {"op": "move_subtree", "source": "d", "target": "b"},
+    ]
+    (nodes, edges), errors = rewrite.apply_plan(spark, diamond, json.dumps({"operations": steps}), tree_id="t")
+    assert errors == [] and len(rewrite.OPERATIONS) == 11
+    assert {(r.id, r.label) for r in nodes.filter("probability = '0.5'").collect()} == {("b", "B!")} and nodes.count() == diamond[0].count() + 2
+    assert {(r.source, r.target) for r in edges.filter("polarity = 'neg'").collect()} == {("b", "g")}
+
+
+def test_upserted_by_session(spark):
+    rows = spark.createDataFrame([(f"s{s}", f"k{i % 5}", i, f"{s}-{i}") for s in range(3) for i in range(7)], "session_id string, task string, pos long, content string")
+    got = {(r.session_id, r.task, r.pos, r.content) for r in state.upserted(rows, "task", keep=4).collect()}
+    assert got == {(f"s{s}", f"k{k}", k, f"{s}-{k + 5 if k < 2 else k}") for s in range(3) for k in range(1, 5)}
