@@ -8,6 +8,7 @@ each level to the shared folder, so neither lineage nor a visited set on the dri
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -145,23 +146,31 @@ def subtree_widths(nodes: DataFrame, edges: DataFrame, leaf: int = LEAF_WIDTH) -
     return reduce(DataFrame.unionByName, levels).unionByName(waiting.select("tree_id", "id", F.lit(leaf).cast("bigint").alias("width")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(tree_id, id, component): the smallest id that each end of an edge is connected to.
+def linked(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, id, component): the smallest id that each end of edges (*keys, a, b) is connected to, within equal keys.
 
     Smallest label among neighbours, then the label of that label, until nothing changes: about log n rounds for chains.
+    A round only sends labels that the round before has changed. Joins are on unique keys at one side, so a hot
+    vertex can be split.
     """
-    both = stored(edges.select("tree_id", F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("tree_id", "target", "source")).distinct())
-    labels = stored(both.groupBy("tree_id", F.col("a").alias("id")).agg(F.min("b").alias("m")).select("tree_id", "id", F.least("id", "m").alias("component")))
+    keys = list(keys)
+    both = stored(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = moved = stored(both.groupBy(*keys, F.col("a").alias("id")).agg(F.min("b").alias("m")).select(*keys, "id", F.least("id", "m").alias("component")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), ["tree_id", "b"]).groupBy("tree_id", F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, ["tree_id", "id"]).select("tree_id", "id", F.col("component").alias("was"), F.least("component", "m").alias("c"))
-        jump = labels.select("tree_id", F.col("id").alias("c"), F.col("component").alias("j"))
-        new = stored(step.join(jump, ["tree_id", "c"], "left").select("tree_id", "id", "was", F.least("c", F.coalesce("j", "c")).alias("component")))
-        labels = new.drop("was")
-        if not new.filter("component <> was").limit(1).count():
+        near = both.join(moved.withColumnRenamed("id", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        step = labels.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("c"))
+        jump = labels.select(*keys, F.col("id").alias("c"), F.col("component").alias("j"))
+        new = stored(step.join(jump, [*keys, "c"], "left").select(*keys, "id", "was", F.least("c", F.coalesce("j", "c")).alias("component")))
+        labels, moved = new.drop("was"), new.filter("component <> was").drop("was")
+        if not moved.limit(1).count():
             return labels
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(tree_id, id, component): the smallest id that each end of an edge is connected to."""
+    return linked(edges.select("tree_id", F.col("source").alias("a"), F.col("target").alias("b")).filter("a <> b"), ["tree_id"])
+
+
 def clean_gates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Without gates that nothing feeds, again and again until all gates are fed."""
     nodes, edges = stored(nodes), stored(edges)

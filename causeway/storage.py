@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,5 +28,17 @@ def stored(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what `stored` has written in this application, and says how many tables that was. Results that still
+    read from them must have been used up, or written elsewhere, before."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
