@@ -5,17 +5,17 @@ partition of size s, documents are seen as windows of about s shingles that star
 that a short item inside a long document meets a window of its own size and the containment bound
 becomes a bound on Jaccard similarity (0.2 at worst, 0.3 and more for most sizes). An item and a
 window that agree in one of `FUNCTIONS` minima are a candidate; a candidate's containment is then
-counted on the item's full set and the document's whole text. At the threshold an item is missed
+counted on the item's full set and the document's whole text, by the words themselves. At the threshold an item is missed
 with probability below 1e-4 in the worst partition, a whole item with less than 1e-9.
 
-Items travel to the documents: as many at a time as `ITEM_BYTES` allows, measured first, in as many
-passes as that needs. Items of at most `FEW` shingles, too small to hash, are found by each shingle itself. Documents are not shuffled and their length doesn't matter for memory beyond
-the text itself.
+Items travel to the documents: as many at a time as `ITEM_BYTES` allows, measured first. Where that takes several passes, each
+is run and written before the driver reads the next one's items. Items of at most `FEW` shingles, too small to hash, are found
+by each shingle itself. Documents are not shuffled and their length doesn't matter for memory beyond the text itself.
 
 Defined cases: null or blank items and documents match nothing; an item of fewer than k words is one
 shingle of that many words, searched among the document's shingles of the same width; rows that repeat
 a document's or an item's id give rows of their own; an empty table on either side gives an empty
-result; extra columns are ignored by `contained` and kept by `clean`.
+result; extra columns are ignored by `contained` and kept by `clean`, which judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import text as T
+from causeway.storage import stored
 
 U64 = T.U64
 BLOCK, FUNCTIONS, FEW = 8, 48, 4
@@ -76,6 +77,7 @@ class Index:
         data, at = T.strings(pa.array(texts, pa.large_string()))
         w = T.words(data, at, lower=True)
         counts = np.diff(w.first)
+        self.words, self.width = [_listed(w, i) for i in range(len(texts))], np.minimum(counts, k)
         self.sets = [T.shingles(w.hash[w.of(i)], k) for i in range(len(texts))]
         members: dict[tuple[int, int], list[int]] = defaultdict(list)
         few: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -121,22 +123,34 @@ class Index:
                 item = self.sets[i]
                 shared = int(np.count_nonzero(np.isin(item, g[first[d] : first[d + 1]])))
                 if 100 * shared >= percent * len(item):
-                    yield d, i, shared
+                    wanted = set(_rows_of(self.words[i], width))
+                    shared = len({x for x in _rows_of(_listed(w, d), width) if x in wanted})
+                    if 100 * shared >= percent * len(wanted):
+                        yield d, i, shared
+
+    def size(self, i: int) -> int:
+        """Distinct shingles of an item."""
+        return len(set(_rows_of(self.words[i], int(self.width[i]))))
+
+
+def _listed(w: T.Words, i: int) -> list[bytes]:
+    own = w.of(i)
+    return w.data[w.start[own.start] : w.end[own.stop - 1]].tobytes().split() if own.stop > own.start else []
+
+
+def _rows_of(words: list[bytes], k: int) -> Iterator[tuple[bytes, ...]]:
+    return zip(*(words[i:] for i in range(k)), strict=False)
 
 
 def _found(items: list[tuple[int, str]], k: int, percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([t for _, t in items], k)
-        for batch in batches:
-            data, at = T.strings(batch.column(1))
-            ids, out = batch.column(0), []
-            for lo, hi in T.chunks(at):
-                w = T.words(data, at[lo : hi + 1], lower=True)
-                out += [(lo + d, i, shared) for d, i, shared in index.search(w, hi - lo, percent)]
+        for batch in T.slices(batches):
+            ids, out = batch.column(0), list(_hits(index, batch.column(1), percent))
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array([d for d, _, _ in out], pa.int64())), pa.array([items[i][0] for _, i, _ in out], pa.int64()),
-                    pa.array([s for _, _, s in out], pa.int64()), pa.array([len(index.sets[i]) for _, i, _ in out], pa.int64()),
+                    pa.array([s for _, _, s in out], pa.int64()), pa.array([index.size(i) for _, i, _ in out], pa.int64()),
                 ],
                 names=["doc_id", "item_id", "n_shared", "n_item"],
             )
@@ -144,24 +158,52 @@ def _found(items: list[tuple[int, str]], k: int, percent: int):
     return rows
 
 
-def contained(docs: DataFrame, items: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item, containment) where 100 * n_shared >= percent * n_item.
+def _without(items: list[tuple[int, str]], k: int, percent: int, at: int):
+    """The rows whose text, column `at`, contains none of the items."""
 
-    docs: (doc_id, text, ...); items: (item_id, text, ...); n_item counts the item's distinct k-word shingles.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index([t for _, t in items], k)
+        for batch in T.slices(batches):
+            keep = np.ones(len(batch), bool)
+            keep[[d for d, _, _ in _hits(index, batch.column(at), percent)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return rows
+
+
+def _hits(index: Index, texts: pa.Array, percent: int) -> Iterator[tuple[int, int, int]]:
+    data, at = T.strings(texts)
+    for lo, hi in T.chunks(at):
+        for d, i, shared in index.search(T.words(data, at[lo : hi + 1], lower=True), hi - lo, percent):
+            yield lo + d, i, shared
+
+
+def _passes(items: DataFrame) -> Iterator[tuple[int, list[tuple[int, str]]]]:
+    """(how many passes there are, the items of one); the next one's are read when they are asked for."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     passes = max(1, -(-size // ITEM_BYTES))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    found = []
     for i in range(passes):
-        own = [(r["item_id"], r["text"]) for r in items.filter(part == i).orderBy("item_id", "text").collect()]
-        found.append(docs.mapInArrow(_found(own, k, percent), "doc_id long, item_id long, n_shared long, n_item long"))
+        yield passes, [(r["item_id"], r["text"]) for r in items.filter(part == i).orderBy("item_id", "text").collect()]
+
+
+def contained(docs: DataFrame, items: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item, containment) where 100 * n_shared >= percent * n_item.
+
+    docs: (doc_id, text, ...); items: (item_id, text, ...); n_item counts the item's distinct k-word shingles.
+    """
+    docs, found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), []
+    for passes, own in _passes(items):
+        hits = docs.mapInArrow(_found(own, k, percent), "doc_id long, item_id long, n_shared long, n_item long")
+        found.append(hits if passes == 1 else stored(hits))
     return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs, all columns, that contain no item; rows without an id are kept."""
-    hit = contained(docs, items, k=k, percent=percent).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, that contain no item."""
+    schema, at = docs.schema, docs.columns.index("text")
+    for passes, own in _passes(items):
+        docs = docs.mapInArrow(_without(own, k, percent, at), schema)
+        docs = docs if passes == 1 else stored(docs)
+    return docs

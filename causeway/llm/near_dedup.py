@@ -7,24 +7,24 @@ coordinate is filled after at most 2t rounds, large sets need about one, and the
 coordinates of two sketches concentrates around their Jaccard similarity as with fully independent
 draws.
 
-Bands of a few coordinates bring candidates together. Documents with the same set are one class and
-only its smallest id goes on. The smallest id of a band bucket is its centre; a document is compared with
-at most two of its buckets' centres, the smallest and the most frequent. Where that leaves several
-components in a bucket, its members are compared across components, block by block, and only links leave the
-task, one for each two components that they join. So every pair of a bucket ends up either in one component
-or compared: no link is lost, and a bucket of n members gives at most n rows for each of its blocks. Pairs whose
-sketches differ too much are not looked at further (`SKETCH_FLOOR` lies eight standard deviations below the
-threshold); all others are confirmed on their full shingle sets. At the threshold itself a pair shares
-no band with probability 5e-5.
-
-Defined cases: null or blank texts have no shingles and are linked with nothing; a text of fewer
-than k words is one shingle; rows that repeat an id are kept, each with its component; a null id is
-never linked and keeps a null component; an empty table gives an empty result; extra columns are
-ignored.
+Documents with the same words in the same order are one class (by a 128-bit BLAKE2b digest of the words), and one row stands
+for it. Bands of a few coordinates bring classes together. The first class of a band bucket is its centre; a class is
+compared with at most two of its buckets' centres, the first and the most frequent. Where that leaves several components in a
+bucket, its members are compared across components, block by block, and only links leave the task, one for each two
+components that they join. So every pair of a bucket ends up either in one component or compared: no link is lost, and a
+bucket of n members gives at most n rows for each of its blocks. Pairs whose sketches differ too much are not looked at
+further (`SKETCH_FLOOR` lies eight standard deviations below the threshold). All links are confirmed on the words of both
+texts, whatever their hashes are. At the threshold itself a pair shares no band with probability 5e-5.
+
+Defined cases: null or blank texts have no shingles and are linked with nothing; a text of fewer than k words is one
+shingle; rows that repeat an id and text are kept, each with its component; rows that share an id but not their text are
+judged each by its text, and a component's id is the smallest of its rows' ids; a null id is never linked and keeps a null
+component; an empty table gives an empty result; extra columns are ignored by `near_duplicates` and kept by `distinct`.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import text as T
-from causeway.llm.tables import components, stored
+from causeway.llm.tables import components, free
+from causeway.storage import stored
 
 COORDINATES, ROWS_PER_BAND = 300, 6
 SKETCH_FLOOR = 0.55
@@ -73,38 +74,55 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-_SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+_SKETCHED = "doc_id long, text_sha256 string, wa long, wb long, n_shingles long, bands array<long>, sketch binary"
+
+
+def _words_keys(w: T.Words, lo: int, hi: int) -> np.ndarray:
+    """Digests of the words of texts lo to hi, as two numbers each."""
+    raw, begin = T.plain_bytes(w)
+    at = begin[w.first].tolist()
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]), "<i8").reshape(hi - lo, 2)
 
 
 def _sketch_rows(k: int, t: int, r: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             data, at = T.strings(batch.column(1))
             n = len(batch)
-            sizes, sums = np.zeros(n, np.int64), np.zeros((2, n), np.int64)
+            sizes, keys = np.zeros(n, np.int64), np.zeros((n, 2), np.int64)
             bands: list = [None] * n
             small: list = [None] * n
             for lo, hi in T.chunks(at):
                 w = T.words(data, at[lo : hi + 1], lower=True)
+                keys[lo:hi] = _words_keys(w, lo, hi)
                 for i in range(lo, hi):
                     items = T.shingles(w.hash[w.of(i - lo)], k)
                     if not len(items):
                         continue
                     sizes[i] = len(items)
-                    sums[0, i] = _signed(np.array([T.mix(items).sum()]))[0]
-                    sums[1, i] = _signed(np.array([T.mix(items ^ T.U64(0x5851F42D4C957F2D)).sum() + T.U64(len(items))]))[0]
                     s = sketch(items, t)
                     small[i] = (s >> T.U64(56)).astype(np.uint8).tobytes()
                     b = T.grams(s, r)[::r][: t // r]
                     bands[i] = _signed(T.mix(b + np.arange(len(b), dtype=T.U64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(sums[0]), pa.array(sums[1]), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())],
+                names=[c.split()[0] for c in _SKETCHED.split(", ")],
             )
 
     return rows
 
 
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(wa, wb, text) of (text)."""
+    for batch in T.slices(batches):
+        data, at = T.strings(batch.column(0))
+        keys = [np.zeros((0, 2), np.int64)]
+        for lo, hi in T.chunks(at):
+            keys.append(_words_keys(T.words(data, at[lo : hi + 1], lower=True), lo, hi))
+        a, b = np.concatenate(keys).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(0)], names=["wa", "wb", "text"])
+
+
 def _alike(least: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,21 +134,24 @@ def _alike(least: float):
 
 
 def _confirm(k: int, percent: int):
+    """Pairs (a, b) of (a, b, text_a, text_b) that are linked, by the words themselves."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            sides = [T.strings(batch.column(i)) for i in (2, 3)]
-            sets: list[dict[int, np.ndarray]] = [{}, {}]
-            for i in range(len(batch)):
-                both = []
-                for side, (data, at) in enumerate(sides):
-                    if i and np.array_equal(data[at[i] : at[i + 1]], data[at[i - 1] : at[i]]):
-                        sets[side] = {i: sets[side][i - 1]}
-                    else:
-                        sets[side] = {i: T.shingles(T.words(data, at[i : i + 2], lower=True).hash, k)}
-                    both.append(sets[side][i])
-                inter = len(np.intersect1d(*both, assume_unique=True))
-                keep[i] = 100 * inter >= percent * (len(both[0]) + len(both[1]) - inter)
+        for batch in T.slices(batches, 64):
+            n = len(batch)
+            data, at = T.strings(pa.concat_arrays([batch.column(i).cast(pa.large_string()) for i in (2, 3)]))
+            w = T.words(data, at, lower=True)
+            code = T.codes(w)
+            grams, size = T.exact_grams(code, k), np.diff(w.first)
+            keep = np.zeros(n, bool)
+            for i in range(n):
+                own, other = w.of(i), w.of(n + i)
+                if min(size[i], size[n + i]) < k:
+                    keep[i] = size[i] > 0 and np.array_equal(code[own], code[other])
+                else:
+                    x, y = (np.unique(grams[o.start : o.stop - k + 1]) for o in (own, other))
+                    inter = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[i] = 100 * inter >= percent * (len(x) + len(y) - inter)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return rows
@@ -138,7 +159,7 @@ def _confirm(k: int, percent: int):
 
 def _sets(k: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             data, at = T.strings(batch.column(1))
             sets = [T.shingles(T.words(data, at[i : i + 2], lower=True).hash, k).tobytes() for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "items"])
@@ -196,47 +217,57 @@ def _verified(near: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinates: int = COORDINATES, rows_per_band: int = ROWS_PER_BAND) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
+    """(doc_id, n_shingles, component_id, kept, text_sha256) for each row of docs (doc_id, text, ...).
 
     Documents are linked where 100 * |intersection| >= percent * |union| of their k-word shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_sketch_rows(k, coordinates, rows_per_band), _SKETCHED))
+    sketched = docs.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(_sketch_rows(k, coordinates, rows_per_band), _SKETCHED)
+    rows = stored(sketched.withColumn("r", F.monotonically_increasing_id()))
     live = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(live.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep")))
-    reps = live.select("doc_id", "n_shingles", "bands", "sketch").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    in_band = reps.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    buckets = in_band.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z")
+    # c, the number of one of its rows, names a class.
+    classes = stored(live.groupBy("wa", "wb").agg(F.min("doc_id").alias("least_id"), F.min("r").alias("c")))
+    reps = live.join(classes.select(F.col("c").alias("r")), "r", "left_semi").select(F.col("r").alias("c"), "n_shingles", "bands", "sketch")
+    in_band = reps.select("c", "n_shingles", F.explode("bands").alias("band"))
+    buckets = in_band.groupBy("band").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z")
     crowded = stored(in_band.join(buckets.select("band", "a"), "band"))
-    votes = crowded.filter("doc_id > a").groupBy("doc_id", "a").agg(F.count("*").alias("n"))
-    centres = votes.groupBy("doc_id").agg(F.min("a").alias("low"), F.max_by("a", F.struct("n", -F.col("a"))).alias("most"))
-    pairs = centres.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("doc_id").alias("b"))
-    near = stored(_near(pairs, _once(reps, "sketch")))
-    texts = stored(_once(docs.join(crowded.select("doc_id").distinct(), "doc_id", "left_semi"), "text"))
+    votes = crowded.filter("c > a").groupBy("c", "a").agg(F.count("*").alias("n"))
+    centres = votes.groupBy("c").agg(F.min("a").alias("low"), F.max_by("a", F.struct("n", -F.col("a"))).alias("most"))
+    pairs = centres.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("c").alias("b"))
+    sketches = reps.select(F.col("c").alias("id"), "sketch")
+    near = stored(_near(pairs, sketches))
+    needed = classes.join(crowded.select("c").distinct(), "c", "left_semi").select("wa", "wb", F.col("c").alias("id"))
+    worded = docs.select("text").mapInArrow(_worded, "wa long, wb long, text string")
+    texts = stored(worded.join(needed, ["wa", "wb"]).groupBy("wa", "wb").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"))
     links = stored(_verified(near, texts, k, percent))
     found = components(links)
     # Buckets whose members are in several components.
-    placed = stored(crowded.join(found, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("c")))
+    placed = stored(crowded.join(found, F.col("c") == F.col("id"), "left").select("band", F.col("c").alias("doc_id"), "n_shingles", F.coalesce("component_id", "c").alias("c")))
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.sum("n_shingles").alias("size")).filter("low < high")
     mixed = mixed.select("band", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
     open_ = stored(placed.join(mixed, "band").select("band", "doc_id", "c", "parts"))
     sets = texts.join(open_.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(k), "id long, items binary")
-    members = _once(reps, "sketch").join(sets, "id").toDF("doc_id", "sketch", "items")
+    members = sketches.join(sets, "id").toDF("doc_id", "sketch", "items")
     cells = (
         open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("band", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "doc_id", "c", "part")
         .join(members, "doc_id")
     )
-    more = stored(cells.groupBy("band", "i", "j").applyInArrow(_across(SKETCH_FLOOR, percent), "a long, b long").distinct())
+    more = stored(_verified(cells.groupBy("band", "i", "j").applyInArrow(_across(SKETCH_FLOOR, percent), "a long, b long").distinct(), texts, k, percent))
     if more.limit(1).count():
         found = components(links.unionByName(more))
-    of_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b", "n_shingles"], "left")
+    placed = classes.join(found, F.col("c") == F.col("id"), "left").select("wa", "wb", "least_id", F.coalesce("component_id", "c").alias("c"))
+    least = placed.groupBy("c").agg(F.min("least_id").alias("component_id"))
+    of_class = placed.join(least, "c").select("wa", "wb", "component_id")
+    out = rows.join(of_class, ["wa", "wb"], "left").select("doc_id", "n_shingles", "component_id", "text_sha256")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), "text_sha256")
 
 
-def _once(rows: DataFrame, column: str) -> DataFrame:
-    """(id, column) with one row for each id."""
-    return rows.select(F.col("doc_id").alias("id"), column).groupBy("id").agg(F.first(column).alias(column))
+def distinct(docs: DataFrame, *, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, that `near_duplicates` keeps: those of other texts go, even where a kept row has their id."""
+    key = free("text_sha256", docs.columns)
+    gone = near_duplicates(docs, k=k, percent=percent).filter("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    keyed = docs.withColumn(key, F.sha2(F.col("text").cast("string"), 256))
+    return keyed.join(gone, (keyed["doc_id"].cast("long") == gone["_id"]) & (keyed[key] == gone["_sha"]), "left_anti").select(*docs.columns)

@@ -1,64 +1,62 @@
-"""What the operators share on the Spark side: tables, samples of labels, components."""
+"""What the operators share on the Spark side: tables, free column names, samples of labels, components."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.storage import stored
+from causeway.operators.graph import linked
 
-
-#: Rows of texts that go to Python at a time, by number and bytes: what a worker holds follows them.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("268435456", str(8 << 20))}
+#: Bytes of sampled texts that come to the driver at most.
+SAMPLE_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; where the session has Spark's own Arrow batch sizes, it gets smaller ones."""
-    for key, (default, own) in BATCH.items():
-        if spark.conf.get(key, default) == default:
-            spark.conf.set(key, own)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, columns: list[str]) -> str:
+    """name, with underscores before it as long as a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component_id) of every end of `edges` (a, b): the smallest id reachable.
-
-    Each round takes the smallest label among neighbours, then the label of that label, so chains
-    of n links need about log n rounds; a label is always an id of the same component. Rounds end
-    when no label changes. Joins are on unique keys at one side, so a hot vertex can be split.
-    """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component_id")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component_id").alias("m"))
-        step = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("component_id").alias("was"), F.least("component_id", "m").alias("c"))
-        up = labels.select(F.col("id").alias("up"), F.col("component_id").alias("of_up"))
-        new = stored(step.join(up, F.col("c") == F.col("up"), "left").select("id", "was", F.least("c", F.coalesce("of_up", "c")).alias("component_id")))
-        moved = new.filter("component_id < was").limit(1).count()
-        labels = new.select("id", "component_id")
-        if not moved:
-            return labels
+    """(id, component_id) of every end of `edges` (a, b): the smallest id reachable."""
+    return linked(edges).withColumnRenamed("component", "component_id")
 
 
 def sampled_ids(labels: DataFrame, per_class: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
-    """At most per_class (doc_id, label) of each label 0 and 1, the first by a hash of their id, and how many labels there are of each."""
-    known = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "label").dropDuplicates(["doc_id"])
+    """At most per_class (doc_id, label) of each label 0 and 1, the first by a hash of their id, and how many labels there are of
+    each. Of several labels of one id the smallest counts."""
+    known = labels.filter("label IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("label").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     ordered = F.xxhash64("doc_id"), F.col("doc_id")
     return [(r["doc_id"], r["label"]) for y in (0, 1) for r in known.filter(F.col("label") == y).orderBy(*ordered).limit(per_class).collect()], counts
 
 
 def sampled_texts(docs: DataFrame, ids: list[int]) -> DataFrame:
-    """(doc_id, text), a row for each of the ids that docs has; ids are few (a bounded sample), so they are broadcast."""
+    """(doc_id, text), a row for each of the ids that docs has (of several texts the smallest); ids are few (a bounded sample), so they are broadcast."""
     few = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "doc_id")
     return texts.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
-    """sampled_ids with their texts, which come to the driver: at most 2 * per_class of them."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """sampled_ids with their whole texts, which come to the driver: at most 2 * per_class of them, and most_bytes in all,
+    half for each class (texts that would go beyond are left out)."""
     chosen, counts = sampled_ids(labels, per_class)
     if not chosen:
         return [], counts
-    texts = {r["doc_id"]: r["text"] for r in sampled_texts(docs, [i for i, _ in chosen]).collect()}
-    return [(i, texts[i], label) for i, label in chosen if i in texts], counts
+    texts = sampled_texts(docs, [i for i, _ in chosen])
+    sizes = {r["doc_id"]: r["size"] or 0 for r in texts.select("doc_id", F.octet_length("text").alias("size")).collect()}
+    left, taken = {0: most_bytes // 2, 1: most_bytes // 2}, []
+    for i, label in chosen:
+        if i in sizes and sizes[i] <= left[label]:
+            left[label] -= sizes[i]
+            taken.append((i, label))
+    few = docs.sparkSession.createDataFrame([(i,) for i, _ in taken], "doc_id long")
+    of = {r["doc_id"]: r["text"] for r in texts.join(F.broadcast(few), "doc_id", "left_semi").collect()}
+    return [(i, of[i], label) for i, label in taken], counts

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import text as T
-from causeway.llm.tables import sampled_ids, sampled_texts, stored
+from causeway.llm.tables import sampled_ids, sampled_texts
+from causeway.storage import stored
 
 U64 = T.U64
 PER_CLASS, FEATURES, LEAST_G, FOLDS = 3000, 4096, 20.0, 5
