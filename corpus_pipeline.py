@@ -2,7 +2,9 @@
 
 Toxic documents go; one document of each near-duplicate group stays (the smallest id); documents that
 contain a benchmark item go; personal data is replaced by its kind; the rest is cut into pieces.
-A stage sees all that its predecessor kept. Rows without an id or text pass the filters.
+A stage sees all that its predecessor kept, and judges rows by their own text: of rows that share an id, one can go and
+another stay; rows that repeat an id and its text stay or go together. Rows without an id or text pass the filters; extra
+columns of documents are kept by all stages but the last, whatever they are called; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from causeway.llm import decontaminate, near_dedup, pieces, pii
 from causeway.llm import toxicity as toxic
-from causeway.llm.tables import stored, table
+from causeway.llm.tables import table
+from causeway.storage import stored
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.distinct(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
