@@ -52,7 +52,8 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_repeats(table(spark, sf_dir, "documents"), both_ways=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    found = substring_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

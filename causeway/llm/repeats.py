@@ -1,282 +1,236 @@
-"""Repeated word windows across documents: two anchor methods over one exchange.
-
-A window is `width` consecutive words of one document. Each window has an anchor that depends on
-its own words only, and neighbouring windows mostly share theirs, so far fewer anchors than windows
-travel. Windows whose anchor no other document has can't repeat; the others are compared exactly.
-
-Documents are dealt into groups of bounded bytes by their id. Three rounds over the same dealt
-documents (one shuffle of the texts, reused): (1) each group sends every anchor once to the bucket of its
-hash, sorted; a bucket compares neighbours in sorted order and answers the groups that share an anchor;
-(2) groups send the windows under shared anchors, once each with the smallest id that holds them,
-and hear the smallest id of all; (3) groups mark what is repeated. A passage that a third of all
-documents hold reaches a bucket once for each group, however often a group has it.
-
-Anchors: `recompressed` names runs and pairs of tokens in rounds (a name is a hash of what it stands
-for, so it is the same everywhere), and takes the smallest hash of a few names in a row among those inside
-the window that no word outside it could change; `minimised` takes the smallest hashed k-word prefix among the
-suffixes that start in the window.
-
-Windows compare by 96 bits of two independent hashes. Defined cases: null and blank texts have no
-words; texts shorter than a window have none; rows that repeat an id are one document each way (a
-window of the same id is not "smaller"); a null id counts as larger than every id; extra columns
+"""Passages that stand in several documents: sparse suffix arrays, and recompression.
+
+Both work on documents dealt into groups of bounded bytes by their id, and on windows: `width` consecutive words of one document.
+
+`suffix_repeats` keeps a suffix of a document where its k-word prefix hashes smallest among those that some window holds, so every
+window holds a kept suffix that its own words pick. Kept suffixes are range-partitioned and sorted by content (their
+first k words), with the document's id behind it, so that equal ones can be split; neighbours are compared in order and over the bounds of the
+partitions. Suffixes that another document shares are then extended to the left and right: of each window around one,
+the digest of all its words is sent, and spans of windows that another document has are the result.
+
+`substring_repeats` recompresses documents: in each round runs of equal names and then pairs of names become names, by
+rules that look at the names only, so equal passages get equal names inside, wherever they stand. In Spark rounds (at the `ROUNDS` given)
+the names that stand for at least a window are compared over all documents, by the digest of their words; where a
+round finds a name nowhere else, no later round looks at what it is part of. A name that a document of a smaller id has settles every window in it.
+Windows that no such name settles are held against others by their inner names of the first rounds (three in a row, the
+smallest such), and those under a shared one by the digest of all their words.
+
+Digests are 128 bits of BLAKE2b over the words. All exchanges are plain rows, a name or digest once for each group that has it,
+so what a third of all documents share comes once for each group, and no task gets more for it.
+
+Defined cases: null and blank texts have no words; texts shorter than a window have none; rows that repeat an id are one
+document each way (a window of the same id is not "smaller"); a null id counts as larger than every id; extra columns
 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm import text as T
+from causeway.storage import stored
 
 U64 = T.U64
-#: Names in a row that make an anchor of a recompressed window.
-JOINED = 3
-GROUP_BYTES = (4 << 20, 64 << 20)
-LEAST_GROUPS, MANY_GROUPS = 64, 4096
+#: Names in a row that make an anchor of a window, and the rounds whose names these are.
+JOINED, INNER = 3, 2
+#: Rounds of recompression after which names are compared over all documents (a round leaves about three quarters of the names).
+ROUNDS = (10, 16)
+GROUP_BYTES, LEAST_GROUPS = 32 << 20, 64
 _LAST = np.iinfo(np.int64).max
 
-#: (word hashes, document of each word) -> anchor of the window at each word; windows that run over are not looked at.
-Anchor = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
 
-def minimised(width: int, k: int) -> Anchor:
-    """The smallest hash of the k-word prefixes of the suffixes that a window holds."""
-
-    def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        n = len(hashes)
-        least = T.grams(hashes, k)
-        span, done = width - k + 1, 1
-        while done < span:
-            step = min(done, span - done)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            done += step
-        out = np.zeros(n, U64)
-        out[: len(least)] = least
-        return out
-
-    return anchors
+def _least(x: np.ndarray, span: int, of=np.minimum) -> np.ndarray:
+    """The least of each `span` values in a row."""
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        x = of(x[: len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def kept_suffixes(hashes: np.ndarray, ok: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of kept suffixes, the kept prefix's hash of each window in `ok`)."""
+    if len(hashes) < width:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    grams = T.grams(hashes, k)
+    least = _least(grams, width - k + 1)
+    own = np.zeros(len(least), U64)
+    own[ok] = least[ok]
+    # A place is kept if one of the windows around it has its hash as the least.
+    span = width - k + 1
+    padded = np.concatenate([np.zeros(span - 1, U64), own, np.zeros(max(0, len(grams) - len(own)), U64)])
+    most = _least(padded, span, np.maximum)[: len(grams)]
+    return np.flatnonzero((most == grams) & (grams > 0)), least[ok]
+
+
+def levels(hashes: np.ndarray, doc: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, first word of each, for each name of the level before the one that covers it) after runs, and after each round of pairs."""
+    n = len(hashes)
+    cut = np.ones(n, bool)
+    cut[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+    start = np.flatnonzero(cut)
+    length = np.diff(np.append(start, n))
+    name = hashes[start]
+    runs = np.flatnonzero(length > 1)
+    name[runs] = T.mix(T.mix(name[runs] + U64(0xA24BAED4963EE407)) + length[runs].astype(U64))
+    yield name, start, np.cumsum(cut) - 1
+    for level in range(rounds):
+        # Pairs of a name of class 0 with one of class 1 to its right.
+        kind = (name >> U64(20 + level)) & U64(1) == 1
+        owner = doc[start]
+        join = np.zeros(len(name), bool)
+        np.logical_and(kind[1:] & ~kind[:-1], owner[1:] == owner[:-1], out=join[:-1])
+        keep = np.ones(len(name), bool)
+        keep[1:] = ~join[:-1]
+        two = np.flatnonzero(join)
+        name = name.copy()
+        name[two] = T.mix(T.mix(name[two] + U64(0x9FB21C651E98DF25)) + name[two + 1])
+        name, start = name[keep], start[keep]
+        yield name, start, np.cumsum(keep) - 1
 
 
-def recompressed(width: int, rounds: int) -> Anchor:
-    """The smallest hash of JOINED names in a row inside a window, after the last round that leaves it so many.
+def inner_names(hashes: np.ndarray, doc: np.ndarray, width: int, rounds: int = INNER) -> np.ndarray:
+    """For the window at each word, the smallest hash of JOINED names in a row inside it, after the last round that leaves it so many.
 
     A run at an end of the window may go on outside, the first name may be the right half of a pair
     and the last the left half; what such ends touch doesn't count as inside. A window that is left
-    fewer names, as in one long run, is its own anchor.
+    fewer names, as in one long run, is its own anchor. Windows that run over into another document are not to be looked at.
     """
-
-    def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        n = len(hashes)
-        m = n - width + 1
-        out = np.zeros(n, U64)
-        if m <= 0:
-            return out
-        # Runs.
-        cut = np.ones(n + 1, bool)
-        cut[1:n] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-        start = np.flatnonzero(cut[:n])
-        at = np.cumsum(cut) - 1  # the name that covers a word
-        stop = np.append(start[1:], n)
-        length = stop - start
-        name = hashes[start]
-        runs = np.flatnonzero(length > 1)
-        name[runs] = T.mix(name[runs] * U64(0xA24BAED4963EE407) + length[runs].astype(U64))
-        owner = doc[start]
-        # For a window from word p to before word q: its names at this level are those from left[p] to before right[q].
-        left, right = at[:n] + 1, np.append(0, at[:n])
-        levels = [(left, right, name)]
-        for level in range(rounds):
-            # Pairs of a name of class 0 with one of class 1 to its right.
-            kind = (name >> U64(20 + level)) & U64(1) == 1
-            join = np.zeros(len(name), bool)
-            np.logical_and(kind[1:] & ~kind[:-1], owner[1:] == owner[:-1], out=join[:-1])
-            keep = np.ones(len(name), bool)
-            keep[1:] = ~join[:-1]
-            of = np.append(np.cumsum(keep) - 1, np.count_nonzero(keep))  # old name -> the new one that covers it
+    n = len(hashes)
+    m = n - width + 1
+    out = np.zeros(n, U64)
+    if m <= 0:
+        return out
+    made, before = [], None
+    for name, start, of in levels(hashes, doc, rounds):
+        if before is None:
+            # For a window from word p to before word q: its names are those from left[p] to before right[q].
+            left, right = of + 1, np.append(0, of)
+        else:
+            kind = (before >> U64(20 + len(made) - 1)) & U64(1) == 1
+            of = np.append(of, len(name))
             # A first name of class 1 and a last one of class 0 may be half of a pair that reaches outside.
             first, last = of + np.append(kind, False), of.copy()
             last[1:] = np.where(kind, of[:-1] + 1, of[:-1])
             left, right = first[left], last[right]
-            two = np.flatnonzero(join)
-            name = name.copy()
-            name[two] = T.mix(name[two] * U64(0x9FB21C651E98DF25) + name[two + 1] * U64(0xC2B2AE3D27D4EB4F))
-            name, owner = name[keep], owner[keep]
-            levels.append((left, right, name))
-        todo = np.arange(m)
-        for left, right, name in reversed(levels):
-            a, b = left[todo], right[todo + width] - (JOINED - 1)
-            live = a < b
-            a, b, own = a[live], b[live], todo[live]
-            row = name
-            for k in range(1, JOINED):  # of names in a row, as short names alone are common
-                row = T.mix(row * U64(0x9FB21C651E98DF25) + np.append(name[k:], np.zeros(min(k, len(name)), U64)))
-            least, power = [row], np.frexp((b - a).astype(np.float32))[1] - 1
-            while 2 ** len(least) <= width:
-                half, last = 2 ** (len(least) - 1), least[-1]
-                least.append(np.append(np.minimum(last[:-half], last[half:]), last[-half:]) if len(last) > half else last)
-            flat, base = np.concatenate(least), power.astype(np.int64) * len(name)
-            out[own] = np.minimum(flat[base + a], flat[base + b - (1 << power)])
-            todo = todo[~live]
-            if not len(todo):
-                break
-        if len(todo):
-            out[todo] = T.grams(hashes, width)[todo]
-        return out
-
-    return anchors
-
-
-def _groups(docs: DataFrame) -> tuple[DataFrame, int]:
+        made.append((left, right, name))
+        before = name
+    todo = np.arange(m)
+    for left, right, name in reversed(made):
+        a, b = left[todo], right[todo + width] - (JOINED - 1)
+        live = a < b
+        a, b, own = a[live], b[live], todo[live]
+        row = name
+        for k in range(1, JOINED):  # of names in a row, as short names alone are common
+            row = T.mix(T.mix(row + U64(0x9FB21C651E98DF25)) + np.append(name[k:], np.zeros(min(k, len(name)), U64)))
+        least, power = [row], np.frexp((b - a).astype(np.float32))[1] - 1
+        while 2 ** len(least) <= width:
+            half, last = 2 ** (len(least) - 1), least[-1]
+            least.append(np.append(np.minimum(last[:-half], last[half:]), last[-half:]) if len(last) > half else last)
+        flat, base = np.concatenate(least), power.astype(np.int64) * len(name)
+        out[own] = np.minimum(flat[base + a], flat[base + b - (1 << power)])
+        todo = todo[~live]
+        if not len(todo):
+            break
+    if len(todo):
+        out[todo] = T.grams(hashes, width)[todo]
+    return out
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     """(doc_id, text, g) with documents dealt by id into groups; their number follows the bytes."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    each = min(max(GROUP_BYTES[0], size // MANY_GROUPS), GROUP_BYTES[1])
-    n = max(LEAST_GROUPS, -(-size // each))
-    return docs.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n)).cast("int")), n
-
-
-class _Group:
-    """Words, windows and anchors of one group, chunk by chunk."""
-
-    def __init__(self, table: pa.Table, width: int) -> None:
-        self.ids = T.ids(table.column("doc_id"))
-        self.data, self.at = T.strings(table.column("text"))
-        self.width = width
-
-    def chunks(self):
-        """(first row, words, row of each word, starts of windows)."""
-        for lo, hi in T.chunks(self.at):
-            w = T.words(self.data, self.at[lo : hi + 1])
-            row = np.repeat(np.arange(lo, hi), np.diff(w.first))
-            n = len(row) - self.width + 1
-            ok = np.flatnonzero(row[:n] == row[self.width - 1 :]) if n > 0 else np.zeros(0, np.int64)
-            yield lo, hi, w, row, ok
-
-    def windows(self, hashes: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        """Window names, ordered and comparable: 64 bits, then 32 of another hash."""
-        out = np.empty(len(ok), _NAME)
-        if len(ok):
-            out["h"] = T.grams(hashes, self.width)[ok]
-            out["x"] = (T.grams(hashes, self.width, 1)[ok] >> U64(32)).astype(np.uint32)
-        return out
+    n = max(LEAST_GROUPS, -(-size // GROUP_BYTES))
+    return docs.withColumn("g", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(n)).cast("int"))
 
-    def anchors(self, anchor: Anchor, w: T.Words, row: np.ndarray, ok: np.ndarray) -> np.ndarray:
-        return anchor(w.hash, row)[ok] if len(ok) else np.zeros(0, U64)
 
+class _Chunk:
+    """Words of some rows, the row of each word, and where windows start."""
 
-_NAME = np.dtype([("h", "<u8"), ("x", "<u4")])
+    def __init__(self, data: np.ndarray, at: np.ndarray, lo: int, hi: int, ids: np.ndarray, width: int) -> None:
+        self.lo, self.hi, self.ids, self.width = lo, hi, ids, width
+        self.w = T.words(data, at[lo : hi + 1])
+        self.row = np.repeat(np.arange(lo, hi), np.diff(self.w.first))
+        n = len(self.row) - width + 1
+        self.ok = np.flatnonzero(self.row[:n] == self.row[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
+    def docs(self, starts: np.ndarray) -> np.ndarray:
+        return self.ids[self.row[starts]]
 
-def _firsts(*sorted_: np.ndarray) -> np.ndarray:
-    new = np.ones(len(sorted_[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_])
-    return new
 
+def _chunks(ids: pa.Array, texts: pa.Array, width: int) -> Iterator[_Chunk]:
+    ids, (data, at) = T.ids(ids), T.strings(texts)
+    for lo, hi in T.chunks(at):
+        yield _Chunk(data, at, lo, hi, ids, width)
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = _firsts(a, b)
-    return a[first], b[first]
 
+_NAME = np.dtype([("a", "<u8"), ("b", "<u8")])
 
-def _send(names: tuple[str, str], to: np.ndarray, own: int, parts: list[np.ndarray]) -> pa.Table:
-    """A row for each value of `to` (sorted): it, `own`, and the bytes of each part's slice."""
-    at = np.flatnonzero(_firsts(to)) if len(to) else np.zeros(0, np.int64)
-    end = np.append(at[1:], len(to))[: len(at)]
-    cols = [pa.array(to[at].astype(np.int32)), pa.array(np.full(len(at), own, np.int32))]
-    cols += [pa.array([p[a:b].tobytes() for a, b in zip(at, end, strict=True)], pa.binary()) for p in parts]
-    return pa.Table.from_arrays(cols, names=[*names, *"abc"[: len(parts)]])
 
+def _named(digests: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(digests).view(_NAME).reshape(-1)
 
-def _received(table: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
+def _bounds(names: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names, and the smallest and largest document of each."""
+    name, doc = np.concatenate([np.zeros(0, _NAME), *names]), np.concatenate([np.zeros(0, np.int64), *docs])
+    order = np.lexsort((doc, name["b"], name["a"]))
+    name, doc = name[order], doc[order]
+    first = np.ones(len(name), bool)
+    first[1:] = name[1:] != name[:-1]
+    at = np.flatnonzero(first)
+    return name[at], doc[at], doc[np.append(at[1:], len(name)) - 1] if len(at) else doc
 
-def _senders(table: pa.Table, names: str, column: str, size: int) -> np.ndarray:
-    return np.repeat(table.column(names).to_numpy(), [len(x) // size for x in table.column(column).to_pylist()])
 
+_ASKED = "a long, b long, g int, low long, high long"
 
-def _shared_anchors(docs: DataFrame, n: int, anchor: Anchor, width: int) -> DataFrame:
-    """(g, own, a): for each group, bytes of the anchors that another group has too."""
 
-    def ask(key, table):
-        group, found = _Group(table, width), []
-        for _, _, w, row, ok in group.chunks():
-            a = group.anchors(anchor, w, row, ok)
-            found.append(np.unique(a[_firsts(a)]))
-        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, U64)
-        to = (keys % U64(n)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        return _send(("bucket", "g"), to[order], key[0].as_py(), [keys[order]])
+def _asked(g: int, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+    columns = [name["a"].copy().view(np.int64), name["b"].copy().view(np.int64), np.full(len(name), g, np.int32), low, high]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["a", "b", "g", "low", "high"])
 
-    def answer(key, table):
-        keys, g = _received(table, "a", "<u8"), _senders(table, "g", "a", 8)
-        order = np.argsort(keys, kind="stable")
-        keys, g = keys[order], g[order]
-        new = _firsts(keys)
-        alone = new & np.append(new[1:], True)
-        keys, g = keys[~alone], g[~alone]
-        order = np.argsort(g, kind="stable")
-        return _send(("g", "bucket"), g[order], key[0].as_py(), [keys[order]])
 
-    asked = docs.groupBy("g").applyInArrow(ask, "bucket int, g int, a binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "g int, bucket int, a binary")
+def _shared(asked: DataFrame, kind: int) -> DataFrame:
+    """(g, kind, a, b, low): names (a, b) of several documents, for each group that asked; low is the smallest of all."""
+    same = Window.partitionBy("a", "b")
+    known = asked.select("g", "a", "b", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"))
+    return known.filter("low < high").select("g", F.lit(kind).alias("kind"), "a", "b", "low")
 
 
-def _least_ids(docs: DataFrame, shared: DataFrame, n: int, anchor: Anchor, width: int, all_: bool) -> DataFrame:
-    """(g, own, a, b, c): for each group, windows that another group has too (with a smaller id, unless all_), and the smallest id of all."""
+def _told(heard: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(names in order, smallest document of each) of one kind."""
+    own = np.flatnonzero(heard.column("kind").to_numpy() == kind)
+    name = np.empty(len(own), _NAME)
+    for c in ("a", "b"):
+        name[c] = heard.column(c).to_numpy()[own].view(U64)
+    order = np.lexsort((name["b"], name["a"]))
+    return name[order], heard.column("low").to_numpy()[own][order]
 
-    def ask(key, table, heard):
-        group, own, keys, rows, ok_, hashes = _Group(table, width), [], [], [], [], []
-        for _, _, w, row, ok in group.chunks():
-            a = group.anchors(anchor, w, row, ok)
-            keys.append(a)
-            rows.append(row[ok])
-            first = _firsts(a, row[ok])
-            own.append(_pairs(a[first], group.ids[row[ok[first]]])[0])
-            hashes.append(w.hash)
-            ok_.append(ok)
-        # Anchors of two documents of this group, and those heard of.
-        both = np.sort(np.concatenate(own)) if own else np.zeros(0, U64)
-        known = np.unique(np.concatenate([both[1:][both[1:] == both[:-1]], _received(heard, "a", "<u8")]))
-        names, docs_ = [np.zeros(0, _NAME)], [np.zeros(0, np.int64)]
-        for a, row, ok, h in zip(keys, rows, ok_, hashes, strict=True):
-            keep = np.flatnonzero(_within(a, known))
-            names.append(group.windows(h, ok[keep]))
-            docs_.append(group.ids[row[keep]])
-        names_, docs__ = np.concatenate(names), np.concatenate(docs_)
-        order = np.lexsort((docs__, names_["x"], names_["h"]))
-        names_, docs__ = names_[order], docs__[order]
-        first = _firsts(names_["h"], names_["x"])
-        names_, docs__ = names_[first], docs__[first]
-        to = (names_["h"] % U64(n)).astype(np.int64)
-        order = np.lexsort((docs__, to))  # ids in order compress well
-        return _send(("bucket", "g"), to[order], key[0].as_py(), [names_["h"][order], names_["x"][order], docs__[order]])
-
-    def answer(key, table):
-        h, x, d, g = _received(table, "a", "<u8"), _received(table, "b", "<u4"), _received(table, "c", "<i8"), _senders(table, "g", "a", 8)
-        order = np.lexsort((d, x, h))
-        h, x, d, g = h[order], x[order], d[order], g[order]
-        new = _firsts(h, x)
-        least = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else d
-        told = ~(new & np.append(new[1:], True)) if len(d) else new
-        if not all_:
-            told &= least < d
-        h, x, least, g = h[told], x[told], least[told], g[told]
-        order = np.lexsort((least, g))
-        return _send(("g", "bucket"), g[order], key[0].as_py(), [h[order], x[order], least[order]])
-
-    asked = docs.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(ask, "bucket int, g int, a binary, b binary, c binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "g int, bucket int, a binary, b binary, c binary")
+
+def _found(names: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of names that are known, their places there)."""
+    maybe = np.flatnonzero(_within(names["a"], known["a"]))
+    at = np.searchsorted(known["a"], names["a"][maybe])
+    hit = np.zeros(len(maybe), bool)
+    for _ in range(int(np.unique(known["a"], return_counts=True)[1].max()) if len(known) else 0):
+        left = ~hit & (at < len(known))
+        hit[left] = known[at[left]] == names[maybe[left]]
+        at = np.where(hit, at, at + 1)
+    return maybe[hit], at[hit]
+
+
+def _with(dealt: DataFrame, heard: list[DataFrame], ask: Callable, schema: str) -> DataFrame:
+    told = reduce(DataFrame.unionByName, heard)
+    return dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(ask, schema)
 
 
 def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -322,103 +276,281 @@ def _kept_bytes(w: T.Words, row: np.ndarray, keep: np.ndarray, lo: int, hi: int)
     return [joined[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
 
 
-RESULT = "doc_id long, n_words long, n_repeated long, n_removed long, kept_sha256 string, starts array<int>, ends array<int>, first_ids array<long>"
+def _spans(mask: np.ndarray, chunk: _Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of the runs of a mask, words after their last, and the bounds of each row's among them."""
+    new, last = mask.copy(), mask.copy()
+    new[1:] &= ~mask[:-1] | (chunk.row[1:] != chunk.row[:-1])
+    last[:-1] &= ~mask[1:] | (chunk.row[1:] != chunk.row[:-1])
+    start = np.flatnonzero(new)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(start, chunk.w.first)
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray, base: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.array([(values[a:b] - o).tolist() for a, b, o in zip(bounds[:-1], bounds[1:], base, strict=True)], pa.list_(kind))
+
+
+def _counts(mask: np.ndarray, chunk: _Chunk) -> pa.Array:
+    return pa.array(np.bincount(chunk.row[mask] - chunk.lo, minlength=chunk.hi - chunk.lo))
+
+
+def _result(table: pa.Table, chunk: _Chunk, columns: dict[str, pa.Array]) -> pa.Table:
+    own = table.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo).combine_chunks()
+    return pa.table({"doc_id": own, "n_words": pa.array(np.diff(chunk.w.first)), **columns})
+
+
+# Suffixes.
+
+
+def _suffixes(width: int, k: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(prefix, h, doc, g) of the kept suffixes of (doc_id, text, g), once for each document and prefix."""
+        for batch in T.slices(batches):
+            g = batch.column(2).to_numpy()
+            for c in _chunks(batch.column(0), batch.column(1), width):
+                at, _ = kept_suffixes(c.w.hash, c.ok, width, k)
+                h, row = T.grams(c.w.hash, k)[at], c.row[at]
+                order = np.lexsort((h, row))
+                first = np.ones(len(at), bool)
+                first[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
+                at, h, row = at[order][first], h[order][first], row[order][first]
+                raw, begin = T.plain_bytes(c.w)
+                prefix = pa.array([raw[a:b] for a, b in zip(begin[at].tolist(), begin[at + k].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([prefix, pa.array(h.view(np.int64)), pa.array(c.ids[row]), pa.array(g[row])], names=["prefix", "h", "doc", "g"])
+
+    return rows
+
+
+_COMPARED = "prefix binary, h long, g int, low long, high long, part int"
+
+
+class _Run:
+    """Rows of one prefix: the groups that have it, and its smallest and largest document."""
+
+    def __init__(self, prefix: bytes, h: int) -> None:
+        self.prefix, self.h, self.low, self.high, self.groups = prefix, h, _LAST, ~_LAST, np.zeros(0, np.int32)
+
+    def add(self, g: np.ndarray, doc: np.ndarray) -> None:
+        self.low, self.high = min(self.low, int(doc[0])), max(self.high, int(doc[-1]))
+        self.groups = np.unique(np.append(self.groups, g))
+
+    def rows(self, part: int | None) -> pa.RecordBatch:
+        n = len(self.groups) if part is not None or self.low < self.high else 0
+        columns = [[None if part is None else self.prefix] * n, [self.h] * n, self.groups[:n], [self.low] * n, [self.high] * n, [part] * n]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COMPARED_SCHEMA, strict=True)], schema=_COMPARED_SCHEMA)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows (prefix, h, doc, g, part): (h, g) of prefixes that neighbours of several documents share (part null), and the
+    first and last prefix of the partition (part given) with its smallest and largest document, for the neighbours over the bounds."""
+    open_, told = None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        prefix, part = batch.column(0), batch.column(4)[0].as_py()
+        h, doc, g = (batch.column(i).to_numpy() for i in (1, 2, 3))
+        new = np.ones(len(batch), bool)
+        if len(batch) > 1:
+            new[1:] = pc.not_equal(prefix.slice(1), prefix.slice(0, len(prefix) - 1)).to_numpy(zero_copy_only=False)
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(batch))
+        # The first run of a batch may go on from the one before, its last into the next; the others are whole.
+        for i in dict.fromkeys((0, len(start) - 1)):
+            s, e = start[i], end[i]
+            if open_ is None or open_.prefix != prefix[s].as_py():
+                if open_ is not None:
+                    yield open_.rows(None if told else part)
+                    told += 1
+                open_ = _Run(prefix[s].as_py(), int(h[s]))
+            open_.add(g[s:e], doc[s:e])
+        low, high = doc[start], doc[end - 1]
+        own = low < high
+        own[[0, -1]] = False
+        at = np.flatnonzero(np.repeat(own, end - start))
+        run = np.repeat(np.arange(len(start)), end - start)[at]
+        order = np.lexsort((g[at], run))
+        at, run = at[order], run[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (run[1:] != run[:-1]) | (g[at][1:] != g[at][:-1])
+        at, run = at[first], run[first]
+        columns = [pa.nulls(len(at), pa.binary()), pa.array(h[at]), pa.array(g[at]), pa.array(low[run]), pa.array(high[run]), pa.nulls(len(at), pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, schema=_COMPARED_SCHEMA)
+    if open_ is not None:
+        yield open_.rows(part)
+
+
+_COMPARED_SCHEMA = pa.schema([("prefix", pa.binary()), ("h", pa.int64()), ("g", pa.int32()), ("low", pa.int64()), ("high", pa.int64()), ("part", pa.int32())])
+
+
+def _shared_suffixes(dealt: DataFrame, width: int, k: int) -> DataFrame:
+    """(g, kind 0, a, b, low): the hash a of each kept prefix that several documents have, for each group that has it."""
+    made = dealt.mapInArrow(_suffixes(width, k), "prefix binary, h long, doc long, g int")
+    parts = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ordered = made.repartitionByRange(parts, "prefix", "doc").sortWithinPartitions("prefix", "doc").select("prefix", "h", "doc", "g", F.spark_partition_id().alias("part"))
+    seen = stored(ordered.mapInArrow(_neighbours, _COMPARED))
+    # What meets at the bounds of partitions: two prefixes of each.
+    edges = seen.filter("part IS NOT NULL")
+    over = edges.groupBy("prefix").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least < most").select("prefix")
+    at_bounds = edges.join(over, "prefix", "left_semi")
+    found = seen.filter("part IS NULL").select("g", "h").unionByName(at_bounds.select("g", "h")).distinct()
+    return stored(found.select("g", F.lit(0).alias("kind"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("low")))
+
+
+SUFFIX_RESULT = "doc_id long, n_words long, n_repeated long, starts array<int>, ends array<int>, first_ids array<long>"
+
+
+def suffix_repeats(docs: DataFrame, *, min_words: int = 50, k: int = 12) -> DataFrame:
+    """See SUFFIX_RESULT: for each row of docs (doc_id, text, ...), how many of its words lie in passages of at least min_words words
+    that another document has too, and these as maximal spans (start to end, the end exclusive), each with the smallest id among the
+    documents that have one of its windows."""
+    width, dealt = min_words, _groups(docs)
+    suffixes = _shared_suffixes(dealt, width, k)
+
+    def windows(table: pa.Table, heard: pa.Table) -> Iterator[tuple[_Chunk, np.ndarray, np.ndarray]]:
+        """(chunk, starts of the windows around shared suffixes, their digests)."""
+        known = _told(heard, 0)[0]["a"]
+        for c in _chunks(table.column("doc_id"), table.column("text"), width):
+            _, least = kept_suffixes(c.w.hash, c.ok, width, k)
+            at = c.ok[_within(least, known)]
+            yield c, at, _named(T.digests(c.w, at, width))
 
-
-def repeated(docs: DataFrame, width: int, anchor: Anchor, *, both_ways: bool = True) -> DataFrame:
-    """For each row of docs (doc_id, text, ...), see RESULT: words in all, in windows that another
-    document has (n_repeated; maximal spans start to end, the end exclusive, each with the smallest id
-    among the documents that have one of its windows), in windows that a document of a smaller id has
-    (n_removed), and the hash of the words that are left without those. Without both_ways, n_repeated and the
-    spans need not cover what only documents of larger ids have."""
-    dealt, n = _groups(docs)
-    shared = _shared_anchors(dealt, n, anchor, width)
-    least = _least_ids(dealt, shared, n, anchor, width, both_ways)
+    def ask(key, table, heard):
+        found = [(name, c.docs(at)) for c, at, name in windows(table, heard)]
+        return _asked(key[0].as_py(), *_bounds([n for n, _ in found], [d for _, d in found]))
 
     def mark(key, table, heard):
-        group = _Group(table, width)
-        parts = [(lo, hi, w, row, ok, group.windows(w.hash, ok)) for lo, hi, w, row, ok in group.chunks()]
-        names = np.concatenate([p[5] for p in parts]) if parts else np.zeros(0, _NAME)
-        docs_ = np.concatenate([group.ids[p[3][p[4]]] for p in parts]) if parts else np.zeros(0, np.int64)
-        least_id, many = docs_.copy(), np.zeros(len(docs_), bool)
-        # Windows of several documents of this group.
-        order = np.argsort(names["h"])
-        new = _firsts(names["h"][order])
-        some = order[~(new & np.append(new[1:], True))] if len(order) else order
-        some = some[np.lexsort((docs_[some], names["x"][some], names["h"][some]))]
-        new = _firsts(names["h"][some], names["x"][some])
-        if len(some):
-            run, low = np.cumsum(new) - 1, np.flatnonzero(new)
-            top = np.append(low[1:], len(some)) - 1
-            least_id[some] = docs_[some][low][run]
-            many[some] = (docs_[some][low] != docs_[some][top])[run]
-        # Windows of other groups.
-        h, x, d = _received(heard, "a", "<u8"), _received(heard, "b", "<u4"), _received(heard, "c", "<i8")
-        order = np.lexsort((x, h))
-        h, x, d = h[order], x[order], d[order]
-        at = np.flatnonzero(_within(names["h"], h))
-        if len(at):
-            # Equal 64 bits with other 32 are next to each other; the pairs are found in the joint order.
-            joint = np.searchsorted(_joined(h, x), _joined(names["h"][at], names["x"][at]))
-            joint = np.minimum(joint, len(h) - 1)
-            same = (h[joint] == names["h"][at]) & (x[joint] == names["x"][at])
-            at, joint = at[same], joint[same]
-            least_id[at] = np.minimum(least_id[at], d[joint])
-            many[at] = True
-        out, done = [], 0
-        for lo, hi, w, row, ok, own in parts:
-            here = slice(done, done + len(own))
-            done += len(own)
-            smaller = ok[least_id[here] < docs_[here]]
-            removed = _covered(len(row), smaller, width)
-            again = _covered(len(row), ok[many[here]], width)
-            count = lambda mask: np.bincount(row[mask] - lo, minlength=hi - lo)  # noqa: E731, B023
-            kept = _kept_bytes(w, row, ~removed, lo, hi)
-            first = np.full(len(row) + 1, _LAST)
-            first[ok[many[here]]] = least_id[here][many[here]]
-            new = again.copy()
-            new[1:] &= ~again[:-1] | (row[1:] != row[:-1])
-            start = np.flatnonzero(new)
-            last = again.copy()
-            last[:-1] &= ~again[1:] | (row[1:] != row[:-1])
-            end = np.flatnonzero(last) + 1
-            source = np.minimum.reduceat(first, start) if len(start) else start
-            bounds = np.searchsorted(start, w.first)
-            base = w.first[:-1]
-            lists = [[(a[s:e] - o).tolist() for s, e, o in zip(bounds[:-1], bounds[1:], base, strict=True)] for a in (start, end)]
-            out.append(
-                pa.Table.from_arrays(
-                    [
-                        table.column("doc_id").slice(lo, hi - lo).combine_chunks(), pa.array(np.diff(w.first)), pa.array(count(again)), pa.array(count(removed)),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int32())),
-                        pa.array([source[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.list_(pa.int64())),
-                    ],
-                    schema=_SCHEMA,
-                )
-            )
-        return pa.concat_tables(out) if out else _SCHEMA.empty_table()
-
-    return dealt.groupBy("g").cogroup(least.groupBy("g")).applyInArrow(mark, RESULT)
-
-
-def _joined(h: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The two parts of a name as fixed-width byte strings that sort as the pairs do."""
-    out = np.empty(len(h), np.dtype([("h", ">u8"), ("x", ">u4")]))
-    out["h"], out["x"] = h, x
-    return out.view("S12") if len(h) else np.zeros(0, "S12")
-
-
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("first_ids", pa.list_(pa.int64()))])
-
-
-def suffix_repeats(docs: DataFrame, *, min_words: int = 50, k: int = 16) -> DataFrame:
-    """Passages of at least min_words words that another document has too, by sparse suffixes.
-
-    Suffixes are kept where their k-word prefix hashes smallest in some window of min_words words.
-    """
-    return repeated(docs, min_words, minimised(min_words, k))
+        known, low = _told(heard, 1)
+        out = []
+        for c, at, name in windows(table, heard):
+            hit, where = _found(name, known)
+            starts, first = at[hit], np.full(len(c.row) + 1, _LAST)
+            np.minimum.at(first, starts, low[where])
+            again = _covered(len(c.row), starts, width)
+            start, end, bounds = _spans(again, c)
+            source, base = np.minimum.reduceat(first, start) if len(start) else start, c.w.first[:-1]
+            out.append(_result(table, c, {"n_repeated": _counts(again, c), "starts": _lists(start, bounds, base, pa.int32()), "ends": _lists(end, bounds, base, pa.int32()), "first_ids": _lists(source, bounds, 0 * base, pa.int64())}))
+        return pa.concat_tables(out)
+
+    return _with(dealt, [suffixes, _shared(_with(dealt, [suffixes], ask, _ASKED), 1)], mark, SUFFIX_RESULT)
+
+
+# Recompression.
+
+
+class _Symbols:
+    """The names of one chunk that stand for a window or more, after each of `rounds`, and what is known of them."""
+
+    def __init__(self, c: _Chunk, rounds: tuple[int, ...], told: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        n = len(c.row)
+        dead = np.zeros(n + 1, bool)  # words in a name that no other document has
+        self.inside = np.zeros(n + 1, np.int64)  # where the name ends that settles the windows from a word on
+        self.removed = np.zeros(n, bool)
+        self.start = self.end = np.zeros(0, np.int64)
+        self.name = np.zeros(0, _NAME)
+        for i, (_, start, _) in enumerate(levels(c.w.hash, c.row, rounds[len(told)] if len(told) < len(rounds) else rounds[-1]) if n else ()):
+            if i not in rounds:
+                continue
+            end = np.append(start[1:], n)
+            some = np.flatnonzero((end - start >= c.width) & ~np.logical_or.reduceat(dead[:n], start))
+            start, end = start[some], end[some]
+            self.start, self.end = start, end
+            self.name = _named(_digests(c.w, start, end))
+            if (k := rounds.index(i)) == len(told):
+                return
+            known, low = told[k]
+            hit, where = _found(self.name, known)
+            other = np.ones(len(start), bool)
+            other[hit] = False
+            dead[:n] |= _between(n, start[other], end[other])
+            own = hit[low[where] < c.docs(start[hit])]
+            self.removed |= _between(n, start[own], end[own])
+            np.maximum.at(self.inside, start[own], end[own])
+
+    def settled(self, starts: np.ndarray, width: int) -> np.ndarray:
+        return np.maximum.accumulate(self.inside)[starts] >= starts + width
+
+
+def _between(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.subtract.at(edge, end, 1)
+    return np.cumsum(edge[:n]) > 0
+
 
+def _digests(w: T.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The digests of the words from each start to before its end."""
+    raw, begin = T.plain_bytes(w)
+    out = b"".join([T.digest(raw[a : b - 1]) for a, b in zip(begin[start].tolist(), begin[end].tolist(), strict=True)])
+    return np.frombuffer(out, "<u8").reshape(-1, 2)
+
+
+RECOMPRESSED_RESULT = "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept string"
+
+
+def substring_repeats(docs: DataFrame, *, width: int = 13, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """See RECOMPRESSED_RESULT: for each row of docs (doc_id, text, ...), how many of its words lie in a window whose words also start
+    in a document of a smaller id, these as maximal spans, and the words that are left, joined by one space."""
+    dealt = _groups(docs)
+    inner, whole = len(rounds), len(rounds) + 1  # kinds of what is told beside the names of each round
+
+    def ask_names(done: int):
+        def ask(key, table, heard):
+            told, names, docs_ = [_told(heard, k) for k in range(done)], [], []
+            for c in _chunks(table.column("doc_id"), table.column("text"), width):
+                symbols = _Symbols(c, rounds, told)
+                names.append(symbols.name)
+                docs_.append(c.docs(symbols.start))
+            return _asked(key[0].as_py(), *_bounds(names, docs_))
+
+        return ask
+
+    def left(table: pa.Table, heard: pa.Table) -> Iterator[tuple[_Chunk, _Symbols, np.ndarray, np.ndarray]]:
+        """(chunk, symbols, starts of windows that no name settles, their anchors)."""
+        told = [_told(heard, k) for k in range(inner)]
+        for c in _chunks(table.column("doc_id"), table.column("text"), width):
+            symbols = _Symbols(c, rounds, told)
+            at = c.ok[~symbols.settled(c.ok, width)]
+            yield c, symbols, at, inner_names(c.w.hash, c.row, width)[at]
+
+    def ask_inner(key, table, heard):
+        names, docs_ = [], []
+        for c, _, at, anchor in left(table, heard):
+            doc = c.docs(at)
+            first = np.ones(len(at), bool)
+            first[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+            name = np.zeros(int(first.sum()), _NAME)
+            name["a"] = anchor[first]
+            names.append(name)
+            docs_.append(doc[first])
+        return _asked(key[0].as_py(), *_bounds(names, docs_))
+
+    def windows(table: pa.Table, heard: pa.Table) -> Iterator[tuple[_Chunk, _Symbols, np.ndarray, np.ndarray]]:
+        """(chunk, symbols, starts of unsettled windows under shared anchors, their digests)."""
+        known = _told(heard, inner)[0]["a"]
+        for c, symbols, at, anchor in left(table, heard):
+            at = at[_within(anchor, known)]
+            yield c, symbols, at, _named(T.digests(c.w, at, width))
+
+    def ask_windows(key, table, heard):
+        found = [(name, c.docs(at)) for c, _, at, name in windows(table, heard)]
+        return _asked(key[0].as_py(), *_bounds([n for n, _ in found], [d for _, d in found]))
 
-def substring_repeats(docs: DataFrame, *, width: int = 13, rounds: int = 2, both_ways: bool = True) -> DataFrame:
-    """Words in windows of `width` words that another document has too, by recompression."""
-    return repeated(docs, width, recompressed(width, rounds), both_ways=both_ways)
+    def mark(key, table, heard):
+        known, low = _told(heard, whole)
+        out = []
+        for c, symbols, at, name in windows(table, heard):
+            hit, where = _found(name, known)
+            starts = at[hit][low[where] < c.docs(at[hit])]
+            removed = symbols.removed | _covered(len(c.row), starts, width)
+            start, end, bounds = _spans(removed, c)
+            base = c.w.first[:-1]
+            kept = pa.array([x.decode() for x in _kept_bytes(c.w, c.row, ~removed, c.lo, c.hi)], pa.string())
+            out.append(_result(table, c, {"n_removed": _counts(removed, c), "starts": _lists(start, bounds, base, pa.int32()), "ends": _lists(end, bounds, base, pa.int32()), "kept": kept}))
+        return pa.concat_tables(out)
+
+    nothing = dealt.sparkSession.createDataFrame([], "g int, kind int, a long, b long, low long")
+    told = [nothing]
+    for i in range(len(rounds)):
+        told.append(_shared(_with(dealt, told, ask_names(i), _ASKED), i))
+    told.append(_shared(_with(dealt, told, ask_inner, _ASKED), inner))
+    told.append(_shared(_with(dealt, told, ask_windows, _ASKED), whole))
+    return _with(dealt, told, mark, RECOMPRESSED_RESULT)

@@ -250,9 +250,13 @@ def plain_bytes(w: Words) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), begin
 
 
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def digests(w: Words, first: np.ndarray, size: int) -> np.ndarray:
     """The 128-bit BLAKE2b digest of the `size` words from each of `first`, as two numbers."""
     raw, begin = plain_bytes(w)
     at, to = begin[first].tolist(), (begin[first + size] - 1).tolist()
-    out = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(at, to, strict=True)])
+    out = b"".join([digest(raw[a:b]) for a, b in zip(at, to, strict=True)])
     return np.frombuffer(out, "<u8").reshape(-1, 2)
