@@ -2,18 +2,18 @@
 
 A paragraph (non-blank line) hashes to a wide vector, and a document's fingerprint is the sum of its
 paragraphs' vectors: the order of paragraphs doesn't matter, and adding or taking away a paragraph adds
-or subtracts its vector. The first `EXACT` lanes are 64-bit hashes of the whole paragraph, summed modulo
-2**64; they decide equality. The other `ALIKE` lanes are summed modulo 2**16 and count the
-paragraph's three-word shingles with signs, each at a hashed lane; as vectors of signed numbers their
-cosine estimates how much two documents share.
+or subtracts its vector. The first `EXACT` lanes are the 512 bits of the BLAKE2b digest of the whole paragraph, summed
+modulo 2**64 each; they decide equality. The other `ALIKE` lanes are summed modulo 2**32 and count the
+paragraph's three-word shingles with signs, each at a hashed lane; as vectors of signed numbers (no text that Spark can
+hold has enough shingles to wrap one) their cosine estimates how much two documents share.
 
-Edited texts need the next document in descending id. Documents are dealt by id into ranges between
-approximate quantiles; the row at a bound goes to the range above as well, where it only serves as the
-last row's next, so texts are shuffled once and rows stream in order through each task.
+Edited texts need the next document in descending id. Documents are dealt into ranges of ids, whose first ids are
+picked from a sample; the first rows of a range go to the end of the range before it as well, where they only serve as the last row's
+next, so texts are shuffled once and rows stream in order through each task. Rows without an id are dealt by a hash of their text.
 
 Defined cases: a null text is empty, an empty or blank text has the zero fingerprint, two zero
 fingerprints are alike (1) and a zero and another are not (0); a null id comes after all others; rows
-that repeat an id follow each other in order of their text; a single row is its own next; an
+that repeat an id (or have none) follow each other in an order that their texts fix; a single row is its own next; an
 empty table stays empty; extra columns are ignored.
 """
 
@@ -23,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +32,8 @@ from causeway.llm import text as T
 
 U64 = T.U64
 EXACT, ALIKE, SHINGLE = 8, 128, 3
-_LANES = (np.arange(1, EXACT + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C15))[None, :]
-RANGE_ROWS, MOST_RANGES = 1000, 2048
+#: Bytes of texts in a range, sampled ids for each.
+RANGE_BYTES, SAMPLED = 64 << 20, 20
 
 
 class Fingerprints:
@@ -42,7 +43,7 @@ class Fingerprints:
         self.exact, self.alike = exact, alike
 
     def text(self, i: int) -> str:
-        return self.exact[i].astype("<u8").tobytes().hex() + self.alike[i].astype("<i2").tobytes().hex()
+        return self.exact[i].astype("<u8").tobytes().hex() + self.alike[i].astype("<i4").tobytes().hex()
 
     def likeness(self, i: int, other: Fingerprints, j: int) -> float:
         if np.array_equal(self.exact[i], other.exact[j]):
@@ -54,7 +55,7 @@ class Fingerprints:
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> Fingerprints:
     n = len(offsets) - 1
-    exact, alike = np.zeros((n, EXACT), U64), np.zeros((n, ALIKE), np.int16)
+    exact, alike = np.zeros((n, EXACT), U64), np.zeros((n, ALIKE), np.int32)
     for lo, hi in T.chunks(offsets):
         w = T.words(data, offsets[lo : hi + 1])
         if not len(w.hash):
@@ -65,10 +66,11 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> Fingerprints:
         new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(line))
-        whole = T.spans(T.rolling(w.data), w.start[start], w.end[end - 1])
+        raw = w.data.tobytes()
+        whole = b"".join([hashlib.blake2b(raw[a:b]).digest() for a, b in zip(w.start[start].tolist(), w.end[end - 1].tolist(), strict=True)])
         sums = np.zeros((hi - lo, EXACT), U64)
         owners, first = np.unique(text[start], return_index=True)
-        sums[owners] = np.add.reduceat(T.mix(whole[:, None] + _LANES), first, axis=0)
+        sums[owners] = np.add.reduceat(np.frombuffer(whole, "<u8").reshape(-1, EXACT), first, axis=0)
         exact[lo:hi] = sums
         line = np.cumsum(new)
         of, items = [], []
@@ -83,8 +85,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> Fingerprints:
         of, items = np.concatenate(of), np.concatenate(items)
         at = of * ALIKE + (items & U64(ALIKE - 1)).astype(np.int64)
         sign = ((items >> U64(20)) & U64(1)).astype(float) * 2 - 1
-        counts = np.bincount(at, weights=sign, minlength=(hi - lo) * ALIKE).astype(np.int64)
-        alike[lo:hi] = counts.astype(np.uint16).view(np.int16).reshape(hi - lo, ALIKE)
+        counts = np.bincount(at, weights=sign, minlength=(hi - lo) * ALIKE)
+        alike[lo:hi] = counts.astype(np.int64).astype(np.int32).reshape(hi - lo, ALIKE)
     return Fingerprints(exact, alike)
 
 
@@ -104,7 +106,7 @@ _NAMES = [c.split()[0] for c in _RESULT.split(", ")]
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, copy, doc_id, text) in order; those with copy > 0 only follow."""
     held: list[tuple] = []
-    for batch in batches:
+    for batch in T.slices(batches):
         rows = held + list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
         if rows:
             held = rows[-1:]
@@ -128,27 +130,50 @@ def _results(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
+def _ranges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The first places of the ranges, of rows with an id (its complement) and of those without (the hash of the text)."""
+    spark = docs.sparkSession
+    kinds = {r["without"]: r for r in docs.groupBy("without").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("place").alias("least")).collect()}
+    size = sum(r["size"] or 0 for r in kinds.values())
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    rows = sum(r["n"] for r in kinds.values())
+    found = []
+    for kind in (0, 1):
+        firsts = np.zeros(0, np.int64)
+        if kind in kinds:
+            own = -(-ranges * kinds[kind]["n"] // rows)
+            every = max(1, kinds[kind]["n"] // (own * SAMPLED))
+            some = docs.filter((F.col("without") == kind) & (F.pmod(F.xxhash64("place"), F.lit(every)) == 0)).select("place").distinct()
+            places = np.unique([r["place"] for r in some.collect()] + [kinds[kind]["least"]])
+            firsts = np.unique(places[np.arange(own) * len(places) // own])
+        found.append(firsts)
+    return found[0], found[1]
+
+
 def with_edits(docs: DataFrame) -> DataFrame:
     """See _RESULT, for each row of docs (doc_id, text, ...): the fingerprint of its text and of its edited
     text (the last third replaced by as much of the next document's beginning), and likenesses of its own to
     the edited text's and to the next document's."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = docs.agg(F.count("*").alias("n"), F.max("doc_id").alias("most")).first()
-    ranges = int(min(MOST_RANGES, max(1, stats["n"] // RANGE_ROWS)))
-    bounds = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10 * ranges)).first()[0] or []) - {stats["most"]})
-    place = F.array(*map(F.lit, bounds)).cast("array<long>")
-    bucket = F.coalesce(F.size(F.filter(place, lambda b: b < F.col("doc_id"))), F.lit(0))
-    spot = lambda b, copy: F.struct(b.cast("int").alias("bucket"), F.lit(copy).alias("copy"))
-    places = F.array_compact(
-        F.array(
-            spot(bucket, 0),
-            F.when(F.array_contains(place, F.col("doc_id")), spot(bucket + 1, 1)),
-            F.when(F.col("doc_id").eqNullSafe(F.lit(stats["most"])), spot(F.lit(0), 2)),
-        )
-    )
-    dealt = docs.select(F.inline(places), "doc_id", "text")
-    last = (F.col("copy") == 2).cast("int")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", last, F.desc_nulls_last("doc_id"), "text").mapInArrow(_rows, _RESULT)
+    hashed = F.xxhash64("text")
+    docs = docs.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("without"), F.coalesce(F.bitwise_not("doc_id"), hashed).alias("place"), hashed.alias("h"))
+    firsts = _ranges(docs)
+    n = max(1, len(firsts[0]) + len(firsts[1]))
+
+    @F.pandas_udf("long")
+    def spot(without: pd.Series, place: pd.Series) -> pd.Series:
+        """Twice the range of a row, and one more if it is a first of it."""
+        out = np.zeros(len(place), np.int64)
+        for kind in (0, 1):
+            own = np.flatnonzero(without.to_numpy() == kind)
+            values = place.to_numpy()[own]
+            at = np.searchsorted(firsts[kind], values, "right") - 1
+            out[own] = 2 * (at + kind * len(firsts[0])) + (firsts[kind][at] == values)
+        return pd.Series(out)
+
+    at = F.col("spot").bitwiseAND(F.lit(1)) == 1
+    own, before = F.shiftright("spot", 1), F.pmod(F.shiftright("spot", 1) - 1, F.lit(n))
+    place = lambda b, copy: F.struct(b.cast("int").alias("bucket"), F.lit(copy).alias("copy"))
+    dealt = docs.withColumn("spot", spot("without", "place")).select(F.inline(F.array_compact(F.array(place(own, 0), F.when(at, place(before, 1))))), "doc_id", "text", "without", "place", "h")
+    ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "copy", "without", "place", "h", "text")
+    return ordered.select("bucket", "copy", "doc_id", "text").mapInArrow(_rows, _RESULT)
