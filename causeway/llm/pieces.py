@@ -1,9 +1,9 @@
 """Sampled segmentation into the pieces of a SentencePiece model, and lossless decoding.
 
-A text is cut into tokens: before each space that follows another character, and in longer tokens
-at character bounds after every `TOKEN_BYTES` bytes. The pieces of a token are a path through its
+A text is cut into tokens before each space that follows another character (no piece of a model reaches over such a
+place; where one does, the whole text is one token). The pieces of a token are a path through its
 lattice; a path's weight is the product of its pieces' weights, 1 / (rank + 2) ** sharpness by the
-model's order. Forward filtering sums the weights of all paths to every place; backward sampling
+model's order. Forward filtering sums the weights of all paths to every place, as logarithms, so that tokens may be as long as the text; backward sampling
 then draws the last piece by its share of that sum, and so on to the front. Draws are hashes of the
 row's key, the token's place and the step, so a row's segmentation is the same wherever and
 whenever it is made. Characters that no piece covers are written as byte pieces, and so is a literal
@@ -13,8 +13,8 @@ Distinct tokens of a chunk have their lattices built once, all tokens are drawn
 read on the driver (its path is a parameter); tables of pieces travel with the tasks, a megabyte or so.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a null key is a
-key of its own; rows that repeat a key and text get the same pieces; extra columns are kept; an
-empty table stays empty; sequences of ids that are not UTF-8 decode with replacement characters.
+key of its own; rows that repeat a key and text get the same pieces; extra columns are kept, but one that is called like
+the result gives way to it; an empty table stays empty; sequences of ids that are not UTF-8 decode with replacement characters.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as Ty
 
 from causeway.llm import text as T
 
 U64 = T.U64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-TOKEN_BYTES, CHUNK = 32, 1 << 19
+CHUNK = 1 << 19
 BYTE_WEIGHT = 1e-5
 _SPACE = "▁"
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -38,13 +39,15 @@ _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Pieces:
-    """Bytes of each id (joined, with bounds), its weight, the ids of byte pieces, and which ids encoding may use."""
+    """Bytes of each id (joined, with bounds), its weight, the ids of byte pieces, which ids encoding may use, and whether
+    none of these has a space after another character."""
 
     data: np.ndarray
     bounds: np.ndarray
     weight: np.ndarray
     byte_ids: np.ndarray
     usable: np.ndarray
+    by_words: bool
 
     @staticmethod
     def load(path: str = MODEL, sharpness: float = 1.0) -> Pieces:
@@ -64,10 +67,11 @@ class Pieces:
                 usable.append(False)
             else:
                 texts.append(piece.replace(_SPACE, " ").encode())
-                usable.append(0 < len(texts[-1]) <= TOKEN_BYTES)
+                usable.append(len(texts[-1]) > 0)
         rank = np.cumsum(np.array(usable)) - 1.0
         weight = (rank + 2.0) ** -sharpness
-        return Pieces(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), weight, byte_ids, np.array(usable))
+        by_words = not any(b" " in t.lstrip(b" ") for t, u in zip(texts, usable, strict=True) if u)
+        return Pieces(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), weight, byte_ids, np.array(usable), by_words)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and bounds of the texts ids[offsets[i]:offsets[i + 1]]."""
@@ -118,22 +122,12 @@ class Sampler:
 
     def _tokens(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """First bytes of tokens; texts are not empty."""
-        n = len(data)
-        new = np.zeros(n, bool)
-        space = data == 0x20
-        new[1:] = space[1:] & ~space[:-1]
+        new = np.zeros(len(data), bool)
+        if self.pieces.by_words:
+            space = data == 0x20
+            new[1:] = space[1:] & ~space[:-1]
         new[offsets[:-1]] = True
-        start = np.flatnonzero(new)
-        long_ = np.flatnonzero(np.diff(np.append(start, n)) > TOKEN_BYTES)
-        if len(long_):
-            lead = (data & 0xC0) != 0x80
-            ends = np.append(start[1:], n)
-            for s, e in zip(start[long_].tolist(), ends[long_].tolist(), strict=True):
-                chars = s + np.flatnonzero(lead[s:e])
-                block = (chars - s) // TOKEN_BYTES
-                new[chars[1:][block[1:] != block[:-1]]] = True
-            start = np.flatnonzero(new)
-        return start
+        return np.flatnonzero(new)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the texts of a chunk."""
@@ -210,21 +204,23 @@ class Sampler:
         tos.append(raw + 1)
         ids.append(self.pieces.byte_ids[text[raw]])
         from_, to, id_ = np.concatenate(froms), np.concatenate(tos), np.concatenate(ids)
-        weight = np.where(self.pieces.usable[id_], self.pieces.weight[id_], BYTE_WEIGHT)
+        weight = np.log(np.where(self.pieces.usable[id_], self.pieces.weight[id_], BYTE_WEIGHT))
         # Forward sums, by the offset at which edges start: their ends differ within one offset.
         offset = from_ - np.repeat(base[:-1], size + 1)[from_]
-        order = np.argsort(offset.astype(np.uint8), kind="stable")
-        cut = np.append(0, np.cumsum(np.bincount(offset, minlength=int(size.max()) + 1)))[:-1]
-        forward = np.zeros(total)
-        forward[base[:-1]] = 1.0
-        share = np.zeros(len(from_))
-        for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+        order = np.argsort(offset, kind="stable")
+        cut = np.append(0, np.cumsum(np.bincount(offset)))
+        forward = np.full(total, -np.inf)
+        forward[base[:-1]] = 0.0
+        share = np.empty(len(from_))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             e = order[a:b]
-            share[e] = forward[from_[e]] * weight[e]
-            forward[to[e]] += share[e]
+            end = to[e]
+            share[e] = own_ = forward[from_[e]] + weight[e]
+            forward[end] = np.logaddexp(forward[end], own_)
+        share = np.exp(share - forward[to])
         live = np.flatnonzero(share > 0)
         live = live[np.argsort(to[live], kind="stable")]
-        from_, to, id_, share = from_[live], to[live], id_[live], share[live] / forward[to[live]]
+        from_, to, id_, share = from_[live], to[live], id_[live], share[live]
         run = np.cumsum(share)
         edge_first = np.append(0, np.cumsum(np.bincount(to, minlength=total)))
         before = np.append(0, run)[edge_first[to]]
@@ -234,11 +230,12 @@ class Sampler:
 def encode(docs: DataFrame, *, model: str = MODEL, seed: int = 1, sharpness: float = 1.0, key: str = "doc_id", text: str = "text", out: str = "ids") -> DataFrame:
     """docs with a column `out` of piece ids, sampled by the row's key."""
     pieces = Pieces.load(model, sharpness)
+    docs = docs.drop(out)
     at_key, at_text = docs.columns.index(key), docs.columns.index(text)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(pieces, seed)
-        for batch in batches:
+        for batch in T.slices(batches):
             data, at = T.strings(batch.column(at_text))
             keys = T.ids(batch.column(at_key)).view(U64)
             ids, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
@@ -249,19 +246,18 @@ def encode(docs: DataFrame, *, model: str = MODEL, seed: int = 1, sharpness: flo
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(bounds).astype(np.int32)), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
-    kept = [f"`{c}` {t}" for c, t in docs.dtypes]
-    return docs.mapInArrow(rows, ", ".join([*kept, f"`{out}` array<int>"]))
+    return docs.mapInArrow(rows, Ty.StructType([*docs.schema.fields, Ty.StructField(out, Ty.ArrayType(Ty.IntegerType()))]))
 
 
 def decode(docs: DataFrame, *, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a column `out`: the text of the piece ids."""
     pieces = Pieces.load(model)
+    docs = docs.drop(out)
     at_ids = docs.columns.index(ids)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(at_ids)
-            column = column if not column.null_count else pa.array([x or [] for x in column.to_pylist()], pa.list_(pa.int32()))
+        for batch in T.slices(batches):
+            column = pa.array([x or [] for x in batch.column(at_ids).to_pylist()], pa.list_(pa.int32())) if batch.column(at_ids).null_count else batch.column(at_ids)
             bounds = column.offsets.to_numpy().astype(np.int64)
             values = column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
             data, ends = pieces.decode(values, bounds - bounds[0])
@@ -273,5 +269,4 @@ def decode(docs: DataFrame, *, model: str = MODEL, ids: str = "ids", out: str =
                 texts = pa.array([raw[a:b].decode(errors="replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
-    kept = [f"`{c}` {t}" for c, t in docs.dtypes]
-    return docs.mapInArrow(rows, ", ".join([*kept, f"`{out}` string"]))
+    return docs.mapInArrow(rows, Ty.StructType([*docs.schema.fields, Ty.StructField(out, Ty.StringType())]))
