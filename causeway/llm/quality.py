@@ -8,9 +8,9 @@ input, goes through a logistic calibration fitted on labelled texts that the dic
 seen, weighted to the classes' shares among all labels.
 
 The model is fitted on a bounded sample: at most `per_class` texts of each class for the
-dictionaries and as many for the calibration, the first by a hash of their id. Everything else
-covers all rows. Defined cases: a null or empty text gets the calibrated score of a zero difference;
-null labels are not used; without labels of both classes every score is the share of good labels
+dictionaries and as many for the calibration, the first by a hash of their id, and `tables.SAMPLE_BYTES` of text in
+all. Everything else covers all rows. Defined cases: a null or empty text gets the calibrated score of a zero difference;
+null labels are not used, of several labels of an id the smallest counts; without labels of both classes every score is the share of good labels
 (0.5 without labels); rows that repeat an id are scored each; extra columns are ignored.
 """
 
@@ -77,7 +77,7 @@ def _inputs(sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Model:
-    """labels: (doc_id, label), 1 for good and 0 for bad; at most 4 * per_class texts come to the driver."""
+    """labels: (doc_id, label), 1 for good and 0 for bad; at most 4 * per_class texts come to the driver, SAMPLE_BYTES in all."""
     rows, counts = labelled_sample(docs, labels, 2 * per_class)
     texts = {y: [(t or "").encode() for _, t, label in rows if label == y] for y in (0, 1)}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
@@ -110,7 +110,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors() if model.good else []
-        for batch in batches:
+        for batch in T.slices(batches):
             data, at = T.strings(batch.column(1))
             sizes, view = np.zeros((len(batch), 2)), data.tobytes()
             if compressors:
