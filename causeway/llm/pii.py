@@ -8,12 +8,14 @@ address or digits (or end in the same seven). Candidates that a base span covers
 the others loopy message passing gives a label, and what is not "other" is added as a span. So a
 number that is written once in full and later without its prefix is found both times.
 
-Weights are fitted on the driver from a bounded sample of documents with candidates (`SAMPLE`, the
-first by a hash of the id), where the base spans are the labels: softmax regression for shapes,
-smoothed counts for the edges. Every document is searched whole, in time linear in its length.
+All weights (of shapes, neighbours and skip edges) are fitted together on the driver by pseudo-likelihood: each candidate's
+label given those of its neighbours. The labels are the base spans of a bounded sample of documents with candidates (`SAMPLE`
+of them and `SAMPLE_BYTES` of text at most, the first by a hash of the id); a candidate that the base patterns miss, but
+that repeats what they find, is left out there, as its label is what the field is to tell. Skip weights start from the belief that
+repeats agree (`REPEAT`) and are held near it. Every document is searched whole, in time linear in its length.
 
 Defined cases: a null text is empty; no candidates give no spans and the hash of the empty string;
-very long runs of digits or signs cost linear time; rows that repeat an id are each searched; extra
+very long runs of digits or signs cost linear time; rows that repeat an id are each searched by their own text; extra
 columns are ignored by `find` and kept by `redact`; an empty table stays empty.
 """
 
@@ -28,8 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.llm import text as T
+from causeway.llm.tables import SAMPLE_BYTES
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, ROUNDS = 2000, 8
+#: Edges whose messages are reckoned at a time; digits from which a number stands for itself beside others.
+EDGES, ALONE = 1 << 14, 9
+#: Log potential of a skip edge between equal labels, and less that between others, before fitting.
+REPEAT = 2.5
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -113,91 +122,138 @@ class Field:
 
     def labels(self, texts: Sequence[str], observed: Sequence[int]) -> np.ndarray:
         """Most likely label of each candidate; observed: its label, or -1."""
-        n, size = len(texts), len(KINDS) + 1
+        size = len(KINDS) + 1
         node = np.stack([self.unary[_shape(t)].sum(axis=0) for t in texts])
         for i, label in enumerate(observed):
             if label >= 0:
                 node[i] = -50.0
                 node[i, label] = 0.0
-        edges = [(i, i + 1, self.chain) for i in range(n - 1)]
-        last: dict[str, int] = {}
-        for i, t in enumerate(texts):
-            for k in _keys(t):
-                if k in last:
-                    edges.append((last[k], i, self.skip))
-                last[k] = i
-        if not edges:
+        a, b, skip = _edges(texts)
+        if not len(a):
             return node.argmax(axis=1)
-        a, b = (np.array([e[k] for e in edges]) for k in (0, 1))
-        potential = np.stack([e[2] for e in edges])
-        to_a, to_b = np.zeros((len(edges), size)), np.zeros((len(edges), size))
+        potential, kind = np.stack([self.chain, self.skip]), skip.astype(int)
+        to_a, to_b = np.zeros((len(a), size)), np.zeros((len(a), size))
         for _ in range(ROUNDS):
             belief = node.copy()
             np.add.at(belief, a, to_a)
             np.add.at(belief, b, to_b)
-            new_b = np.logaddexp.reduce((belief[a] - to_a)[:, :, None] + potential, axis=1)
-            new_a = np.logaddexp.reduce((belief[b] - to_b)[:, None, :] + potential, axis=2)
-            to_a = 0.5 * to_a + 0.5 * (new_a - new_a.max(axis=1, keepdims=True))
-            to_b = 0.5 * to_b + 0.5 * (new_b - new_b.max(axis=1, keepdims=True))
+            for lo in range(0, len(a), EDGES):
+                e = slice(lo, lo + EDGES)
+                p = potential[kind[e]]
+                new_b = np.logaddexp.reduce((belief[a[e]] - to_a[e])[:, :, None] + p, axis=1)
+                new_a = np.logaddexp.reduce((belief[b[e]] - to_b[e])[:, None, :] + p, axis=2)
+                to_a[e] = 0.5 * to_a[e] + 0.5 * (new_a - new_a.max(axis=1, keepdims=True))
+                to_b[e] = 0.5 * to_b[e] + 0.5 * (new_b - new_b.max(axis=1, keepdims=True))
         belief = node.copy()
         np.add.at(belief, a, to_a)
         np.add.at(belief, b, to_b)
         return belief.argmax(axis=1)
 
 
+def _edges(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the edges between candidates, and which are skip edges: to the last one before that is the same."""
+    n = len(texts)
+    edges, last = [(i, i + 1, False) for i in range(n - 1)], {}
+    for i, t in enumerate(texts):
+        for k in _keys(t):
+            if k in last:
+                edges.append((last[k], i, True))
+            last[k] = i
+    a, b, skip = (np.array([e[k] for e in edges], int) for k in range(3))
+    return a, b, skip.astype(bool)
+
+
+def _numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """A loose stretch, cut at spaces beside a number of ALONE digits or more."""
+    at, words = start, text[start:end].split(" ")
+    many = [sum("0" <= c <= "9" for c in w) >= ALONE for w in words]
+    place = start
+    for i, w in enumerate(words):
+        place += len(w)
+        if i + 1 == len(words) or many[i] or many[i + 1]:
+            if place - at > 1:
+                yield at, place
+            at = place + 1
+        place += 1
+
+
 def _candidates(text: str, base: list[Span]) -> list[tuple[int, int, int]]:
     """(start, end, label by the base spans or -1) of a text's candidates, in order."""
     out, at = [(s, e, KINDS.index(k) + 1) for k, s, e in base], 0
     taken = sorted((s, e) for _, s, e in base)
     for m in _LOOSE.finditer(text):
-        s, e = m.span()
-        while at < len(taken) and taken[at][1] <= s:
-            at += 1
-        if not any(x < e and y > s for x, y in taken[at : at + 8]):
-            out.append((s, e, -1))
+        for s, e in _numbers(text, *m.span()) if "@" not in m[0] else [m.span()]:
+            while at < len(taken) and taken[at][1] <= s:
+                at += 1
+            if not any(x < e and y > s for x, y in taken[at : at + 8]) and _SOME.search(text, s, e):
+                out.append((s, e, -1))
     return sorted(out)
 
 
-def fit(docs: DataFrame, *, sample: int = SAMPLE) -> Field:
-    """From at most `sample` documents, whose base spans are the labels."""
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    chosen = some.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).distinct()
-    texts = [r["text"] for r in some.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("text").limit(2 * sample).collect()]
+def _sampled(docs: DataFrame, sample: int, most_bytes: int) -> list[str]:
+    """Texts with candidates, at most `sample` and most_bytes of them, the first by a hash of their id."""
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]"))
+    some = some.withColumn("h", F.xxhash64("text"))
+    first = some.select(F.xxhash64("doc_id").alias("k"), "doc_id", "h", F.octet_length("text").alias("size")).orderBy("k", "doc_id", "h").limit(sample).collect()
+    left, taken = most_bytes, set()
+    for r in first:
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.add((r["doc_id"], r["h"]))
+    few = docs.sparkSession.createDataFrame(sorted(taken), "doc_id long, h long")
+    return [r["text"] for r in some.join(F.broadcast(few), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("text").collect()]
+
+
+def fit(docs: DataFrame, *, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Field:
+    """From at most `sample` documents and most_bytes of text, whose base spans are the labels."""
+    return fitted(sorted(_sampled(docs, sample, most_bytes)))
+
+
+def fitted(texts: list[str], steps: int = 400, ridge: float = 1e-3) -> Field:
     size = len(KINDS) + 1
-    chain, same, total = np.ones((size, size)), np.ones((size, size)) * 0.05 + np.eye(size) * 5, np.ones(size)
-    x, y = [], []
-    for t in sorted(texts):
-        found = [(s, e, max(label, 0)) for s, e, label in _candidates(t, base_spans(t))]
-        last: dict[str, int] = {}
-        known = {k for s, e, label in found if label for k in _keys(t[s:e])}
-        for i, (s, e, label) in enumerate(found):
-            if label or not known.intersection(_keys(t[s:e])):  # else a repeat of what a pattern found: not "other" for sure
-                x.append(_shape(t[s:e]))
-                y.append(label)
-            total[label] += 1
-            if i:
-                chain[found[i - 1][2], label] += 1
-            for k in _keys(t[s:e]):
-                # A pair that the base patterns tell apart says nothing: one of the two is what they miss.
-                if k in last and label and last[k]:
-                    same[last[k], label] += 1
-                last[k] = label
-    unary = np.zeros((FEATURES, size))
-    if x:
-        rows = np.zeros((len(x), FEATURES))
-        for i, on in enumerate(x):
-            np.add.at(rows[i], on, 1)
-        truth = np.eye(size)[y]
-        for _ in range(400):
-            z = rows @ unary
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            unary -= 0.5 * (rows.T @ (p - truth) / len(x) + 1e-3 * unary)
-    else:
+    shapes, y, a, b, skip = [], [], [], [], []
+    for t in texts:
+        found = [(t[s:e], max(label, 0)) for s, e, label in _candidates(t, base_spans(t))]
+        known = {k for c, label in found if label for k in _keys(c)}
+        seen = [label > 0 or not known.intersection(_keys(c)) for c, label in found]
+        place = np.cumsum(seen) - 1 + len(y)
+        own_a, own_b, own_skip = _edges([c for c, _ in found])
+        use = np.array(seen, bool)[own_a] & np.array(seen, bool)[own_b] if len(own_a) else np.zeros(0, bool)
+        a.append(place[own_a[use]] if len(own_a) else own_a)
+        b.append(place[own_b[use]] if len(own_b) else own_b)
+        skip.append(own_skip[use] if len(own_a) else own_skip)
+        shapes += [_shape(c) for (c, _), s in zip(found, seen, strict=True) if s]
+        y += [label for (_, label), s in zip(found, seen, strict=True) if s]
+    start = np.full((size, size), -REPEAT) + 2 * REPEAT * np.eye(size)
+    unary, chain, same = np.zeros((FEATURES, size)), np.zeros((size, size)), start.copy()
+    if not y:
         unary[0, 0] = 3.0
-    share = total / total.sum()
-    pmi = lambda c: np.log(c / c.sum() + 1e-6) - np.log((c.sum(axis=1) / c.sum())[:, None] + 1e-6) - np.log((c.sum(axis=0) / c.sum())[None, :] + 1e-6)
-    return Field(unary, 0.25 * pmi(chain + share[:, None] * share[None, :]), pmi(same))
+        return Field(unary, chain, same)
+    rows = np.zeros((len(y), FEATURES))
+    for i, on in enumerate(shapes):
+        np.add.at(rows[i], on, 1)
+    a, b, skip = (np.concatenate(x).astype(kind) for x, kind in ((a, int), (b, int), (skip, bool)))
+    truth = np.eye(size)[y]
+    # Of each node and kind of edge, how many neighbours of each label there are on its left and right.
+    around = {}
+    for kind in (False, True):
+        e = skip == kind
+        left, right = np.zeros((len(y), size)), np.zeros((len(y), size))
+        np.add.at(left, b[e], truth[a[e]])
+        np.add.at(right, a[e], truth[b[e]])
+        around[kind] = left, right
+    for _ in range(steps):
+        z = rows @ unary
+        for kind, w in ((False, chain), (True, same)):
+            left, right = around[kind]
+            z = z + left @ w + right @ w.T
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        g = (p / p.sum(axis=1, keepdims=True) - truth) / len(y)
+        slope = [around[kind][0].T @ g + g.T @ around[kind][1] for kind in (False, True)]
+        unary -= 0.3 * (rows.T @ g + ridge * unary)
+        chain -= 0.3 * (slope[0] + ridge * chain)
+        same -= 0.3 * (slope[1] + ridge * (same - start))
+    return Field(unary, chain, same)
 
 
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
@@ -226,7 +282,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or fit(docs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             counts, base, spans = [], [], []
             for text in batch.column(1):
                 found, more = all_spans(text.as_py() or "", field)
@@ -256,7 +312,7 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in T.slices(batches):
             texts = [None if t is None else redacted(t, all_spans(t, field)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 

@@ -15,7 +15,7 @@ from causeway.llm import text as T
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Extra columns whose names the operators use inside.
-EXTRA = "id string, band long, bucket int, g int, a string, b string, component_id long, score double, lang string, source string, n_chars long"
+EXTRA = "id string, band long, bucket int, g int, a string, b string, component_id long, score double, lang string, source string, n_chars long, ids string, decoded long, p_toxic string, p_insult long, text_sha256 string, _id long, part int, h long"
 
 
 def words(text):
@@ -50,7 +50,8 @@ def corpus(seed=5, n=60):
 
 
 def frame(spark, rows, repeat=()):
-    data = [(i, t, "x", 1, 1, 1, "a", "b", 1, 0.5, "en", "s", len(t or "")) for i, t in [*rows.items(), *((i, rows[i]) for i in repeat)]]
+    pairs = [*rows.items(), *((i, rows[i]) for i in repeat)] if isinstance(rows, dict) else rows
+    data = [(i, t, "x", 1, 1, 1, "a", "b", 1, 0.5, "en", "s", len(t or ""), "i", 1, "t", 1, "s", 1, 1, 1) for i, t in pairs]
     return spark.createDataFrame(data, "doc_id long, text string, " + EXTRA)
 
 
@@ -138,34 +139,139 @@ def brute_repeats(rows, width):
     return out
 
 
-@pytest.mark.parametrize(("width", "operator"), [(13, repeats.substring_repeats), (50, repeats.suffix_repeats), (5, lambda d: repeats.substring_repeats(d, width=5)), (20, lambda d: repeats.suffix_repeats(d, min_words=20, k=4))])
-def test_repeats(docs, rows, none, width, operator):
+def places(r):
+    return {j for a, b in zip(r.starts, r.ends, strict=True) for j in range(a, b)}
+
+
+@pytest.mark.parametrize(("width", "rounds"), [(13, repeats.ROUNDS), (5, (4, 7, 9)), (13, (1, 2, 3))])
+def test_substring_repeats(docs, rows, none, width, rounds):
+    want = brute_repeats(rows, width)
+    got = repeats.substring_repeats(docs, width=width, rounds=rounds).collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        n, _, removed, sha, _ = want[r.doc_id]
+        assert (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) == (n, removed, sha), r.doc_id
+        w = words(rows[r.doc_id])
+        assert len(places(r)) == removed and r.kept == " ".join(x for j, x in enumerate(w) if j not in places(r))
+    assert repeats.substring_repeats(none).collect() == []
+
+
+@pytest.mark.parametrize(("width", "k"), [(50, 12), (20, 4)])
+def test_suffix_repeats(docs, rows, none, width, k):
     want = brute_repeats(rows, width)
-    got = operator(docs).collect()
+    got = repeats.suffix_repeats(docs, min_words=width, k=k).collect()
     assert len(got) == len(rows) + 2
     for r in got:
-        n, again, removed, sha, places = want[r.doc_id]
-        assert (r.n_words, r.n_repeated, r.n_removed, r.kept_sha256) == (n, again, removed, sha), r.doc_id
-        assert {j for a, b in zip(r.starts, r.ends, strict=True) for j in range(a, b)} == places
-    assert operator(none).collect() == []
+        n, again, _, _, covered = want[r.doc_id]
+        assert (r.n_words, r.n_repeated, places(r)) == (n, again, covered), r.doc_id
+    assert repeats.suffix_repeats(none).collect() == []
+
 
+def test_equal_suffixes_over_bounds(spark):
+    """A passage that all documents have, over more partitions than documents: neighbours meet at the bounds."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = {i: f"u{i} {passage} v{i}" for i in range(12)}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = repeats.suffix_repeats(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r.doc_id, r.n_repeated, tuple(r.starts), tuple(r.ends), tuple(r.first_ids)) for r in got} == {(i, 60, (1,), (61,), (0,)) for i in rows}
 
-def test_anchors_depend_on_their_window_only():
-    """The same window gets the same anchor whatever is around it."""
+
+def test_inner_names_depend_on_their_window_only():
+    """The same window gets the same anchor whatever is around it, and the same names inside."""
     r = np.random.default_rng(3)
-    for anchor in (repeats.recompressed(13, 2), repeats.recompressed(13, 4), repeats.minimised(13, 4)):
+    for rounds in (2, 4):
         for _ in range(60):
             own = r.integers(0, 3, 13).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             seen = set()
             for _ in range(8):
                 around = [r.integers(0, 3, r.integers(0, 9)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2)]
                 seq = np.concatenate([around[0], own, around[1]])
-                seen.add(int(anchor(T.mix(seq), np.zeros(len(seq), np.int64))[len(around[0])]))
+                seen.add(int(repeats.inner_names(T.mix(seq), np.zeros(len(seq), np.int64), 13, rounds)[len(around[0])]))
             assert len(seen) == 1
 
 
+def test_high_names_are_shared_by_long_repeats():
+    """Far from its ends, a long passage has the same high names wherever it stands."""
+    r = np.random.default_rng(4)
+    passage = T.mix(r.integers(0, 2**60, 3000).astype(np.uint64))
+    found = []
+    for lead in (7, 58):
+        seq = np.concatenate([T.mix(r.integers(0, 2**60, lead).astype(np.uint64)), passage])
+        *_, (name, start, _) = repeats.levels(seq, np.zeros(len(seq), np.int64), 16)
+        found.append({(int(n), int(s) - lead) for n, s in zip(name, start, strict=True)})
+    assert len(found[0] & found[1]) >= 0.9 * len(found[0])
+
+
+def thue_morse():
+    """Two words of 2,048 letters that polynomial hashes modulo powers of two don't tell apart."""
+    w = "a"
+    for _ in range(11):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_words_hash_alike(spark):
+    x, y = thue_morse()
+    w = T.words(*T.strings(__import__("pyarrow").array([f"{x} {y}"])))
+    assert w.hash[0] != w.hash[1]
+    rows = {1: f"one {x} two three four five", 2: f"one {y} two three four five"}
+    docs = frame(spark, rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    assert all(r.n_removed == 0 for r in repeats.substring_repeats(docs, width=2).filter("doc_id = 1").collect())
+    assert {r.doc_id: r.n_removed for r in repeats.substring_repeats(docs, width=6, rounds=(1,)).collect()} == {1: 0, 2: 0}
+    assert len({r.fingerprint for r in fingerprint.with_edits(docs).collect()}) == 2
+
+
+def test_hashes_do_not_decide(spark, docs, rows, monkeypatch):
+    """With word hashes of two bits, candidates abound, but links and containment are those of the words."""
+    some = {i: t for i, t in rows.items() if i < 40 or i == 60}
+    want, _ = brute_components(some)
+    assert near_dedup._confirm(5, 75) is not None
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "word_hashes", lambda data, start, end: T.mix((end - start).astype(np.uint64) & np.uint64(3)))
+    ids = sorted(i for i in some if words(some[i]))
+    pairs = [(a, b) for a in ids for b in ids if a < b]
+    batch = pa.record_batch([[a for a, _ in pairs], [b for _, b in pairs], [some[a] for a, _ in pairs], [some[b] for _, b in pairs]], names=["a", "b", "x", "y"])
+    linked = {(a, b) for out in near_dedup._confirm(5, 75)(iter([batch])) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    sets = {i: shingles(some[i]) for i in ids}
+    assert linked == {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near_b = b.replace("b20 ", "z ")
+    docs = frame(spark, [(3, a), (5, a), (5, b), (7, near_b), (8, None), (5, b), (9, c)])
+    found = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert found == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 9, True)]
+    left = near_dedup.distinct(docs)
+    assert left.columns == docs.columns and sorted((r.doc_id, (r.text or "")[:2]) for r in left.collect()) == [(3, "a0"), (5, "b0"), (5, "b0"), (8, ""), (9, "c0")]
+    bench = spark.createDataFrame([(1, a)], "item_id long, text string")
+    left = decontaminate.clean(docs, bench)
+    assert sorted((r.doc_id, (r.text or "")[:2]) for r in left.collect()) == [(5, "b0"), (5, "b0"), (7, "b0"), (8, ""), (9, "c0")]
+    removed = {(r.doc_id, r.n_removed) for r in repeats.substring_repeats(docs).collect()}
+    assert removed == {(3, 0), (5, 40), (5, 0), (7, 20 + 19), (8, 0), (9, 0)}
+    assert sorted(r.spans for r in pii.find(frame(spark, [(1, "a@b.co"), (1, "nothing")])).collect()) == ["", "email:0:6"]
+
+
+def test_long_texts(spark):
+    """A text of 60,000 words, one word of 200,000 bytes, and a text of one repeated number."""
+    r = random.Random(9)
+    long_ = " ".join(f"w{r.randrange(5000)}" for _ in range(60_000))
+    rows = {1: long_, 2: long_ + " end", 3: "x" * 200_000, 4: "555 123 4567 " * 3000}
+    docs = frame(spark, rows)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in repeats.substring_repeats(docs).collect()} == {1: (60_000, 0), 2: (60_001, 60_000), 3: (1, 0), 4: (9000, 0)}
+    assert all(r.decoded == r.text for r in pieces.decode(pieces.encode(docs)).collect())
+    assert {r.doc_id: r.n_chars for r in fingerprint.with_edits(docs).collect()} == {i: len(t) for i, t in rows.items()}
+    assert len(pii.find(docs).collect()) == 4
+
+
 def test_fingerprints(docs, rows, none, monkeypatch):
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 2000)
     got = {r.doc_id: r for r in fingerprint.with_edits(docs.dropDuplicates(["doc_id"])).collect()}
     order = sorted(rows, reverse=True)
     for at, i in enumerate(order):
@@ -185,6 +291,15 @@ def test_fingerprints_are_homomorphic():
     assert of.text(4) == of.text(5) and of.likeness(4, of, 5) == 1 and of.likeness(0, of, 4) == 0 and of.likeness(0, of, 2) > 0.6
 
 
+def test_likeness_of_long_texts(spark):
+    texts = {1: "spam " * 20_000, 2: "spam " * 40_000, 3: "spam " * 32_767}
+    got = {r.doc_id: r for r in fingerprint.with_edits(frame(spark, texts)).collect()}
+    assert all(r.near_next > 0.99 and r.near_edited > 0.99 for r in got.values())
+    # No ids: dealt by a hash of the text, each row still once.
+    none = spark.createDataFrame([(None, f"text {i} of many") for i in range(50)], "doc_id long, text string")
+    assert len(fingerprint.with_edits(none).collect()) == 50
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -226,10 +341,36 @@ def test_pii(spark, none):
     assert pii.find(none).collect() == [] and pii.redact(none).columns == none.columns
 
 
+def test_field_completes_what_patterns_miss():
+    """Numbers written in full once and without their prefix later: the patterns find none of the second kind, the field does,
+    and leaves numbers alone that look the same and repeat nothing."""
+    r = random.Random(3)
+    texts, again = [], []
+    for _ in range(400):
+        full = f"+{r.randrange(1, 99)} ({r.randrange(100, 999)}) {r.randrange(100, 999)}-{r.randrange(1000, 9999)}"
+        w = [r.choice("the of and river stone walk order room version chapter total".split()) for _ in range(60)]
+        w[10], w[30], w[45] = full, full[full.index("(") :], f"{r.randrange(100, 999)} {r.randrange(100, 999)}-{r.randrange(1000, 9999)}"
+        w[20], w[50] = str(r.randrange(1, 2100)), f"{r.randrange(9)}.{r.randrange(9)}"
+        texts.append(" ".join(w))
+        at = texts[-1].rindex(w[30])
+        again.append((at, at + len(w[30])))
+    field = pii.fitted(texts[:200])
+    base = hits = wrong = 0
+    for t, span in zip(texts[200:], again[200:], strict=True):
+        found, more = pii.all_spans(t, field)
+        added = [x for x in more if x not in found]
+        base += ("phone", *span) in found
+        hits += ("phone", *span) in added
+        wrong += sum(x[1:] != span for x in added)
+    assert base == 0 and hits >= 190 and wrong <= 10
+    assert [t[s:e] for t in ["call 5551234567 4111111111111112 (564) 555-4526 x"] for s, e, _ in pii._candidates(t, [])] == ["5551234567", "4111111111111112", "(564) 555-4526"]
+
+
 def test_pieces(docs, rows, none):
     out = pieces.decode(pieces.encode(docs))
     got = out.collect()
     assert len(got) == len(rows) + 2 and all(r.decoded == (r.text or "") for r in got)
+    assert [c for c in out.columns if c not in ("ids", "decoded")] == [c for c in docs.columns if c not in ("ids", "decoded")]
     again = {(r.doc_id, tuple(r.ids)) for r in pieces.encode(docs.repartition(7)).collect()}
     assert again == {(r.doc_id, tuple(r.ids)) for r in got}
     assert pieces.encode(none).collect() == []
@@ -266,7 +407,32 @@ def test_pieces_odd_texts_and_shares():
         assert abs(seen[path] / n - weight / total) < 0.015
 
 
-def test_containment(spark, docs, rows, none):
+def test_sampler_over_whole_texts():
+    """Backward sampling against a plain version over a whole text, and long tokens by shares of all their paths."""
+    known = pieces.Pieces.load()
+    text = {int(i): known.data[known.bounds[i] : known.bounds[i + 1]].tobytes() for i in np.flatnonzero(known.usable)}
+    of = {t: i for i, t in text.items()}
+    token = " internationalizationalizationsandmorewithoutanyend"
+    raw = token.encode()
+    # Plain forward sums and the chance of each place to be a bound between pieces.
+    forward, backward = [0.0] * (len(raw) + 1), [0.0] * (len(raw) + 1)
+    forward[0] = backward[-1] = 1.0
+    edges = [(a, b, known.weight[of[raw[a:b]]]) for a in range(len(raw)) for b in range(a + 1, len(raw) + 1) if raw[a:b] in of]
+    for a, b, w in edges:
+        forward[b] += forward[a] * w
+    for a, b, w in reversed(edges):
+        backward[a] += backward[b] * w
+    want = [f * b / forward[-1] for f, b in zip(forward, backward, strict=True)]
+    n = 8000
+    data, at = T.strings(__import__("pyarrow").array([token] * n))
+    ids, bounds = pieces.Sampler(known, 5).encode(data, at, np.arange(n).astype(np.uint64))
+    seen = np.zeros(len(raw) + 1)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        seen[np.append(0, np.cumsum([len(text[int(i)]) for i in ids[a:b]]))] += 1
+    assert np.abs(seen / n - want).max() < 0.03
+
+
+def test_containment(spark, docs, rows, none, monkeypatch):
     r = random.Random(2)
     source = [i for i, t in rows.items() if len(words(t)) > 30]
     items = {0: None, 1: "", 2: "Und", 3: "one two"}
@@ -292,6 +458,11 @@ def test_containment(spark, docs, rows, none):
     left = decontaminate.clean(docs, bench)
     assert left.columns == docs.columns and {x.doc_id for x in left.collect()} == set(rows) - {i for i, _ in want}
     assert decontaminate.contained(none, bench).collect() == [] == decontaminate.contained(docs, bench.filter("false")).collect()
+    # Several passes, of which the driver holds one at a time.
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 2000)
+    assert len(list(decontaminate._passes(bench))) > 2
+    assert {(x.doc_id, x.item_id): (x.n_shared, x.n_item) for x in decontaminate.contained(docs, bench).collect()} == want
+    assert {x.doc_id for x in decontaminate.clean(docs, bench).collect()} == set(rows) - {i for i, _ in want}
 
 
 def labelled(spark):
@@ -341,6 +512,54 @@ def test_toxicity(spark, none):
     assert not any(r.rejected for r in toxicity.toxicity(docs, labels.filter("false")).collect() if r.p_toxic < 0.5)
 
 
+def test_sizes_are_those_of_direct_calls(spark):
+    """The score from compressed sizes by plain calls with the model's dictionaries."""
+    import math
+
+    import zstandard
+
+    rows, known, docs, labels = labelled(spark)
+    model = quality.fit(docs, labels.selectExpr("doc_id", "quality AS label"))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i in (0, 1, 4, 8, 601):
+        text, sizes = (rows[i] or "").encode(), []
+        for d in (model.bad, model.good):
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(text[a : a + quality.BLOCK])) for a in range(0, len(text), quality.BLOCK)))
+        d = (sizes[0] - sizes[1]) / (sum(sizes) + 1)
+        c = math.log(min(sizes) / len(text) + 1e-3) if text else 0.0
+        x = [(v - m) / s for v, m, s in zip((d, d * d, c, c * c, c * d), model.mean, model.scale, strict=True)]
+        assert abs(got[i] - 1 / (1 + math.exp(-model.weights[0] - sum(a * b for a, b in zip(x, model.weights[1:], strict=True))))) < 1e-9
+
+
+def test_chain_by_hand(spark):
+    """Log-odds of a chain on features reckoned by hand, and rejection by them."""
+    data, at = T.strings(__import__("pyarrow").array(["Snark! river", "river", ""]))
+    text, hashes = toxicity.features(data, at)
+    word, river = hashes[0], hashes[1]
+    known = np.sort(np.array([word, river]))
+    weights = np.zeros((2, 2))
+    weights[0, list(known).index(word)], weights[1, list(known).index(river)] = 3.0, -1.0
+    chain = toxicity.Chain(("first", "toxic"), known, np.array([-1.0, 0.5]), weights, np.array([[0.0, 0.0], [2.0, 0.0]]))
+    got = chain.odds(*toxicity._Lookup(known)(text, hashes), 3)
+    assert got.tolist() == [[2.0, 0.5 - 1.0 + 4.0], [-1.0, 0.5 - 1.0 - 2.0], [-1.0, 0.5 - 2.0]]
+
+
+def test_kinds_of_toxicity(spark):
+    """Kinds are labelled by plain words in toxic texts, and null labels are left out."""
+    r = random.Random(5)
+    plain = lambda: " ".join(r.choice(["river", "stone", "walks", "quietly", "morning", "garden"]) for _ in range(30))
+    rows, labels = {}, []
+    for i in range(500):
+        word = {0: " idiot", 1: " trash"}.get(i % 5, "")
+        rows[i] = plain() + word
+        labels.append((i, 1, int(bool(word)) if i % 50 != 7 else None))
+    labels += [(0, 1, 1), (1, 0, 1)]
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity.toxicity(docs, known).collect()}
+    assert all((got[i].p_insult > 0.5) == (i % 5 == 0) and (got[i].p_contempt > 0.5) == (i % 5 == 1) and got[i].rejected == (i % 5 < 2) for i in rows)
+
+
 def test_earlier_categories_feed_later_ones(spark):
     """The second category is the first one's complement: only the chain's link can tell it."""
     rows, _, docs, labels = labelled(spark)
