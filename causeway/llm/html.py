@@ -1,25 +1,31 @@
 """Main text of web pages by wrappers inferred from pages of the same host.
 
-A page is read as a stream of block slots, each with the path of its block elements (tag and class),
-its text and how much of that lies in links. For a host, the streams of its pages are aligned into one
-union-free regular expression over paths: slots that all pages have stay, runs of one or several
-slots become repeated groups, what some pages lack becomes optional. Alignment goes pairwise over
-distinct folded streams, of which a task sees about `ALIGNED` at most: where a host has more, shares of
-them are aligned first, then what the shares gave, and so on. So a host with a third of all pages is worked on
-by many tasks.
-
-Each page is then matched with its host's expression, which gives the slot of each of its blocks. A slot is text if what
-pages have there differs, or if one page alone has it, copies (pages with the same blocks outside menus and the like) being one; else it is constant, a part of the template. Main text are
-text slots under an article or main element, on pages that match such slots (a page whose article is all constant keeps
-it whole); on the other pages of the host, the text slots that are mostly not links. Slots under menus, headers and footers of the page, sidebars,
-notices, adverts, forms, comments, scripts and styles never are; class and id tell sidebars, notices and so on, but not
-of article and main elements, nor of what holds a page's only ones. A page gives its main slots, in page order, a line
-each. What pages have in a slot is compared by 64 bits of hash of the whole text, which for a repeated slot is that of all repeats.
+A page is a stream of tokens: opening and closing block elements (tag and class) and texts. For a host, the streams of its
+pages are aligned into one union-free regular expression. Opening tokens that all pages have stay, elements that repeat, and
+runs of several elements that repeat, become repeated groups, what some pages lack becomes optional, and every text is a slot.
+As opening and closing tokens pair, alignment goes level by level: the elements and texts inside two
+elements that meet are aligned with each other. It goes pairwise over distinct streams, of which a task sees
+about `ALIGNED` at most: where a host has more, shares of them are aligned first, then what the shares gave, and so on. So a
+host with a third of all pages is worked on by many tasks.
+
+Each page is then matched with its host's expression, which gives the slot of each of its texts. What pages have in a slot tells
+what it is: a slot is open if its text differs, or if one page alone has it, copies (pages with the same text outside menus and
+the like) being one; else it is constant. A page's main text is that of the slots
+
+* under article and main elements, open or constant, on pages that have such slots;
+* else of the slots that are mostly not links: the open ones, and the constant ones that stand in one element with them,
+  or in lists, tables and quotations of that element. These elements are what the page has for an article; body and html are none.
+
+Elements that are menus, headers and footers of the page, sidebars, notices, adverts, forms, comments, scripts and styles are no
+part of the stream; class and id tell sidebars, notices and so on, but not of article and main elements, nor of what holds a page's
+only ones. Inside an article, sections called related, shared and the like stay unless they are mostly links or hold articles of
+their own. A page gives its main texts, in page order, a line each. What pages have in a slot is compared by 64 bits of BLAKE2b
+of the whole text, which for a repeated slot is that of all repeats.
 
 Defined cases: null or empty html gives an empty text; a url without a host belongs to the host "";
 a page whose host has one page only is its own wrapper; unclosed and wrongly nested elements close with
-what contains them; a <br> is white space; rows that repeat a page are kept; extra columns are
-ignored; an empty table stays empty.
+what contains them; elements more than `DEPTH` deep count as parts of the one above; a <br> is white space; rows that repeat a page
+are kept; extra columns are ignored; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -29,13 +35,15 @@ import html as html_
 import json
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from causeway.llm import text as T
 from causeway.storage import stored
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -57,44 +65,66 @@ _MARKED = re.compile(rf"(?:^|[\s_-])(?:{_PARTS})(?:$|[\s_-])", re.I)
 _STATE = re.compile(r"(?:has|no|not|with|without|is|show|hide)[_-].*|.*[_-](?:open|opened|closed|fixed|sticky|enabled|disabled|on|off|active|visible|hidden)", re.I)
 _CONTENT = re.compile(r"(?:.*[_-])?(?:content|article|post|entry|story|page|layout|wrapper|container)", re.I)
 _HEADS = re.compile(r"(?:.*[_-])?(?:header|masthead|banner)(?:[_-].*)?", re.I)
+#: Classes that count inside an article only where the element is mostly links or holds an article.
+_WEAK = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|share|sharing|social|promo\w*|widget|toolbar|search|login)(?:$|[\s_-])", re.I)
+#: Elements whose texts stand in what is around them.
+_INNER = frozenset("ul ol li dl dt dd table tbody thead tfoot tr td th blockquote figure figcaption details summary pre caption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
-#: Longest repeated group, and distinct streams that one task aligns at a time.
-REPEATS, ALIGNED = 4, 512
+#: Longest repeated group, distinct streams that one task aligns at a time, elements inside each other, and cells up to which alignment finds the longest common part.
+REPEATS, ALIGNED, DEPTH, CELLS = 4, 512, 150, 1 << 20
 
 
 def _space(text: str) -> str:
     return " ".join(text.split())
 
 
-def _marked(names: list[str], inside: bool) -> bool:
-    """Whether the classes and id of an element make it a menu, notice and so on; inside an article its header is none."""
+def _marks(names: list[str], inside: bool) -> list[str]:
+    """The classes and id of an element that make it a menu, notice and so on; inside an article its header is none."""
     words = [x for x in names if _MARKED.search(x) and not _STATE.fullmatch(x) and not (inside and _HEADS.fullmatch(x))]
-    return bool(words) and not any(_CONTENT.fullmatch(x) and not _MARKED.search(x) for x in names)
+    return [] if any(_CONTENT.fullmatch(x) and not _MARKED.search(x) for x in names) else words
 
 
-def slots(html: str) -> list[tuple[str, str, int]]:
-    """(path, text, characters in links) of each non-blank block of text; a path starts with "!" where it is never
-    main text, with "*" under an article or main element."""
-    out, stack, pieces, linked = [], [], [], 0  # stack: (tag, label, never, main, link, mark)
-    never = main = link = 0
-    marks: list[list[bool]] = []  # of the open elements that classes mark: whether each holds an article or main element
-    plain = False  # an article or main element stands outside all of them
+class Element:
+    """A block element with what is in it: elements, and texts with how many of their characters are in links."""
+
+    __slots__ = ("label", "tag", "bad", "good", "mark", "weak", "holds", "inside")
+
+    def __init__(self, label: str, tag: str, bad: bool = False, good: bool = False, mark: bool = False, weak: bool = False) -> None:
+        self.label, self.tag, self.bad, self.good, self.mark, self.weak = label, tag, bad, good, mark, weak
+        self.holds, self.inside = False, []
+
+    def texts(self) -> Iterator[tuple[str, int]]:
+        for x in self.inside:
+            if isinstance(x, Element):
+                yield from x.texts()
+            else:
+                yield x
+
+
+def parsed(html: str) -> Element:
+    """The block elements and texts of a page, without those that are never main text."""
+    root = Element("", "")
+    stack: list[tuple[str, Element | None]] = [("", root)]  # links have no element of their own
+    open_: list[Element] = [root]
+    pieces, linked, links, mains = [], 0, 0, 0
+    plain = False  # an article or main element stands outside all that classes mark
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces and (text := _space(html_.unescape("".join(pieces)))):
-            label = "/".join(x[1] for x in stack if x[0] in _BLOCK)
-            out.append((never, tuple(marks), main, label, text, min(linked, len(text))))
+            open_[-1].inside.append((text, min(linked, len(text))))
         pieces, linked = [], 0
 
     def close(n: int) -> None:
-        nonlocal never, main, link
+        nonlocal links, mains
         flush()
-        for _, _, bad, good, anchor, mark in stack[n:]:
-            never, main, link = never - bad, main - good, link - anchor
-            if mark:
-                marks.pop()
+        for _, e in stack[n:]:
+            if e is None:
+                links -= 1
+            else:
+                mains -= e.good
+                open_.pop()
         del stack[n:]
 
     at, lower = 0, None
@@ -103,7 +133,7 @@ def slots(html: str) -> list[tuple[str, str, int]]:
         text = html[at : m.start()] if m else html[at:]
         if text:
             pieces.append(text)
-            linked += len(text) if link else 0
+            linked += len(text) if links else 0
         if not m:
             break
         at = m.end()
@@ -113,11 +143,12 @@ def slots(html: str) -> list[tuple[str, str, int]]:
         if m[1]:
             if tag == "br" or tag not in _BLOCK and tag != "a":
                 continue
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), None)
             if depth is None:
                 continue
             if tag == "a":
-                link -= stack.pop(depth)[4]
+                stack.pop(depth)
+                links -= 1
             else:
                 close(depth)
         elif tag in _RAW:
@@ -129,85 +160,148 @@ def slots(html: str) -> list[tuple[str, str, int]]:
         elif tag == "br" or tag in _VOID and tag != "hr":
             pieces.append(" ")
         elif tag == "a":
-            stack.append(("a", "a", 0, 0, 1, False))
-            link += 1
+            stack.append(("a", None))
+            links += 1
         elif tag in _BLOCK:
             flush()
-            open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCK), None)
-            while open_ is not None and tag in _ENDS.get(stack[open_][0], ()):
-                close(open_)
-                open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCK), None)
+            last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] is not None), None)
+            while last is not None and tag in _ENDS.get(stack[last][0], ()):
+                close(last)
+                last = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][1] is not None), None)
             if tag == "hr" or m[3].endswith("/"):
                 continue
             attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
             names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
-            inside = main > 0
+            inside = mains > 0
             bad = tag in _NEVER or attributes.get("role", "").lower() in _ROLES or (tag == "header" and not inside)
             good = not bad and (tag in _MAIN or attributes.get("role", "").lower() == "main")
-            mark = bool(names) and not bad and not good and tag not in ("body", "html") and _marked(names, inside)
-            if good and not never and not inside:
-                plain = plain or not marks
-                for holds in marks:
-                    holds[0] = True
-            if mark:
-                marks.append([False])
+            marks = _marks(names, inside) if names and not bad and not good and tag not in ("body", "html") else []
             label = tag + ("." + re.sub(r"\d+", "0", attributes["class"].split()[0]) if attributes.get("class", "").split() else "")
-            stack.append((tag, label, int(bad), int(good), 0, mark))
-            never, main = never + bad, main + good
-    close(0)
-    spared = lambda mark: mark[0] and not plain
-    return [(("!" if bad or not all(map(spared, over)) else "*" if good else "") + label, text, n) for bad, over, good, label, text, n in out]
+            e = Element(label, tag, bad, good, bool(marks), inside and all(_WEAK.search(x) for x in marks))
+            if good:
+                for x in open_:
+                    x.holds = True
+                if not inside and not any(x.bad for x in open_):
+                    plain = plain or not any(x.mark for x in open_)
+            if len(open_) < DEPTH:
+                open_[-1].inside.append(e)
+                open_.append(e)
+            else:
+                open_.append(open_[-1])
+            stack.append((tag, e))
+            mains += good
+    close(1)
+    _prune(root, plain)
+    return root
+
+
+def _prune(e: Element, plain: bool) -> int:
+    """Drops what is never main text, and elements without text; the number of texts that are left."""
+    n, kept = 0, []
+    for x in e.inside:
+        if isinstance(x, Element):
+            if x.bad or (x.mark and not x.weak and not (x.holds and not plain)):
+                continue
+            own = _prune(x, plain)
+            if not own or (x.mark and x.weak and (x.holds or sum(k for _, k in x.texts()) * 2 > sum(len(t) for t, _ in x.texts()))):
+                continue
+            n += own
+        else:
+            n += 1
+        kept.append(x)
+    e.inside = kept
+    return n
+
+
+# A page's item is (label, uses): "#" and its texts, or an element and, for each repeat, the items in it; "(a b)" is a run of several items that
+# repeats, with the items of each repeat. An expression is a list of [kind, label, expression of what is inside]; kind is "" (once), "?" (optional),
+# "+" or "*" (repeated). A star before a label marks article and main elements.
+
+Items = list[tuple[str, list]]
+Expression = list[list]
+
+
+def fold(inside: list) -> Items:
+    """What is in an element, with its immediate repeats of up to REPEATS items as groups; elements that share less than half of
+    the kinds of things in them are no repeats of each other."""
+    out: Items = []
+    before: set[str] = set()  # kinds of things in the last item
+    for x in inside:
+        label, use = (("*" if x.good else "") + x.label, fold(x.inside)) if isinstance(x, Element) else ("#", x)
+        kinds = {own for own, _ in use} if label != "#" else set()
+        if out and out[-1][0] == label and 2 * len(kinds & before) >= len(kinds | before):
+            out[-1][1].append(use)
+            before |= kinds
+        else:
+            out.append((label, [use]))
+            before = kinds
+    for size in range(2, REPEATS + 1):
+        labels, done, i = [x[0] for x in out], [], 0
+        while i < len(out):
+            unit, n = labels[i : i + size], 1
+            while len(unit) == size and labels[i + n * size : i + (n + 1) * size] == unit:
+                n += 1
+            if n > 1 and len(set(unit)) > 1:
+                done.append((f"({' '.join(unit)})", [out[i + k * size : i + (k + 1) * size] for k in range(n)]))
+                i += n * size
+            else:
+                done.append(out[i])
+                i += 1
+        out = done
+    return out
 
 
-# An expression is a list of (kind, body): kind "" (once), "?" (optional), "+" or "*" (repeated); body is a tuple of paths.
+def shape(items: Items) -> Expression:
+    """The expression of some items alone."""
+    return [["+" if len(uses) > 1 else "", label, [] if label == "#" else reduce(align, map(shape, uses))] for label, uses in items]
 
 
-def fold(paths: list[str]) -> list[tuple[str, tuple[str, ...]]]:
-    """A stream of paths with its immediate repeats of up to REPEATS paths as groups."""
-    out, i = [], 0
-    while i < len(paths):
-        for size in range(1, REPEATS + 1):
-            unit, n = paths[i : i + size], 1
-            while len(unit) == size and paths[i + n * size : i + (n + 1) * size] == unit:
-                n += 1
-            if n > 1:
-                out.append(("+", tuple(unit)))
-                i += n * size
-                break
-        else:
-            out.append(("", (paths[i],)))
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common part, the first way; of long lists, of a long one."""
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    found = [(i, i) for i in range(lead)]
+    a, b = a[lead:], b[lead:]
+    if len(a) * len(b) > CELLS:
+        return found + [(lead + x + k, lead + y + k) for x, y, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(n)]
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below = table[i], table[i + 1]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            found.append((lead + i, lead + j))
+            i, j = i + 1, j + 1
+        elif table[i + 1][j] >= table[i][j + 1]:
             i += 1
-    return out
+        else:
+            j += 1
+    return found
 
 
-def align(a: list, b: list) -> list:
-    """The expression that covers both: common bodies in order, the rest optional."""
+def align(a: Expression, b: Expression) -> Expression:
+    """The expression that covers both: common items in order, with what is inside them aligned, the rest optional."""
     if a == b:
         return a
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i][1] == b[j][1] else max(table[i + 1][j], table[i][j + 1])
     out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i][1] == b[j][1]:
-            kinds = a[i][0] + b[j][0]
+    for x, y in [*_common([e[1] for e in a], [e[1] for e in b]), (len(a), len(b))]:
+        out += [[{"": "?", "+": "*"}.get(kind, kind), label, inside] for kind, label, inside in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            kinds = a[x][0] + b[y][0]
             many, some = any(k in kinds for k in "+*"), any(k in kinds for k in "?*")
-            out.append(("*" if many and some else "+" if many else "?" if some else "", a[i][1]))
-            i, j = i + 1, j + 1
-        else:
-            left = j == len(b) or i < len(a) and table[i + 1][j] >= table[i][j + 1]
-            kind, body = a[i] if left else b[j]
-            out.append(({"": "?", "+": "*"}.get(kind, kind), body))
-            i, j = i + left, j + (not left)
+            out.append(["*" if many and some else "+" if many else "?" if some else "", a[x][1], align(a[x][2], b[y][2])])
+        i, j = x + 1, y + 1
     return out
 
 
-def match(stream: list, expression: list) -> list[int]:
-    """The item of the expression that each item of a folded stream stands for, the leftmost way; the expression covers the stream."""
-    ends, way, dead, i, j = (len(stream), len(expression)), [], set(), 0, 0
+def match(found: list[tuple[str, bool]], expression: Expression) -> list[int]:
+    """The place in the expression of each of some (label, repeats), the leftmost way; the expression covers them."""
+    ends, way, dead, i, j = (len(found), len(expression)), [], set(), 0, 0
     while (i, j) != ends:
-        fits = i < ends[0] and j < ends[1] and stream[i][1] == expression[j][1] and (not stream[i][0] or expression[j][0] in ("+", "*"))
+        fits = i < ends[0] and j < ends[1] and found[i][0] == expression[j][1] and (not found[i][1] or expression[j][0] in ("+", "*"))
         if fits and (i + 1, j + 1) not in dead:
             way.append((i, j))
             i, j = i + 1, j + 1
@@ -218,77 +312,114 @@ def match(stream: list, expression: list) -> list[int]:
             dead.add((i, j))
             i, j = way.pop()
         else:
-            raise ValueError("the expression does not cover the stream")
+            raise ValueError("the expression does not cover the page")
     return [j for (i, j), (after, _) in zip(way, [*way[1:], ends], strict=False) if after > i]
 
 
-def grouped(paths: list[str], stream: list) -> list[range]:
-    """For each path of the items of fold(paths), one after another, the places of the page that it stands for."""
-    out, i = [], 0
-    for kind, body in stream:
-        size, n = len(body), 1
-        while kind and tuple(paths[i + n * size : i + (n + 1) * size]) == body:
-            n += 1
-        out += [range(i + k, i + n * size, size) for k in range(size)]
-        i += n * size
-    return out
-
-
 class Wrapper:
-    """An expression, with its slots (the paths of its items, numbered through) and which of them hold main text."""
+    """An expression, with its slots (its texts, numbered through), the elements that they are in, and which hold main text."""
 
     def __init__(self, expression: str, main: list[int] | None = None) -> None:
-        self.items = _items(expression)
-        self.paths = [p for _, body in self.items for p in body]
+        self.expression: Expression = json.loads(expression)
         self.main = frozenset(main or ())
-        self.first = [0, *accumulate(len(body) for _, body in self.items)]
-        self.known: dict[tuple, list[int]] = {}
-
-    def slots(self, stream: list) -> list[int]:
-        """The slot of each path of the stream's items, one after another."""
-        key = tuple(stream)
-        if key not in self.known:
-            if len(self.known) > 1000:
-                self.known.clear()
-            self.known[key] = [self.first[j] + k for (_, body), j in zip(stream, match(stream, self.items), strict=True) for k in range(len(body))]
-        return self.known[key]
+        self.starred: list[bool] = []
+        self.around: list[list[int]] = []  # of each slot its element and what that stands in, up to what is no list or table
+        self.first: dict[int, int] = {}  # id of an expression -> the number of its first slot
+        self._count(self.expression, [(-1, "html")], False)
+
+    def _count(self, expression: Expression, over: list[tuple[int, str]], starred: bool) -> None:
+        self.first[id(expression)] = len(self.starred)
+        for item in expression:
+            _, label, inside = item
+            if label == "#":
+                self.starred.append(starred)
+                own, chain = len(over) - 1, []
+                while own >= 0:
+                    chain.append(over[own][0])
+                    if len(chain) > 1 and over[own][1] not in _INNER:
+                        break
+                    own -= 1
+                self.around.append([x for x in chain if x >= 0])
+            else:
+                tag = label.lstrip("*").split(".")[0]
+                number = -1 if tag in ("html", "body") else id(item)
+                self._count(inside, over if label.startswith("(") else [*over, (number, tag)], starred or label.startswith("*"))
+
+    def texts(self, items: Items) -> list[tuple[int, str, int]]:
+        """(slot, text, characters in links) of a page's texts, in page order."""
+        out: list[tuple[int, str, int]] = []
+        self._texts(items, self.expression, out)
+        return out
+
+    def _texts(self, items: Items, expression: Expression, out: list) -> None:
+        at, slot, j = match([(label, len(uses) > 1) for label, uses in items], expression), self.first[id(expression)], 0
+        for (label, uses), to in zip(items, at, strict=True):
+            while j < to:
+                slot += 1 if expression[j][1] == "#" else _slots_in(expression[j][2])
+                j += 1
+            for use in uses:
+                if label == "#":
+                    out.append((slot, *use))
+                else:
+                    self._texts(use, expression[to][2], out)
+
+    def slots(self, stream: str) -> list[int]:
+        """The slot of each text of a stream's expression."""
+        out: list[int] = []
+
+        def walk(own: Expression, expression: Expression) -> None:
+            at, slot, j = match([(label, kind in ("+", "*")) for kind, label, _ in own], expression), self.first[id(expression)], 0
+            for (_, label, inside), to in zip(own, at, strict=True):
+                while j < to:
+                    slot += 1 if expression[j][1] == "#" else _slots_in(expression[j][2])
+                    j += 1
+                if label == "#":
+                    out.append(slot)
+                else:
+                    walk(inside, expression[to][2])
+
+        walk(json.loads(stream), self.expression)
+        return out
+
+    def chosen(self, seen: dict[int, tuple[bool, int, int]]) -> list[int]:
+        """The slots of main text; seen: of each slot whether it is open, its characters and those in links."""
+        content = [s for s, (is_open, chars, linked) in seen.items() if not self.starred[s] and is_open and linked * 2 <= chars]
+        articles = {e for s in content for e in (self.around[s][0:1] + self.around[s][-1:])}
+        near = [s for s, (is_open, chars, linked) in seen.items() if not self.starred[s] and not is_open and linked * 2 <= chars and articles.intersection(self.around[s])]
+        return sorted({*content, *near, *(s for s in seen if self.starred[s])})
 
     def text(self, page: str) -> str:
-        found = slots(page)
-        paths = [p for p, _, _ in found]
-        stream = fold(paths)
-        own = self.slots(stream)
-        chosen = self.chosen(own)
-        return "\n".join(found[i][1] for i in sorted(i for slot, places in zip(own, grouped(paths, stream), strict=True) if slot in chosen for i in places))
+        found = self.texts(fold(parsed(page).inside))
+        starred = any(self.starred[slot] for slot, _, _ in found)
+        return "\n".join(text for slot, text, _ in found if slot in self.main and self.starred[slot] == starred)
 
-    def asked(self, own: list[int]) -> set[int]:
-        """Of the slots that a page matches those that may be its main text: under an article, or all open ones if it has none there."""
-        return {s for s in own if self.paths[s].startswith("*")} or {s for s in own if not self.paths[s].startswith("!")}
 
-    def chosen(self, own: list[int]) -> set[int]:
-        """Which of the slots that a page matches are its main text."""
-        asked = self.asked(own)
-        return asked & self.main or {s for s in asked if self.paths[s].startswith("*")}
-
-
-def _items(expression: str) -> list[tuple[str, tuple[str, ...]]]:
-    return [(k, tuple(b)) for k, b in json.loads(expression)]
+def _slots_in(expression: Expression) -> int:
+    return sum(1 if label == "#" else _slots_in(inside) for _, label, inside in expression)
 
 
 def _key(*texts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(texts).encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _slot_texts(items: Items, stream: Expression) -> list[list[tuple[str, int]]]:
+    """A page's texts in each slot of its own expression."""
+    wrapper = Wrapper(json.dumps(stream))
+    out: list[list[tuple[str, int]]] = [[] for _ in wrapper.starred]
+    for slot, text, linked in wrapper.texts(items):
+        out[slot].append((text, linked))
+    return out
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in T.slices(batches):
         rows = []
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = slots(page or "")
-            paths = [p for p, _, _ in found]
-            stream = fold(paths)
-            own = [[found[i] for i in places] for places in grouped(paths, stream)]
-            content = _key(*(x for p, t, _ in found if not p.startswith("!") for x in (p, t)))
-            rows.append({"host": host, "stream": json.dumps(stream), "content": content, "own": [{"text": _key(*(t for _, t, _ in x)), "chars": sum(len(t) for _, t, _ in x), "linked": sum(n for _, _, n in x)} for x in own]})
+            items = fold(parsed(page or "").inside)
+            stream = shape(items)
+            own = _slot_texts(items, stream)
+            content = _key(*(t for x in own for t, _ in x))
+            rows.append({"host": host, "stream": json.dumps(stream), "content": content, "own": [{"text": _key(*(t for t, _ in x)), "chars": sum(len(t) for t, _ in x), "linked": sum(n for _, n in x)} for x in own]})
         yield pa.RecordBatch.from_pylist(rows, schema=_STREAM)
 
 
@@ -297,43 +428,48 @@ _STREAM_SQL = "host string, stream string, content bigint, own array<struct<text
 
 
 class _Wrappers(dict):
-    """The wrappers that a task has met lately, by host."""
+    """What a task has met lately, by key."""
 
-    def of(self, host: str, *parts) -> Wrapper:
-        if host not in self:
+    def of(self, key, make):
+        if key not in self:
             if len(self) > 1000:
                 self.clear()
-            self[host] = Wrapper(*parts)
-        return self[host]
+            self[key] = make()
+        return self[key]
 
 
 def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the pages (host, stream, content, own, expression) of a batch have in each slot of their host's expression that may be their main text."""
-    met = _Wrappers()
-    for batch in batches:
+    """What the pages (host, stream, content, own, expression) of a batch have in each slot of their host's expression that can be main text of theirs."""
+    met, places = _Wrappers(), _Wrappers()
+    for batch in T.slices(batches):
         counts: dict[tuple[str, int], list] = {}
         for host, stream, content, own, expression in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            wrapper = met.of(host, expression)
-            at = wrapper.slots(_items(stream))
-            asked = wrapper.asked(at)
+            wrapper = met.of(host, lambda: Wrapper(expression))  # noqa: B023
+            at = places.of((host, stream), lambda: wrapper.slots(stream))  # noqa: B023
+            starred = any(wrapper.starred[slot] for slot in at)
             for slot, x in zip(at, own, strict=True):
-                if slot in asked:
-                    c = counts.setdefault((host, slot), [wrapper.paths[slot].startswith("*"), 0, 0, content, content, x["text"], x["text"]])
-                    c[1:3] = c[1] + x["chars"], c[2] + x["linked"]
-                    c[3:] = min(c[3], content), max(c[4], content), min(c[5], x["text"]), max(c[6], x["text"])
-        columns = [[h for h, _ in counts], [s for _, s in counts], *([c[i] for c in counts.values()] for i in range(7))]
+                if wrapper.starred[slot] != starred:
+                    continue
+                c = counts.setdefault((host, slot), [0, 0, content, content, x["text"], x["text"]])
+                c[:] = c[0] + x["chars"], c[1] + x["linked"], min(c[2], content), max(c[3], content), min(c[4], x["text"]), max(c[5], x["text"])
+        columns = [[h for h, _ in counts], [s for _, s in counts], *([c[i] for c in counts.values()] for i in range(6))]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
 
-_COUNTS = pa.schema([("host", pa.string()), ("slot", pa.int32()), ("starred", pa.bool_()), *((c, pa.int64()) for c in ("chars", "linked", "first", "last", "low", "high"))])
+_COUNTS = pa.schema([("host", pa.string()), ("slot", pa.int32()), *((c, pa.int64()) for c in ("chars", "linked", "first", "last", "low", "high"))])
+
+
+def _main_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, expression, main) of (host, expression, seen)."""
+    for batch in batches:
+        main = []
+        for expression, seen in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            main.append(Wrapper(expression).chosen({x["slot"]: (x["open"], x["chars"], x["linked"]) for x in seen or ()}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(main, pa.list_(pa.int32()))], names=["host", "expression", "main"])
 
 
 def _aligned(streams: list[str]) -> str:
-    whole: list | None = None
-    for s in sorted(set(streams)):
-        one = _items(s)
-        whole = one if whole is None else align(whole, one)
-    return json.dumps(whole or [])
+    return json.dumps(reduce(align, map(json.loads, sorted(set(streams)))))
 
 
 def _merge(column_in: str, columns_out: tuple[str, ...]):
@@ -357,18 +493,18 @@ def wrappers(pages: DataFrame) -> DataFrame:
         dealt = level.join(shares, "host").withColumn("share", F.pmod(F.xxhash64("stream"), "shares"))
         level = stored(dealt.groupBy("host", "share").applyInArrow(_merge("stream", ("host", "stream")), "host string, stream string").distinct())
     whole = stored(level.groupBy("host").applyInArrow(_merge("stream", ("host", "expression")), "host string, expression string"))
-    matched = read.join(whole, "host").select("host", "stream", "content", "own", "expression").mapInArrow(_slot_counts, "host string, slot int, starred boolean, chars long, linked long, first long, last long, low long, high long")
-    counts = matched.groupBy("host", "slot").agg(F.first("starred").alias("starred"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
-    moving = (F.col("first") == F.col("last")) | (F.col("low") != F.col("high"))
-    main = counts.filter(moving & (F.col("starred") | (F.col("linked") * 2 <= F.col("chars")))).groupBy("host").agg(F.collect_list("slot").alias("main"))
-    return whole.join(main, "host", "left").select("host", "expression", F.coalesce("main", F.array().cast("array<int>")).alias("main"))
+    matched = read.join(whole, "host").select("host", "stream", "content", "own", "expression").mapInArrow(_slot_counts, "host string, slot int, chars long, linked long, first long, last long, low long, high long")
+    counts = matched.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+    is_open = (F.col("first") == F.col("last")) | (F.col("low") != F.col("high"))
+    seen = counts.groupBy("host").agg(F.collect_list(F.struct("slot", is_open.alias("open"), "chars", "linked")).alias("seen"))
+    return whole.join(seen, "host", "left").select("host", "expression", "seen").mapInArrow(_main_slots, "host string, expression string, main array<int>")
 
 
 def _main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     met = _Wrappers()
-    for batch in batches:
+    for batch in T.slices(batches):
         rows = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True)
-        texts = [met.of(host, expression, main).text(page or "") for page, host, expression, main in rows]
+        texts = [met.of(host, lambda: Wrapper(expression, main)).text(page or "") for page, host, expression, main in rows]  # noqa: B023
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
