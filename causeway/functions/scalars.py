@@ -156,9 +156,10 @@ def first_text(columns: list[Column], limit: int) -> Column:
     return F.substring(F.coalesce(*(present(F.trim(c)) for c in columns), F.lit("")), 1, limit)
 
 
-def distinct_values(values: Column, limit: int = 20) -> Column:
-    """(P21, P46, P79)"""
-    return F.slice(F.array_distinct(F.filter(F.transform(values, lambda t: F.trim(t)), lambda v: v != "")), 1, limit)
+def distinct_values(values: Column, limit: int | None = None) -> Column:
+    """(P21, P46, P79): trimmed, present and distinct, in order; with a limit the first of these."""
+    found = F.array_distinct(F.filter(F.transform(values, lambda t: F.trim(t)), lambda v: v != ""))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def version_candidates(file_id: Column) -> Column:

@@ -20,25 +20,42 @@ EDGE = ["tree_id", "source", "target"]
 LEAF_WIDTH = 160
 
 
-def closure(edges: DataFrame, roots: DataFrame, *, most_levels: int | None = None) -> DataFrame:
-    """(tree_id, root, id, depth): every descendant of roots (tree_id, root), by its shortest distance; cycles end."""
-    steps = stored(edges.select("tree_id", F.col("target").alias("id"), F.col("source").alias("child")).distinct())
-    frontier = stored(roots.select("tree_id", "root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct())
+def _walk(steps: DataFrame, start: DataFrame, keys: list[str], most_levels: int | None = None) -> DataFrame:
+    """(*keys, id, depth): what is reached from start (*keys, id) by steps (tree_id, id, next), by the shortest way; cycles end.
+
+    Where every node has one step at most no two ways meet, and only a way's own start can come again: then nothing is held
+    against what was reached before.
+    """
+    steps = stored(steps.distinct())
+    single = not steps.groupBy("tree_id", "next").count().filter("count > 1").limit(1).count()
+    frontier = stored(start.select(*keys, "id", F.col("id").alias("origin"), F.lit(0).alias("depth")).distinct())
     levels = [frontier]
     while most_levels is None or len(levels) <= most_levels:
-        reached = reduce(DataFrame.unionByName, levels)
-        new = frontier.join(steps, ["tree_id", "id"]).select("tree_id", "root", F.col("child").alias("id"), F.lit(len(levels)).alias("depth")).distinct()
-        frontier = stored(new.join(reached.select("tree_id", "root", "id"), ["tree_id", "root", "id"], "left_anti"))
+        new = frontier.join(steps, ["tree_id", "id"]).select(*keys, F.col("next").alias("id"), "origin", F.lit(len(levels)).alias("depth")).distinct()
+        if single:
+            new = new.filter("id <> origin")
+        else:
+            reached = reduce(DataFrame.unionByName, levels)
+            new = new.join(reached.select(*keys, "id"), [*keys, "id"], "left_anti")
+        frontier = stored(new)
         if not frontier.limit(1).count():
             break
         levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+    return reduce(DataFrame.unionByName, levels).drop("origin")
+
+
+def closure(edges: DataFrame, roots: DataFrame, *, most_levels: int | None = None) -> DataFrame:
+    """(tree_id, root, id, depth): every descendant of roots (tree_id, root), by its shortest distance; cycles end."""
+    down = edges.select("tree_id", F.col("target").alias("id"), F.col("source").alias("next"))
+    return _walk(down, roots.select("tree_id", "root", F.col("root").alias("id")), ["tree_id", "root"], most_levels).select("tree_id", "root", "id", "depth")
 
 
 def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (tree_id, start, goal) with `reached`: is goal among start and its descendants (R2)?"""
-    within = closure(edges, pairs.select("tree_id", F.col("start").alias("root")))
-    hit = within.select("tree_id", F.col("root").alias("start"), F.col("id").alias("goal"), F.lit(True).alias("hit"))
+    """pairs (tree_id, start, goal) with `reached`: is goal among start and its descendants (R2)? Walks up from the goals, as what is
+    above a node is little beside what is below one."""
+    up = edges.select("tree_id", F.col("source").alias("id"), F.col("target").alias("next"))
+    above = _walk(up, pairs.select("tree_id", "goal", F.col("goal").alias("id")).distinct(), ["tree_id", "goal"])
+    hit = above.select("tree_id", F.col("id").alias("start"), "goal", F.lit(True).alias("hit"))
     return pairs.join(hit, ["tree_id", "start", "goal"], "left").select(*pairs.columns, F.coalesce("hit", F.lit(False)).alias("reached"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,16 +17,77 @@ def text_score(needle: Column, blob: Column) -> Column:
     return F.when((needle != "") & blob.contains(needle), 10).otherwise(0) + found
 
 
+#: Needles that one expression holds; more are answered in as many passes over the chunks.
+NEEDLES = 64
+
+
 def ranked_chunks(chunks: DataFrame, needles: DataFrame, limit: int = 10) -> DataFrame:
     """(query, chunk_id, score, rank): the best chunks (chunk_id, title, source, text, pos) for each of a stated set of
-    needles (query, needle), ties in document order (T1). One aggregation over the chunks, with partial results."""
+    needles (query, needle), ties in document order (T1). Needles are a report's few questions and come to the driver."""
     blob = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
-    asked = [(r["query"], r["needle"]) for r in needles.collect()]
-    scores = F.array(*(F.struct(F.lit(q).alias("query"), text_score(F.lit(n), F.col("blob")).alias("score")) for q, n in asked))
-    hits = chunks.select("chunk_id", "pos", blob.alias("blob")).select("chunk_id", "pos", F.inline(scores)).filter("score > 0")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "pos")
-    best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, min(limit, 10)))
-    return best.select("query", "chunk_id", "score", "rank")
+    asked, order = [(r["query"], r["needle"]) for r in needles.collect()], Window.partitionBy("query").orderBy(F.desc("score"), "pos")
+    found = []
+    for at in range(0, max(1, len(asked)), NEEDLES):
+        scores = F.array(*(F.struct(F.lit(q).alias("query"), text_score(F.lit(n), F.col("blob")).alias("score")) for q, n in asked[at : at + NEEDLES]))
+        hits = chunks.select("chunk_id", "pos", blob.alias("blob")).select("chunk_id", "pos", F.inline(scores)).filter("score > 0")
+        found.append(hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, min(limit, 10))))
+    return reduce(DataFrame.unionByName, found).select("query", "chunk_id", "score", "rank")
+
+
+# The names under which nodes, and entries of a graph's context, hold their evidence.
+CHUNK_KEYS = ("evidence_chunk_ids", "source_chunk_ids", "chunk_ids", "chunks", "evidenceChunks", "sourceChunks")
+GRAPH_CHUNK_KEYS = ("source_chunk_ids", "source_chunk_refs", "chunk_ids", "documents")
+
+
+def _ids_under(v: Column, key: str, names: tuple[str, ...]) -> Column:
+    """The ids that a value under a key gives: a list or one alone, of texts, numbers or objects with one of the names."""
+    one = F.try_variant_get(v, f"$.{key}", "variant")
+    many = F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array(one))
+    text = lambda x: F.trim(F.coalesce(*(S.present(F.try_variant_get(x, f"$.{n}", "string")) for n in names), F.when(~F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)), F.try_variant_get(x, "$", "string")), F.lit("")))
+    return F.transform(F.filter(many, lambda x: x.isNotNull()), text)
+
+
+def chunk_ids(v: Column) -> Column:
+    """All distinct chunk ids of a node (VARIANT), in order of its keys (P25)."""
+    return S.distinct_values(F.concat(*(_ids_under(v, k, ("id", "chunk_id")) for k in CHUNK_KEYS)))
+
+
+def graph_chunk_ids(v: Column) -> Column:
+    """All distinct chunk ids of a graph's context (VARIANT with nodes and edges)."""
+    entries = F.concat(*(F.coalesce(F.try_variant_get(v, f"$.{g}", "array<variant>"), F.array().cast("array<variant>")) for g in ("nodes", "edges")))
+    of = lambda e: F.concat(*(_ids_under(e, k, ("chunk_uid", "chunk_id", "id")) for k in GRAPH_CHUNK_KEYS))
+    return S.distinct_values(F.flatten(F.transform(entries, of)))
+
+
+def edge_evidence(edges: DataFrame) -> DataFrame:
+    """(tree_id, source, target, file_version_id, chunk_id): the documents of edges (tree_id, source, target, documents) once
+    for each reference, the first of each, by number (A13, P17, P73)."""
+    each = edges.select("tree_id", "source", "target", F.posexplode("documents").alias("k", "d")).select("tree_id", "source", "target", "k", F.col("d.file_version_id").alias("file_version_id"), S.present(F.col("d.chunk_id")).alias("chunk_id"))
+    key = S.chunk_key(F.col("file_version_id"), F.col("chunk_id"))
+    first = each.filter("chunk_id IS NOT NULL").groupBy("tree_id", "source", "target", key.alias("key")).agg(F.min_by(F.struct("file_version_id", "chunk_id"), "k").alias("d"))
+    return first.select("tree_id", "source", "target", "d.*")
+
+
+def node_documents(nodes: DataFrame) -> DataFrame:
+    """(tree_id, id, documents): references of a node (documents: an array of structs with chunk_id or text), chunks by number before texts."""
+    chunks = F.filter("documents", lambda d: S.present(d["chunk_id"]).isNotNull())
+    texts = F.filter("documents", lambda d: S.present(d["chunk_id"]).isNull())
+    number = F.array_sort(F.transform(chunks, lambda d: F.struct(d["chunk_id"].try_cast("double").alias("n"), d["chunk_id"].alias("chunk_id"))))
+    return nodes.select("tree_id", "id", F.concat(F.transform(number, lambda d: d["chunk_id"]), F.transform(texts, lambda d: d["text"])).alias("documents"))
+
+
+def named_in(chunks: DataFrame, names: list[str]) -> DataFrame:
+    """chunks (chunk_id, source, chunk_name, file, doc_name, path) with the file_name of the first of a few names whose last part one of these
+    holds; without one the first name, or a dash (J6)."""
+    blob = F.lower(F.concat_ws(" ", "source", "chunk_name", "file", "doc_name", "path"))
+    bases = [n.strip().replace("\\", "/").split("/")[-1].lower() for n in names]
+    hit = [F.when(blob.contains(b), F.lit(n)) for n, b in zip(names, bases, strict=True) if b]
+    return chunks.withColumn("file_name", F.coalesce(*hit, F.lit(names[0] if names else "—")))
+
+
+def question_neighbours(edges: DataFrame, names: DataFrame, question: str) -> DataFrame:
+    """`neighbours` of the first 80 characters of a question."""
+    return neighbours(edges, names, [question.strip()[:80]])
 
 
 def chunk_files(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,10 +144,18 @@ def labelled_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def best_match(nodes: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, id): by id, then by equal label, then the shortest label that contains it."""
-    hit = nodes.join(needles, (F.col("id") == F.col("needle")) | F.col("label").contains(F.col("needle")))
-    tier = F.when(F.col("id") == F.col("needle"), 0).when(F.col("label") == F.col("needle"), 1).otherwise(2)
-    return hit.groupBy("needle").agg(F.min_by("id", F.struct(tier, F.length("label"), "pos")).alias("id"))
+    """(needle, id): by id, then by equal label, then the shortest label that contains it.
+
+    The first two are equality joins; only needles that these leave are held against all labels.
+    """
+    asked = needles.select("needle").distinct()
+    rank = F.struct(F.length("label"), F.col("pos"))
+    by_id = asked.join(nodes.select(F.col("id").alias("needle"), "id", "pos"), "needle").groupBy("needle").agg(F.min_by("id", "pos").alias("id"))
+    left = asked.join(by_id, "needle", "left_anti")
+    by_label = left.join(nodes.select(F.col("label").alias("needle"), "id", "pos"), "needle").groupBy("needle").agg(F.min_by("id", "pos").alias("id"))
+    left = left.join(by_label, "needle", "left_anti")
+    inside = left.join(nodes, F.col("label").contains(F.col("needle"))).groupBy("needle").agg(F.min_by("id", rank).alias("id"))
+    return by_id.unionByName(by_label).unionByName(inside)
 
 
 def overlay_items(events: DataFrame, most: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,17 +174,183 @@ def issue_counts(found: DataFrame, by: list[str]) -> DataFrame:
     return found.groupBy(*by).agg(count("ERROR").alias("error_count"), count("WARNING").alias("warning_count"), count("INFO").alias("info_count"), (count("ERROR") == 0).alias("passed"))
 
 
-def resolve(nodes: DataFrame, names: DataFrame, *, first_exact: bool = False) -> DataFrame:
-    """names (tree_id, ref, node_id, label) with `id`: by id, else by the only equal label (or the first, with
-    first_exact), else by the only label that contains it (F7, F8)."""
-    named = nodes.select("tree_id", "id", F.col("label").alias("name"), "pos")
-    hit = names.join(named, "tree_id").withColumn(
-        "tier", F.when(F.col("id") == F.col("node_id"), 0).when(F.col("name") == S.present(F.trim("label")), 1).when(F.col("name").contains(S.present(F.trim(F.col("label")))), 2)
-    )
-    best = hit.filter("tier IS NOT NULL").groupBy("tree_id", "ref", "tier").agg(F.count("*").alias("n"), F.min_by("id", "pos").alias("id"))
-    usable = best.filter("tier = 0 OR n = 1 OR (tier = 1 AND " + ("true" if first_exact else "false") + ")")
-    chosen = usable.groupBy("tree_id", "ref").agg(F.min_by("id", "tier").alias("id"))
-    return names.join(chosen, ["tree_id", "ref"], "left")
+def resolve(nodes: DataFrame, names: DataFrame, *, first_exact: bool = False, both_ways: bool = False) -> DataFrame:
+    """names (tree_id, ref, node_id, label) with `id`: by id, else by the only equal label (or the first, with first_exact), else by
+    the only label that contains it, or, with both_ways, that it contains (F7, F8, F10).
+
+    Ids and equal labels are equality joins; only names that these leave are held against all labels of their tree.
+    """
+    keys = ["tree_id", "ref"]
+    asked = names.select(*keys, S.present(F.trim("node_id")).alias("node_id"), S.present(F.trim("label")).alias("label"))
+    by_id = asked.join(nodes.select("tree_id", F.col("id").alias("node_id")).distinct(), ["tree_id", "node_id"]).select(*keys, F.col("node_id").alias("id"))
+    left = asked.join(by_id.select(*keys), keys, "left_anti").filter("label IS NOT NULL")
+    equal = left.join(nodes.select("tree_id", "label", "id", "pos"), ["tree_id", "label"]).groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("id", "pos").alias("id"))
+    if not first_exact:
+        equal = equal.filter("n = 1")
+    by_label = equal.select(*keys, "id")
+    left = left.join(by_label.select(*keys), keys, "left_anti")
+    there = left.join(nodes.select("tree_id", "id", F.col("label").alias("name")), "tree_id")
+    inside = F.col("name").contains(F.col("label"))
+    if both_ways:
+        inside = inside | F.col("label").contains(F.col("name"))
+    part = there.filter(inside).groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select(*keys, "id")
+    return names.join(by_id.unionByName(by_label).unionByName(part), keys, "left")
+
+
+# Edits of events by hand.
+
+
+def patch_events(graph: Graph, patches: DataFrame) -> Graph:
+    """Events (no gates) of `patches` (tree_id, id, patch: a struct) get the fields of patch that are not null in their `event` struct (M8, M9)."""
+    nodes, edges = graph
+    out = nodes.join(patches.select("tree_id", "id", F.col("patch").alias("_p")), ["tree_id", "id"], "left")
+    hit = F.col("_p").isNotNull() & (F.col("type") != "gate")
+    event = F.col("event")
+    for name in patches.schema["patch"].dataType.names:
+        event = event.withField(name, F.coalesce(F.when(hit, F.col("_p").getField(name)), F.col("event").getField(name)))
+    return out.withColumn("event", event).drop("_p").select(*nodes.columns), edges
+
+
+def duplicate_events(graph: Graph, wanted: DataFrame, suffix: str = "(副本)") -> Graph:
+    """A copy of each event (no gate) of `wanted` (tree_id, id, new_id, pos), its label with a suffix, without edges."""
+    nodes, edges = graph
+    copies = nodes.filter("type <> 'gate'").drop("pos").join(wanted, ["tree_id", "id"]).withColumn("id", F.col("new_id")).withColumn("label", F.concat(F.coalesce(S.present(F.col("label")), F.lit("事件")), F.lit(suffix)))
+    return _with_rows(nodes, copies.select(*nodes.columns)), edges
+
+
+def insert_parents(graph: Graph, wanted: DataFrame) -> Graph:
+    """A new event between each node of `wanted` (tree_id, id, new_id, label, pos) and its first parent, gate or not; nodes without one stay."""
+    nodes, edges = graph
+    over = wanted.join(parents(edges), ["tree_id", "id"])
+    new = over.select("tree_id", F.col("new_id").alias("id"), "label", F.lit("intermediate").alias("type"), F.lit("").alias("gate"), "pos")
+    turned = edges.join(over.select("tree_id", F.col("id").alias("source"), F.col("parent").alias("target"), "new_id"), ["tree_id", "source", "target"], "left")
+    moved = turned.select("tree_id", "source", F.coalesce("new_id", "target").alias("target"), *[c for c in edges.columns if c not in ("tree_id", "source", "target")])
+    return _with_rows(nodes, new), _with_rows(moved, over.select("tree_id", F.col("new_id").alias("source"), F.col("parent").alias("target"), "pos"))
+
+
+# How events are called that stand for themselves.
+NEW_LABELS = {"top": "新顶事件", "intermediate": "新中间事件", "basic": "新底事件"}
+
+
+def standalone_nodes(graph: Graph, wanted: DataFrame) -> Graph:
+    """A node without edges for each of `wanted` (tree_id, new_id, type, pos), called after its type and how many labels begin so already, and one."""
+    nodes, edges = graph
+    base = F.coalesce(*(F.when(F.col("type") == k, v) for k, v in NEW_LABELS.items()), F.lit(NEW_LABELS["basic"]))
+    named = wanted.withColumn("base", base)
+    begin = nodes.select("tree_id", F.explode(F.array(*(F.when(F.col("label").startswith(v), F.lit(v)) for v in NEW_LABELS.values()))).alias("base")).filter("base IS NOT NULL").groupBy("tree_id", "base").agg(F.count("*").alias("n"))
+    new = named.join(begin, ["tree_id", "base"], "left").select("tree_id", F.col("new_id").alias("id"), F.concat("base", (F.coalesce("n", F.lit(0)) + 1).cast("string")).alias("label"), "type", F.lit("").alias("gate"), "pos")
+    return _with_rows(nodes, new), edges
+
+
+# Plans as tables: (plan_id, tree_id, index, op, source_id, source_label, target_id, target_label, node_type). For move_subtree the source is
+# what moves and the target its new parent; operations on one node name it as target.
+
+_LINKS = ("add_edge", "set_edge_properties", "delete_edge")
+
+
+def plan_issues(graph: Graph, plans: DataFrame, *, limit: int = 12) -> DataFrame:
+    """(plan_id, index, level, issue, node_id) of plans, each held against its tree before anything is applied.
+
+    Operations from `limit` on are not looked at. Names are resolved among the tree's own nodes, so what a plan adds can't be linked in
+    it. Edges are added, moved and deleted in thought, one index of all plans at a time; index and node_id tell what an issue is about.
+    """
+    nodes, edges = graph
+    ops = stored(plans.filter(F.col("index") < limit).filter(F.col("op") != "validate_edit_plan"))
+    ends = ops.select("tree_id", F.concat_ws("|", "plan_id", "index", F.lit("s")).alias("ref"), F.col("source_id").alias("node_id"), F.col("source_label").alias("label"))
+    ends = ends.unionByName(ops.select("tree_id", F.concat_ws("|", "plan_id", "index", F.lit("t")).alias("ref"), F.col("target_id").alias("node_id"), F.col("target_label").alias("label")))
+    found = resolve(nodes, ends).select("ref", "id")
+    key = lambda end: F.concat_ws("|", "plan_id", "index", F.lit(end))
+    ops = ops.withColumn("_s", key("s")).withColumn("_t", key("t")).join(found.toDF("_s", "source"), "_s", "left").join(found.toDF("_t", "target"), "_t", "left")
+    kinds = nodes.select("tree_id", "id", "type")
+    kind = lambda end: kinds.toDF("tree_id", end, f"{end}_type")
+    turn = F.coalesce(((F.col("source_type") == "top") & (F.coalesce("target_type", F.lit("")) != "top")) | (F.col("source_type").isin("top", "intermediate") & (F.col("target_type") == "basic")), F.lit(False)) & (F.col("op") == "add_edge")
+    ops = ops.join(kind("source"), ["tree_id", "source"], "left").join(kind("target"), ["tree_id", "target"], "left")
+    ops = stored(ops.select("plan_id", "tree_id", "index", "op", "node_type", F.when(turn, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turn, F.col("source")).otherwise(F.col("target")).alias("target")))
+    # The edges of each plan: its tree's, less what it took away, and what it added.
+    added = gone = None
+    out = []
+
+    def issue(rows: DataFrame, level: str, text: str) -> DataFrame:
+        return rows.select("plan_id", "index", F.lit(level).alias("level"), F.lit(text).alias("issue"), F.lit(None).cast("string").alias("node_id"))
+
+    known = ops.filter(F.col("op").isin(*OPERATIONS))
+    out.append(issue(ops.filter(~F.col("op").isin(*OPERATIONS)), "ERROR", "unsupported operation"))
+    whole = F.col("source").isNotNull() & F.col("target").isNotNull()
+    for op, text in ((_LINKS, "source or target node not found"), (("move_subtree",), "node or new parent not found")):
+        out.append(issue(known.filter(F.col("op").isin(*op) & ~whole), "ERROR", text))
+    sound = known.filter(whole)
+    out.append(issue(sound.filter("op = 'add_edge' AND source = target"), "ERROR", "self edge is not allowed"))
+    out.append(issue(sound.filter("op = 'move_subtree' AND source = target"), "ERROR", "cannot move a node under itself"))
+    edge = ["plan_id", "tree_id", "source", "target"]
+    links = stored(sound.filter("op IN ('add_edge', 'move_subtree', 'delete_edge') AND NOT (op <> 'delete_edge' AND source = target)"))
+    deletes = known.filter("op = 'delete_node' AND target IS NOT NULL").select("plan_id", "tree_id", "index", F.col("target").alias("node"))
+    at = sorted(r[0] for r in links.select("index").union(deletes.select("index")).distinct().collect())
+    own = plans.select("plan_id", "tree_id").distinct()
+    base = edges.select("tree_id", "source", "target").distinct()
+
+    def there(keys: DataFrame) -> DataFrame:
+        """keys (edge) that are edges of their plan now."""
+        now = keys.join(base, ["tree_id", "source", "target"], "left_semi")
+        now = now if gone is None else now.join(gone, edge, "left_anti")
+        return now if added is None else now.unionByName(keys.join(added, edge, "left_semi")).distinct()
+
+    for i in at:
+        here = links.filter(F.col("index") == i)
+        adds = here.filter("op = 'add_edge'")
+        again = there(adds.select(*edge))
+        out.append(issue(adds.join(again, edge, "left_semi"), "WARNING", "edge already exists"))
+        fresh = adds.join(again, edge, "left_anti").unionByName(here.filter("op = 'move_subtree'"))
+        loops = _loops(base, added, gone, fresh.select(*edge))
+        for op, text in (("add_edge", "edge would create a cycle"), ("move_subtree", "move would create a cycle")):
+            out.append(issue(fresh.filter(F.col("op") == op).join(loops, edge, "left_semi"), "ERROR", text))
+        taken = fresh.join(loops, edge, "left_anti")
+        # What goes: edges named either way, all edges out of what moves, all edges at what is deleted.
+        named = here.filter("op = 'delete_edge'").select(*edge)
+        named = named.unionByName(named.select("plan_id", "tree_id", F.col("target").alias("source"), F.col("source").alias("target")))
+        moved, dead = taken.filter("op = 'move_subtree'").select("plan_id", "tree_id", "source"), deletes.filter(F.col("index") == i)
+        less = [] if added is None else [added.join(named, edge, "left_semi"), added.join(moved, ["plan_id", "tree_id", "source"], "left_semi"), *(added.join(dead.select("plan_id", "tree_id", F.col("node").alias(end)), ["plan_id", "tree_id", end], "left_semi") for end in ("source", "target"))]
+        from_base = [named.join(base, ["tree_id", "source", "target"], "left_semi"), moved.join(base, ["tree_id", "source"]).select(*edge)]
+        from_base += [dead.select("plan_id", "tree_id", F.col("node").alias(end)).join(base, ["tree_id", end]).select(*edge) for end in ("source", "target")]
+        now_gone = reduce(DataFrame.unionByName, from_base if gone is None else [gone, *from_base]).distinct()
+        kept = None if added is None else added.join(reduce(DataFrame.unionByName, less).select(*edge).distinct(), edge, "left_anti")
+        new = taken.select(*edge)
+        added, gone = stored((new if kept is None else kept.unionByName(new)).distinct()), stored(now_gone)
+    # What the plans leave: basic events with causes, and tops without.
+    retyped = known.filter("op = 'set_node_type' AND target IS NOT NULL").select("plan_id", "tree_id", F.col("target").alias("id"), "index", S.node_type(F.col("node_type")).alias("type")).filter("type <> ''")
+    retyped = retyped.groupBy("plan_id", "tree_id", "id").agg(F.max_by("type", "index").alias("now"))
+    dead = deletes.select("plan_id", "tree_id", F.col("node").alias("id")).distinct()
+    fed_by_tree = base.join(nodes.select("tree_id", F.col("id").alias("target")), ["tree_id", "target"], "left_semi")
+    touched = [own.limit(0).select("plan_id", "tree_id", F.lit("").alias("id"))] + [x.select("plan_id", "tree_id", F.col("target").alias("id")) for x in (added, gone) if x is not None] + [retyped.select("plan_id", "tree_id", "id")]
+    touched = reduce(DataFrame.unionByName, touched).distinct()
+    count = fed_by_tree.groupBy("tree_id", F.col("target").alias("id")).agg(F.count("*").alias("n"))
+    change = [x.groupBy("plan_id", "tree_id", F.col("target").alias("id")).agg((sign * F.count("*")).alias("change")) for x, sign in ((added, 1), (gone, -1)) if x is not None]
+    change = reduce(DataFrame.unionByName, change).groupBy("plan_id", "tree_id", "id").agg(F.sum("change").alias("change")) if change else touched.withColumn("change", F.lit(0).cast("bigint"))
+    size = nodes.groupBy("tree_id").agg(F.count("*").alias("size"))
+    odd = nodes.join(count, ["tree_id", "id"], "left").filter("(type = 'basic' AND n IS NOT NULL) OR (type = 'top' AND n IS NULL)").select("tree_id", "id")
+    seen = touched.unionByName(own.join(odd, "tree_id").select("plan_id", "tree_id", "id")).distinct().join(dead, ["plan_id", "tree_id", "id"], "left_anti")
+    seen = seen.join(kinds, ["tree_id", "id"]).join(count, ["tree_id", "id"], "left").join(change, ["plan_id", "tree_id", "id"], "left").join(retyped, ["plan_id", "tree_id", "id"], "left").join(size, "tree_id")
+    fed, kind_now = F.coalesce("n", F.lit(0)) + F.coalesce("change", F.lit(0)), F.coalesce("now", "type")
+    node_issue = lambda rows, level, text: rows.select("plan_id", F.lit(None).cast("int").alias("index"), F.lit(level).alias("level"), F.lit(text).alias("issue"), F.col("id").alias("node_id"))
+    out.append(node_issue(seen.filter((kind_now == "basic") & (fed > 0)), "ERROR", "basic event has children after edit plan"))
+    out.append(node_issue(seen.filter((kind_now == "top") & (fed <= 0) & (F.col("size") > 1)), "WARNING", "top event has no child causes after edit plan"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _loops(base: DataFrame, added: DataFrame | None, gone: DataFrame | None, wanted: DataFrame) -> DataFrame:
+    """Of wanted edges (plan_id, tree_id, source, target) those whose target is below their source in their plan already: walks up from the targets."""
+    edge = ["plan_id", "tree_id", "source", "target"]
+    level = stored(wanted.withColumn("at", F.col("target")).distinct())
+    seen = [level]
+    while level.limit(1).count():
+        up = level.join(base.select("tree_id", F.col("source").alias("at"), F.col("target").alias("next")), ["tree_id", "at"]).select(*edge, "at", "next")
+        if gone is not None:
+            up = up.join(gone.select("plan_id", "tree_id", F.col("source").alias("at"), F.col("target").alias("next")), ["plan_id", "tree_id", "at", "next"], "left_anti")
+        if added is not None:
+            up = up.unionByName(level.join(added.select("plan_id", "tree_id", F.col("source").alias("at"), F.col("target").alias("next")), ["plan_id", "tree_id", "at"]).select(*edge, "at", "next"))
+        new = up.select(*edge, F.col("next").alias("at")).distinct()
+        level = stored(new.join(reduce(DataFrame.unionByName, seen), [*edge, "at"], "left_anti"))
+        seen.append(level)
+    return reduce(DataFrame.unionByName, seen).filter("at = source").select(*edge).distinct()
 
 
 Operation = Callable[[Graph, DataFrame], Graph]
@@ -217,23 +384,63 @@ def _plain(kind: str) -> Operation:
 OPERATIONS: dict[str, Operation] = {k: _plain(k) for k in ("delete_node", "delete_edge", "add_edge", "move_subtree", "add_child_node", "insert_gate", "rename_node", "set_node_type", "set_gate_type", "set_node_properties", "set_edge_properties")}
 
 _OPERATION = [Ty.StructField(c, Ty.LongType() if c == "pos" else Ty.StringType()) for c in ("tree_id", "source", "target", "value", "kind", "pos")]
+#: For each operation, under which names a plan gives its source and target (with _id and _label) and its value.
+_ENDS = {
+    "add_edge": (("source",), ("target",), ()), "delete_edge": (("source",), ("target",), ()), "set_edge_properties": (("source",), ("target",), ()),
+    "move_subtree": (("node", "source"), ("new_parent", "parent", "target"), ()), "add_child_node": (("new",), ("parent", "target"), ("label", "value")), "insert_gate": (("gate",), ("parent", "target"), ("gate_type", "value")),
+    "rename_node": ((), ("target", "node"), ("new_label", "label", "value")), "set_node_type": ((), ("target", "node"), ("node_type", "value")), "set_gate_type": ((), ("target", "node", "parent"), ("gate_type", "value")),
+    "delete_node": ((), ("target", "node"), ()), "set_node_properties": ((), ("target", "node"), ()),
+}
+
+
+def _read(operation: dict) -> dict:
+    """An operation of a plan under one set of names; an end that is no `_id` or `_label` is an id."""
+    op = str(operation.get("op") or operation.get("operation") or "").strip()
+    sources, targets, values = _ENDS.get(op, ((), (), ()))
+    first = lambda names: next((operation[n] for n in names if operation.get(n) not in (None, "")), None)
+    # A renamed or added node's own label is no reference.
+    labels = lambda ends: [f"{n}_label" for n in ends if f"{n}_label" not in values]
+    return {
+        "op": op, "source_id": first([x for n in (*sources, "source") for x in (f"{n}_id", n)]), "source_label": first(labels(sources)),
+        "target_id": first([x for n in targets for x in (f"{n}_id", n)]), "target_label": first(labels(targets)),
+        "value": first(values), "kind": first(("node_type", "kind")), "properties": operation.get("properties") or {},
+    }
+
+
+_PLAN = "plan_id string, tree_id string, index int, op string, source_id string, source_label string, target_id string, target_label string, node_type string"
 
 
 def apply_plan(spark: SparkSession, graph: Graph, plan: str, *, tree_id: str, limit: int = PLAN_LIMIT, store_every: int = 4) -> tuple[Graph, list[str]]:
-    """A plan (JSON {"operations": [{"op", "source", "target", "value", "kind", "properties"}]}) on one tree, and its errors.
+    """A plan (JSON {"operations": [...]}) on one tree, and its errors.
 
-    Names of operations are checked first; with any error nothing is applied. The fold builds one lazy plan and is
-    written out every few operations, so that its lineage stays short.
+    The whole plan is validated first (`plan_issues`); with any error nothing is applied. Operations beyond `limit` are dropped. Ends
+    are found by id, else by the first equal label, else by the only label that holds the name (F8); an operation whose ends are not found
+    does nothing and is told among the errors. The fold builds one lazy plan and is written out every few operations, so that
+    its lineage stays short.
     """
-    operations = json.loads(plan).get("operations", [])[:limit]
-    errors = [f"{i}: unsupported operation {o.get('op')}" for i, o in enumerate(operations) if o.get("op") not in OPERATIONS]
-    if errors:
-        return graph, errors
-    for i, o in enumerate(operations, 1):
-        given = {str(k): v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in (o.get("properties") or {}).items()}
+    operations = [_read(o) for o in json.loads(plan).get("operations", []) if isinstance(o, dict)][:limit]
+    if not operations:
+        return graph, []
+    rows = [(tree_id, tree_id, i, o["op"], o["source_id"], o["source_label"], o["target_id"], o["target_label"], o["value"] if o["op"] == "set_node_type" else None) for i, o in enumerate(operations)]
+    found = plan_issues(graph, spark.createDataFrame(rows, _PLAN), limit=limit).filter("level = 'ERROR'").collect()
+    if found:
+        return graph, [f"{r['node_id'] if r['index'] is None else r['index']}: {r['issue']}" for r in sorted(found, key=lambda r: (r["index"] is None, r["index"] or 0, r["node_id"] or ""))]
+    errors = []
+    for i, o in enumerate(operations):
+        ends = {}
+        for end in ("source", "target"):
+            if o[f"{end}_label"] is None:
+                ends[end] = o[f"{end}_id"]
+            else:
+                name = spark.createDataFrame([(tree_id, "x", o[f"{end}_id"], o[f"{end}_label"])], "tree_id string, ref string, node_id string, label string")
+                ends[end] = resolve(graph[0], name, first_exact=True).first()["id"]
+        if ends["target"] is None:
+            errors.append(f"{i}: target not found or no-op")
+            continue
+        given = {str(k): v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in o["properties"].items()}
         fields = Ty.StructType([Ty.StructField(k, Ty.StringType()) for k in given]) if given else Ty.StringType()
-        row = [(tree_id, o.get("source"), o.get("target"), o.get("value"), o.get("kind"), (1 << 41) + i, tuple(given.values()) or None)]
+        row = [(tree_id, ends["source"], ends["target"], o["value"], o["kind"], (1 << 41) + i + 1, tuple(given.values()) or None)]
         graph = OPERATIONS[o["op"]](graph, spark.createDataFrame(row, Ty.StructType([*_OPERATION, Ty.StructField("properties", fields)])))
-        if i % store_every == 0:
+        if (i + 1) % store_every == 0:
             graph = stored(graph[0]), stored(graph[1])
-    return graph, []
+    return graph, errors

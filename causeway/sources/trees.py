@@ -76,7 +76,7 @@ def edges(parsed: DataFrame) -> DataFrame:
     )
     maps = parsed.filter("shape = 'map'").select("tree_id", F.posexplode(F.map_values(_get("body", "$.nodes", "map<string,variant>"))).alias("p", "n"))
     below = maps.select("tree_id", "p", _text("n", "$.id").alias("target"), F.posexplode(_get("n", "$.children", "array<string>")).alias("c", "source"))
-    mapped = below.select("tree_id", "source", "target", (F.col("p") * 100_000 + F.col("c")).cast("long").alias("pos"), F.lit(False).alias("is_condition"), F.lit(None).cast("string").alias("relation"))
+    mapped = below.select("tree_id", "source", "target", (F.col("p").cast("long") * (1 << 31) + F.col("c")).alias("pos"), F.lit(False).alias("is_condition"), F.lit(None).cast("string").alias("relation"))
     return linked.unionByName(mapped).filter("source IS NOT NULL AND target IS NOT NULL").select(*EDGE_COLUMNS)
 
 
@@ -89,7 +89,8 @@ def embedded_issues(documents: DataFrame) -> DataFrame:
 
 
 def to_raw(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
-    """(tree_id, document): graphs without gate nodes in the raw list shape."""
+    """(tree_id, document): graphs without gate nodes in the raw list shape (M33, M48). A document is one value, so a tree must fit in
+    one (2 GB as JSON, some ten million nodes); trees are spread over the cluster."""
     listed = nodes_.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("id", F.col("label").alias("name"), "type", F.col("gate").alias("gate")).alias("n")))).alias("ns"))
     linked = edges_.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("source").alias("sourceId"), F.col("target").alias("targetId")).alias("e")))).alias("es"))
     body = F.to_json(F.struct(F.transform("ns", lambda x: x["n"]).alias("nodeList"), F.transform(F.coalesce("es", F.array()), lambda x: x["e"]).alias("linkList")))

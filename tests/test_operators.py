@@ -146,7 +146,7 @@ def test_text_score(spark):
 def test_plan_properties(spark, diamond):
     steps = [
         {"op": "set_node_properties", "target": "b", "properties": {"probability": 0.5, "label": "B!", "id": "z"}}, {"op": "set_edge_properties", "source": "b", "target": "a", "properties": {"polarity": "neg", "source": "z"}},
-        {"op": "insert_gate", "source": "g", "target": "a", "value": "or"}, {"op": "add_child_node", "source": "e", "target": "d", "value": "E"}, {"op": "add_edge", "source": "e", "target": "c"}, {"op": "move_subtree", "source": "d", "target": "b"},
+        {"op": "insert_gate", "source": "g", "target": "a", "value": "or"}, {"op": "add_child_node", "source": "e", "target": "d", "value": "E"}, {"op": "move_subtree", "source": "d", "target": "b"},
     ]
     (nodes, edges), errors = rewrite.apply_plan(spark, diamond, json.dumps({"operations": steps}), tree_id="t")
     assert errors == [] and len(rewrite.OPERATIONS) == 11
@@ -158,3 +158,49 @@ def test_upserted_by_session(spark):
     rows = spark.createDataFrame([(f"s{s}", f"k{i % 5}", i, f"{s}-{i}") for s in range(3) for i in range(7)], "session_id string, task string, pos long, content string")
     got = {(r.session_id, r.task, r.pos, r.content) for r in state.upserted(rows, "task", keep=4).collect()}
     assert got == {(f"s{s}", f"k{k}", k, f"{s}-{k + 5 if k < 2 else k}") for s in range(3) for k in range(1, 5)}
+
+
+def test_plan_is_validated_first(spark, diamond):
+    """Names are found by label; what is added can't be linked in the same plan; one error stops the whole plan."""
+    run = lambda *steps: rewrite.apply_plan(spark, diamond, json.dumps({"operations": list(steps)}), tree_id="t")
+    (nodes, edges), errors = run({"op": "add_edge", "source_label": "D", "target_label": "A"}, {"op": "rename_node", "target_label": "B", "new_label": "Bee"})
+    assert errors == [] and ("d", "a") in pairs(edges) and nodes.filter("id = 'b'").first().label == "Bee"
+    for steps, want in (
+        ([{"op": "add_child_node", "parent_id": "d", "new_id": "e", "label": "E"}, {"op": "add_edge", "source_id": "e", "target_id": "c"}], ["1: source or target node not found"]),
+        ([{"op": "add_edge", "source_id": "b", "target_id": "b"}], ["0: self edge is not allowed"]),
+        ([{"op": "move_subtree", "node_id": "b", "new_parent_id": "d"}], ["0: move would create a cycle", "d: basic event has children after edit plan"][:1]),
+        ([{"op": "delete_edge", "source_id": "d", "target_id": "b"}, {"op": "move_subtree", "node_id": "b", "new_parent_id": "d"}], ["d: basic event has children after edit plan"]),
+        ([{"op": "add_edge", "source_label": "no such", "target_id": "a"}, {"op": "paint"}], ["0: source or target node not found", "1: unsupported operation"]),
+        ([{"op": "set_node_type", "target_id": "b", "node_type": "basic"}], ["b: basic event has children after edit plan"]),
+    ):
+        same, errors = run(*steps)
+        assert same is diamond and errors == want, steps
+    # Deleting what stood between, the move is sound; a thirteenth operation is not looked at.
+    _, errors = run(*[{"op": "rename_node", "target_id": "a", "new_label": "x"}] * 12, {"op": "paint"})
+    assert errors == []
+
+
+def test_resolving_names(spark):
+    nodes = spark.createDataFrame([("t", i, label, n) for n, (i, label) in enumerate([("1", "pump"), ("2", "pump"), ("3", "pump seal"), ("4", "valve")])], "tree_id string, id string, label string, pos long")
+    ask = lambda rows, **kw: {r.ref: r.id for r in rewrite.resolve(nodes, spark.createDataFrame([("t", f"{i}{label}", i, label) for i, label in rows], "tree_id string, ref string, node_id string, label string"), **kw).collect()}
+    rows = [("2", ""), ("", "pump"), ("", "seal"), ("9", "valve"), ("", "no"), ("", "valve broke")]
+    assert ask(rows) == {"2": "2", "pump": None, "seal": "3", "9valve": "4", "no": None, "valve broke": None}
+    assert ask(rows, first_exact=True)["pump"] == "1" and ask(rows, both_ways=True)["valve broke"] == "4"
+    needles = spark.createDataFrame([("4",), ("pump",), ("ea",), ("p",)], "needle string")
+    assert {r.needle: r.id for r in retrieval.best_match(nodes.drop("tree_id"), needles).collect()} == {"4": "4", "pump": "1", "ea": "3", "p": "1"}
+
+
+def test_hand_edits(spark, diamond):
+    from pyspark.sql import functions as F
+
+    nodes, edges = diamond
+    nodes = nodes.withColumn("event", F.struct(F.lit("d").alias("description"), F.lit("h").alias("errorLevel")))
+    patch = spark.createDataFrame([("t", "b", ("new", None))], "tree_id string, id string, patch struct<description:string,errorLevel:string>")
+    assert {r.id: tuple(r.event) for r in rewrite.patch_events((nodes, edges), patch)[0].collect()} == {"a": ("d", "h"), "b": ("new", "h"), "c": ("d", "h"), "d": ("d", "h")}
+    more, same = rewrite.duplicate_events(diamond, spark.createDataFrame([("t", "b", "b2", 9)], "tree_id string, id string, new_id string, pos long"))
+    assert more.filter("id = 'b2'").first().label == "B(副本)" and pairs(same) == pairs(edges)
+    more, moved = rewrite.insert_parents(diamond, spark.createDataFrame([("t", "d", "n", "New", 9), ("t", "a", "m", "No", 9)], "tree_id string, id string, new_id string, label string, pos long"))
+    assert ids(more) == {"a", "b", "c", "d", "n"} and pairs(moved) == {("b", "a"), ("c", "a"), ("d", "n"), ("n", "b"), ("d", "c")}
+    once = rewrite.standalone_nodes(diamond, spark.createDataFrame([("t", "s", "basic", 9)], "tree_id string, new_id string, type string, pos long"))
+    twice = rewrite.standalone_nodes(once, spark.createDataFrame([("t", "u", "basic", 9)], "tree_id string, new_id string, type string, pos long"))
+    assert [r.label for r in twice[0].filter("id IN ('s', 'u')").orderBy("id").collect()] == ["新底事件1", "新底事件2"]
