@@ -5,18 +5,20 @@ Both work on documents dealt into groups of bounded bytes by their id, and on wi
 `suffix_repeats` keeps a suffix of a document where its k-word prefix hashes smallest among those that some window holds, so every
 window holds a kept suffix that its own words pick. Kept suffixes are range-partitioned and sorted by content (their
 first k words), with the document's id behind it, so that equal ones can be split; neighbours are compared in order and over the bounds of the
-partitions. Suffixes that another document shares are then extended to the left and right: of each window around one,
-the digest of all its words is sent, and spans of windows that another document has are the result.
+partitions. Matches of suffixes that another document shares are then extended: first to the right, over the next `REACH` kept
+suffixes, which finds long passages; then word by word to the left and right, by each window around a shared suffix. Windows inside a long passage
+are left to the document of the smallest id that has it, whose windows the others' stand for. Spans of windows that another document has are the result.
 
 `substring_repeats` recompresses documents: in each round runs of equal names and then pairs of names become names, by
 rules that look at the names only, so equal passages get equal names inside, wherever they stand. In Spark rounds (at the `ROUNDS` given)
 the names that stand for at least a window are compared over all documents, by the digest of their words; where a
 round finds a name nowhere else, no later round looks at what it is part of. A name that a document of a smaller id has settles every window in it.
 Windows that no such name settles are held against others by their inner names of the first rounds (three in a row, the
-smallest such), and those under a shared one by the digest of all their words.
+smallest such), and those under a shared one by all their words.
 
-Digests are 128 bits of BLAKE2b over the words. All exchanges are plain rows, a name or digest once for each group that has it,
-so what a third of all documents share comes once for each group, and no task gets more for it.
+Names and windows are compared by 64 bits of BLAKE2b over their words and 64 of another hash. All exchanges are plain
+rows, a name or window once for each group that has it, so what a third of all documents share comes once for each group, and
+no task gets more for it.
 
 Defined cases: null and blank texts have no words; texts shorter than a window have none; rows that repeat an id are one
 document each way (a window of the same id is not "smaller"); a null id counts as larger than every id; extra columns
@@ -42,6 +44,8 @@ U64 = T.U64
 JOINED, INNER = 3, 2
 #: Rounds of recompression after which names are compared over all documents (a round leaves about three quarters of the names).
 ROUNDS = (10, 16)
+#: Kept suffixes that a match is extended over at first.
+REACH = 6
 GROUP_BYTES, LEAST_GROUPS = 32 << 20, 64
 _LAST = np.iinfo(np.int64).max
 
@@ -128,9 +132,18 @@ def inner_names(hashes: np.ndarray, doc: np.ndarray, width: int, rounds: int = I
         a, b = left[todo], right[todo + width] - (JOINED - 1)
         live = a < b
         a, b, own = a[live], b[live], todo[live]
+        if not len(own):
+            continue
         row = name
         for k in range(1, JOINED):  # of names in a row, as short names alone are common
             row = T.mix(T.mix(row + U64(0x9FB21C651E98DF25)) + np.append(name[k:], np.zeros(min(k, len(name)), U64)))
+        if len(own) * 8 < len(name):  # few windows are left: each looks at its own names
+            lowest = row[a]
+            for k in range(1, int((b - a).max(initial=1))):
+                lowest = np.minimum(lowest, row[np.minimum(a + k, b - 1)])
+            out[own] = lowest
+            todo = todo[~live]
+            continue
         least, power = [row], np.frexp((b - a).astype(np.float32))[1] - 1
         while 2 ** len(least) <= width:
             half, last = 2 ** (len(least) - 1), least[-1]
@@ -194,7 +207,8 @@ def _bounds(names: list[np.ndarray], docs: list[np.ndarray]) -> tuple[np.ndarray
 _ASKED = "a long, b long, g int, low long, high long"
 
 
-def _asked(g: int, name: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+def _asked(g: int, names: list[np.ndarray], docs: list[np.ndarray]) -> pa.Table:
+    name, low, high = _bounds(names, docs)
     columns = [name["a"].copy().view(np.int64), name["b"].copy().view(np.int64), np.full(len(name), g, np.int32), low, high]
     return pa.Table.from_arrays([pa.array(c) for c in columns], names=["a", "b", "g", "low", "high"])
 
@@ -206,6 +220,29 @@ def _shared(asked: DataFrame, kind: int) -> DataFrame:
     return known.filter("low < high").select("g", F.lit(kind).alias("kind"), "a", "b", "low")
 
 
+def _shared_anchors(asked: DataFrame, kind: int) -> DataFrame:
+    """(g, kind, a, b, low): anchors a of (a, g, many) that several groups have, or several documents of one."""
+    same = Window.partitionBy("a")
+    known = asked.select("g", "a", F.min("g").over(same).alias("first"), F.max("g").over(same).alias("last"), F.max("many").over(same).alias("many"))
+    nothing = F.lit(0).cast("long")
+    return known.filter("first < last OR many").select("g", F.lit(kind).alias("kind"), "a", nothing.alias("b"), nothing.alias("low"))
+
+
+def _names(c: _Chunk, at: np.ndarray) -> np.ndarray:
+    """The names of the windows from `at`."""
+    out = np.empty(len(at), _NAME)
+    out["a"] = T.grams(c.w.hash, c.width)[at] if len(at) else 0
+    out["b"] = T.digests(c.w, at, c.width)[:, 0]
+    return out
+
+
+def _known_windows(c: _Chunk, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(those of the windows from `at` whose names are known, their places there)."""
+    at = at[_within(T.grams(c.w.hash, c.width)[at], known["a"])] if len(at) else at
+    hit, where = _found(_names(c, at), known)
+    return at[hit], where
+
+
 def _told(heard: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """(names in order, smallest document of each) of one kind."""
     own = np.flatnonzero(heard.column("kind").to_numpy() == kind)
@@ -395,42 +432,61 @@ def _shared_suffixes(dealt: DataFrame, width: int, k: int) -> DataFrame:
     return stored(found.select("g", F.lit(0).alias("kind"), F.col("h").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("low")))
 
 
-SUFFIX_RESULT = "doc_id long, n_words long, n_repeated long, starts array<int>, ends array<int>, first_ids array<long>"
+SUFFIX_RESULT = "doc_id long, n_words long, n_repeated long, starts array<int>, ends array<int>"
 
 
 def suffix_repeats(docs: DataFrame, *, min_words: int = 50, k: int = 12) -> DataFrame:
     """See SUFFIX_RESULT: for each row of docs (doc_id, text, ...), how many of its words lie in passages of at least min_words words
-    that another document has too, and these as maximal spans (start to end, the end exclusive), each with the smallest id among the
-    documents that have one of its windows."""
+    that another document has too, and these as maximal spans (start to end, the end exclusive)."""
     width, dealt = min_words, _groups(docs)
     suffixes = _shared_suffixes(dealt, width, k)
 
-    def windows(table: pa.Table, heard: pa.Table) -> Iterator[tuple[_Chunk, np.ndarray, np.ndarray]]:
-        """(chunk, starts of the windows around shared suffixes, their digests)."""
-        known = _told(heard, 0)[0]["a"]
+    def long_passages(c: _Chunk, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, names) of what reaches from a shared suffix over REACH kept ones to the end of a shared one's prefix."""
+        at, _ = kept_suffixes(c.w.hash, c.ok, width, k)
+        live = _within(T.grams(c.w.hash, k)[at], shared)
+        i = np.flatnonzero(live[:-REACH] & live[REACH:] & (c.row[at[:-REACH]] == c.row[at[REACH:]]) & (at[REACH:] + k - at[:-REACH] >= width)) if len(at) > REACH else np.zeros(0, np.int64)
+        start, end = at[i], at[i + REACH] + k if len(i) else i
+        return start, end, _named(_digests(c.w, start, end))
+
+    def ask_long(key, table, heard):
+        shared, names, docs_ = _told(heard, 0)[0]["a"], [], []
         for c in _chunks(table.column("doc_id"), table.column("text"), width):
-            _, least = kept_suffixes(c.w.hash, c.ok, width, k)
-            at = c.ok[_within(least, known)]
-            yield c, at, _named(T.digests(c.w, at, width))
+            start, _, name = long_passages(c, shared)
+            names.append(name)
+            docs_.append(c.docs(start))
+        return _asked(key[0].as_py(), names, docs_)
 
-    def ask(key, table, heard):
-        found = [(name, c.docs(at)) for c, at, name in windows(table, heard)]
-        return _asked(key[0].as_py(), *_bounds([n for n, _ in found], [d for _, d in found]))
+    def ask_windows(key, table, heard):
+        shared, (known, low), names, docs_ = _told(heard, 0)[0]["a"], _told(heard, 1), [], []
+        for c in _chunks(table.column("doc_id"), table.column("text"), width):
+            start, end, name = long_passages(c, shared)
+            hit, where = _found(name, known)
+            hit = hit[low[where] < c.docs(start[hit])]
+            inside = np.zeros(len(c.row) + 1, np.int64)
+            np.maximum.at(inside, start[hit], end[hit])
+            _, least = kept_suffixes(c.w.hash, c.ok, width, k)
+            at = c.ok[_within(least, shared)]
+            at = at[np.maximum.accumulate(inside)[at] < at + width]
+            names.append(_names(c, at))
+            docs_.append(c.docs(at))
+        return _asked(key[0].as_py(), names, docs_)
 
     def mark(key, table, heard):
-        known, low = _told(heard, 1)
+        shared, long_, windows = (_told(heard, kind)[0] for kind in range(3))
         out = []
-        for c, at, name in windows(table, heard):
-            hit, where = _found(name, known)
-            starts, first = at[hit], np.full(len(c.row) + 1, _LAST)
-            np.minimum.at(first, starts, low[where])
-            again = _covered(len(c.row), starts, width)
+        for c in _chunks(table.column("doc_id"), table.column("text"), width):
+            start, end, name = long_passages(c, shared["a"])
+            hit, _ = _found(name, long_)
+            again = _between(len(c.row), start[hit], end[hit]) | _covered(len(c.row), _known_windows(c, c.ok, windows)[0], width)
             start, end, bounds = _spans(again, c)
-            source, base = np.minimum.reduceat(first, start) if len(start) else start, c.w.first[:-1]
-            out.append(_result(table, c, {"n_repeated": _counts(again, c), "starts": _lists(start, bounds, base, pa.int32()), "ends": _lists(end, bounds, base, pa.int32()), "first_ids": _lists(source, bounds, 0 * base, pa.int64())}))
+            base = c.w.first[:-1]
+            out.append(_result(table, c, {"n_repeated": _counts(again, c), "starts": _lists(start, bounds, base, pa.int32()), "ends": _lists(end, bounds, base, pa.int32())}))
         return pa.concat_tables(out)
 
-    return _with(dealt, [suffixes, _shared(_with(dealt, [suffixes], ask, _ASKED), 1)], mark, SUFFIX_RESULT)
+    long_ = _shared(_with(dealt, [suffixes], ask_long, _ASKED), 1)
+    windows = _shared(_with(dealt, [suffixes, long_], ask_windows, _ASKED), 2)
+    return _with(dealt, [suffixes, long_, windows], mark, SUFFIX_RESULT)
 
 
 # Recompression.
@@ -446,18 +502,19 @@ class _Symbols:
         self.removed = np.zeros(n, bool)
         self.start = self.end = np.zeros(0, np.int64)
         self.name = np.zeros(0, _NAME)
-        for i, (_, start, _) in enumerate(levels(c.w.hash, c.row, rounds[len(told)] if len(told) < len(rounds) else rounds[-1]) if n else ()):
+        for i, (name, start, _) in enumerate(levels(c.w.hash, c.row, rounds[len(told)] if len(told) < len(rounds) else rounds[-1]) if n else ()):
             if i not in rounds:
                 continue
             end = np.append(start[1:], n)
             some = np.flatnonzero((end - start >= c.width) & ~np.logical_or.reduceat(dead[:n], start))
-            start, end = start[some], end[some]
-            self.start, self.end = start, end
-            self.name = _named(_digests(c.w, start, end))
+            start, end, name = start[some], end[some], name[some]
             if (k := rounds.index(i)) == len(told):
+                self.start, self.end, self.name = start, end, _long_names(c, name, start, end)
                 return
             known, low = told[k]
-            hit, where = _found(self.name, known)
+            hit = np.flatnonzero(_within(name, known["a"]))
+            right, where = _found(_long_names(c, name[hit], start[hit], end[hit]), known)
+            hit = hit[right]
             other = np.ones(len(start), bool)
             other[hit] = False
             dead[:n] |= _between(n, start[other], end[other])
@@ -469,6 +526,13 @@ class _Symbols:
         return np.maximum.accumulate(self.inside)[starts] >= starts + width
 
 
+def _long_names(c: _Chunk, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """What the words from each start to before its end are called among all documents."""
+    out = np.empty(len(start), _NAME)
+    out["a"], out["b"] = hashes, _digests(c.w, start, end)[:, 0]
+    return out
+
+
 def _between(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, start, 1)
@@ -499,58 +563,53 @@ def substring_repeats(docs: DataFrame, *, width: int = 13, rounds: tuple[int, ..
                 symbols = _Symbols(c, rounds, told)
                 names.append(symbols.name)
                 docs_.append(c.docs(symbols.start))
-            return _asked(key[0].as_py(), *_bounds(names, docs_))
+            return _asked(key[0].as_py(), names, docs_)
 
         return ask
 
-    def left(table: pa.Table, heard: pa.Table) -> Iterator[tuple[_Chunk, _Symbols, np.ndarray, np.ndarray]]:
-        """(chunk, symbols, starts of windows that no name settles, their anchors)."""
+    def left(table: pa.Table, heard: pa.Table) -> Iterator[tuple[_Chunk, _Symbols, np.ndarray]]:
+        """(chunk, symbols, starts of windows that no name settles)."""
         told = [_told(heard, k) for k in range(inner)]
         for c in _chunks(table.column("doc_id"), table.column("text"), width):
             symbols = _Symbols(c, rounds, told)
-            at = c.ok[~symbols.settled(c.ok, width)]
-            yield c, symbols, at, inner_names(c.w.hash, c.row, width)[at]
+            yield c, symbols, c.ok[~symbols.settled(c.ok, width)]
 
     def ask_inner(key, table, heard):
         names, docs_ = [], []
-        for c, _, at, anchor in left(table, heard):
-            doc = c.docs(at)
+        for c, _, at in left(table, heard):
+            anchor, doc = inner_names(c.w.hash, c.row, width)[at], c.docs(at)
             first = np.ones(len(at), bool)
             first[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             name = np.zeros(int(first.sum()), _NAME)
             name["a"] = anchor[first]
             names.append(name)
             docs_.append(doc[first])
-        return _asked(key[0].as_py(), *_bounds(names, docs_))
-
-    def windows(table: pa.Table, heard: pa.Table) -> Iterator[tuple[_Chunk, _Symbols, np.ndarray, np.ndarray]]:
-        """(chunk, symbols, starts of unsettled windows under shared anchors, their digests)."""
-        known = _told(heard, inner)[0]["a"]
-        for c, symbols, at, anchor in left(table, heard):
-            at = at[_within(anchor, known)]
-            yield c, symbols, at, _named(T.digests(c.w, at, width))
+        name, low, high = _bounds(names, docs_)
+        return pa.table({"a": name["a"].copy().view(np.int64), "g": np.full(len(name), key[0].as_py(), np.int32), "many": low < high})
 
     def ask_windows(key, table, heard):
-        found = [(name, c.docs(at)) for c, _, at, name in windows(table, heard)]
-        return _asked(key[0].as_py(), *_bounds([n for n, _ in found], [d for _, d in found]))
+        known, names, docs_ = _told(heard, inner)[0]["a"], [], []
+        for c, _, at in left(table, heard):
+            at = at[_within(inner_names(c.w.hash, c.row, width)[at], known)]
+            names.append(_names(c, at))
+            docs_.append(c.docs(at))
+        return _asked(key[0].as_py(), names, docs_)
 
     def mark(key, table, heard):
         known, low = _told(heard, whole)
         out = []
-        for c, symbols, at, name in windows(table, heard):
-            hit, where = _found(name, known)
-            starts = at[hit][low[where] < c.docs(at[hit])]
-            removed = symbols.removed | _covered(len(c.row), starts, width)
+        for c, symbols, at in left(table, heard):
+            at, where = _known_windows(c, at, known)
+            removed = symbols.removed | _covered(len(c.row), at[low[where] < c.docs(at)], width)
             start, end, bounds = _spans(removed, c)
             base = c.w.first[:-1]
             kept = pa.array([x.decode() for x in _kept_bytes(c.w, c.row, ~removed, c.lo, c.hi)], pa.string())
             out.append(_result(table, c, {"n_removed": _counts(removed, c), "starts": _lists(start, bounds, base, pa.int32()), "ends": _lists(end, bounds, base, pa.int32()), "kept": kept}))
         return pa.concat_tables(out)
 
-    nothing = dealt.sparkSession.createDataFrame([], "g int, kind int, a long, b long, low long")
-    told = [nothing]
+    named = [dealt.sparkSession.createDataFrame([], "g int, kind int, a long, b long, low long")]
     for i in range(len(rounds)):
-        told.append(_shared(_with(dealt, told, ask_names(i), _ASKED), i))
-    told.append(_shared(_with(dealt, told, ask_inner, _ASKED), inner))
-    told.append(_shared(_with(dealt, told, ask_windows, _ASKED), whole))
-    return _with(dealt, told, mark, RECOMPRESSED_RESULT)
+        named.append(_shared(_with(dealt, named, ask_names(i), _ASKED), i))
+    anchors = _shared_anchors(_with(dealt, named, ask_inner, "a long, g int, many boolean"), inner)
+    windows = _shared(_with(dealt, [*named, anchors], ask_windows, _ASKED), whole)
+    return _with(dealt, [*named, windows], mark, RECOMPRESSED_RESULT)
