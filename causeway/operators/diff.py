@@ -63,3 +63,47 @@ def replace_segment(kept: DataFrame, fresh: DataFrame, seq: str, local_from: int
 def signature(rows: DataFrame, by: Sequence[str], value: Column, separator: str = "|") -> DataFrame:
     """(*by, signature): the distinct values, sorted and joined."""
     return rows.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_set(value)), separator).alias("signature"))
+
+
+# What is compared of an event, and of a relation.
+EVENT_KEYS = ("description", "errorLevel", "priority", "probability", "showProbability", "rule", "rules", "investigateMethod", "documents", "message")
+RELATION_KEYS = ("relation_type", "polarity", "certainty", "evidence", "evidence_texts", "documents", "gate_type", "member_relation", "gate_relation")
+
+
+def _first_under(v: Column, key: str, places: Sequence[str]) -> Column:
+    return F.coalesce(*(F.try_variant_get(v, f"{p}.{key}", "variant") for p in places))
+
+
+def node_signature(v: Column) -> Column:
+    """What tells two versions of a node (VARIANT) apart beside label and type, as JSON: its gate, and the fields of its event."""
+    gate = F.coalesce(*(F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in ("$.gate", "$.gateLabel", "$.meta.gateLabel", "$.meta.raw.gate")))
+    places = ("$.meta.event", "$.event", "$.meta.raw.event", "$")
+    return F.to_json(F.struct(gate.alias("gate"), *(F.to_json(_first_under(v, k, places)).alias(k) for k in EVENT_KEYS)))
+
+
+def edge_signature(v: Column) -> Column:
+    """What tells two versions of an edge (VARIANT) apart beside its ends, as JSON."""
+    places = ("$.relation", "$.meta.relation", "$.meta.raw.relation", "$")
+    return F.to_json(F.struct(*(F.to_json(_first_under(v, k, places)).alias(k) for k in RELATION_KEYS)))
+
+
+def without_markers(rows: DataFrame, markers: Sequence[str] = ("status", "diff")) -> DataFrame:
+    """rows without what a diff wrote on them; ghosts of removed ones go."""
+    live = rows.filter("status <> 'removed'") if "status" in rows.columns else rows
+    return live.drop(*markers)
+
+
+def repaired(before: DataFrame, after: DataFrame, doomed: DataFrame) -> DataFrame:
+    """`after` (tree_id, source, target) without the doomed edges, whichever way they point, in trees whose edges are those of `before`; other trees stay."""
+    edge = ["tree_id", "source", "target"]
+    a, b = before.select(*edge).distinct(), after.select(*edge).distinct()
+    changed = a.join(b, edge, "left_anti").unionByName(b.join(a, edge, "left_anti")).select("tree_id").distinct()
+    both = doomed.select(*edge).unionByName(doomed.select("tree_id", F.col("target").alias("source"), F.col("source").alias("target"))).join(changed, "tree_id", "left_anti").distinct()
+    return after.join(both, edge, "left_anti")
+
+
+def graph_signature(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(tree_id, signature): a hash of a tree's nodes and edges whatever their order, by sums."""
+    n = nodes.groupBy("tree_id").agg(F.sum(F.xxhash64("id", "label", "type", "gate").cast("decimal(38,0)")).alias("n"))
+    e = edges.groupBy("tree_id").agg(F.sum(F.xxhash64("source", "target").cast("decimal(38,0)")).alias("e"))
+    return n.join(e, "tree_id", "left").select("tree_id", F.sha2(F.concat_ws("|", "n", "e"), 256).alias("signature"))

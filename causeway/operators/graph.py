@@ -50,11 +50,15 @@ def closure(edges: DataFrame, roots: DataFrame, *, most_levels: int | None = Non
     return _walk(down, roots.select("tree_id", "root", F.col("root").alias("id")), ["tree_id", "root"], most_levels).select("tree_id", "root", "id", "depth")
 
 
-def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (tree_id, start, goal) with `reached`: is goal among start and its descendants (R2)? Walks up from the goals, as what is
-    above a node is little beside what is below one."""
+def above_of(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(tree_id, start, id): each of starts (tree_id, start) and its ancestors, which are few beside what is below a node."""
     up = edges.select("tree_id", F.col("source").alias("id"), F.col("target").alias("next"))
-    above = _walk(up, pairs.select("tree_id", "goal", F.col("goal").alias("id")).distinct(), ["tree_id", "goal"])
+    return _walk(up, starts.select("tree_id", "start", F.col("start").alias("id")), ["tree_id", "start"]).select("tree_id", "start", "id")
+
+
+def reaches(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (tree_id, start, goal) with `reached`: is goal among start and its descendants (R2)? Walks up from the goals."""
+    above = above_of(edges, pairs.select("tree_id", F.col("goal").alias("start")).distinct()).withColumnRenamed("start", "goal")
     hit = above.select("tree_id", F.col("id").alias("start"), "goal", F.lit(True).alias("hit"))
     return pairs.join(hit, ["tree_id", "start", "goal"], "left").select(*pairs.columns, F.coalesce("hit", F.lit(False)).alias("reached"))
 

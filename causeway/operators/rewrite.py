@@ -11,12 +11,13 @@ import json
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from causeway.functions import scalars as S
-from causeway.operators.graph import clean_gates, closure, parents, reaches
+from causeway.operators.graph import above_of, clean_gates, closure, parents, reaches
 from causeway.storage import stored
 
 Graph = tuple[DataFrame, DataFrame]
@@ -252,7 +253,7 @@ def plan_issues(graph: Graph, plans: DataFrame, *, limit: int = 12) -> DataFrame
     """(plan_id, index, level, issue, node_id) of plans, each held against its tree before anything is applied.
 
     Operations from `limit` on are not looked at. Names are resolved among the tree's own nodes, so what a plan adds can't be linked in
-    it. Edges are added, moved and deleted in thought, one index of all plans at a time; index and node_id tell what an issue is about.
+    it. Edges are added, moved and deleted in thought, in the order of the plan; index and node_id tell what an issue is about.
     """
     nodes, edges = graph
     ops = stored(plans.filter(F.col("index") < limit).filter(F.col("op") != "validate_edit_plan"))
@@ -266,8 +267,6 @@ def plan_issues(graph: Graph, plans: DataFrame, *, limit: int = 12) -> DataFrame
     turn = F.coalesce(((F.col("source_type") == "top") & (F.coalesce("target_type", F.lit("")) != "top")) | (F.col("source_type").isin("top", "intermediate") & (F.col("target_type") == "basic")), F.lit(False)) & (F.col("op") == "add_edge")
     ops = ops.join(kind("source"), ["tree_id", "source"], "left").join(kind("target"), ["tree_id", "target"], "left")
     ops = stored(ops.select("plan_id", "tree_id", "index", "op", "node_type", F.when(turn, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turn, F.col("source")).otherwise(F.col("target")).alias("target")))
-    # The edges of each plan: its tree's, less what it took away, and what it added.
-    added = gone = None
     out = []
 
     def issue(rows: DataFrame, level: str, text: str) -> DataFrame:
@@ -281,50 +280,26 @@ def plan_issues(graph: Graph, plans: DataFrame, *, limit: int = 12) -> DataFrame
     sound = known.filter(whole)
     out.append(issue(sound.filter("op = 'add_edge' AND source = target"), "ERROR", "self edge is not allowed"))
     out.append(issue(sound.filter("op = 'move_subtree' AND source = target"), "ERROR", "cannot move a node under itself"))
-    edge = ["plan_id", "tree_id", "source", "target"]
-    links = stored(sound.filter("op IN ('add_edge', 'move_subtree', 'delete_edge') AND NOT (op <> 'delete_edge' AND source = target)"))
-    deletes = known.filter("op = 'delete_node' AND target IS NOT NULL").select("plan_id", "tree_id", "index", F.col("target").alias("node"))
-    at = sorted(r[0] for r in links.select("index").union(deletes.select("index")).distinct().collect())
-    own = plans.select("plan_id", "tree_id").distinct()
-    base = edges.select("tree_id", "source", "target").distinct()
-
-    def there(keys: DataFrame) -> DataFrame:
-        """keys (edge) that are edges of their plan now."""
-        now = keys.join(base, ["tree_id", "source", "target"], "left_semi")
-        now = now if gone is None else now.join(gone, edge, "left_anti")
-        return now if added is None else now.unionByName(keys.join(added, edge, "left_semi")).distinct()
-
-    for i in at:
-        here = links.filter(F.col("index") == i)
-        adds = here.filter("op = 'add_edge'")
-        again = there(adds.select(*edge))
-        out.append(issue(adds.join(again, edge, "left_semi"), "WARNING", "edge already exists"))
-        fresh = adds.join(again, edge, "left_anti").unionByName(here.filter("op = 'move_subtree'"))
-        loops = _loops(base, added, gone, fresh.select(*edge))
-        for op, text in (("add_edge", "edge would create a cycle"), ("move_subtree", "move would create a cycle")):
-            out.append(issue(fresh.filter(F.col("op") == op).join(loops, edge, "left_semi"), "ERROR", text))
-        taken = fresh.join(loops, edge, "left_anti")
-        # What goes: edges named either way, all edges out of what moves, all edges at what is deleted.
-        named = here.filter("op = 'delete_edge'").select(*edge)
-        named = named.unionByName(named.select("plan_id", "tree_id", F.col("target").alias("source"), F.col("source").alias("target")))
-        moved, dead = taken.filter("op = 'move_subtree'").select("plan_id", "tree_id", "source"), deletes.filter(F.col("index") == i)
-        less = [] if added is None else [added.join(named, edge, "left_semi"), added.join(moved, ["plan_id", "tree_id", "source"], "left_semi"), *(added.join(dead.select("plan_id", "tree_id", F.col("node").alias(end)), ["plan_id", "tree_id", end], "left_semi") for end in ("source", "target"))]
-        from_base = [named.join(base, ["tree_id", "source", "target"], "left_semi"), moved.join(base, ["tree_id", "source"]).select(*edge)]
-        from_base += [dead.select("plan_id", "tree_id", F.col("node").alias(end)).join(base, ["tree_id", end]).select(*edge) for end in ("source", "target")]
-        now_gone = reduce(DataFrame.unionByName, from_base if gone is None else [gone, *from_base]).distinct()
-        kept = None if added is None else added.join(reduce(DataFrame.unionByName, less).select(*edge).distinct(), edge, "left_anti")
-        new = taken.select(*edge)
-        added, gone = stored((new if kept is None else kept.unionByName(new)).distinct()), stored(now_gone)
+    links = sound.filter("op IN ('add_edge', 'move_subtree', 'delete_edge') AND NOT (op <> 'delete_edge' AND source = target)")
+    deletes = known.filter("op = 'delete_node' AND target IS NOT NULL").select("plan_id", "tree_id", "index", "op", F.col("target").alias("source"), "target")
+    steps = stored(links.select("plan_id", "tree_id", "index", "op", "source", "target").unionByName(deletes))
+    own, base = plans.select("plan_id", "tree_id").distinct(), edges.select("tree_id", "source", "target").distinct()
+    # What lies above the nodes that a plan names is all that its checks can come to.
+    named = steps.select("plan_id", "tree_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("start")).distinct()
+    above = above_of(edges, named.select("tree_id", "start").distinct())
+    around = above.join(base.withColumnRenamed("source", "id"), ["tree_id", "id"]).select("tree_id", "start", F.col("id").alias("source"), "target")
+    around = stored(named.join(around, ["tree_id", "start"]).select("plan_id", "tree_id", "source", "target").distinct())
+    tried = steps.groupBy("plan_id", "tree_id").cogroup(around.groupBy("plan_id", "tree_id")).applyInArrow(_tried, _TRIED)
+    tried = stored(tried)
+    out.append(tried.filter("issue IS NOT NULL").select("plan_id", "index", "level", "issue", F.lit(None).cast("string").alias("node_id")))
     # What the plans leave: basic events with causes, and tops without.
     retyped = known.filter("op = 'set_node_type' AND target IS NOT NULL").select("plan_id", "tree_id", F.col("target").alias("id"), "index", S.node_type(F.col("node_type")).alias("type")).filter("type <> ''")
     retyped = retyped.groupBy("plan_id", "tree_id", "id").agg(F.max_by("type", "index").alias("now"))
-    dead = deletes.select("plan_id", "tree_id", F.col("node").alias("id")).distinct()
+    dead = deletes.select("plan_id", "tree_id", F.col("target").alias("id")).distinct()
     fed_by_tree = base.join(nodes.select("tree_id", F.col("id").alias("target")), ["tree_id", "target"], "left_semi")
-    touched = [own.limit(0).select("plan_id", "tree_id", F.lit("").alias("id"))] + [x.select("plan_id", "tree_id", F.col("target").alias("id")) for x in (added, gone) if x is not None] + [retyped.select("plan_id", "tree_id", "id")]
-    touched = reduce(DataFrame.unionByName, touched).distinct()
+    change = tried.filter("issue IS NULL").groupBy("plan_id", "tree_id", F.col("target").alias("id")).agg(F.sum("change").alias("change"))
+    touched = change.select("plan_id", "tree_id", "id").unionByName(retyped.select("plan_id", "tree_id", "id")).distinct()
     count = fed_by_tree.groupBy("tree_id", F.col("target").alias("id")).agg(F.count("*").alias("n"))
-    change = [x.groupBy("plan_id", "tree_id", F.col("target").alias("id")).agg((sign * F.count("*")).alias("change")) for x, sign in ((added, 1), (gone, -1)) if x is not None]
-    change = reduce(DataFrame.unionByName, change).groupBy("plan_id", "tree_id", "id").agg(F.sum("change").alias("change")) if change else touched.withColumn("change", F.lit(0).cast("bigint"))
     size = nodes.groupBy("tree_id").agg(F.count("*").alias("size"))
     odd = nodes.join(count, ["tree_id", "id"], "left").filter("(type = 'basic' AND n IS NOT NULL) OR (type = 'top' AND n IS NULL)").select("tree_id", "id")
     seen = touched.unionByName(own.join(odd, "tree_id").select("plan_id", "tree_id", "id")).distinct().join(dead, ["plan_id", "tree_id", "id"], "left_anti")
@@ -336,21 +311,45 @@ def plan_issues(graph: Graph, plans: DataFrame, *, limit: int = 12) -> DataFrame
     return reduce(DataFrame.unionByName, out)
 
 
-def _loops(base: DataFrame, added: DataFrame | None, gone: DataFrame | None, wanted: DataFrame) -> DataFrame:
-    """Of wanted edges (plan_id, tree_id, source, target) those whose target is below their source in their plan already: walks up from the targets."""
-    edge = ["plan_id", "tree_id", "source", "target"]
-    level = stored(wanted.withColumn("at", F.col("target")).distinct())
-    seen = [level]
-    while level.limit(1).count():
-        up = level.join(base.select("tree_id", F.col("source").alias("at"), F.col("target").alias("next")), ["tree_id", "at"]).select(*edge, "at", "next")
-        if gone is not None:
-            up = up.join(gone.select("plan_id", "tree_id", F.col("source").alias("at"), F.col("target").alias("next")), ["plan_id", "tree_id", "at", "next"], "left_anti")
-        if added is not None:
-            up = up.unionByName(level.join(added.select("plan_id", "tree_id", F.col("source").alias("at"), F.col("target").alias("next")), ["plan_id", "tree_id", "at"]).select(*edge, "at", "next"))
-        new = up.select(*edge, F.col("next").alias("at")).distinct()
-        level = stored(new.join(reduce(DataFrame.unionByName, seen), [*edge, "at"], "left_anti"))
-        seen.append(level)
-    return reduce(DataFrame.unionByName, seen).filter("at = source").select(*edge).distinct()
+_TRIED = "plan_id string, tree_id string, index int, level string, issue string, source string, target string, change int"
+
+
+def _tried(key: tuple, steps: pa.Table, around: pa.Table) -> pa.Table:
+    """One plan's steps (index, op, source, target) tried in order on the edges around what it names: what is wrong with them, and the
+    edges that there are one more (change 1) or less (-1) of in the end."""
+    before = set(zip(around.column("source").to_pylist(), around.column("target").to_pylist(), strict=True))
+    now, out = set(before), []
+
+    def is_above(goal: str, start: str) -> bool:
+        seen, todo = set(), [goal]
+        while todo:
+            at = todo.pop()
+            if at == start:
+                return True
+            if at not in seen:
+                seen.add(at)
+                todo += [t for s, t in now if s == at]
+        return False
+
+    for step in sorted(steps.to_pylist(), key=lambda x: x["index"]):
+        op, s, t = step["op"], step["source"], step["target"]
+        if op == "add_edge" and (s, t) in now:
+            out.append((step["index"], "WARNING", "edge already exists", None, None, None))
+        elif op in ("add_edge", "move_subtree") and is_above(t, s):
+            out.append((step["index"], "ERROR", "edge would create a cycle" if op == "add_edge" else "move would create a cycle", None, None, None))
+        elif op == "add_edge":
+            now.add((s, t))
+        elif op == "move_subtree":
+            now = {e for e in now if e[0] != s} | {(s, t)}
+        elif op == "delete_edge":
+            now -= {(s, t), (t, s)}
+        else:
+            now = {e for e in now if t not in e}
+    out += [(None, None, None, s, t, change) for pool, change in ((now - before, 1), (before - now, -1)) for s, t in sorted(pool)]
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+    plan, tree = ([k.as_py()] * len(out) for k in key)
+    return pa.table([pa.array(plan, pa.string()), pa.array(tree, pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[c.split()[0] for c in _TRIED.split(", ")])
 
 
 Operation = Callable[[Graph, DataFrame], Graph]

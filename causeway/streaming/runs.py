@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from causeway.functions.records import run_message
+
 # States in which a run waits for nothing more.
 TERMINAL = ("completed", "failed", "cancelled", "waiting_confirmation", "human_review_required")
 EVENTS = "run_id string, event_seq long, type string, stage string, status string, progress double, message string, created_at timestamp"
@@ -43,29 +45,44 @@ def once(events: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return events.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
-def ingest(seen: str, take: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: gives `take` the items (item_id, ...) that are not in the table at `seen`, then adds them there. An
-    item whose batch failed comes again (X4, X11)."""
+def ingest(seen: str, take: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: gives `take` the items (item_id, ...) that no earlier batch has, and the batch's number.
+
+    Which items are a batch's is written to the table at `seen`, under its number, before `take` runs, and read from there: a batch
+    that failed comes again with the same items, so a `take` that writes under the number (a folder or a key of its own,
+    overwritten) takes each item once.
+    """
 
     def batch(items: DataFrame, batch_id: int) -> None:
         spark = items.sparkSession
-        new = once(items, ["item_id"], [F.col("item_id")])
         try:
-            known = spark.read.parquet(seen)
-        except Exception as e:  # the table does not exist before the first batch
+            known = spark.read.schema("item_id string, batch long").parquet(f"{seen}/batch=*").select("item_id", F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("long").alias("batch"))
+            known = known.filter(F.col("batch") < batch_id)
+        except Exception as e:  # there is no table before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             known = None
+        new = once(items, ["item_id"], [F.col("item_id")])
         if known is not None:
-            new = new.join(known.select("item_id"), "item_id", "left_anti")
-        new = new.persist()
-        take(new)
-        new.select("item_id").write.mode("append").parquet(seen)
-        new.unpersist()
+            new = new.join(known.select("item_id").distinct(), "item_id", "left_anti")
+        new.select("item_id").write.mode("overwrite").parquet(f"{seen}/batch={batch_id}")
+        take(new.join(spark.read.parquet(f"{seen}/batch={batch_id}"), "item_id", "left_semi"), batch_id)
 
     return batch
 
 
+def gaps(events: DataFrame, cursors: DataFrame) -> DataFrame:
+    """(run_id, cursor, n_events): runs of which fewer events (run_id, event_seq) are here than their cursor says were read, to be read anew from the start."""
+    counts = events.groupBy("run_id").agg(F.count_distinct("event_seq").alias("n_events"))
+    return cursors.join(counts, "run_id", "left").select("run_id", "cursor", F.coalesce("n_events", F.lit(0)).alias("n_events")).filter("n_events < cursor")
+
+
+def memory_patches(latest: DataFrame) -> DataFrame:
+    """(run_id, status, message, action, clears_pending) of runs (run_id, status, mode): what a session takes over from its run."""
+    told = run_message(F.col("status"), F.col("mode"))
+    return latest.select("run_id", "status", told["message"].alias("message"), told["action"].alias("action"), F.coalesce(F.lower("status").isin("completed", "failed", "cancelled"), F.lit(False)).alias("clears_pending"))
+
+
 def stage_bounds(events: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
     """(run_id, first_<stage>, last_<stage>): sequences by stage, null where it is missing."""
     seq = lambda s: F.when(F.col("type") == s, F.col("event_seq"))

@@ -25,11 +25,33 @@ def test_latest_state_of_a_stream(spark, tmp_path):
 
 
 def test_items_are_taken_once(spark, tmp_path):
-    taken = []
-    batch = runs.ingest(f"{tmp_path}/seen", lambda new: taken.extend(r.item_id for r in new.collect()))
+    """A batch that fails after its items were noted, and comes again, takes the same items."""
+    taken, fails = {}, [True]
+
+    def take(new, batch_id):
+        found = sorted(r.item_id for r in new.collect())
+        if batch_id == 1 and fails.pop():
+            raise RuntimeError("lost")
+        taken[batch_id] = found
+
+    batch = runs.ingest(f"{tmp_path}/seen", take)
+    second = spark.createDataFrame([("y",), ("z",)], "item_id string")
     batch(spark.createDataFrame([("x",), ("y",), ("x",)], "item_id string"), 0)
-    batch(spark.createDataFrame([("y",), ("z",)], "item_id string"), 1)
-    assert sorted(taken) == ["x", "y", "z"]
+    try:
+        batch(second, 1)
+    except RuntimeError:
+        fails.append(False)
+    batch(second, 1)
+    batch(spark.createDataFrame([("z",), ("w",)], "item_id string"), 2)
+    assert taken == {0: ["x", "y"], 1: ["z"], 2: ["w"]}
+
+
+def test_gaps_and_patches(spark):
+    e = events(spark, ROWS)
+    cursors = spark.createDataFrame([("a", 5), ("b", 1), ("c", 2)], "run_id string, cursor long")
+    assert {(r.run_id, r.n_events) for r in runs.gaps(e, cursors).collect()} == {("a", 3), ("c", 0)}
+    latest = spark.createDataFrame([("a", "completed", None), ("b", "running", "need_confirmation")], "run_id string, status string, mode string")
+    assert {(r.run_id, r.action, r.clears_pending) for r in runs.memory_patches(latest).collect()} == {("a", "generation_finished", True), ("b", "need_top_event_confirmation", False)}
 
 
 def test_cursor(spark):
