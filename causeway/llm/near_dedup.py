@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     near = stored(_near(pairs, sketches))
     needed = classes.join(crowded.select("c").distinct(), "c", "left_semi").select("wa", "wb", F.col("c").alias("id"))
     worded = docs.select("text").mapInArrow(_worded, "wa long, wb long, text string")
-    texts = stored(worded.join(needed, ["wa", "wb"]).groupBy("wa", "wb").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"))
+    once = worded.groupBy("wa", "wb").agg(F.first("text").alias("text"))  # copies of a text are one before they are dealt
+    texts = stored(once.join(needed, ["wa", "wb"]).select("id", "text"))
     links = stored(_verified(near, texts, k, percent))
     found = components(links)
     # Buckets whose members are in several components.
