@@ -56,8 +56,7 @@ def ingest(seen: str, take: Callable[[DataFrame, int], None]) -> Callable[[DataF
     def batch(items: DataFrame, batch_id: int) -> None:
         spark = items.sparkSession
         try:
-            known = spark.read.schema("item_id string, batch long").parquet(f"{seen}/batch=*").select("item_id", F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("long").alias("batch"))
-            known = known.filter(F.col("batch") < batch_id)
+            known = spark.read.schema("item_id string, batch long").parquet(seen).filter(F.col("batch") < batch_id)  # earlier folders only
         except Exception as e:  # there is no table before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
