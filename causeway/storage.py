@@ -24,9 +24,22 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder: lineage ends here and lost executors cost nothing."""
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, rows_per_batch: int | None = None) -> DataFrame:
+    """The same rows, written once to the shared folder: lineage ends here and lost executors cost nothing.
+
+    rows_per_batch: rows that go to Python at a time in this one job, for wide rows; the session's setting is as it was afterwards.
+    """
     spark = df.sparkSession
+    if rows_per_batch:
+        before = spark.conf.get(_ROWS, None)
+        spark.conf.set(_ROWS, str(rows_per_batch))
+        try:
+            return stored(df)
+        finally:
+            spark.conf.unset(_ROWS) if before is None else spark.conf.set(_ROWS, before)
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
