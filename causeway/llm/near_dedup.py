@@ -40,6 +40,8 @@ COORDINATES, ROWS_PER_BAND = 300, 6
 SKETCH_FLOOR = 0.55
 #: Members of an open bucket, and shingles of theirs, that are compared with as many others at a time.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Rows of texts, and of pairs of texts, that go to Python at a time.
+TEXTS, PAIRS = 1000, 250
 
 
 def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
@@ -223,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = docs.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(_sketch_rows(k, coordinates, rows_per_band), _SKETCHED)
-    rows = stored(sketched.withColumn("r", F.monotonically_increasing_id()))
+    rows = stored(sketched.withColumn("r", F.monotonically_increasing_id()), TEXTS)
     live = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # c, the number of one of its rows, names a class.
     classes = stored(live.groupBy("wa", "wb").agg(F.min("doc_id").alias("least_id"), F.min("r").alias("c")))
@@ -235,12 +237,12 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     centres = votes.groupBy("c").agg(F.min("a").alias("low"), F.max_by("a", F.struct("n", -F.col("a"))).alias("most"))
     pairs = centres.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("c").alias("b"))
     sketches = reps.select(F.col("c").alias("id"), "sketch")
-    near = stored(_near(pairs, sketches))
+    near = stored(_near(pairs, sketches), 4 * TEXTS)
     needed = classes.join(crowded.select("c").distinct(), "c", "left_semi").select("wa", "wb", F.col("c").alias("id"))
     worded = docs.select("text").mapInArrow(_worded, "wa long, wb long, text string")
     once = worded.groupBy("wa", "wb").agg(F.first("text").alias("text"))  # copies of a text are one before they are dealt
-    texts = stored(once.join(needed, ["wa", "wb"]).select("id", "text"))
-    links = stored(_verified(near, texts, k, percent))
+    texts = stored(once.join(needed, ["wa", "wb"]).select("id", "text"), TEXTS)
+    links = stored(_verified(near, texts, k, percent), PAIRS)
     found = components(links)
     # Buckets whose members are in several components.
     placed = stored(crowded.join(found, F.col("c") == F.col("id"), "left").select("band", F.col("c").alias("doc_id"), "n_shingles", F.coalesce("component_id", "c").alias("c")))
@@ -255,7 +257,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
         .select("band", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "doc_id", "c", "part")
         .join(members, "doc_id")
     )
-    more = stored(_verified(cells.groupBy("band", "i", "j").applyInArrow(_across(SKETCH_FLOOR, percent), "a long, b long").distinct(), texts, k, percent))
+    more = stored(_verified(cells.groupBy("band", "i", "j").applyInArrow(_across(SKETCH_FLOOR, percent), "a long, b long").distinct(), texts, k, percent), PAIRS)
     if more.limit(1).count():
         found = components(links.unionByName(more))
     placed = classes.join(found, F.col("c") == F.col("id"), "left").select("wa", "wb", "least_id", F.coalesce("component_id", "c").alias("c"))
