@@ -185,6 +185,15 @@ def codes(w: Words) -> np.ndarray:
     return pa.Array.from_buffers(pa.large_binary(), len(w.start), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(joined)]).dictionary_encode().indices.to_numpy()
 
 
+def column(w: Words) -> pa.Array:
+    """The words as a string column."""
+    bounds = np.append(0, np.cumsum(w.end - w.start)).astype(np.int64)
+    edge = np.zeros(len(w.data) + 1, np.int8)
+    edge[w.start] += 1
+    edge[w.end] -= 1
+    return pa.Array.from_buffers(pa.large_string(), len(w.start), [None, pa.py_buffer(bounds), pa.py_buffer(w.data[np.cumsum(edge[:-1], dtype=np.int8) > 0])])
+
+
 def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a + U64(0x9E3779B97F4A7C15)) + b)
 
