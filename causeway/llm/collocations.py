@@ -5,12 +5,14 @@ multikey three-way quicksort: all open partitions at once are split by a pivot w
 ones go on with the next word, up to depth `words`. The size of an equal partition at a depth is the count of
 the phrase that it reads so far.
 
-Sorted once in the tasks that read the texts, a block of pointers becomes one row for each distinct suffix, with its size. These rows are
-routed over the cluster by their two leading words, so that all that begins alike meets in one task, and sorted again there:
-partitions below the least count are abandoned, as nothing that goes on from them can be frequent. Leading pairs that hold a notable
-share of all rows (`HOT_SHARE`; there can be no more than 1 / HOT_SHARE of them, so their list is broadcast) are dealt by their third word as well;
-only the sizes of such pairs are partial, and added up afterwards. Spark sorts what a task gets by its routing key, so a task holds
-a block of rows and the rows of one key at most.
+Leading words come first: tasks sort blocks of pointers to depth 2, and the sizes of equal partitions are routed by a hash of the leading pair
+and added up. Pairs below the least count are abandoned over the whole corpus, as nothing that goes on from them can be
+frequent; those left go into a bit map of bounded size (`MOST_BITS`; what it lets through beside them is only
+more work). Then the tasks sort what goes on from these pairs to the maximum depth; a block sends one row for each distinct suffix, with its size,
+to the task of its leading words, where the rows of all blocks are sorted again and partitions below the least count
+abandoned. These sizes are exact: they are those of words, not of hashes. Leading pairs that hold a notable share of all (`HOT_SHARE`; there can be no more than
+1 / HOT_SHARE of them) are dealt by their third word as well; only the sizes of such pairs are partial, and added up afterwards. Spark
+sorts what a task gets by its routing key, so a task holds a block of rows and the rows of one key at most.
 
 Defined cases: null texts are empty, a null lang is `und`; a table without words gives an empty result; equal
 texts count each time; the order of results is total (score, count, phrase), so ties do not matter; long texts are read whole; other columns are ignored.
@@ -18,11 +20,12 @@ texts count each time; the order of results is total (score, count, phrase), so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ from causeway.storage import stored
 
 #: Pointers that are sorted together in a task, and rows of a routing key's neighbours that are.
 BLOCK, ROUTED_BLOCK = 1 << 20, 1 << 19
-#: A leading pair with this share of the rows is dealt by its third word too; blocks name pairs with half of it.
+#: A leading pair with this share of what is frequent is dealt by its third word too.
 HOT_SHARE = 1 / 1024
+#: Bits of the map of frequent pairs: 16 for each, up to 16 MB in all.
+MOST_BITS = 1 << 27
 _END = -1
 
 _CUT, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
@@ -116,46 +121,40 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return data, start, end, piece[start]
 
 
-_ROWS = "kind int, lang string, w array<string>, n long"
-_WORD, _PAIR, _SUFFIX = 0, 1, 2
+class Block:
+    """Words of texts in one language: their codes, strings and hashes, and pointers that read `words` of them."""
 
-
-def _suffixes(words: int, most: int, share: float):
-    """From (lang, text): sizes of words, pairs with many suffixes, and suffixes of two words or more, block by block."""
-
-    def block(lang: str, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, lang: str, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], words: int) -> None:
         coded = pa.concat_arrays([T.column(T.Words(data, start, end, start, start)) for data, start, end, _ in parts]).dictionary_encode()
-        code, strings = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary.cast(pa.string())
-        step, pieces_ = 0, []
+        self.lang, self.code, self.strings = lang, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.string())
+        own = np.frombuffer(lang.encode(), np.uint8)
+        self.seed = T.word_hashes(own, np.zeros(1, np.int64), np.full(1, len(own)))[0]
+        data, at = T.strings(self.strings)
+        self.hash = T._two(np.full(len(self.strings), self.seed), T.word_hashes(data, at[:-1], at[1:]))
+        step, numbers = 0, []
         for *_, piece in parts:
-            pieces_.append(piece + step)
-            step = pieces_[-1][-1] + 1 if len(piece) else step
-        piece = np.concatenate(pieces_)
-        columns = [code]
+            numbers.append(piece + step)
+            step = numbers[-1][-1] + 1
+        piece = np.concatenate(numbers)
+        self.columns = [self.code]
         for d in range(1, words):
-            ahead = np.full(len(code), _END, np.int32)
-            ahead[:-d] = np.where(piece[d:] == piece[:-d], code[d:], _END)
-            columns.append(ahead)
-        runs, ends = quicksort(columns, np.ones(len(code), np.int64), [0] * words)
-        rows = [(_WORD, [code[runs[0][0]]], runs[0][1])]
-        for d in range(2, words):  # pieces that end after d words
-            rows.append((_SUFFIX, [columns[x][ends[d][0]] for x in range(d)], ends[d][1]))
-        lead, size = runs[-1]
-        rows.append((_SUFFIX, [c[lead] for c in columns], size))
-        pairs, many = np.unique(code[lead].astype(np.int64) * len(strings) + columns[1][lead], return_counts=True)
-        hot = many >= max(2, share / 2 * len(lead))
-        rows.append((_PAIR, [pairs[hot] // len(strings), pairs[hot] % len(strings)], many[hot]))
-        rows.append((_PAIR, [], np.array([len(lead)])))
-        for kind, own, size in rows:
-            width = len(own)
-            flat = strings.take(pa.array(np.stack(own, axis=1).ravel())) if width else pa.array([], pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * width), flat)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(size), kind, np.int32)), pa.array([lang] * len(size), pa.string()), lists, pa.array(size.astype(np.int64))], names=["kind", "lang", "w", "n"]
-            )
+            ahead = np.full(len(self.code), _END)
+            ahead[:-d] = np.where(piece[d:] == piece[:-d], self.code[d:], _END)
+            self.columns.append(ahead)
+
+    def pair_hashes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return T._two(self.hash[first], self.hash[second])
+
+    def phrases(self, columns: list[np.ndarray]) -> pa.Array:
+        return pc.binary_join_element_wise(*(self.strings.take(pa.array(c)) for c in columns), " ")
+
+
+def _blocks(words: int, most: int, task) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What `task` makes of the blocks of (lang, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, list] = {}
+        held: dict[str, int] = {}
         for batch in T.slices(batches):
             langs = batch.column(0).to_pylist()
             for lang in dict.fromkeys(langs):
@@ -164,45 +163,101 @@ def _suffixes(words: int, most: int, share: float):
                     part = pieces(data, at[lo : hi + 1])
                     if len(part[1]):
                         open_.setdefault(lang, []).append(part)
-                    if sum(len(x[1]) for x in open_.get(lang, [])) >= most:
-                        yield from block(lang, open_.pop(lang))
-            while sum(len(x[1]) for parts in open_.values() for x in parts) >= 2 * most:
-                longest = max(open_, key=lambda x: sum(len(y[1]) for y in open_[x]))
-                yield from block(longest, open_.pop(longest))
+                        held[lang] = held.get(lang, 0) + len(part[1])
+                    if held.get(lang, 0) >= most:
+                        held.pop(lang)
+                        yield from task(Block(lang, open_.pop(lang), words))
+            while sum(held.values()) >= 2 * most:
+                longest = max(held, key=held.get)
+                held.pop(longest)
+                yield from task(Block(longest, open_.pop(longest), words))
         for lang, parts in open_.items():
-            yield from block(lang, parts)
+            yield from task(Block(lang, parts, words))
 
     return rows
 
 
+def _pairs(block: Block) -> Iterator[pa.RecordBatch]:
+    """(h, n): hashes of leading pairs and the sizes of their partitions."""
+    on = np.flatnonzero(block.columns[1] != _END)
+    first, second = block.code[on], block.columns[1][on]
+    runs, _ = quicksort([first, second], np.ones(len(on), np.int64), [0, 0])
+    lead, size = runs[1]
+    yield pa.RecordBatch.from_arrays([pa.array(block.pair_hashes(first[lead], second[lead]).view(np.int64)), pa.array(size)], names=["h", "n"])
+
+
+_ROWS = "h long, hot boolean, lang string, phrase string, n long"
+
+
+def _suffixes(bits: Broadcast, hot: Broadcast):
+    """(h, hot, lang, phrase, n): how many words there are (a null phrase), words, and suffixes that go on from frequent pairs."""
+
+    def task(block: Block) -> Iterator[pa.RecordBatch]:
+        filter_, heavy, code = bits.value, hot.value, block.code
+        # A pointer reads on as long as each pair of neighbours may be frequent.
+        pair = np.flatnonzero(block.columns[1] != _END) if len(block.columns) > 1 else np.zeros(0, np.int64)
+        h = block.pair_hashes(code[pair], block.columns[1][pair])
+        maybe = np.zeros(len(code) + len(block.columns), bool)
+        place = h & T.U64(len(filter_) * 64 - 1)
+        maybe[pair] = (filter_[(place >> T.U64(6)).astype(np.int64)] >> (place & T.U64(63))) & T.U64(1) > 0
+        on = np.flatnonzero(maybe[: len(code)])
+        columns, reads = [code[on]], np.ones(len(on), bool)
+        for d in range(1, len(block.columns)):
+            reads = reads & maybe[on + d - 1]
+            columns.append(np.where(reads, block.columns[d][on], _END))
+        counts = np.bincount(code)
+        rows = [(np.array([T.mix(block.seed)]), pa.array([None], pa.string()), np.array([len(code)]), np.zeros(1, bool))]
+        rows.append((T.mix(block.hash), block.strings, counts, np.zeros(len(counts), bool)))
+        runs, ends = quicksort(columns, np.ones(len(on), np.int64), [0] * len(columns))
+        for size, (lead, n) in [*((d, ends[d]) for d in range(2, len(columns))), (len(columns), runs[-1])]:
+            if len(lead):
+                own = [c[lead] for c in columns[:size]]
+                h = block.pair_hashes(own[0], own[1])
+                is_hot = np.isin(h, heavy)
+                if size > 2:
+                    h = np.where(is_hot, T._two(h, block.hash[own[2]]), h)
+                rows.append((h, block.phrases(own), n, is_hot))
+        for h, phrase, n, is_hot in rows:
+            lang = pa.array([block.lang] * len(n), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(is_hot), lang, phrase, pa.array(n.astype(np.int64))], names=["h", "hot", "lang", "phrase", "n"])
+
+    return task
+
+
 _COUNTS = "lang string, phrase string, size int, n long"
 
 
 def _counted(words: int, least: int, most: int):
-    """From (lang, w, n, h, hot), in the order of h: (lang, phrase, size, n) of what is frequent; sizes of hot pairs are partial."""
+    """From _ROWS in the order of h: (lang, phrase, size, n) of what is frequent (size 0: all words); sizes of hot pairs are partial."""
 
     def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
         table = table.combine_chunks()
-        lists, weight, hot = table.column("w").combine_chunks(), table.column("n").to_numpy(), table.column("hot").to_numpy(zero_copy_only=False)
+        weight, hot = table.column("n").to_numpy(), table.column("hot").to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(table.column("phrase").combine_chunks(), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()
-        code, strings = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        code, strings = np.append(coded.indices.to_numpy(zero_copy_only=False), _END).astype(np.int64), coded.dictionary
         size = np.diff(bounds)
         langs = table.column("lang").combine_chunks().dictionary_encode()
         columns = [langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
-        for d in range(words):
-            columns.append(np.where(size > d, code[np.minimum(bounds[:-1] + d, max(0, len(code) - 1))] if len(code) else _END, _END).astype(np.int64))
-        for part, floor in ((np.flatnonzero(~hot), [least] * (words + 1)), (np.flatnonzero(hot), [0, 0, 0] + [least] * (words - 2))):
-            if not len(part):
-                continue
-            runs, _ = quicksort([c[part] for c in columns], weight[part], floor)
-            for d in range(2, words + 1):
+        columns += [code[np.where(size > d, bounds[:-1] + d, len(code) - 1)] for d in range(words)]
+        always, floor = [0] * (words + 1), [least] * (words + 1)
+        for part, least_of, depths in (
+            (size == 0, always, [0]),
+            (size == 1, floor, [1]),
+            ((size > 1) & ~hot, floor, range(2, words + 1)),
+            ((size > 1) & hot, [0, 0, 0, *floor[3:]], range(2, words + 1)),
+        ):
+            part = np.flatnonzero(part)
+            runs, _ = quicksort([c[part] for c in columns[: max(depths) + 1]], weight[part], least_of)
+            for d in depths:
                 lead, n = runs[d]
-                lead = part[lead]
-                parts = [strings.take(pa.array(columns[x][lead])) for x in range(1, d + 1)]
-                phrase = pc.binary_join_element_wise(*parts, " ") if len(lead) else pa.array([], pa.string())
-                own = langs.dictionary.take(pa.array(columns[0][lead]))
-                yield pa.RecordBatch.from_arrays([own, phrase, pa.array(np.full(len(lead), d, np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
+                if len(lead):
+                    lead = part[lead]
+                    words_of = [strings.take(pa.array(columns[x][lead])) for x in range(1, d + 1)]
+                    phrase = pc.binary_join_element_wise(*words_of, " ") if d else pa.array([""] * len(lead), pa.string())
+                    lang = langs.dictionary.take(pa.array(columns[0][lead]))
+                    yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(lead), d, np.int32)), pa.array(n)], names=["lang", "phrase", "size", "n"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -230,8 +285,7 @@ def _counted(words: int, least: int, most: int):
 def _merged(table: pa.Table) -> pa.RecordBatch:
     """The rows of one routing key, equal suffixes as one."""
     table = table.combine_chunks()
-    joined = pc.binary_join(table.column("w").combine_chunks(), "\n").dictionary_encode()
-    code = joined.indices.to_numpy(zero_copy_only=False)
+    code = pc.fill_null(table.column("phrase").combine_chunks(), "").dictionary_encode().indices.to_numpy(zero_copy_only=False)
     _, first = np.unique(code, return_index=True)
     sums = np.bincount(code, weights=table.column("n").to_numpy()).astype(np.int64)
     few = table.take(pa.array(first))
@@ -239,22 +293,24 @@ def _merged(table: pa.Table) -> pa.RecordBatch:
 
 
 def phrase_counts(docs: DataFrame, *, words: int = 3, least: int = 10) -> DataFrame:
-    """(lang, phrase, size, n): every word (size 1) of docs (lang, text, ...) with its count, and every phrase of 2 to `words` words that occurs `least` times or more."""
+    """(lang, phrase, size, n): the words (size 1) and phrases of 2 to `words` words of docs (lang, text, ...) that occur `least`
+    times or more, and, with size 0, how many words each lang has."""
+    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    rows = stored(texts.mapInArrow(_suffixes(words, BLOCK, HOT_SHARE), _ROWS))
-    lead = F.col("w")[0].alias("w1"), F.col("w")[1].alias("w2")
-    pairs = rows.filter(F.col("kind") == _PAIR)
-    total = pairs.filter(F.size("w") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    heavy = pairs.filter(F.size("w") == 2).groupBy("lang", *lead).agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(max(2.0, HOT_SHARE * total))).select("lang", "w1", "w2", F.lit(True).alias("hot"))
-    suffixes = rows.filter(F.col("kind") == _SUFFIX).select("lang", "w", "n", *lead)
-    routed = suffixes.join(F.broadcast(heavy), ["lang", "w1", "w2"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    third = F.when(F.col("hot") & (F.size("w") > 2), F.element_at("w", 3))
-    routed = routed.select("lang", "w", "n", F.xxhash64("lang", "w1", "w2", third).alias("h"), "hot").repartition("h").sortWithinPartitions("h")
-    phrases = routed.mapInArrow(_counted(words, least, ROUTED_BLOCK), _COUNTS)
-    singles = rows.filter(F.col("kind") == _WORD).groupBy("lang", F.col("w")[0].alias("phrase")).agg(F.lit(1).alias("size"), F.sum("n").alias("n"))
-    # Complete counts have one row; sizes of hot pairs are in parts.
-    whole = phrases.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return stored(whole.unionByName(singles.select("lang", "phrase", "size", "n")))
+    pairs = texts.mapInArrow(_blocks(2, BLOCK, _pairs), "h long, n long")
+    frequent = stored(pairs.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    known = frequent.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * known["pairs"]).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    # A row for each 64 bits, bits / 64 of them at most.
+    map_ = frequent.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    filter_ = np.zeros(bits // 64, np.uint64)
+    filter_[map_.column("i").to_numpy()] = map_.column("bits").to_numpy().view(np.uint64)
+    heavy = [r["h"] for r in frequent.filter(F.col("n") >= max(2.0, HOT_SHARE * known["n"])).select("h").collect()]
+    shared = [spark.sparkContext.broadcast(x) for x in (filter_, np.array(heavy, np.int64).view(np.uint64))]
+    rows = texts.mapInArrow(_blocks(words, BLOCK, _suffixes(*shared)), _ROWS)
+    found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_counted(words, least, ROUTED_BLOCK), _COUNTS)
+    return stored(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("size") == 0)))
 
 
 def collocations(docs: DataFrame, *, words: int = 3, least: int = 10, share: int = 50, top: int = 2000) -> DataFrame:
@@ -264,7 +320,7 @@ def collocations(docs: DataFrame, *, words: int = 3, least: int = 10, share: int
     these). Phrases that stand inside a longer one which has `share` per cent of their occurrences or more are dropped.
     """
     counts = phrase_counts(docs, words=words, least=least)
-    known = counts.select("lang", "phrase", "n")
+    known = counts.filter("size > 0").select("lang", "phrase", "n")
     found = counts.filter("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
 
     def joined(first: str, many: str) -> F.Column:
@@ -286,7 +342,6 @@ def collocations(docs: DataFrame, *, words: int = 3, least: int = 10, share: int
         .agg(F.max("a").alias("longer"))
     )
     kept = scored.join(inner, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-    n = counts.filter("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= top)
-    return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(counts.filter("size = 0").select("lang", "n"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
