@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm import pieces
+from causeway.llm.alignment import align
 from causeway.llm.collocations import collocations
 from causeway.llm.decontaminate import contained
 from causeway.llm.fingerprint import with_edits
@@ -77,12 +78,16 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_compression_quality, op2_minhash_near_dedup, op3_pii_skip_chain, op4_html_wrappers, op5_multiset_fingerprints, op6_suffix_array_dedup,
-            op7_substring_dedup, op8_sentencepiece_sampling, op9_toxicity_chain, op10_benchmark_containment, op11_phrase_collocations,
+            op7_substring_dedup, op8_sentencepiece_sampling, op9_toxicity_chain, op10_benchmark_containment, op11_phrase_collocations, op13_tokenizer_alignment,
         )
     }
 
