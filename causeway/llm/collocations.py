@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm import text as T
+from causeway.llm.tables import bit_map, in_bit_map
 from causeway.storage import stored
 
 #: Pointers that are sorted together in a task, and rows of a routing key's neighbours that are.
@@ -198,8 +199,7 @@ def _suffixes(bits: Broadcast, hot: Broadcast):
         pair = np.flatnonzero(block.columns[1] != _END) if len(block.columns) > 1 else np.zeros(0, np.int64)
         h = block.pair_hashes(code[pair], block.columns[1][pair])
         maybe = np.zeros(len(code) + len(block.columns), bool)
-        place = h & T.U64(len(filter_) * 64 - 1)
-        maybe[pair] = (filter_[(place >> T.U64(6)).astype(np.int64)] >> (place & T.U64(63))) & T.U64(1) > 0
+        maybe[pair] = in_bit_map(filter_, h)
         on = np.flatnonzero(maybe[: len(code)])
         columns, reads = [code[on]], np.ones(len(on), bool)
         for d in range(1, len(block.columns)):
@@ -299,14 +299,9 @@ def phrase_counts(docs: DataFrame, *, words: int = 3, least: int = 10) -> DataFr
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     pairs = texts.mapInArrow(_blocks(2, BLOCK, _pairs), "h long, n long")
     frequent = stored(pairs.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    known = frequent.agg(F.count("*").alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bits = min(MOST_BITS, max(1 << 12, 1 << (16 * known["pairs"]).bit_length()))
-    place = F.col("h").bitwiseAND(F.lit(bits - 1))
-    # A row for each 64 bits, bits / 64 of them at most.
-    map_ = frequent.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
-    filter_ = np.zeros(bits // 64, np.uint64)
-    filter_[map_.column("i").to_numpy()] = map_.column("bits").to_numpy().view(np.uint64)
-    heavy = [r["h"] for r in frequent.filter(F.col("n") >= max(2.0, HOT_SHARE * known["n"])).select("h").collect()]
+    filter_ = bit_map(frequent, MOST_BITS)
+    total = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    heavy = [r["h"] for r in frequent.filter(F.col("n") >= max(2.0, HOT_SHARE * total)).select("h").collect()]  # 1 / HOT_SHARE at most
     shared = [spark.sparkContext.broadcast(x) for x in (filter_, np.array(heavy, np.int64).view(np.uint64))]
     rows = texts.mapInArrow(_blocks(words, BLOCK, _suffixes(*shared)), _ROWS)
     found = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_counted(words, least, ROUTED_BLOCK), _COUNTS)

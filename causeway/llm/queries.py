@@ -18,6 +18,7 @@ from causeway.llm.decontaminate import contained
 from causeway.llm.fingerprint import with_edits
 from causeway.llm.html import main_text
 from causeway.llm.near_dedup import near_duplicates
+from causeway.llm.ngram_join import linked_documents
 from causeway.llm.pii import find
 from causeway.llm.quality import quality
 from causeway.llm.repeats import substring_repeats, suffix_repeats
@@ -78,6 +79,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_ngram_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"))
 
@@ -87,7 +92,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_compression_quality, op2_minhash_near_dedup, op3_pii_skip_chain, op4_html_wrappers, op5_multiset_fingerprints, op6_suffix_array_dedup,
-            op7_substring_dedup, op8_sentencepiece_sampling, op9_toxicity_chain, op10_benchmark_containment, op11_phrase_collocations, op13_tokenizer_alignment,
+            op7_substring_dedup, op8_sentencepiece_sampling, op9_toxicity_chain, op10_benchmark_containment, op11_phrase_collocations, op12_ngram_tree_join, op13_tokenizer_alignment,
         )
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +61,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byt
     few = docs.sparkSession.createDataFrame([(i,) for i, _ in taken], "doc_id long")
     of = {r["doc_id"]: r["text"] for r in texts.join(F.broadcast(few), "doc_id", "left_semi").collect()}
     return [(i, of[i], label) for i, label in taken], counts
+
+
+def bit_map(hashes: DataFrame, most_bits: int) -> np.ndarray:
+    """A map with a bit for each of the 64-bit hashes (h): 16 to 32 bits for each, most_bits (a power of 2) in all. What is in it may
+    also be another hash; what is not, is none of them. One row for each 64 bits comes to the driver, most_bits / 64 at most."""
+    bits = min(most_bits, max(1 << 12, 1 << (16 * hashes.count()).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(bits - 1))
+    rows = hashes.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows.column("i").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bit_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each of the hashes whether the map may have it."""
+    place = hashes.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
