@@ -23,6 +23,7 @@ import hashlib
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,19 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class _Strings:
+    """Byte strings side by side, to be joined by their numbers."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.data, self.size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(x) for x in strings], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.first[numbers] - (ends - size), size) + np.arange(size.sum())]
+
+
 class Aligner:
     """Both tokenizers, and the aligned parts seen so far."""
 
@@ -67,6 +81,8 @@ class Aligner:
         for i in reversed(range(len(self.bytes_b))):
             first[self.bytes_b[i]] = i
         self.same = np.array([first.get(x, -1) for x in self.bytes_a])
+        self.strings_a, self.strings_b = _Strings(self.bytes_a), _Strings(self.bytes_b)
+        self.decimals = _Strings([b"%d," % i for i in range(max(len(self.bytes_a), len(self.bytes_b)))])
         self.by_words = not any(b" " in x.lstrip(b" ") for x in self.bytes_b)
         self._clear()
 
@@ -75,59 +91,62 @@ class Aligner:
         self.groups: list[bytes] = []
         # For each part: tokens, groups, links (n_groups is -1 where it does not come back), and where its pairs begin.
         self.n_a, self.n_b, self.n_groups, self.n_links, self.first = array("q"), array("q"), array("q"), array("q"), array("q", [0])
-        self.pairs, self.times = array("q"), array("q")
+        self.pairs = array("q")
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both for each of the texts, which begin with a space."""
         own = self.a.encode_batch(texts, add_special_tokens=False)
         return [(x.ids, y) for x, y in zip(own, self.b.encode([t[1:] for t in texts], num_threads=1), strict=True)]
 
-    def align(self, text: bytes, a: list[int], b: list[int]) -> tuple[int, bytes, dict[int, int]] | None:
-        """(number of groups, their text, links as a * |B| + b with how often), or None where the bytes do not come back."""
-        if b"".join([self.bytes_a[i] for i in a]) != text or b"".join([self.bytes_b[i] for i in b]) != text:
-            return None
-        links: dict[int, int] = {}
-        groups, i, j, wide = [], 0, 0, len(self.bytes_b)
-        left, right, end_a, end_b = [a[0]], [b[0]], len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            link = a[i] * wide + b[j]
-            links[link] = links.get(link, 0) + 1
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    return len(groups), ";".join(groups).encode(), links
-                left, right = [a[i]], [b[j]]
-                end_a, end_b = end_a + len(self.bytes_a[a[i]]), end_b + len(self.bytes_b[b[j]])
-            elif end_a < end_b:
-                i += 1
-                left.append(a[i])
-                end_a += len(self.bytes_a[a[i]])
-            else:
-                j += 1
-                right.append(b[j])
-                end_b += len(self.bytes_b[b[j]])
-
-    def _keep(self, part: bytes, a: list[int], b: list[int]) -> int:
-        found = self.align(part, a, b)
-        number, text, links = found or (-1, b"", {})
-        self.groups.append(text)
-        for column, value in ((self.n_a, len(a)), (self.n_b, len(b)), (self.n_groups, number), (self.n_links, sum(links.values()))):
-            column.append(value)
-        self.pairs.extend(links)
-        self.times.extend(links.values())
-        self.first.append(len(self.pairs))
-        return len(self.groups) - 1
+    def _learn(self, parts: list[bytes]) -> None:
+        """Aligns the parts, all at once, and adds them to what is known."""
+        tokens = self.tokens([p.decode() for p in parts])
+        size = np.array([len(p) for p in parts], np.int64)
+        many = [np.array([len(t[x]) for t in tokens], np.int64) for x in (0, 1)]
+        ids = [np.array(list(chain.from_iterable(t[x] for t in tokens)), np.int64) for x in (0, 1)]
+        of = [np.repeat(np.arange(len(parts)), m) for m in many]
+        # Parts whose bytes come back from both.
+        known = (self.strings_a, self.strings_b)
+        good = np.logical_and(*(np.bincount(of[x], known[x].size[ids[x]], len(parts)).astype(np.int64) == size for x in (0, 1)))
+        for x in (0, 1):
+            on = np.flatnonzero(good)
+            if len(on):
+                text, first = np.frombuffer(b"".join([parts[i] for i in on]), np.uint8), np.cumsum(size[on]) - size[on]
+                good[on[~np.logical_and.reduceat(known[x].joined(ids[x][good[of[x]]]) == text, first)]] = False
+        a, b, part_a = ids[0][good[of[0]]], ids[1][good[of[1]]], of[0][good[of[0]]]
+        end_a, end_b = np.cumsum(known[0].size[a]), np.cumsum(known[1].size[b])
+        # From one end to the next, of either, one token of each covers the bytes; where both end, a group does.
+        ends, common = np.union1d(end_a, end_b), np.intersect1d(end_a, end_b, assume_unique=True)
+        at = np.searchsorted(end_a, ends)
+        links, links_of = a[at] * len(self.bytes_b) + b[np.searchsorted(end_b, ends)], part_a[at]
+        n_groups = np.bincount(part_a[np.searchsorted(end_a, common)], minlength=len(parts))
+        n_links = np.bincount(links_of, minlength=len(parts))
+        # The groups as text: tokens in their order, each with the sign that follows it.
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
+        place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
+        order, sign = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+        order[place_a], order[place_b] = a, b
+        sign[place_a] = np.where(common[group_a] == end_a, ord("|"), ord(","))
+        sign[place_b] = np.where(common[group_b] == end_b, ord(";"), ord(","))
+        text, stop = self.decimals.joined(order), np.cumsum(self.decimals.size[order])
+        text[stop - 1] = sign
+        raw, tokens_of = text.tobytes(), np.append(0, np.cumsum(np.where(good, many[0] + many[1], 0)))
+        bounds = np.append(0, stop)[tokens_of].tolist()
+        self.groups += [raw[x : max(x, y - 1)] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        for column, values in ((self.n_a, many[0]), (self.n_b, many[1]), (self.n_groups, np.where(good, n_groups, -1)), (self.n_links, n_links), (self.pairs, links)):
+            column.frombytes(values.astype(np.int64).tobytes())
+        self.first.frombytes((self.first[-1] + np.cumsum(n_links)).astype(np.int64).tobytes())
 
     def places(self, parts: list[bytes]) -> np.ndarray:
         """The number of each of the distinct parts."""
         if len(self.known) > self.most:
             self._clear()
         new = [p for p in parts if p not in self.known]
-        for lo in range(0, len(new), 2000):
-            some = new[lo : lo + 2000]
-            for part, (a, b) in zip(some, self.tokens([p.decode() for p in some]), strict=True):
-                self.known[part] = self._keep(part, a, b)
+        for lo in range(0, len(new), 4000):
+            some = new[lo : lo + 4000]
+            self.known.update(zip(some, range(len(self.groups), len(self.groups) + len(some)), strict=True))
+            self._learn(some)
         return np.array([self.known[p] for p in parts], np.int64)
 
     def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
@@ -200,8 +219,8 @@ def _aligned(a: str, b: bytes, key: str, parts: int, block_bytes: int):
                     whole = []  # texts as one part each
                     for d in bad:
                         text = b" " + data[at[lo + d] : at[lo + d + 1]].tobytes()
-                        place = aligner._keep(text, *aligner.tokens([text.decode()])[0])
-                        whole += [(d, place)] * (aligner.n_groups[place] >= 0)
+                        aligner._learn([text])
+                        whole += [(d, len(aligner.groups) - 1)] * (aligner.n_groups[-1] >= 0)
                     if bad:
                         good = ~np.isin(doc, bad)
                         doc, part = np.append(doc[good], [d for d, _ in whole]).astype(np.int64), np.append(part[good], [p for _, p in whole]).astype(np.int64)
@@ -217,14 +236,14 @@ def _aligned(a: str, b: bytes, key: str, parts: int, block_bytes: int):
                     # Pairs of each document, once each with how often it has them.
                     total = len(aligner.groups)
                     held, often = np.unique(doc * total + part, return_counts=True)
-                    first, pairs, own_times = (np.frombuffer(x, np.int64) for x in (aligner.first, aligner.pairs, aligner.times))
+                    first, pairs = np.frombuffer(aligner.first, np.int64), np.frombuffer(aligner.pairs, np.int64)
                     begin, many = first[held % total], first[held % total + 1] - first[held % total]
                     flat = np.repeat(begin - (np.cumsum(many) - many), many) + np.arange(many.sum())
                     link = np.repeat(held // total, many) * (len(vector) * wide) + pairs[flat]
                     link, back = np.unique(link, return_inverse=True)
-                    times = np.bincount(back, own_times[flat] * np.repeat(often, many), len(link)).astype(np.int64)
+                    times = np.bincount(back, np.repeat(often, many), len(link)).astype(np.int64)
                     which, code = link // (len(vector) * wide), link % (len(vector) * wide)
-                    del columns, first, pairs, own_times  # views: the arrays may grow again
+                    del columns, first, pairs  # views: the arrays may grow again
                 same = aligner.same[code // wide] == code % wide
                 np.add.at(vector, code[same] // wide, 1)
                 seen.append(code[~same])
