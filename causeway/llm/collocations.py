@@ -34,7 +34,9 @@ from causeway.llm.tables import bit_map, in_bit_map
 from causeway.storage import stored
 
 #: Pointers that are sorted together in a task, and rows of a routing key's neighbours that are.
-BLOCK, ROUTED_BLOCK = 1 << 20, 1 << 19
+BLOCK, ROUTED_BLOCK = 1 << 19, 1 << 18
+#: Rows that leave a task at a time.
+OUT = 1 << 15
 #: A leading pair with this share of what is frequent is dealt by its third word too.
 HOT_SHARE = 1 / 1024
 #: Bits of the map of frequent pairs: 16 for each, up to 16 MB in all.
@@ -56,25 +58,25 @@ def quicksort(columns: list[np.ndarray], weight: np.ndarray, least: list[int]) -
     partition at a depth is abandoned. The last depth is the maximum depth.
     """
     deepest = len(columns)
-    table = np.stack(columns)
+    table = np.stack(columns).astype(np.int32)  # codes of a block
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in columns]
     ends: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in columns]
-    p = np.arange(len(weight))
+    p = np.arange(len(weight), dtype=np.int32)
     first, depth = np.zeros(min(1, len(p)), np.int64), np.zeros(min(1, len(p)), np.int64)
     while len(p):
         size = np.diff(np.append(first, len(p)))
-        segment = np.repeat(np.arange(len(first)), size)
+        segment = np.repeat(np.arange(len(first), dtype=np.int32), size)
         key = table[depth[segment], p]
         a, b, c = key[first], key[first + size // 2], key[first + size - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[segment]
         side = (key >= pivot).astype(np.int8) + (key > pivot)
         # Places: within a segment first what is smaller, then what is equal, then what is larger.
-        counts, place = np.zeros((len(first), 3), np.int64), np.empty(len(p), np.int64)
+        counts, place = np.zeros((len(first), 3), np.int64), np.empty(len(p), np.int32)
         before = first.copy()
         for s in range(3):
             own = side == s
-            run = np.cumsum(own)
-            counts[:, s] = np.add.reduceat(own, first)
+            run = np.cumsum(own, dtype=np.int32)
+            counts[:, s] = np.add.reduceat(own, first, dtype=np.int64)
             at = np.flatnonzero(own)
             seg = segment[at]
             place[at] = before[seg] + run[at] - 1 - (run[first] - own[first])[seg]
@@ -160,7 +162,7 @@ def _blocks(words: int, most: int, task) -> Callable[[Iterator[pa.RecordBatch]],
             langs = batch.column(0).to_pylist()
             for lang in dict.fromkeys(langs):
                 data, at = T.strings(batch.column(1).filter(pa.array([x == lang for x in langs])))
-                for lo, hi in T.chunks(at, 1 << 22):
+                for lo, hi in T.chunks(at, 1 << 20):
                     part = pieces(data, at[lo : hi + 1])
                     if len(part[1]):
                         open_.setdefault(lang, []).append(part)
@@ -184,7 +186,9 @@ def _pairs(block: Block) -> Iterator[pa.RecordBatch]:
     first, second = block.code[on], block.columns[1][on]
     runs, _ = quicksort([first, second], np.ones(len(on), np.int64), [0, 0])
     lead, size = runs[1]
-    yield pa.RecordBatch.from_arrays([pa.array(block.pair_hashes(first[lead], second[lead]).view(np.int64)), pa.array(size)], names=["h", "n"])
+    h = block.pair_hashes(first[lead], second[lead]).view(np.int64)
+    for lo in range(0, len(h), OUT):
+        yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + OUT]), pa.array(size[lo : lo + OUT])], names=["h", "n"])
 
 
 _ROWS = "h long, hot boolean, lang string, phrase string, n long"
@@ -218,8 +222,12 @@ def _suffixes(bits: Broadcast, hot: Broadcast):
                     h = np.where(is_hot, T._two(h, block.hash[own[2]]), h)
                 rows.append((h, block.phrases(own), n, is_hot))
         for h, phrase, n, is_hot in rows:
-            lang = pa.array([block.lang] * len(n), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(is_hot), lang, phrase, pa.array(n.astype(np.int64))], names=["h", "hot", "lang", "phrase", "n"])
+            for lo in range(0, len(n), OUT):
+                cut = slice(lo, lo + OUT)
+                lang = pa.array([block.lang] * len(n[cut]), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[cut].view(np.int64)), pa.array(is_hot[cut]), lang, phrase.slice(lo, OUT), pa.array(n[cut].astype(np.int64))], names=["h", "hot", "lang", "phrase", "n"]
+                )
 
     return task
 
