@@ -31,7 +31,7 @@ from causeway.llm import text as T
 
 U64 = T.U64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 19
+CHUNK, SMALL_CHUNK = 1 << 19, 1 << 18
 BYTE_WEIGHT = 1e-5
 _SPACE = "▁"
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -249,6 +249,32 @@ def encode(docs: DataFrame, *, model: str = MODEL, seed: int = 1, sharpness: flo
     return docs.mapInArrow(rows, Ty.StructType([*docs.schema.fields, Ty.StructField(out, Ty.ArrayType(Ty.IntegerType()))]))
 
 
+def round_trip(docs: DataFrame, *, model: str = MODEL, seed: int = 1, sharpness: float = 1.0, key: str = "doc_id", text: str = "text", out: str = "ids", lossless: str = "lossless") -> DataFrame:
+    """docs without `text`, with columns `out` of its piece ids and `lossless`: whether these decode to it. One pass, which holds the lattices and
+    results of `SMALL_CHUNK` bytes of text (or of one text) at a time."""
+    pieces = Pieces.load(model, sharpness)
+    docs = docs.drop(out, lossless)
+    at_key, at_text = docs.columns.index(key), docs.columns.index(text)
+    kept = [i for i in range(len(docs.columns)) if i != at_text]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(pieces, seed)
+        for batch in T.slices(batches):
+            data, at = T.strings(batch.column(at_text))
+            keys = T.ids(batch.column(at_key)).view(U64)
+            for lo, hi in T.chunks(at, SMALL_CHUNK):
+                ids, bounds = sampler.encode(data, at[lo : hi + 1], keys[lo:hi])
+                back, ends = pieces.decode(ids, bounds)
+                same = np.diff(ends) == np.diff(at[lo : hi + 1])
+                if not same.all() or not np.array_equal(back, data[at[lo] : at[hi]]):
+                    same = np.array([back[ends[i] : ends[i + 1]].tobytes() == data[at[lo + i] : at[lo + i + 1]].tobytes() for i in range(hi - lo)], bool)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in kept), lists, pa.array(same)], names=[*(batch.schema.names[i] for i in kept), out, lossless])
+
+    fields = [docs.schema.fields[i] for i in kept]
+    return docs.mapInArrow(rows, Ty.StructType([*fields, Ty.StructField(out, Ty.ArrayType(Ty.IntegerType())), Ty.StructField(lossless, Ty.BooleanType())]))
+
+
 def decode(docs: DataFrame, *, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a column `out`: the text of the piece ids."""
     pieces = Pieces.load(model)

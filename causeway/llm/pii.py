@@ -3,16 +3,21 @@
 The base patterns find emails, IPv4 addresses, payment cards and phone numbers. The field then
 labels a document's candidates: looser stretches that look like addresses or numbers. Its nodes
 are candidates, its potentials: the shape of a candidate; the labels of candidates next to each
-other; and, by skip edges, the labels of candidates anywhere in the document that repeat the same
+other; and, by skip edges, the labels of candidates anywhere in the document that are the same
 address or digits (or end in the same seven). Candidates that a base span covers are observed; for
 the others loopy message passing gives a label, and what is not "other" is added as a span. So a
-number that is written once in full and later without its prefix is found both times.
+number that is written once in full and later without its prefix is found each time, however often that is.
 
-All weights (of shapes, neighbours and skip edges) are fitted together on the driver by pseudo-likelihood: each candidate's
+Of the candidates that are the same, those that are not observed have one skip edge to each label that is (to the first
+observed candidate with it), and no edges between themselves; where none is observed, all have one to the first. So there are as many edges as candidates, and
+repeats that the patterns miss can't outvote the one that they find. Messages are passed until none changes by more than `STILL`.
+
+Weights of shapes and neighbours are fitted on the driver by pseudo-likelihood: each candidate's
 label given those of its neighbours. The labels are the base spans of a bounded sample of documents with candidates (`SAMPLE`
 of them and `SAMPLE_BYTES` of text at most, the first by a hash of the id); a candidate that the base patterns miss, but
-that repeats what they find, is left out there, as its label is what the field is to tell. Skip weights start from the belief that
-repeats agree (`REPEAT`) and are held near it. Every document is searched whole, in time linear in its length.
+that repeats what they find, is left out there, as its label is what the field is to tell. Skip weights are a prior: the belief that
+repeats agree (`REPEAT`), which the same fit moves only as far as repeats of observed spans in the sample bear it out or not. Every document is searched whole, in time
+linear in its length for each round of messages.
 
 Defined cases: a null text is empty; no candidates give no spans and the hash of the empty string;
 very long runs of digits or signs cost linear time; rows that repeat an id are each searched by their own text; extra
@@ -34,11 +39,13 @@ from causeway.llm import text as T
 from causeway.llm.tables import SAMPLE_BYTES
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, ROUNDS = 2000, 8
+SAMPLE = 2000
+#: Messages have settled when none changes by more than this; damped messages that swing for ever end after MOST_ROUNDS, as they are.
+STILL, MOST_ROUNDS = 1e-4, 1000
 #: Edges whose messages are reckoned at a time; digits from which a number stands for itself beside others.
 EDGES, ALONE = 1 << 14, 9
 #: Log potential of a skip edge between equal labels, and less that between others, before fitting.
-REPEAT = 2.5
+REPEAT = 6.0
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -126,14 +133,17 @@ class Field:
         node = np.stack([self.unary[_shape(t)].sum(axis=0) for t in texts])
         for i, label in enumerate(observed):
             if label >= 0:
-                node[i] = -50.0
+                node[i] = -1e9  # beyond what any number of neighbours can say
                 node[i, label] = 0.0
-        a, b, skip = _edges(texts)
-        if not len(a):
-            return node.argmax(axis=1)
+        return self.beliefs(node, *_edges(texts, observed)).argmax(axis=1)
+
+    def beliefs(self, node: np.ndarray, a: np.ndarray, b: np.ndarray, skip: np.ndarray) -> np.ndarray:
+        """Log beliefs of nodes (up to a constant each) after message passing over the edges (a, b)."""
+        size = node.shape[1]
         potential, kind = np.stack([self.chain, self.skip]), skip.astype(int)
         to_a, to_b = np.zeros((len(a), size)), np.zeros((len(a), size))
-        for _ in range(ROUNDS):
+        for _ in range(MOST_ROUNDS if len(a) else 0):
+            moved = 0.0
             belief = node.copy()
             np.add.at(belief, a, to_a)
             np.add.at(belief, b, to_b)
@@ -142,23 +152,30 @@ class Field:
                 p = potential[kind[e]]
                 new_b = np.logaddexp.reduce((belief[a[e]] - to_a[e])[:, :, None] + p, axis=1)
                 new_a = np.logaddexp.reduce((belief[b[e]] - to_b[e])[:, None, :] + p, axis=2)
-                to_a[e] = 0.5 * to_a[e] + 0.5 * (new_a - new_a.max(axis=1, keepdims=True))
-                to_b[e] = 0.5 * to_b[e] + 0.5 * (new_b - new_b.max(axis=1, keepdims=True))
+                for to, new in ((to_a, new_a), (to_b, new_b)):
+                    new -= new.max(axis=1, keepdims=True)
+                    moved = max(moved, float(np.abs(new - to[e]).max()))
+                    to[e] = 0.5 * to[e] + 0.5 * new
+            if moved < STILL:
+                break
         belief = node.copy()
         np.add.at(belief, a, to_a)
         np.add.at(belief, b, to_b)
-        return belief.argmax(axis=1)
-
-
-def _edges(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of the edges between candidates, and which are skip edges: to the last one before that is the same."""
-    n = len(texts)
-    edges, last = [(i, i + 1, False) for i in range(n - 1)], {}
-    for i, t in enumerate(texts):
-        for k in _keys(t):
-            if k in last:
-                edges.append((last[k], i, True))
-            last[k] = i
+        return belief
+
+
+def _edges(texts: Sequence[str], observed: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the edges between candidates, and which are skip edges: to the first of each observed label that is the same, else to the first that is."""
+    edges = [(i, i + 1, False) for i in range(len(texts) - 1)]
+    keys, hubs = [_keys(t) for t in texts], {}
+    for i, label in enumerate(observed):
+        if label > 0:
+            for k in keys[i]:
+                hubs.setdefault(k, {}).setdefault(label, i)
+    for i in range(len(texts)):
+        for k in keys[i]:
+            own = hubs.setdefault(k, {0: i})
+            edges += [(min(i, hub), max(i, hub), True) for hub in own.values() if hub != i]
     a, b, skip = (np.array([e[k] for e in edges], int) for k in range(3))
     return a, b, skip.astype(bool)
 
@@ -217,7 +234,7 @@ def fitted(texts: list[str], steps: int = 400, ridge: float = 1e-3) -> Field:
         known = {k for c, label in found if label for k in _keys(c)}
         seen = [label > 0 or not known.intersection(_keys(c)) for c, label in found]
         place = np.cumsum(seen) - 1 + len(y)
-        own_a, own_b, own_skip = _edges([c for c, _ in found])
+        own_a, own_b, own_skip = _edges(*zip(*found, strict=True)) if found else _edges([], [])
         use = np.array(seen, bool)[own_a] & np.array(seen, bool)[own_b] if len(own_a) else np.zeros(0, bool)
         a.append(place[own_a[use]] if len(own_a) else own_a)
         b.append(place[own_b[use]] if len(own_b) else own_b)

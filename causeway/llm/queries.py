@@ -61,9 +61,8 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of each text, sampled by its id, as a count and a hash, and whether they decode to it."""
-    there_and_back = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return there_and_back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), lossless.alias("lossless"))
+    there_and_back = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return there_and_back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "lossless")
 
 
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
