@@ -37,9 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_pieces, ids, lossless)"""
-    there_and_back = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text")))
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return there_and_back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", lossless.alias("lossless"))
+    there_and_back = pieces.round_trip(docs.select("doc_id", "lang", "source", "text"))
+    return there_and_back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
 STAGES = [
