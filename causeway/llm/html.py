@@ -35,7 +35,6 @@ import html as html_
 import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 
 import pyarrow as pa
@@ -71,8 +70,9 @@ _WEAK = re.compile(r"(?:^|[\s_-])(?:related|recommend\w*|share|sharing|social|pr
 _INNER = frozenset("ul ol li dl dt dd table tbody thead tfoot tr td th blockquote figure figcaption details summary pre caption".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
-#: Longest repeated group, distinct streams that one task aligns at a time, elements inside each other, and cells up to which alignment finds the longest common part.
-REPEATS, ALIGNED, DEPTH, CELLS = 4, 512, 150, 1 << 20
+#: Longest repeated group, distinct streams that one task aligns at a time, and elements inside each other that an expression tells apart: what is deeper
+#: stands in the last of them, text by text, but for what is never main text, which is left out at any depth.
+REPEATS, ALIGNED, DEPTH = 4, 512, 150
 
 
 def _space(text: str) -> str:
@@ -187,7 +187,12 @@ def parsed(html: str) -> Element:
                 open_[-1].inside.append(e)
                 open_.append(e)
             else:
-                open_.append(open_[-1])
+                around = open_[DEPTH - 1]
+                if open_[-1] is around and (bad or marks):
+                    around.inside.append(e)
+                    open_.append(e)
+                else:
+                    open_.append(open_[-1])
             stack.append((tag, e))
             mains += good
     close(1)
@@ -257,25 +262,28 @@ def shape(items: Items) -> Expression:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common part, the first way; of long lists, of a long one."""
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    found = [(i, i) for i in range(lead)]
-    a, b = a[lead:], b[lead:]
-    if len(a) * len(b) > CELLS:
-        return found + [(lead + x + k, lead + y + k) for x, y, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(n)]
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = table[i], table[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    i = j = 0
-    while i < len(a) and j < len(b):
+    """Places of a longest common part, the first way.
+
+    row[i] has a bit for each place j of b, counted from its end: 0 where the longest common part of a[i:] and b[j:] is one longer than that of
+    b[j + 1:]. A row follows from the one below by a few operations on whole rows, so long lists cost a bit for each pair.
+    """
+    n, places, row = len(b), {}, [(1 << len(b)) - 1]
+    full = row[0]
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << (n - 1 - j)
+    for x in reversed(a):
+        under = row[-1]
+        same = under & places.get(x, 0)
+        row.append(((under + same) | (under - same)) & full)
+    row.reverse()
+    found, i, j = [], 0, 0
+    while i < len(a) and j < n:
         if a[i] == b[j]:
-            found.append((lead + i, lead + j))
+            found.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
+            continue
+        rest = (1 << (n - j)) - 1
+        if (row[i] & rest).bit_count() == (row[i + 1] & rest).bit_count():  # as much without a[i]
             i += 1
         else:
             j += 1

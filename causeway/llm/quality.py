@@ -11,7 +11,8 @@ The model is fitted on a bounded sample: at most `per_class` texts of each class
 dictionaries and as many for the calibration, the first by a hash of their id, and `tables.SAMPLE_BYTES` of text in
 all. Everything else covers all rows. Defined cases: a null or empty text gets the calibrated score of a zero difference;
 null labels are not used, of several labels of an id the smallest counts; without labels of both classes every score is the share of good labels
-(0.5 without labels); rows that repeat an id are scored each; extra columns are ignored.
+(0.5 without labels); rows that repeat an id are scored each, texts that are equal get equal scores, a score of exactly 0.7 counts as good; very long texts are
+compressed as a whole, block by block; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,6 +77,29 @@ def _inputs(sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([d, d * d, c, c * c, c * d], axis=1)
 
 
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of a logistic model with the least penalised loss: Newton's method, each step halved until the loss falls enough."""
+    w = np.zeros(x.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w)
+
+    now = loss(w)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -700, 700)))
+        slope = x.T @ (weight * (p - y)) + ridge * w
+        step = -np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), slope)
+        share, falls = 1.0, float(slope @ step)
+        while share > 1e-12 and loss(w + share * step) > now + 1e-4 * share * falls:
+            share /= 2
+        w = w + share * step
+        before, now = now, loss(w)
+        if before - now <= 1e-10 * (1 + abs(now)):
+            break
+    return w
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Model:
     """labels: (doc_id, label), 1 for good and 0 for bad; at most 4 * per_class texts come to the driver, SAMPLE_BYTES in all."""
     rows, counts = labelled_sample(docs, labels, 2 * per_class)
@@ -97,11 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = PER_CLASS) -> Mo
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     x = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    w = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton's method, with a small ridge
-        p = _sigmoid(x @ w)
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 0.1 * w)
+    w = calibrated(x, y, weight)
     return Model(dicts[1], dicts[0], tuple(map(float, w)), tuple(map(float, mean)), tuple(map(float, scale)))
 
 
