@@ -12,7 +12,8 @@ stored set is a link.
 
 The first class of a bucket is its centre; a class is joined with at most two of its buckets' centres, the first and the most frequent: on leads at
 first, which are a tenth of the sets, then what is left on whole sets. Where that leaves several components in a bucket, its members
-are joined across components, block by block; only links leave the task, one for each two components. So every pair of a bucket is in one component or was compared.
+are joined across components, block by block: by their leads, which says which of them may be near one of another component at all, then these on whole sets;
+only links leave the task, one for each two components. So every pair of a bucket is in one component or was compared.
 
 An n-gram is known by 64 bits mixed from SipHash values of its words: that two of the n-grams of a pair of documents with a thousand n-grams each are alike
 by chance has probability 1e-13.
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from causeway.llm import text as T
 from causeway.llm.tables import bit_map, components, in_bit_map
@@ -280,22 +282,46 @@ def _with_centres(percent: int, counts: Broadcast, whole: bool):
     return rows
 
 
+def _open_cell(key, table: pa.Table, counts: np.ndarray):
+    """A cell (c, n, component, part, items; i, j) as codes: (table's columns, codes, how many codes, members of j, members of i that are held against them)."""
+    c, n, part, label = (table.column(x).to_numpy() for x in ("c", "n", "part", "component"))
+    codes, total = _coded([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], counts)
+    i, j = key[1].as_py(), key[2].as_py()
+    values, label, many = np.unique(label, return_inverse=True, return_counts=True)
+    members, probes = np.flatnonzero(part == j), np.flatnonzero(part == i)
+    if i == j:  # of each pair one is outside the largest component
+        probes = probes[label[probes] != many.argmax()]
+    return c, n, label, len(values), codes, total, members, probes
+
+
+def _hopeful(percent: int, counts: Broadcast):
+    """(key, c) of a cell's members that may be near a member of another component, by their leads."""
+
+    def rows(key, table):
+        c, n, label, _, codes, total, members, probes = _open_cell(key, table, counts.value)
+        some = np.zeros(len(c), bool)
+        if len(members) and len(probes):
+            tree = Tree([codes[x] for x in members], n[members], label[members])
+            for x in probes.tolist():
+                y = members[tree.near(_own(codes[x], total, int(n[x])), codes[x], int(n[x]), int(label[x]), percent)[0]]
+                y = y[label[y] != label[x]]
+                some[y] = True
+                some[x] |= len(y) > 0
+        found = np.unique(c[some])
+        return pa.table({"key": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "c": pa.array(found)})
+
+    return rows
+
+
 def _across(percent: int, counts: Broadcast):
-    """Links (a, b) between different components of one cell (c, n, component, part, items; i, j): of those between two components one, as it makes
-    them the same."""
+    """Links (a, b) between different components of one cell, by whole sets: of those between two components one, as it makes them the same."""
 
     def rows(key, table):
-        c, n, part, label = (table.column(x).to_numpy() for x in ("c", "n", "part", "component"))
-        codes, total = _coded([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], counts.value)
-        i, j = key[1].as_py(), key[2].as_py()
-        members, probes = np.flatnonzero(part == j), np.flatnonzero(part == i)
+        c, n, label, values, codes, total, members, probes = _open_cell(key, table, counts.value)
         a, b = [], []
         if len(members) and len(probes):
-            values, label, many = np.unique(label, return_inverse=True, return_counts=True)
-            if i == j:  # of each pair one is outside the largest component
-                probes = probes[label[probes] != many.argmax()]
             tree = Tree([codes[x] for x in members], n[members], label[members])
-            joined = np.arange(len(values))
+            joined = np.arange(values)
             for x in probes.tolist():
                 hit, overlap = tree.near(_own(codes[x], total, int(n[x])), codes[x], int(n[x]), int(label[x]), percent)
                 y = members[hit]
@@ -378,18 +404,21 @@ def linked_documents(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataF
     sized = crowded.select("key", "c").join(leads.select("c", "n"), "c")
     placed = stored(sized.join(found, F.col("c") == F.col("id"), "left").select("key", "c", "n", F.coalesce("component_id", "c").alias("component")))
     same = F.count("*").alias("many"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.sum("n").alias("grams"), *same).filter("low < high")
-    mixed = mixed.groupBy("many", "x", "y").agg(F.min("key").alias("key"), F.max("grams").alias("grams")).select("key", _parts(F.col("many"), F.col("grams")))
-    open_ = stored(placed.join(mixed, "key").select("key", "c", "component", "parts"))
-    cells = (
-        open_.withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "component", "part")
-        .join(sets_of(open_.select("c").distinct()), "c")
-    )
-    more = stored(cells.groupBy("key", "i", "j").applyInArrow(_across(percent, counts), "a long, b long").distinct())
-    if more.limit(1).count():
-        found = components(links.unionByName(more))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *same).filter("low < high")
+    open_ = stored(placed.join(mixed.groupBy("many", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"))
+
+    def open_cells(members: DataFrame, sets: DataFrame, share: float) -> GroupedData:
+        """The cells of open buckets (key, c, n, component); sets hold `share` of n."""
+        parts = members.groupBy("key").agg(_parts(F.count("*"), F.sum("n") * share))
+        dealt = members.drop("n").join(parts, "key").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+        pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return pairs.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "component", "part").join(sets, "c").groupBy("key", "i", "j")
+
+    hopeful = stored(open_cells(open_, leads, 1 - percent / 100).applyInArrow(_hopeful(percent, counts), "key long, c long").distinct())
+    if hopeful.limit(1).count():
+        members = stored(open_.join(hopeful, ["key", "c"], "left_semi"))
+        cells = open_cells(members, sets_of(members.select("c").distinct()), 1.0)
+        found = components(links.unionByName(cells.applyInArrow(_across(percent, counts), "a long, b long").distinct()))
     placed = classes.join(found, F.col("c") == F.col("id"), "left").select("ka", "kb", "least_id", F.coalesce("component_id", "c").alias("c"))
     least = placed.groupBy("c").agg(F.min("least_id").alias("component_id"))
     out = rows.join(placed.join(least, "c").select("ka", "kb", "component_id"), ["ka", "kb"], "left")
