@@ -219,3 +219,19 @@ def overlap_area(a: Column, b: Column) -> Column:
     """Common area of two boxes (structs x, y, w, h)."""
     side = lambda p, s: F.greatest(F.lit(0.0), F.least(a[p] + a[s], b[p] + b[s]) - F.greatest(a[p], b[p]))
     return side("x", "w") * side("y", "h")
+
+
+# The multiplier and the modulus of the generator.
+RANDOM_FACTOR, RANDOM_MODULUS = 48271, 2147483647
+
+
+def seeded_random(seed: Column, n: Column) -> Column:
+    """The n-th draw (from 1, up to 2^31) of the generator that starts at seed: x -> 48271 x mod 2^31 - 1, divided by the modulus.
+
+    By squaring: factors for 1, 2, 4, ... draws at once are multiplied as the bits of n say, so any draw of any row is reckoned by itself.
+    """
+    x, factor = F.pmod(seed.cast("long"), F.lit(RANDOM_MODULUS)) + 1, RANDOM_FACTOR
+    for bit in range(31):
+        x = x * F.when(F.shiftright(n.cast("long"), bit).bitwiseAND(F.lit(1)) == 1, factor).otherwise(1) % RANDOM_MODULUS
+        factor = factor * factor % RANDOM_MODULUS
+    return x / F.lit(float(RANDOM_MODULUS))

@@ -101,9 +101,8 @@ def summary(nodes: DataFrame, edges: DataFrame, branches: int = 12) -> DataFrame
     )
     kinds = nodes.groupBy("tree_id", "type").count().groupBy("tree_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "type", "count"))), ",").alias("type_counts"))
     tops = top.filter("has_top = 1").select("tree_id", F.col("top.id").alias("top_id"))
-    near = edges.join(tops, "tree_id")
-    below = near.filter("target = top_id").select("tree_id", F.col("source").alias("id"), F.lit(0).alias("way"))
-    above = near.filter("source = top_id").select("tree_id", F.col("target").alias("id"), F.lit(1).alias("way"))
+    below = edges.join(tops.withColumnRenamed("top_id", "target"), ["tree_id", "target"]).select("tree_id", F.col("source").alias("id"), F.lit(0).alias("way"))
+    above = edges.join(tops.withColumnRenamed("top_id", "source"), ["tree_id", "source"]).select("tree_id", F.col("target").alias("id"), F.lit(1).alias("way"))
     sides = below.unionByName(above).distinct()
     way = sides.groupBy("tree_id").agg(F.min("way").alias("way"))
     named = sides.join(way, ["tree_id", "way"]).join(nodes, ["tree_id", "id"]).groupBy("tree_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", "label"))), 1, branches).alias("b"))
@@ -206,9 +205,9 @@ def clean_gates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
         edges = stored(edges)
 
 
-def root_choice(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(tree_id, root): the widest top; without tops the first node that is no source; else the first (T5)."""
-    widths = subtree_widths(nodes, edges)
+def root_choice(nodes: DataFrame, edges: DataFrame, widths: DataFrame | None = None) -> DataFrame:
+    """(tree_id, root): the widest top; without tops the first node that is no source; else the first (T5). widths: those of `subtree_widths`, where they are known."""
+    widths = subtree_widths(nodes, edges) if widths is None else widths
     sources = edges.select("tree_id", F.col("source").alias("id"), F.lit(1).alias("is_source")).distinct()
     seen = nodes.join(widths, ["tree_id", "id"]).join(sources, ["tree_id", "id"], "left")
     rank = F.struct(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import scalars as S
+from causeway.operators.naming import containing
 
 
 def text_score(needle: Column, blob: Column) -> Column:
@@ -17,15 +18,17 @@ def text_score(needle: Column, blob: Column) -> Column:
     return F.when((needle != "") & blob.contains(needle), 10).otherwise(0) + found
 
 
-#: Needles that one expression holds; more are answered in as many passes over the chunks.
-NEEDLES = 64
+#: Needles that one expression holds, more are answered in as many passes over the chunks; and that may be asked at once.
+NEEDLES, MOST_NEEDLES = 64, 4096
 
 
 def ranked_chunks(chunks: DataFrame, needles: DataFrame, limit: int = 10) -> DataFrame:
     """(query, chunk_id, score, rank): the best chunks (chunk_id, title, source, text, pos) for each of a stated set of
-    needles (query, needle), ties in document order (T1). Needles are a report's few questions and come to the driver."""
+    needles (query, needle), ties in document order (T1). Needles are a report's few questions and come to the driver; more than MOST_NEEDLES are refused."""
     blob = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("source", F.lit("")), F.coalesce("text", F.lit("")))
-    asked, order = [(r["query"], r["needle"]) for r in needles.collect()], Window.partitionBy("query").orderBy(F.desc("score"), "pos")
+    asked, order = [(r["query"], r["needle"]) for r in needles.limit(MOST_NEEDLES + 1).collect()], Window.partitionBy("query").orderBy(F.desc("score"), "pos")
+    if len(asked) > MOST_NEEDLES:
+        raise ValueError(f"more than {MOST_NEEDLES} needles")
     found = []
     for at in range(0, max(1, len(asked)), NEEDLES):
         scores = F.array(*(F.struct(F.lit(q).alias("query"), text_score(F.lit(n), F.col("blob")).alias("score")) for q, n in asked[at : at + NEEDLES]))
@@ -146,7 +149,7 @@ def labelled_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def best_match(nodes: DataFrame, needles: DataFrame) -> DataFrame:
     """(needle, id): by id, then by equal label, then the shortest label that contains it.
 
-    The first two are equality joins; only needles that these leave are held against all labels.
+    All three are equality joins, the last by an index of grams.
     """
     asked = needles.select("needle").distinct()
     rank = F.struct(F.length("label"), F.col("pos"))
@@ -154,7 +157,8 @@ def best_match(nodes: DataFrame, needles: DataFrame) -> DataFrame:
     left = asked.join(by_id, "needle", "left_anti")
     by_label = left.join(nodes.select(F.col("label").alias("needle"), "id", "pos"), "needle").groupBy("needle").agg(F.min_by("id", "pos").alias("id"))
     left = left.join(by_label, "needle", "left_anti")
-    inside = left.join(nodes, F.col("label").contains(F.col("needle"))).groupBy("needle").agg(F.min_by("id", rank).alias("id"))
+    pairs = containing(left.select(F.col("needle").alias("name")), nodes.select("label"), [])
+    inside = pairs.join(nodes.select("label", "id", "pos"), "label").groupBy(F.col("name").alias("needle")).agg(F.min_by("id", rank).alias("id"))
     return by_id.unionByName(by_label).unionByName(inside)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as Ty
 
 from causeway.functions import scalars as S
 from causeway.operators.graph import above_of, clean_gates, closure, parents, reaches
+from causeway.operators.naming import containing
 from causeway.storage import stored
 
 Graph = tuple[DataFrame, DataFrame]
@@ -179,7 +180,7 @@ def resolve(nodes: DataFrame, names: DataFrame, *, first_exact: bool = False, bo
     """names (tree_id, ref, node_id, label) with `id`: by id, else by the only equal label (or the first, with first_exact), else by
     the only label that contains it, or, with both_ways, that it contains (F7, F8, F10).
 
-    Ids and equal labels are equality joins; only names that these leave are held against all labels of their tree.
+    Ids and equal labels are equality joins, and so is what contains what, by an index of grams.
     """
     keys = ["tree_id", "ref"]
     asked = names.select(*keys, S.present(F.trim("node_id")).alias("node_id"), S.present(F.trim("label")).alias("label"))
@@ -190,11 +191,13 @@ def resolve(nodes: DataFrame, names: DataFrame, *, first_exact: bool = False, bo
         equal = equal.filter("n = 1")
     by_label = equal.select(*keys, "id")
     left = left.join(by_label.select(*keys), keys, "left_anti")
-    there = left.join(nodes.select("tree_id", "id", F.col("label").alias("name")), "tree_id")
-    inside = F.col("name").contains(F.col("label"))
+    labels = nodes.select("tree_id", "id", F.col("label").alias("name"))
+    pairs = containing(left.select("tree_id", F.col("label").alias("name")), nodes.select("tree_id", "label"), ["tree_id"]).toDF("tree_id", "label", "name")
     if both_ways:
-        inside = inside | F.col("label").contains(F.col("name"))
-    part = there.filter(inside).groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select(*keys, "id")
+        other = containing(labels.select("tree_id", "name"), left.select("tree_id", "label"), ["tree_id"]).select("tree_id", "label", "name")
+        pairs = pairs.unionByName(other).distinct()
+    inside = left.join(pairs, ["tree_id", "label"]).join(labels, ["tree_id", "name"])
+    part = inside.groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").select(*keys, "id")
     return names.join(by_id.unionByName(by_label).unionByName(part), keys, "left")
 
 

@@ -97,6 +97,14 @@ def to_raw(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return listed.join(linked, "tree_id", "left").select("tree_id", body.alias("document"))
 
 
+def to_graph(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
+    """(tree_id, document): graphs in the shape {nodes, edges}, gate nodes as they are."""
+    listed = nodes_.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("id", "label", "type", "gate").alias("n")))).alias("ns"))
+    linked = edges_.groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("source", "target").alias("e")))).alias("es"))
+    body = F.to_json(F.struct(F.transform("ns", lambda x: x["n"]).alias("nodes"), F.transform(F.coalesce("es", F.array()), lambda x: x["e"]).alias("edges")))
+    return listed.join(linked, "tree_id", "left").select("tree_id", body.alias("document"))
+
+
 def to_map(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     """(tree_id, document): graphs without gate nodes in the map shape, with children."""
     below = edges_.groupBy("tree_id", F.col("target").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]).alias("children"))
