@@ -41,13 +41,15 @@ PROFILES = (
     ("ReviewAgent", (), ("RUN_FAILED",), (), ()),
     ("SchedulerAgent", (), ("RUN_CREATED", "STAGE_STARTED", "ARTIFACT_CREATED"), (), ()),
 )
+# Who a payload may name besides, without rules of their own.
+NAMED_ONLY = ("AssistantAgent", "ExperienceMemoryAgent", "SupervisorAgent")
 
 
 def agent_profile(v: Column) -> Column:
     """Who a run event is told under: the agent that its payload names, if there is such a one, else by PROFILES."""
     type_, stage, message, artifact = F.upper(_text(v, "$.type")), F.lower(_text(v, "$.stage")), F.lower(_text(v, "$.message", "$.text")), artifact_type(v)
     named = F.trim(_text(v, "$.payload.agent"))
-    out = F.when(named.isin(*(p[0] for p in PROFILES), "AssistantAgent"), named)
+    out = F.when(named.isin(*(p[0] for p in PROFILES), *NAMED_ONLY), named)
     for name, stages, types, artifacts, words in PROFILES:
         tests = [c.isin(*values) for c, values in ((stage, stages), (type_, types), (artifact, artifacts)) if values] + [message.contains(w) for w in words]
         out = out.when(reduce(Column.__or__, tests), name)

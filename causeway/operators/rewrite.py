@@ -12,12 +12,12 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from causeway.functions import scalars as S
-from causeway.operators.graph import above_of, clean_gates, closure, parents, reaches
+from causeway.operators.graph import above_of, children, clean_gates, closure, parents, reaches
 from causeway.operators.naming import containing
 from causeway.storage import stored
 
@@ -67,12 +67,40 @@ def delete_edges(graph: Graph, doomed: DataFrame, *, directed: bool = False) ->
 
 
 def add_edges(graph: Graph, new: DataFrame) -> Graph:
-    """With the edges `new` (tree_id, source, target, pos) that are not there yet."""
+    """With the edges `new` (tree_id, source, target, pos) that are not there yet."""
     nodes, edges = graph
     fresh = new.filter("source <> target").dropDuplicates(["tree_id", "source", "target"]).join(edges, ["tree_id", "source", "target"], "left_anti")
     return nodes, _with_rows(edges, fresh)
 
 
+def connect_nodes(graph: Graph, wanted: DataFrame) -> Graph:
+    """Events of `wanted` (tree_id, source, target, gate_id, pos) become children of their targets.
+
+    Under a gate, or a target that has one, they hang on the gate. A target that has other children, or gets several, gets a gate "OR" (gate_id of
+    the first that needs it), and all its children hang on that. A basic target becomes intermediate. Gates as children, nodes that are not there, links to oneself and links
+    that are there already are left out; cycles are not looked for.
+    """
+    nodes, edges = graph
+    kind = lambda end: nodes.select("tree_id", F.col("id").alias(end), F.col("type").alias(f"{end}_type"))
+    sound = wanted.filter("source <> target").dropDuplicates(["tree_id", "source", "target"]).join(kind("source"), ["tree_id", "source"]).join(kind("target"), ["tree_id", "target"])
+    sound = sound.filter("source_type <> 'gate'").join(edges.select("tree_id", "source", "target"), ["tree_id", "source", "target"], "left_anti")
+    below = children(edges, nodes).select("tree_id", F.col("id").alias("target"), F.col("n_children").alias("had"), "gate_child")
+    sound = stored(sound.join(below, ["tree_id", "target"]))
+    bare = sound.filter("target_type <> 'gate' AND gate_child IS NULL")
+    turn = F.row_number().over(Window.partitionBy("tree_id", "target").orderBy("pos", "source"))
+    needs = F.col("turn") + F.least("had", F.lit(1)) > 1
+    gates = bare.withColumn("turn", turn).groupBy("tree_id", "target").agg(F.min_by("gate_id", F.when(needs, F.col("turn"))).alias("new_gate"), F.min(F.when(needs, F.col("pos"))).alias("pos"), F.max(needs).alias("needs")).filter("needs")
+    gates = stored(gates.select("tree_id", "target", "new_gate", F.col("pos").alias("gate_pos")))
+    hung = sound.join(gates, ["tree_id", "target"], "left").select("tree_id", "source", F.when(F.col("target_type") == "gate", F.col("target")).otherwise(F.coalesce("gate_child", "new_gate", "target")).alias("target"), "pos")
+    hung = hung.dropDuplicates(["tree_id", "source", "target"]).join(edges.select("tree_id", "source", "target"), ["tree_id", "source", "target"], "left_anti")
+    moved = edges.join(gates.select("tree_id", "target", "new_gate"), ["tree_id", "target"], "left").withColumn("target", F.coalesce("new_gate", "target")).select(*edges.columns)
+    tops = gates.select("tree_id", F.col("new_gate").alias("source"), "target", F.col("gate_pos").alias("pos"))
+    raised = sound.filter("target_type = 'basic'").select("tree_id", F.col("target").alias("id"), F.lit("intermediate").alias("value")).distinct()
+    nodes, _ = set_values((nodes, edges), raised, "type")
+    new = gates.select("tree_id", F.col("new_gate").alias("id"), F.lit("OR").alias("label"), F.lit("gate").alias("type"), F.lit("").alias("gate"), F.col("gate_pos").alias("pos"))
+    return _with_rows(nodes, new), _with_rows(_with_rows(moved, hung), tops)
+
+
 def move_subtrees(graph: Graph, moves: DataFrame) -> Graph:
     """Nodes of `moves` (tree_id, id, parent, pos) lose all parents but the new one."""
     nodes, edges = graph
@@ -322,6 +350,17 @@ def _tried(key: tuple, steps: pa.Table, around: pa.Table) -> pa.Table:
     edges that there are one more (change 1) or less (-1) of in the end."""
     before = set(zip(around.column("source").to_pylist(), around.column("target").to_pylist(), strict=True))
     now, out = set(before), []
+    over: dict[str, set[str]] = {}  # the parents of each node, as edges are now
+
+    def change(lost: set[tuple[str, str]], new: set[tuple[str, str]]) -> None:
+        now.difference_update(lost)
+        now.update(new)
+        for s, t in lost:
+            over[s].discard(t)
+        for s, t in new:
+            over.setdefault(s, set()).add(t)
+
+    change(set(), before)
 
     def is_above(goal: str, start: str) -> bool:
         seen, todo = set(), [goal]
@@ -331,7 +370,7 @@ def _tried(key: tuple, steps: pa.Table, around: pa.Table) -> pa.Table:
                 return True
             if at not in seen:
                 seen.add(at)
-                todo += [t for s, t in now if s == at]
+                todo += over.get(at, ())
         return False
 
     for step in sorted(steps.to_pylist(), key=lambda x: x["index"]):
@@ -341,13 +380,13 @@ def _tried(key: tuple, steps: pa.Table, around: pa.Table) -> pa.Table:
         elif op in ("add_edge", "move_subtree") and is_above(t, s):
             out.append((step["index"], "ERROR", "edge would create a cycle" if op == "add_edge" else "move would create a cycle", None, None, None))
         elif op == "add_edge":
-            now.add((s, t))
+            change(set(), {(s, t)})
         elif op == "move_subtree":
-            now = {e for e in now if e[0] != s} | {(s, t)}
+            change({(s, x) for x in over.get(s, ())}, {(s, t)})
         elif op == "delete_edge":
-            now -= {(s, t), (t, s)}
+            change({(s, t), (t, s)} & now, set())
         else:
-            now = {e for e in now if t not in e}
+            change({e for e in now if t in e}, set())
     out += [(None, None, None, s, t, change) for pool, change in ((now - before, 1), (before - now, -1)) for s, t in sorted(pool)]
     columns = list(zip(*out, strict=True)) or [()] * 6
     kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.operators import layout, naming
+from causeway.operators import layout, naming, rewrite
 from causeway.plans import surrogate as V
 from causeway.plans.registry import query
 
@@ -89,6 +89,33 @@ def scene_shapes(spark: SparkSession, d: str) -> DataFrame:
     return shapes.select("tree_id", "id", "kind", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+_CONNECTED = """
+cn_c AS (SELECT c_nationkey, min(c_custkey) FILTER (WHERE c_custkey % 2 = 0) AS gated, min(c_custkey) FILTER (WHERE c_custkey % 2 = 1) AS plain FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) GROUP BY c_nationkey),
+cn_o AS (SELECT c_nationkey, min(o_orderkey) AS leaf FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey),
+cn_s AS (SELECT s_suppkey, s_nationkey, s_suppkey % 3 AS way, gated, plain, leaf, count(*) OVER (PARTITION BY s_nationkey, s_suppkey % 3) AS n FROM supplier JOIN cn_c c ON c.c_nationkey = s_nationkey JOIN cn_o o ON o.c_nationkey = s_nationkey
+  WHERE gated IS NOT NULL AND plain IS NOT NULL)"""
+
+
+@query(f"""WITH {_CONNECTED}, g AS (SELECT s_nationkey, min(s_suppkey) AS g FROM cn_s WHERE way = 1 GROUP BY s_nationkey),
+  h AS (SELECT s_nationkey, s_suppkey AS g FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM cn_s WHERE way = 2) WHERE k = 2)
+  SELECT 't' || s_nationkey AS tree_id, 's' || s_suppkey AS source, 'g' || gated AS target FROM cn_s WHERE way = 0
+  UNION ALL SELECT 't' || s.s_nationkey, 's' || s_suppkey, 'new' || g FROM cn_s s JOIN g ON g.s_nationkey = s.s_nationkey WHERE way = 1
+  UNION ALL SELECT DISTINCT 't' || s.s_nationkey, 'o' || o_orderkey, 'new' || g FROM cn_s s JOIN g ON g.s_nationkey = s.s_nationkey JOIN orders ON o_custkey = plain WHERE way = 1
+  UNION ALL SELECT DISTINCT 't' || s.s_nationkey, 'new' || g, 'c' || plain FROM cn_s s JOIN g ON g.s_nationkey = s.s_nationkey WHERE way = 1
+  UNION ALL SELECT 't' || s.s_nationkey, 's' || s_suppkey, CASE WHEN n > 1 THEN 'new' || g ELSE 'o' || leaf END FROM cn_s s LEFT JOIN h ON h.s_nationkey = s.s_nationkey WHERE way = 2
+  UNION ALL SELECT DISTINCT 't' || s.s_nationkey, 'new' || g, 'o' || leaf FROM cn_s s JOIN h ON h.s_nationkey = s.s_nationkey WHERE way = 2""")
+def connected_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers under a customer with a gate, one without, or an order of their nation; the edges that this adds or moves"""
+    nodes, edges = _trees(spark, d)
+    o = V.table(spark, d, "orders").join(V.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    hosts = o.groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.min(F.when(F.expr(_EVEN), F.col("c_custkey"))).alias("gated"), F.min(F.when(~F.expr(_EVEN), F.col("c_custkey"))).alias("plain"), F.min("o_orderkey").alias("leaf"))
+    s = V.table(spark, d, "supplier").join(hosts.filter("gated IS NOT NULL AND plain IS NOT NULL"), "s_nationkey")
+    target = F.when(F.col("s_suppkey") % 3 == 0, V._key("c", "gated")).when(F.col("s_suppkey") % 3 == 1, V._key("c", "plain")).otherwise(V._key("o", "leaf"))
+    wanted = s.select(_tree("s_nationkey"), V._key("s", "s_suppkey").alias("source"), target.alias("target"), V._key("new", "s_suppkey").alias("gate_id"), F.col("s_suppkey").alias("pos"))
+    key = ["tree_id", "source", "target"]
+    return rewrite.connect_nodes((nodes.withColumn("label", F.col("id")).withColumn("gate", F.lit("")), edges), wanted)[1].select(*key).join(edges.select(*key), key, "left_anti")
+
+
 _STEPS = ", ".join(f"c.cx + {(1 if n % 2 == 0 else -1) * -(-n // 2)} * 67.2" for n in range(9))
 
 

@@ -30,12 +30,14 @@ _TYPES = ("A", "b", "c", "d", "e", "f", "g", "run_failed", "stage_started", "z")
 _AGENTS = ("RepairAgent", "VerifyAgent", "CommitAgent", "MemoryCurator", "TreeDraftAgent", "RetrievalAgent", "ScopeAgent", "ReviewAgent", "SchedulerAgent", "AssistantAgent")
 
 
-@query(f"""SELECT event_id, CASE WHEN event_type = 'error' THEN 'ReviewAgent' ELSE {_case("event_id % 10", _AGENTS)} END AS agent, CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id END AS seq,
+@query(f"""SELECT event_id, CASE WHEN event_type = 'error' THEN 'ReviewAgent' WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'SupervisorAgent' WHEN event_type = 'view' AND event_id % 4 = 1 THEN 'ExperienceMemoryAgent' ELSE {_case("event_id % 10", _AGENTS)} END AS agent, CASE WHEN event_id % 3 = 0 THEN 1 ELSE event_id END AS seq,
   lower({_case("event_id % 10", _STAGES)}) AS stage, upper({_case("event_id % 10", _TYPES)}) AS type, CASE WHEN event_type = 'view' THEN 'WARN' ELSE 'INFO' END AS level, event_type AS artifact, event_type <> 'click' AS passed FROM events""")
 def event_records(spark: SparkSession, d: str) -> DataFrame:
     """Events in JSON"""
     e = _events(spark, d)
-    payload = F.struct(F.when(F.col("event_type") == "error", "ReviewAgent").alias("agent"), F.col("event_type").alias("type"), F.when(F.col("event_type") == "click", False).alias("passed"))
+    view, k = F.col("event_type") == "view", F.col("event_id") % 4
+    named = F.when(F.col("event_type") == "error", "ReviewAgent").when(view & (k == 0), "SupervisorAgent").when(view & (k == 1), "ExperienceMemoryAgent").when(view & (k == 2), "NobodyAgent")
+    payload = F.struct(named.alias("agent"), F.col("event_type").alias("type"), F.when(F.col("event_type") == "click", False).alias("passed"))
     text = F.to_json(F.struct(_pick(F.col("k"), _STAGES).alias("stage"), _pick(F.col("k"), _TYPES).alias("type"), F.when(F.col("event_type") == "view", "warn").alias("level"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("event_seq"), payload.alias("payload")))
     v = F.parse_json(text)
     return e.select("event_id", R.run_event(v, F.lit(0)).alias("r"), R.validation_passed(v).alias("passed")).select("event_id", "r.agent", "r.seq", "r.stage", "r.type", "r.level", F.col("r.artifact_type").alias("artifact"), "passed")

@@ -123,3 +123,22 @@ def test_mentioned_type(spark):
     texts = {"a Basic Event": "basic", "TOP_EVENT, 中间事件": "intermediate", "顶事件": "top", "an event": None, None: None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", naming.mentioned_type(F.col("t")).alias("k")).collect()
     assert {r.t: r.k for r in rows} == texts
+
+
+def test_connect_nodes(spark):
+    nodes = [("r", "top"), ("g", "gate"), ("a", "basic"), ("b", "basic"), ("c", "intermediate"), ("d", "basic"), ("e", "basic"), ("f", "basic"), ("h", "gate")]
+    n, e = graph(spark, nodes, [("g", "r"), ("a", "g"), ("c", "r"), ("d", "c")])
+
+    def after(*wanted):
+        df = spark.createDataFrame([("t", s, t, f"new-{i}", i) for i, (s, t) in enumerate(wanted)], "tree_id string, source string, target string, gate_id string, pos long")
+        made, links = rewrite.connect_nodes((n, e), df)
+        return {(r.source, r.target) for r in links.collect()} ^ {(r.source, r.target) for r in e.collect()}, {r.id: r.type for r in made.collect()}
+
+    assert after(("e", "g"))[0] == {("e", "g")}  # under a gate
+    assert after(("e", "r"))[0] == {("e", "g")}  # under the gate that the target has
+    changed, types = after(("e", "c"))  # the target has a child: all go under a new gate
+    assert changed == {("d", "c"), ("d", "new-0"), ("e", "new-0"), ("new-0", "c")} and types["new-0"] == "gate"
+    changed, types = after(("e", "f"))  # the only child
+    assert changed == {("e", "f")} and types["f"] == "intermediate"
+    assert after(("e", "f"), ("b", "f"))[0] == {("e", "new-1"), ("b", "new-1"), ("new-1", "f")}
+    assert after(("h", "c"), ("e", "e"), ("d", "c"), ("gone", "c"), ("e", "gone"))[0] == set()
