@@ -16,7 +16,7 @@ from causeway.plans.registry import query as _query
 from causeway.streaming import runs
 
 def queries() -> dict[str, Query]:
-    from causeway.plans import edits, layouts, library, records, sessions  # noqa: F401 (they register)
+    from causeway.plans import canvas, edits, layouts, library, records, sessions  # noqa: F401 (they register)
 
     return dict(QUERIES)
 
