@@ -29,17 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm import text as T
-from causeway.llm.tables import components, free
+from causeway.llm.tables import bit_map, components, free, in_bit_map
 from causeway.storage import stored
 
 COORDINATES, ROWS_PER_BAND = 300, 6
 SKETCH_FLOOR = 0.55
 #: Members of an open bucket, and shingles of theirs, that are compared with as many others at a time.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Bits of the map of classes whose texts are asked for.
+WANTED_BITS = 1 << 27
 #: Rows of texts, and of pairs of texts, that go to Python at a time.
 TEXTS, PAIRS = 1000, 250
 
@@ -114,15 +117,21 @@ def _sketch_rows(k: int, t: int, r: int):
     return rows
 
 
-def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(wa, wb, text) of (text)."""
-    for batch in T.slices(batches):
-        data, at = T.strings(batch.column(0))
-        keys = [np.zeros((0, 2), np.int64)]
-        for lo, hi in T.chunks(at):
-            keys.append(_words_keys(T.words(data, at[lo : hi + 1], lower=True), lo, hi))
-        a, b = np.concatenate(keys).T
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column(0)], names=["wa", "wb", "text"])
+def _worded(bits: Broadcast):
+    """(wa, wb, text) of (text), for texts whose class may be wanted; each class once in a batch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches):
+            data, at = T.strings(batch.column(0))
+            keys = [np.zeros((0, 2), np.int64)]
+            for lo, hi in T.chunks(at):
+                keys.append(_words_keys(T.words(data, at[lo : hi + 1], lower=True), lo, hi))
+            both = np.concatenate(keys)
+            own = np.unique(both, axis=0, return_index=True)[1]
+            own = np.sort(own[in_bit_map(bits.value, np.ascontiguousarray(both[own, 0]))])
+            yield pa.RecordBatch.from_arrays([pa.array(both[own, 0]), pa.array(both[own, 1]), batch.column(0).take(pa.array(own))], names=["wa", "wb", "text"])
+
+    return rows
 
 
 def _alike(least: float):
@@ -238,8 +247,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 75, coordinat
     pairs = centres.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("c").alias("b"))
     sketches = reps.select(F.col("c").alias("id"), "sketch")
     near = stored(_near(pairs, sketches), 4 * TEXTS)
-    needed = classes.join(crowded.select("c").distinct(), "c", "left_semi").select("wa", "wb", F.col("c").alias("id"))
-    worded = docs.select("text").mapInArrow(_worded, "wa long, wb long, text string")
+    needed = stored(classes.join(crowded.select("c").distinct(), "c", "left_semi").select("wa", "wb", F.col("c").alias("id")))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_map(needed.select(F.col("wa").alias("h")), WANTED_BITS))
+    worded = docs.select("text").mapInArrow(_worded(bits), "wa long, wb long, text string")
     once = worded.groupBy("wa", "wb").agg(F.first("text").alias("text"))  # copies of a text are one before they are dealt
     texts = stored(once.join(needed, ["wa", "wb"]).select("id", "text"), TEXTS)
     links = stored(_verified(near, texts, k, percent), PAIRS)
