@@ -7,8 +7,8 @@ modulo 2**64 each; they decide equality. The other `ALIKE` lanes are summed modu
 paragraph's three-word shingles with signs, each at a hashed lane; as vectors of signed numbers (no text that Spark can
 hold has enough shingles to wrap one) their cosine estimates how much two documents share.
 
-Edited texts need the next document in descending id. Documents are dealt into ranges of ids, whose first ids are
-picked from a sample; the first rows of a range go to the end of the range before it as well, where they only serve as the last row's
+Edited texts need the next document in descending id. Documents are dealt into ranges of ids and, within an id, of hashes of texts, whose first keys are
+picked from a sample (SAMPLED * MOST_RANGES keys at most come to the driver); the first rows of a range go to the end of the range before it as well, where they only serve as the last row's
 next, so texts are shuffled once and rows stream in order through each task. Rows without an id are dealt by a hash of their text.
 
 Defined cases: a null text is empty, an empty or blank text has the zero fingerprint, two zero
@@ -32,8 +32,8 @@ from causeway.llm import text as T
 
 U64 = T.U64
 EXACT, ALIKE, SHINGLE = 8, 128, 3
-#: Bytes of texts in a range, sampled ids for each.
-RANGE_BYTES, SAMPLED = 64 << 20, 20
+#: Bytes of texts in a range, sampled keys for each, and ranges in all; beyond these, ranges are larger (rows stream through a task, so it holds no more).
+RANGE_BYTES, SAMPLED, MOST_RANGES = 64 << 20, 8, 1 << 17
 
 
 class Fingerprints:
@@ -130,22 +130,30 @@ def _results(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
+def _keys(place: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(place, h) as one value each, in the same order."""
+    both = np.stack([place, h], axis=1).astype(np.int64).view(U64) ^ U64(1 << 63)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+
+
 def _ranges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The first places of the ranges, of rows with an id (its complement) and of those without (the hash of the text)."""
+    """The first keys (place, h) of the ranges, of rows with an id (its complement) and of those without (the hash of the text)."""
     spark = docs.sparkSession
-    kinds = {r["without"]: r for r in docs.groupBy("without").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), F.min("place").alias("least")).collect()}
+    least = F.min(F.struct("place", "h")).alias("least")
+    kinds = {r["without"]: r for r in docs.groupBy("without").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"), least).collect()}
     size = sum(r["size"] or 0 for r in kinds.values())
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     rows = sum(r["n"] for r in kinds.values())
     found = []
     for kind in (0, 1):
-        firsts = np.zeros(0, np.int64)
+        firsts = np.zeros(0, "S16")
         if kind in kinds:
             own = -(-ranges * kinds[kind]["n"] // rows)
             every = max(1, kinds[kind]["n"] // (own * SAMPLED))
-            some = docs.filter((F.col("without") == kind) & (F.pmod(F.xxhash64("place"), F.lit(every)) == 0)).select("place").distinct()
-            places = np.unique([r["place"] for r in some.collect()] + [kinds[kind]["least"]])
-            firsts = np.unique(places[np.arange(own) * len(places) // own])
+            some = docs.filter((F.col("without") == kind) & (F.pmod(F.xxhash64("place", "h"), F.lit(every)) == 0)).select("place", "h").distinct().toArrow()
+            first = kinds[kind]["least"]
+            keys = np.unique(np.append(_keys(some.column("place").to_numpy(), some.column("h").to_numpy()), _keys(np.array([first["place"]]), np.array([first["h"]]))))
+            firsts = np.unique(keys[np.arange(own) * len(keys) // own])
         found.append(firsts)
     return found[0], found[1]
 
@@ -155,18 +163,18 @@ def with_edits(docs: DataFrame) -> DataFrame:
     text (the last third replaced by as much of the next document's beginning), and likenesses of its own to
     the edited text's and to the next document's."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = F.xxhash64("text")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     docs = docs.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("without"), F.coalesce(F.bitwise_not("doc_id"), hashed).alias("place"), hashed.alias("h"))
     firsts = _ranges(docs)
     n = max(1, len(firsts[0]) + len(firsts[1]))
 
     @F.pandas_udf("long")
-    def spot(without: pd.Series, place: pd.Series) -> pd.Series:
+    def spot(without: pd.Series, place: pd.Series, h: pd.Series) -> pd.Series:
         """Twice the range of a row, and one more if it is a first of it."""
         out = np.zeros(len(place), np.int64)
         for kind in (0, 1):
             own = np.flatnonzero(without.to_numpy() == kind)
-            values = place.to_numpy()[own]
+            values = _keys(place.to_numpy()[own], h.to_numpy()[own])
             at = np.searchsorted(firsts[kind], values, "right") - 1
             out[own] = 2 * (at + kind * len(firsts[0])) + (firsts[kind][at] == values)
         return pd.Series(out)
@@ -174,6 +182,6 @@ def with_edits(docs: DataFrame) -> DataFrame:
     at = F.col("spot").bitwiseAND(F.lit(1)) == 1
     own, before = F.shiftright("spot", 1), F.pmod(F.shiftright("spot", 1) - 1, F.lit(n))
     place = lambda b, copy: F.struct(b.cast("int").alias("bucket"), F.lit(copy).alias("copy"))
-    dealt = docs.withColumn("spot", spot("without", "place")).select(F.inline(F.array_compact(F.array(place(own, 0), F.when(at, place(before, 1))))), "doc_id", "text", "without", "place", "h")
+    dealt = docs.withColumn("spot", spot("without", "place", "h")).select(F.inline(F.array_compact(F.array(place(own, 0), F.when(at, place(before, 1))))), "doc_id", "text", "without", "place", "h")
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "copy", "without", "place", "h", "text")
     return ordered.select("bucket", "copy", "doc_id", "text").mapInArrow(_rows, _RESULT)
