@@ -70,6 +70,12 @@ def ordered(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return items[np.lexsort((items, counts[(items >> shift).astype(np.int64)]))]
 
 
+def bucket_keys(lead: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A number for each n-gram of a lead that follows the global order: its counter and the upper bits of its hash."""
+    shift = T.U64(64 - (len(counts) - 1).bit_length())
+    return (np.minimum(counts[(lead >> shift).astype(np.int64)], (1 << 20) - 1) << 43) | (lead >> T.U64(21)).astype(np.int64)
+
+
 def lead_size(n: int, percent: int) -> int:
     """How many n-grams of a set of n the lead has: an other set that shares none of these can't be near enough."""
     return n - -(-percent * n // 100) + 1
@@ -139,8 +145,8 @@ def _leads(k: int, percent: int, counts: Broadcast):
     return rows
 
 
-def _buckets(percent: int):
-    """(c, key) of (c, n, lead): a bucket for each n-gram of the lead in the band of n, and in the one below where a near set may be there."""
+def _buckets(percent: int, counts: Broadcast):
+    """(c, key, band) of (c, n, lead): a bucket for each n-gram of the lead in the band of n, and in the one below where a near set may be there."""
     least = next((n for n in range(1, 100) if 100 * n >= percent * (n + 1)), 1 << 62)  # no other set is near a smaller one
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +158,8 @@ def _buckets(percent: int):
             band = np.searchsorted(lower, n, "right")
             also = 100 * (lower[band - 1] - 1) >= percent * n
             for of, step in ((many > 0, 0), ((many > 0) & also, 1)):
-                grams = np.concatenate([np.zeros(0, np.uint64), *(leads[x] for x in np.flatnonzero(of))])
-                key = T._two(grams, np.repeat(band[of] - step, many[of]).astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c[of], many[of])), pa.array(key.view(np.int64))], names=["c", "key"])
+                keys = bucket_keys(np.concatenate([np.zeros(0, np.uint64), *(leads[x] for x in np.flatnonzero(of))]), counts.value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c[of], many[of])), pa.array(keys), pa.array(np.repeat(band[of] - step, many[of]).astype(np.int32))], names=["c", "key", "band"])
 
     return rows
 
@@ -283,10 +288,10 @@ def _with_centres(percent: int, counts: Broadcast, whole: bool):
 
 
 def _open_cell(key, table: pa.Table, counts: np.ndarray):
-    """A cell (c, n, component, part, items; i, j) as codes: (table's columns, codes, how many codes, members of j, members of i that are held against them)."""
+    """A cell (c, n, component, part, items; key, band, i, j): (c, n, components as numbers, how many, codes, how many, members of j, members of i that are held against them)."""
     c, n, part, label = (table.column(x).to_numpy() for x in ("c", "n", "part", "component"))
     codes, total = _coded([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], counts)
-    i, j = key[1].as_py(), key[2].as_py()
+    i, j = key[2].as_py(), key[3].as_py()
     values, label, many = np.unique(label, return_inverse=True, return_counts=True)
     members, probes = np.flatnonzero(part == j), np.flatnonzero(part == i)
     if i == j:  # of each pair one is outside the largest component
@@ -295,20 +300,29 @@ def _open_cell(key, table: pa.Table, counts: np.ndarray):
 
 
 def _hopeful(percent: int, counts: Broadcast):
-    """(key, c) of a cell's members that may be near a member of another component, by their leads."""
+    """(key, band, c) of a cell's members that may be near a member of another component, by their leads. A pair counts in one bucket only: that of the first n-gram
+    that both leads have, in the lower of their bands."""
 
     def rows(key, table):
         c, n, label, _, codes, total, members, probes = _open_cell(key, table, counts.value)
+        own, band = key[0].as_py(), key[1].as_py()
+        keys = [np.sort(bucket_keys(np.frombuffer(x, np.uint64), counts.value)) for x in table.column("items").to_pylist()]
+        before = [k[: np.searchsorted(k, own)] for k in keys]  # what comes earlier in the order
+        bands_of = np.searchsorted(bands(int(n.max(initial=1)), percent), n, "right")
         some = np.zeros(len(c), bool)
         if len(members) and len(probes):
             tree = Tree([codes[x] for x in members], n[members], label[members])
             for x in probes.tolist():
                 y = members[tree.near(_own(codes[x], total, int(n[x])), codes[x], int(n[x]), int(label[x]), percent)[0]]
-                y = y[label[y] != label[x]]
-                some[y] = True
-                some[x] |= len(y) > 0
+                y = y[(label[y] != label[x]) & (np.minimum(bands_of[y], bands_of[x]) == band)]
+                if len(y):
+                    sizes = np.array([len(before[i]) for i in y])
+                    earlier = np.isin(np.concatenate([before[i] for i in y]), before[x])
+                    y = y[np.bincount(np.repeat(np.arange(len(y)), sizes), earlier, len(y)) == 0]
+                    some[y] = True
+                    some[x] |= len(y) > 0
         found = np.unique(c[some])
-        return pa.table({"key": pa.array(np.full(len(found), key[0].as_py(), np.int64)), "c": pa.array(found)})
+        return pa.table({"key": pa.array(np.full(len(found), own, np.int64)), "band": pa.array(np.full(len(found), band, np.int32)), "c": pa.array(found)})
 
     return rows
 
@@ -382,9 +396,10 @@ def linked_documents(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataF
     # c, the number of one of its rows, names a class.
     classes = stored(live.groupBy("ka", "kb").agg(F.min("doc_id").alias("least_id"), F.min("r").alias("c")))
     leads = stored(live.join(classes.select(F.col("c").alias("r")), "r", "left_semi").select(F.col("r").alias("c"), "n", F.col("lead").alias("items")))
-    in_bucket = leads.mapInArrow(_buckets(percent), "c long, key long")
-    centres = in_bucket.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select("key", "a")
-    crowded = stored(in_bucket.join(centres, "key"))
+    in_bucket = leads.mapInArrow(_buckets(percent, counts), "c long, key long, band int")
+    bucket = ["key", "band"]
+    centres = in_bucket.groupBy(*bucket).agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select(*bucket, "a")
+    crowded = stored(in_bucket.join(centres, bucket))
     votes = crowded.filter("c > a").groupBy("c", "a").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("c").agg(F.min("a").alias("low"), F.max_by("a", F.struct("votes", -F.col("a"))).alias("most"))
     pairs = stored(chosen.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("c").alias("b")))
@@ -400,23 +415,23 @@ def linked_documents(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataF
     ends = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     links = stored(_cells(near, sets_of(ends)).groupBy("a", "part").applyInArrow(_with_centres(percent, counts, True), "a long, b long"))
     found = components(links)
-    # Buckets whose members are in several components; of buckets with the same members one.
-    sized = crowded.select("key", "c").join(leads.select("c", "n"), "c")
-    placed = stored(sized.join(found, F.col("c") == F.col("id"), "left").select("key", "c", "n", F.coalesce("component_id", "c").alias("component")))
+    # Buckets whose members are in several components; of buckets with the same members the first in the order.
+    sized = crowded.select(*bucket, "c").join(leads.select("c", "n"), "c")
+    placed = stored(sized.join(found, F.col("c") == F.col("id"), "left").select(*bucket, "c", "n", F.coalesce("component_id", "c").alias("component")))
     same = F.count("*").alias("many"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *same).filter("low < high")
-    open_ = stored(placed.join(mixed.groupBy("many", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"))
+    mixed = placed.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("high"), *same).filter("low < high")
+    open_ = stored(placed.join(mixed.groupBy("band", "many", "x", "y").agg(F.min("key").alias("key")).select(*bucket), bucket))
 
     def open_cells(members: DataFrame, sets: DataFrame, share: float) -> GroupedData:
-        """The cells of open buckets (key, c, n, component); sets hold `share` of n."""
-        parts = members.groupBy("key").agg(_parts(F.count("*"), F.sum("n") * share))
-        dealt = members.drop("n").join(parts, "key").withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+        """The cells of open buckets (key, band, c, n, component); sets hold `share` of n."""
+        parts = members.groupBy(*bucket).agg(_parts(F.count("*"), F.sum("n") * share))
+        dealt = members.drop("n").join(parts, bucket).withColumn("part", F.pmod(F.xxhash64("c"), "parts").cast("int"))
         pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return pairs.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "component", "part").join(sets, "c").groupBy("key", "i", "j")
+        return pairs.select(*bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "component", "part").join(sets, "c").groupBy(*bucket, "i", "j")
 
-    hopeful = stored(open_cells(open_, leads, 1 - percent / 100).applyInArrow(_hopeful(percent, counts), "key long, c long").distinct())
+    hopeful = stored(open_cells(open_, leads, 1 - percent / 100).applyInArrow(_hopeful(percent, counts), "key long, band int, c long").distinct())
     if hopeful.limit(1).count():
-        members = stored(open_.join(hopeful, ["key", "c"], "left_semi"))
+        members = stored(open_.join(hopeful, [*bucket, "c"], "left_semi"))
         cells = open_cells(members, sets_of(members.select("c").distinct()), 1.0)
         found = components(links.unionByName(cells.applyInArrow(_across(percent, counts), "a long, b long").distinct()))
     placed = classes.join(found, F.col("c") == F.col("id"), "left").select("ka", "kb", "least_id", F.coalesce("component_id", "c").alias("c"))
