@@ -5,10 +5,12 @@ Events: run_id, event_seq, type, stage, status, progress, message, created_at.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from causeway.functions.records import run_message
 
@@ -29,11 +31,51 @@ def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def latest_state(events: DataFrame) -> DataFrame:
-    """(run_id, last_seq, status, progress, terminal): by sequence; progress never falls (X3, X5, X10). Batch or stream (complete or update mode)."""
+    """(run_id, last_seq, status, progress, terminal): by sequence; progress never falls (X3, X5, X10). Batch or a stream that ends
+    (complete or update mode): it keeps every run that it has seen; `latest_state_stream` does not."""
     out = events.groupBy("run_id").agg(F.max("event_seq").alias("last_seq"), F.max_by("status", "event_seq").alias("status"), F.max("progress").alias("progress"))
     return out.withColumn("terminal", F.col("status").isin(*TERMINAL))
 
 
+class Latest(StatefulProcessor):
+    """The state of each run; one that has ended, or that nothing was heard of, is forgotten `idle_ms` after its last event."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("state", "last_seq long, status string, progress double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 (Spark's names)
+        last, status, progress = self.state.get() if self.state.exists() else (None, None, None)
+        heard = timerValues.getCurrentWatermarkInMs()
+        for part in rows:
+            newest = part.loc[part["event_seq"].idxmax()]
+            if last is None or newest["event_seq"] > last:
+                last, status = int(newest["event_seq"]), newest["status"]
+            shares = [x for x in (progress, part["progress"].max()) if x is not None and x == x]
+            progress = max(shares) if shares else None
+            heard = max(heard, int(part["created_at"].max().timestamp() * 1000))
+        self.state.update((last, status, progress))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(heard + self.idle_ms)
+        yield pd.DataFrame([(key[0], last, status, progress, status in TERMINAL)], columns=["run_id", "last_seq", "status", "progress", "terminal"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def latest_state_stream(events: DataFrame, *, delay: str = "1 hour", idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """As latest_state, for streams without an end: a row for each run that a batch has events of, and state for the runs of the last `idle_ms` only. Needs the RocksDB state store."""
+    kind = "run_id string, last_seq long, status string, progress double, terminal boolean"
+    return events.withWatermark("created_at", delay).groupBy("run_id").transformWithStateInPandas(Latest(idle_ms), outputStructType=kind, outputMode="Update", timeMode="EventTime")
+
+
 def after_cursor(events: DataFrame, cursors: DataFrame) -> DataFrame:
     """Events of runs beyond their cursor (run_id, cursor), all of runs without one."""
     return events.join(cursors, "run_id", "left").filter(F.col("event_seq") > F.greatest(F.lit(0), F.coalesce("cursor", F.lit(0)))).drop("cursor")

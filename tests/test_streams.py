@@ -24,6 +24,26 @@ def test_latest_state_of_a_stream(spark, tmp_path):
     assert got == {r.run_id: (r.last_seq, r.status, r.progress, r.terminal) for r in runs.latest_state(events(spark, ROWS)).collect()}
 
 
+def test_latest_state_of_an_endless_stream(spark, tmp_path):
+    """The batch form's states after all batches; a run that was quiet for long is forgotten, and begins anew."""
+    from tests.test_sessions import ROCKS, STORE
+
+    before, seen = spark.conf.get(STORE, None), {}
+    spark.conf.set(STORE, ROCKS)
+    try:
+        parts = (ROWS[:3], ROWS[3:], [("c", 100_000, "started", 1)], [("c", 100_001, "running", 2)], [("a", 100_002, "started", 1)])
+        for i, part in enumerate(parts):
+            events(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+            stream = runs.latest_state_stream(runs.read_events(spark, f"{tmp_path}/in/*"), delay="10 seconds", idle_ms=60_000)
+            keep = lambda df, _: seen.update({r.run_id: (r.last_seq, r.status, r.progress, r.terminal) for r in df.collect()})
+            stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/at").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination(120)
+            if i == 1:
+                assert seen == {r.run_id: (r.last_seq, r.status, r.progress, r.terminal) for r in runs.latest_state(events(spark, ROWS)).collect()}
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+    assert seen["a"] == (100_002, "started", 1.0, False)  # not the 40 of a day before
+
+
 def test_items_are_taken_once(spark, tmp_path):
     """A batch that fails after its items were noted, and comes again, takes the same items."""
     taken, fails = {}, [True]
