@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,3 +300,22 @@ def evidence_fallback(spark: SparkSession, d: str) -> DataFrame:
     near = o.select(F.lit(V.TREE).alias("tree_id"), V._key("o", "o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("neighbour_chunk_id"))
     chunks = o.select(F.col("o_custkey").cast("string").alias("chunk_id")).distinct().withColumn("text", F.col("chunk_id"))
     return retrieval.evidence_with_fallback(named, chunks, near).select("id", F.col("chunk_id").cast("bigint").alias("chunk"), "matched_by")
+
+
+_PLAN = [
+    {"op": "rename_node", "target_id": "r0", "new_label": "Zero"}, {"op": "add_child_node", "parent_id": "n2", "new_id": "x1", "label": "X"}, {"op": "move_subtree", "node_id": "n5", "new_parent_id": "r3"},
+    {"op": "set_gate_type", "target_id": "n1", "gate_type": "and"}, {"op": "add_edge", "source_id": "n7", "target_id": "r4"}, {"op": "delete_edge", "source_id": "n8", "target_id": "r2"},
+]
+
+
+@query("""WITH e AS (SELECT 'n' || n_nationkey AS source, CASE n_nationkey WHEN 5 THEN 'r3' ELSE 'r' || n_regionkey END AS target FROM nation WHERE NOT (n_nationkey = 8 AND n_regionkey = 2) UNION ALL VALUES ('n7', 'r4'), ('x1', 'n2')),
+  n AS (SELECT 'r' || r_regionkey AS id, CASE r_regionkey WHEN 0 THEN 'Zero' ELSE r_name END AS label, 'OR' AS gate FROM region
+    UNION ALL SELECT 'n' || n_nationkey, n_name, CASE WHEN n_nationkey % 2 = 0 OR n_nationkey = 1 THEN 'AND' ELSE 'OR' END FROM nation UNION ALL VALUES ('x1', 'X', ''))
+  SELECT n.id, n.label, n.gate, coalesce(string_agg(DISTINCT e.target, ',' ORDER BY e.target), '') AS parents FROM n LEFT JOIN e ON e.source = n.id GROUP BY ALL""")
+def dispatched_plan(spark: SparkSession, d: str) -> DataFrame:
+    """A plan of six operations on the whole tree; regions, nations and what it adds afterwards"""
+    (nodes, edges), errors = rewrite.apply_plan(spark, _graph(spark, d), json.dumps({"operations": _PLAN}), tree_id=V.TREE)
+    if errors:
+        raise ValueError(errors)
+    up = edges.groupBy(F.col("source").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("parents"))
+    return nodes.filter("id RLIKE '^[rnx]'").join(up, "id", "left").select("id", "label", F.coalesce("gate", F.lit("")).alias("gate"), F.coalesce("parents", F.lit("")).alias("parents"))

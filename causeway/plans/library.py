@@ -181,7 +181,7 @@ def event_gaps(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {V.RUN_EVENTS}, l AS (SELECT run_id, max_by(type, event_seq) AS t FROM sv_runs GROUP BY run_id)
   SELECT run_id, CASE t WHEN 'error' THEN 'generation_failed' WHEN 'purchase' THEN 'generation_finished' ELSE 'generation_running' END AS action, t IN ('error', 'purchase') AS clears_pending FROM l""")
 def run_memory(spark: SparkSession, d: str) -> DataFrame:
-    """X13, P49, S34"""
+    """X7, X13, P49, S34"""
     status = F.when(F.col("type") == "error", "failed").when(F.col("type") == "purchase", "completed").otherwise("running")
     latest = runs.latest_state(V.run_events(spark, d).select("run_id", "event_seq", status.alias("status"), F.col("value").alias("progress"), "type")).withColumn("mode", F.lit(None).cast("string"))
     return runs.memory_patches(latest).select("run_id", "action", "clears_pending")

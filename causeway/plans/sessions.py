@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway import storage
 from causeway.functions import scalars as S
 from causeway.operators import history
 from causeway.plans import surrogate as V
 from causeway.plans.registry import query
-from causeway.streaming import pollers
+from causeway.streaming import pollers, runs
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -78,3 +81,14 @@ def seeded_draws(spark: SparkSession, d: str) -> DataFrame:
     """The n-th event of a user gets the n-th draw of the user's generator"""
     numbered = V.run_events(spark, d).withColumn("seed", F.col("run_id").cast("long"))
     return numbered.select("event_id", S.seeded_random(F.col("seed"), F.col("event_seq")).alias("draw"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) || '-' || event_type AS item_id, CAST(min(event_id % 3) AS BIGINT) AS batch FROM events GROUP BY 1")
+def items_taken_once(spark: SparkSession, d: str) -> DataFrame:
+    """Items of three batches, the last batch twice over; each is taken by the first that has it"""
+    at = f"{storage.shared_folder(spark)}/{uuid.uuid4().hex}"
+    items = _events(spark, d).select(F.concat_ws("-", "user", "event_type").alias("item_id"), (F.col("event_id") % 3).alias("nth"))
+    take = runs.ingest(f"{at}/seen", lambda new, n: new.select("item_id", F.lit(n).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{at}/taken/{n}"))
+    for n in (0, 1, 2, 2):
+        take(items.filter(F.col("nth") == n), n)
+    return spark.read.schema("item_id string, batch long").parquet(*(f"{at}/taken/{n}" for n in range(3)))
