@@ -31,7 +31,7 @@ from causeway.llm import text as T
 
 U64 = T.U64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, SMALL_CHUNK = 1 << 19, 1 << 18
+CHUNK, SMALL_CHUNK = 1 << 19, 1 << 17
 BYTE_WEIGHT = 1e-5
 _SPACE = "▁"
 _GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -259,7 +259,7 @@ def round_trip(docs: DataFrame, *, model: str = MODEL, seed: int = 1, sharpness:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(pieces, seed)
-        for batch in T.slices(batches):
+        for batch in T.slices(batches, 250):
             data, at = T.strings(batch.column(at_text))
             keys = T.ids(batch.column(at_key)).view(U64)
             for lo, hi in T.chunks(at, SMALL_CHUNK):

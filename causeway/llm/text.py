@@ -8,6 +8,7 @@ vocabulary, beginnings of words). A null text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -238,11 +239,22 @@ def ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system; workers serve many tasks, and would keep the most that one of them took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows, at most `size` at a time: what a task makes of a batch follows them."""
+    """The same rows, at most `size` at a time: what a task makes of a batch follows them. Memory is given back after each batch."""
     for batch in batches:
         for at in range(0, max(1, len(batch)), size):
             yield batch.slice(at, size)
+        del batch
+        release()
 
 
 def plain_bytes(w: Words) -> tuple[bytes, np.ndarray]:
