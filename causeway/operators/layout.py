@@ -166,3 +166,9 @@ def gate_places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     below = edges.join(at, ["tree_id", "source"]).groupBy("tree_id", F.col("target").alias("id")).agg(F.avg("_x").alias("mean_x"), F.avg("_y").alias("mean_y"))
     gated = nodes.filter("gate <> ''").join(below, ["tree_id", "id"])
     return gated.select("tree_id", "id", ((F.coalesce("x", F.lit(0.0)) + F.col("mean_x")) / 2).alias("gx"), ((F.coalesce("y", F.lit(0.0)) + F.col("mean_y")) / 2).alias("gy"))
+
+
+def overlay_places(overlays: DataFrame) -> DataFrame:
+    """overlays (tree_id, id, parent, kind, pos) with `index`: the place of each among those of its parent, by kind and then in document order, from 0."""
+    n = F.row_number().over(Window.partitionBy("tree_id", "parent").orderBy(F.coalesce("kind", F.lit("")), "pos", "id")) - 1
+    return overlays.withColumn("index", n.cast("long"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.functions import scalars as S
 from causeway.storage import stored
 
 #: Characters of a gram; shorter names are grams themselves.
@@ -50,6 +51,20 @@ def mentioned_type(text: Column) -> Column:
     return F.coalesce(*found)
 
 
+# The fields of a decision that name a node, and what shows that a message speaks of one.
+QUERY_FIELDS = ("node_label", "node_name", "target_node", "target_label", "event_name")
+QUERY_MARKS = ("节点", "事件", "“", "「", '"')
+
+
+def node_query(message: Column, decision: Column, top_event: Column) -> Column:
+    """What a request asks for (P63): the node that the decision (VARIANT) names, itself or in its requirements; else the message, where it speaks of a node; else
+    the tree's top event, or the message."""
+    named = [S.present(F.trim(F.try_variant_get(decision, f"{place}.{field}", "string"))) for place in ("$", "$.requirements") for field in QUERY_FIELDS]
+    text = F.trim(F.coalesce(message, F.lit("")))
+    speaks = F.greatest(*(text.contains(m) for m in QUERY_MARKS))
+    return F.coalesce(*named, F.when(speaks, text), S.present(F.trim(top_event)), text)
+
+
 def fresh_ids(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """wanted (tree_id, base, pos) with `id`: base for the first of its tree, where that is free, then base-1, base-2 and so on, leaving out those in taken (tree_id, id).
 

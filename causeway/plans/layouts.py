@@ -166,7 +166,7 @@ def fresh_node_ids(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT DISTINCT 't' || c_nationkey AS tree_id, substr(c_name, 12 + c_custkey % 6) AS name FROM customer WHERE c_custkey % 3 = 0)
   SELECT a.tree_id, a.name, c_name AS label FROM a JOIN customer ON 't' || c_nationkey = a.tree_id AND contains(c_name, a.name)""")
 def names_inside_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Ends of customers' names, of 2 to 7 digits, among the names of their nation"""
+    """Ends of customers' names, of 2 to 7 digits, among the names of their nation"""
     c = V.table(spark, d, "customer")
     names = c.filter("c_custkey % 3 = 0").select(_tree("c_nationkey"), F.expr("substr(c_name, cast(12 + c_custkey % 6 AS int))").alias("name"))
     return naming.containing(names, c.select(_tree("c_nationkey"), F.col("c_name").alias("label")), ["tree_id"])
@@ -177,3 +177,20 @@ def mentioned_types(spark: SparkSession, d: str) -> DataFrame:
     """A type's name within a sentence on each part"""
     said = F.element_at(F.array(*map(F.lit, ("make it a Basic Event, no top event", "an INTERMEDIATE_EVENT", "顶事件", "an event"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     return V.table(spark, d, "part").select("p_partkey", naming.mentioned_type(F.concat_ws(" ", "p_name", said)).alias("type"))
+
+
+@query("""SELECT 'o' || o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) - 1 AS index FROM orders""")
+def overlay_indexes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as overlays of their customers, by status"""
+    o = V.table(spark, d, "orders").select(F.lit(V.TREE).alias("tree_id"), V._key("o", "o_orderkey").alias("id"), V._key("c", "o_custkey").alias("parent"), F.col("o_orderstatus").alias("kind"), F.col("o_orderkey").alias("pos"))
+    return layout.overlay_places(o).select("id", "index")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'n' || p_partkey WHEN 1 THEN 'r' || p_partkey WHEN 2 THEN '事件 ' || p_name WHEN 3 THEN p_type ELSE 'why ' || p_name END AS asked FROM part""")
+def node_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions that name a node, in two places, and messages with and without a mark"""
+    k = F.col("p_partkey") % 5
+    decision = F.when(k == 0, F.to_json(F.struct(F.lit(" ").alias("node_label"), F.concat(F.lit(" n"), "p_partkey").alias("event_name")))).when(k == 1, F.to_json(F.struct(F.struct(F.concat(F.lit("r"), "p_partkey").alias("target_node")).alias("requirements")))).otherwise("{}")
+    message = F.when(k == 2, F.concat(F.lit(" 事件 "), "p_name")).when(k == 3, "why").otherwise(F.concat(F.lit("why "), "p_name"))
+    top = F.when(k == 3, F.col("p_type")).otherwise(" ")
+    return V.table(spark, d, "part").select("p_partkey", naming.node_query(message, F.try_parse_json(decision), top).alias("asked"))
