@@ -14,7 +14,8 @@ by each shingle itself. Documents are not shuffled and their length doesn't matt
 
 Defined cases: null or blank items and documents match nothing; an item of fewer than k words is one
 shingle of that many words, searched among the document's shingles of the same width; rows that repeat
-a document's or an item's id give rows of their own; an empty table on either side gives an empty
+a document's or an item's id give rows of their own; very long documents are searched whole; a
+containment of exactly the threshold counts; an empty table on either side gives an empty
 result; extra columns are ignored by `contained` and kept by `clean`, which judges each row by its own text.
 """
 

@@ -24,7 +24,8 @@ of the whole text, which for a repeated slot is that of all repeats.
 
 Defined cases: null or empty html gives an empty text; a url without a host belongs to the host "";
 a page whose host has one page only is its own wrapper; unclosed and wrongly nested elements close with
-what contains them; elements more than `DEPTH` deep count as parts of the one above; a <br> is white space; rows that repeat a page
+what contains them; elements more than `DEPTH` deep count as parts of the one above, but menus, forms and the like among them are left out; very long
+pages are parsed whole; a <br> is white space; of several ways to match a wrapper the leftmost counts; rows that repeat a page
 are kept; extra columns are ignored; an empty table stays empty.
 """
 

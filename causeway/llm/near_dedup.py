@@ -19,7 +19,8 @@ texts, whatever their hashes are. At the threshold itself a pair shares no band
 Defined cases: null or blank texts have no shingles and are linked with nothing; a text of fewer than k words is one
 shingle; rows that repeat an id and text are kept, each with its component; rows that share an id but not their text are
 judged each by its text, and a component's id is the smallest of its rows' ids; a null id is never linked and keeps a null
-component; an empty table gives an empty result; extra columns are ignored by `near_duplicates` and kept by `distinct`.
+component; very long texts are read whole, and compared whole; ties do not matter, as all links count;
+an empty table gives an empty result; extra columns are ignored by `near_duplicates` and kept by `distinct`.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ Models are fitted on a bounded sample of labelled texts (`per_class` of each val
 category), weighted to the classes' shares among all labels. Spark takes the sample's features and
 counts them by class and fold; only the places of the chosen ones come to the driver, which fits the weights.
 Scoring covers every word of every text. Defined cases: a null or blank text gets the models' intercepts; rows with a null label
-are not used, of several labels of an id the smallest counts; a category without both labels gets a constant probability; rows
+are not used, of several labels of an id the smallest counts; a category without both labels gets a constant probability, without any labels nearly 0; rows
 that repeat an id are scored each by their own text (of a labelled id's texts the smallest is fitted on); extra columns are
 kept by `reject`, whatever they are called, and ignored by `toxicity`; an empty table stays empty.
 """
@@ -37,6 +37,8 @@ from causeway.storage import stored
 U64 = T.U64
 PER_CLASS, FEATURES, LEAST_G, FOLDS = 3000, 4096, 20.0, 5
 PREFIXES = (4, 5, 6)
+#: Log-odds of all categories where there are no labels: nothing is toxic.
+NO_LABELS = -10.0
 _OUTER = np.zeros(256, bool)
 _OUTER[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
@@ -209,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], *, derive
             b, w, v = _fit(text, at, masks[k], odds, y[:, c], weight, train)
             z = b + np.bincount(text, weights=w[at], minlength=n) + odds @ v
             out[test] = np.clip(z[test], -30, 30)
-        parts.append(_fit(text, at, masks[-1], odds, y[:, c], weight, np.arange(n)) if n else (0.0, np.zeros(len(known)), np.zeros(c)))
+        parts.append(_fit(text, at, masks[-1], odds, y[:, c], weight, np.arange(n)) if n else (NO_LABELS, np.zeros(len(known)), np.zeros(c)))
         odds = np.column_stack([odds, out])
     on_earlier = np.zeros((len(categories), len(categories)))
     for c, (_, _, v) in enumerate(parts):

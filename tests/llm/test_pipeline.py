@@ -37,3 +37,36 @@ def test_stages(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, before, str(tmp_path)).collect()
     assert all(r.lossless and r.n_pieces == len(r.ids) for r in last) and len(last) == before.count()
     assert {(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(r.doc_id, tuple(r.ids)) for r in last}
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated ids and rows, clashing extra columns, a very long text; then empty tables."""
+    plain = "the river runs by the old stone under the garden wall and the miller walks along it each morning with his dog"
+    rows = [
+        (1, plain, "en"), (1, plain, "en"), (1, "another text under the same id, quite unlike the first one in all its words", "en"), (2, plain + " again", None), (None, plain, "fr"), (None, None, None), (3, None, "en"),
+        (4, "", "de"), (5, " \n\t", "en"), (6, "word " * 60_000, "en"), (7, "mail me@here.org, mail me@here.org", "en"), (7, "mail me@here.org, mail me@here.org", "en"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, text_sha256 string, ids string, lossless int, label int, toxic int, h string, c string"
+    docs = spark.createDataFrame([(i, t, g, "s", len(t or ""), "x", "y", 1, 2, 3, "z", None) for i, t, g in rows], schema)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "no such words are in any of the documents at all")], "item_id long, text string")
+    for name, (d, l, b) in {"odd": (docs, labels, bench), "bare": (docs, labels.limit(0), bench.limit(0)), "empty": (docs.limit(0), labels, bench)}.items():
+        at = f"{tmp_path}/{name}"
+        for table, df in (("documents", d), ("labels", l), ("benchmark", b)):
+            df.write.parquet(f"{at}/{table}.parquet")
+        before = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            after = f(spark, before, at)
+            assert after.columns == docs.columns and after.filter("text_sha256 <> 'x' OR ids <> 'y' OR label <> 2 OR h <> 'z' OR c IS NOT NULL").count() == 0, (name, stage)
+            path = f"{at}/{stage}"
+            after.write.parquet(path)
+            before = spark.read.parquet(path)
+        kept = before.collect()
+        last = corpus_pipeline.STAGES[-1][1](spark, before, at).collect()
+        assert len(last) == len(kept) and all(r.lossless for r in last)
+        if name == "empty":
+            assert kept == []
+        if name == "bare":  # nothing is toxic or in the benchmark: all but near copies of smaller ids stay
+            assert sorted((r.doc_id or 0, (r.text or "")[:9]) for r in kept) == sorted(
+                [(1, "the river"), (1, "the river"), (1, "another t"), (0, "the river"), (0, ""), (3, ""), (4, ""), (5, " \n\t"), (6, "word word"), (7, "mail <EMA"), (7, "mail <EMA")]
+            )
