@@ -204,3 +204,34 @@ def test_hand_edits(spark, diamond):
     once = rewrite.standalone_nodes(diamond, spark.createDataFrame([("t", "s", "basic", 9)], "tree_id string, new_id string, type string, pos long"))
     twice = rewrite.standalone_nodes(once, spark.createDataFrame([("t", "u", "basic", 9)], "tree_id string, new_id string, type string, pos long"))
     assert [r.label for r in twice[0].filter("id IN ('s', 'u')").orderBy("id").collect()] == ["新底事件1", "新底事件2"]
+
+
+def most_read(spark, job):
+    """The most rows that a task of the job reads from shuffles, which are neither avoided nor joined into larger ones."""
+    as_is = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in as_is}
+    spark.sparkContext.setJobGroup("most_read", "")
+    try:
+        for k, v in as_is.items():
+            spark.conf.set(k, v)
+        job()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    tracker, store, most = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore(), 0
+    for stage in {s for j in tracker.getJobIdsForGroup("most_read") for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 10_000)
+        for i in range(tasks.size()):
+            found = tasks.apply(i).taskMetrics()
+            most = max(most, found.get().shuffleReadMetrics().recordsRead()) if found.isDefined() else most
+    return most
+
+
+def test_names_of_a_label_that_most_nodes_share(spark):
+    nodes = spark.range(8000).selectExpr("'t' AS tree_id", "concat('n', id) AS id", "CASE WHEN id < 7990 THEN 'pump' WHEN id < 7998 THEN 'seal' ELSE concat('valve ', id) END AS label", "id AS pos")
+    names = spark.createDataFrame([("t", "1", None, "pump"), ("t", "2", None, "valve 7999"), ("t", "3", "n5", "pump"), ("t", "4", None, "e 7998"), ("t", "5", None, "eal")], "tree_id string, ref string, node_id string, label string")
+    found = {}
+    assert most_read(spark, lambda: found.update({r.ref: r.id for r in rewrite.resolve(nodes, names).collect()})) < 4000
+    assert found == {"1": None, "2": "n7999", "3": "n5", "4": "n7998", "5": None}
+    assert {r.ref: r.id for r in rewrite.resolve(nodes, names, first_exact=True).collect()} == found | {"1": "n0"}
