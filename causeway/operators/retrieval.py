@@ -64,11 +64,15 @@ def graph_chunk_ids(v: Column) -> Column:
 
 def edge_evidence(edges: DataFrame) -> DataFrame:
     """(tree_id, source, target, file_version_id, chunk_id): the documents of edges (tree_id, source, target, documents) once
-    for each reference, the first of each, by number (A13, P17, P73)."""
+    for each reference, the first of each, by number (A13, P17, P73). Parallel edges may be rows of their own.
+
+    References are mostly different ones, so they are dealt by their keys before they are looked through: a task holds its share of the
+    keys, in as many shares as the session's shuffles have, and not those of all that it has read."""
     each = edges.select("tree_id", "source", "target", F.posexplode("documents").alias("k", "d")).select("tree_id", "source", "target", "k", F.col("d.file_version_id").alias("file_version_id"), S.present(F.col("d.chunk_id")).alias("chunk_id"))
-    key = S.chunk_key(F.col("file_version_id"), F.col("chunk_id"))
-    first = each.filter("chunk_id IS NOT NULL").groupBy("tree_id", "source", "target", key.alias("key")).agg(F.min_by(F.struct("file_version_id", "chunk_id"), "k").alias("d"))
-    return first.select("tree_id", "source", "target", "d.*")
+    keys, reference = ["tree_id", "source", "target", "key"], ["file_version_id", "chunk_id"]
+    dealt = each.filter("chunk_id IS NOT NULL").withColumn("key", S.chunk_key(F.col("file_version_id"), F.col("chunk_id"))).repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys[1:])
+    first = dealt.groupBy(*keys, *reference).agg(F.min("k").alias("k")).groupBy(*keys).agg(F.min(F.struct("k", *reference)).alias("d"))
+    return first.select("tree_id", "source", "target", *(f"d.{c}" for c in reference))
 
 
 def node_documents(nodes: DataFrame) -> DataFrame:

@@ -263,8 +263,9 @@ def graph_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {V.KG} SELECT src AS source, dst AS target, file_version_id, chunk_id FROM (SELECT DISTINCT src, dst, rel AS file_version_id, CAST(length(rel_id) AS VARCHAR) AS chunk_id FROM sv_kg)")
 def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Documents of parallel edges, each reference once"""
-    each = V.kg(spark, d).groupBy("src", "dst").agg(F.collect_list(F.struct(F.col("rel").alias("file_version_id"), F.length("rel_id").cast("string").alias("chunk_id"))).alias("documents"))
-    return retrieval.edge_evidence(each.select(F.lit(V.TREE).alias("tree_id"), F.col("src").alias("source"), F.col("dst").alias("target"), "documents")).select("source", "target", "file_version_id", "chunk_id")
+    document = F.struct(F.col("rel").alias("file_version_id"), F.length("rel_id").cast("string").alias("chunk_id"))
+    each = V.kg(spark, d).select(F.lit(V.TREE).alias("tree_id"), F.col("src").alias("source"), F.col("dst").alias("target"), F.array(document).alias("documents"))
+    return retrieval.edge_evidence(each).select("source", "target", "file_version_id", "chunk_id")
 
 
 @query("SELECT o_orderkey AS id, least(o_custkey, o_orderkey) || '|' || greatest(o_custkey, o_orderkey) || '|' || o_orderstatus AS documents FROM orders")

@@ -235,3 +235,11 @@ def test_names_of_a_label_that_most_nodes_share(spark):
     assert most_read(spark, lambda: found.update({r.ref: r.id for r in rewrite.resolve(nodes, names).collect()})) < 4000
     assert found == {"1": None, "2": "n7999", "3": "n5", "4": "n7998", "5": None}
     assert {r.ref: r.id for r in rewrite.resolve(nodes, names, first_exact=True).collect()} == found | {"1": "n0"}
+
+
+def test_evidence_is_dealt_before_it_is_looked_through(spark):
+    rows = [("t", "a", "b", [("v", "1"), (" v", "1 "), (None, "2")]), ("t", "a", "b", [("v", "3"), ("v", "1")]), ("t", "a", "c", [("v", "1"), ("v", None), ("v", "")]), ("u", "a", "b", [("v", "1")])]
+    found = retrieval.edge_evidence(spark.createDataFrame(rows, "tree_id string, source string, target string, documents array<struct<file_version_id:string,chunk_id:string>>"))
+    assert sorted(tuple(r) for r in found.fillna("").collect()) == [("t", "a", "b", "", "2"), ("t", "a", "b", "v", "1"), ("t", "a", "b", "v", "3"), ("t", "a", "c", "v", "1"), ("u", "a", "b", "v", "1")]
+    assert "Aggregate" not in found._jdf.queryExecution().sparkPlan().toString().split("Generate")[-1]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1].count("Aggregate") == 0
