@@ -150,7 +150,11 @@ def subtree_widths(nodes: DataFrame, edges: DataFrame, leaf: int = LEAF_WIDTH) -
     Works up from the leaves; a node is done when all its children are. Nodes on or above a cycle are never
     done and get `leaf`.
     """
-    edges = stored(edges.select(*EDGE).distinct())
+    return distinct_widths(nodes, stored(edges.select(*EDGE).distinct()), leaf)
+
+
+def distinct_widths(nodes: DataFrame, edges: DataFrame, leaf: int = LEAF_WIDTH) -> DataFrame:
+    """`subtree_widths` for edges that are stored already, each once."""
     ids = nodes.select("tree_id", "id")
     need = edges.groupBy("tree_id", F.col("target").alias("id")).agg(F.count("*").alias("need"))
     level = stored(ids.join(need, ["tree_id", "id"], "left_anti").withColumn("width", F.lit(leaf).cast("bigint")))
@@ -208,10 +212,9 @@ def clean_gates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 def root_choice(nodes: DataFrame, edges: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     """(tree_id, root): the widest top; without tops the first node that is no source; else the first (T5). widths: those of `subtree_widths`, where they are known."""
     widths = subtree_widths(nodes, edges) if widths is None else widths
-    sources = edges.select("tree_id", F.col("source").alias("id"), F.lit(1).alias("is_source")).distinct()
-    seen = nodes.join(widths, ["tree_id", "id"]).join(sources, ["tree_id", "id"], "left")
-    rank = F.struct(
-        F.when(F.col("type") == "top", 0).when(F.col("is_source").isNull(), 1).otherwise(2),
-        F.when(F.col("type") == "top", -F.col("width")).otherwise(0), "pos",
-    )
-    return seen.groupBy("tree_id").agg(F.min_by("id", rank).alias("root"))
+    tops = nodes.filter("type = 'top'").join(widths, ["tree_id", "id"]).groupBy("tree_id").agg(F.min_by("id", F.struct(-F.col("width"), "pos")).alias("root"))
+    tops = stored(tops)  # few rows: then trees without tops are told by a small table
+    rest = nodes.join(tops.select("tree_id"), "tree_id", "left_anti")
+    sources = edges.join(tops.select("tree_id"), "tree_id", "left_anti").select("tree_id", F.col("source").alias("id"), F.lit(1).alias("is_source")).distinct()
+    rest = rest.join(sources, ["tree_id", "id"], "left").groupBy("tree_id").agg(F.min_by("id", F.struct(F.col("is_source").isNotNull(), "pos")).alias("root"))
+    return tops.unionByName(rest)

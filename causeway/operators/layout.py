@@ -35,35 +35,35 @@ def tidy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     side in document order, each as wide as its own subtree (R7).
 
     Level by level, by the running sum of the widths of the siblings before a node. A node that several parents share is placed where it is reached
-    first, of several places of one level in the rightmost; so cycles end.
+    first, of several places of one level in the rightmost; so cycles end. What a level needs of a node stands beside its edge, and only nodes with
+    children are gone on from.
     """
-    nodes, links = stored(nodes), stored(edges.groupBy(*graph.EDGE).agg(F.min("pos").alias("pos")))
-    widths = stored(graph.subtree_widths(nodes, links))
+    nodes, links = stored(nodes.select("tree_id", "id", "type", "pos")), stored(edges.groupBy(*graph.EDGE).agg(F.min("pos").alias("pos")))
+    inner = links.select("tree_id", F.col("target").alias("id"), F.lit(True).alias("inner")).distinct()
+    kept = graph.distinct_widths(nodes, links).join(nodes.select("tree_id", "id", "type"), ["tree_id", "id"]).join(inner, ["tree_id", "id"], "left")
+    widths = stored(kept.withColumn("inner", F.coalesce("inner", F.lit(False))))
     before = Window.partitionBy("tree_id", "target").orderBy("pos", "source").rowsBetween(Window.unboundedPreceding, -1)
     wide = links.join(widths.withColumnRenamed("id", "source"), ["tree_id", "source"])
     offset = F.coalesce(F.sum("width").over(before), F.lit(0)).cast("double")
-    kids = stored(wide.select("tree_id", F.col("target").alias("id"), F.col("source").alias("kid"), offset.alias("offset"), "width"))
+    kids = stored(wide.select("tree_id", F.col("target").alias("id"), F.col("source").alias("kid"), F.col("type").alias("kid_type"), "inner", offset.alias("offset"), "width"))
     single = not kids.groupBy("tree_id", "kid").count().filter("count > 1").limit(1).count()
-    types = nodes.select("tree_id", "id", "type")
-    top = graph.root_choice(nodes, links, widths).select("tree_id", F.col("root").alias("id")).join(widths, ["tree_id", "id"]).join(types, ["tree_id", "id"])
+    top = graph.root_choice(nodes, links, widths.select("tree_id", "id", "width")).select("tree_id", F.col("root").alias("id")).join(widths, ["tree_id", "id"])
     zero = F.lit(0.0)
-    level = stored(top.select("tree_id", "id", "type", "width", (-F.col("width") / 2).alias("left"), zero.alias("cy"), F.lit(0).alias("depth"), F.col("id").alias("origin")))
+    level = stored(top.select("tree_id", "id", "type", "inner", "width", (-F.col("width") / 2).alias("left"), zero.alias("cy"), F.lit(0).alias("depth"), F.col("id").alias("origin")))
     levels = [level]
-    while True:
+    while level.filter("inner").limit(1).count():
         drop = F.when(F.col("type") == "gate", float(GATE_DROP)).otherwise(float(EVENT_DROP))
-        above = level.select("tree_id", "id", "left", (F.col("cy") + drop).alias("cy"), "origin")
-        new = above.join(kids, ["tree_id", "id"]).select("tree_id", F.col("kid").alias("id"), "width", (F.col("left") + F.col("offset")).alias("left"), "cy", "origin")
+        above = level.filter("inner").select("tree_id", "id", "left", (F.col("cy") + drop).alias("cy"), "origin")
+        new = above.join(kids, ["tree_id", "id"]).select("tree_id", F.col("kid").alias("id"), F.col("kid_type").alias("type"), "inner", "width", (F.col("left") + F.col("offset")).alias("left"), "cy", "origin")
         if single:  # no two ways meet, but a way can come back to its start
             new = new.filter("id <> origin")
         else:
             placed = reduce(DataFrame.unionByName, [x.select("tree_id", "id") for x in levels])
-            new = new.groupBy("tree_id", "id").agg(F.max(F.struct("left", "cy", "width", "origin")).alias("p")).select("tree_id", "id", "p.width", "p.left", "p.cy", "p.origin")
+            new = new.groupBy("tree_id", "id").agg(F.max(F.struct("left", "cy", "width", "origin", "type", "inner")).alias("p")).select("tree_id", "id", "p.type", "p.inner", "p.width", "p.left", "p.cy", "p.origin")
             new = new.join(placed, ["tree_id", "id"], "left_anti")
-        level = stored(new.join(types, ["tree_id", "id"]).withColumn("depth", F.lit(len(levels))))
-        if not level.limit(1).count():
-            break
+        level = stored(new.withColumn("depth", F.lit(len(levels))))
         levels.append(level)
-    out = reduce(DataFrame.unionByName, [x.drop("origin") for x in levels])
+    out = reduce(DataFrame.unionByName, [x.drop("origin", "inner") for x in levels])
     return out.select("tree_id", "id", "type", (F.col("left") + F.col("width") / 2).alias("cx"), "cy", "left", "depth")
 
 
@@ -107,16 +107,20 @@ def apart(placed: DataFrame) -> DataFrame:
     is moved aside, by turns to the left and the right.
 
     What comes earlier: by `left`, then `depth` (depth-first order of a tidy tree), rows below after it. Bands are cut into clusters
-    that no move can reach across; only clusters with two nodes too near each other are gone through one by one, in a task each.
+    that no move can reach across; only clusters with two nodes too near each other are gone through one by one, in a task each. Bands without such nodes
+    are not cut.
     """
     reach = 2 * (TRIES // 2) * SIDE_STEP + LEAST_GAP
     band = F.floor(F.col("cy") / BAND + 0.5) * BAND
     across = Window.partitionBy("tree_id", "band").orderBy("cx", "id")
-    steps = placed.withColumn("band", band).withColumn("step", F.col("cx") - F.lag("cx").over(across))
+    steps = lambda rows: rows.withColumn("step", F.col("cx") - F.lag("cx").over(across))
+    placed_in = placed.withColumn("band", band)
+    crowded = stored(steps(placed_in.select("tree_id", "id", "cx", "band")).filter(F.col("step") < LEAST_GAP).select("tree_id", "band").distinct())
+    if not crowded.limit(1).count():
+        return placed
     cut = F.coalesce((F.col("step") >= reach).cast("int"), F.lit(0))
-    clusters = stored(steps.withColumn("cluster", F.sum(cut).over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("step").join(
-        steps.select("tree_id", "id", (F.coalesce("step", F.lit(reach)) < LEAST_GAP).alias("near")), ["tree_id", "id"]
-    ))
+    clusters = steps(placed_in.join(crowded, ["tree_id", "band"], "left_semi")).withColumn("near", F.coalesce("step", F.lit(reach)) < LEAST_GAP)
+    clusters = stored(clusters.withColumn("cluster", F.sum(cut).over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("step"))
     keys = ["tree_id", "band", "cluster"]
     tight = clusters.groupBy(*keys).agg(F.bool_or("near").alias("tight")).filter("tight").select(*keys)
     turn = F.row_number().over(Window.partitionBy(*keys).orderBy((F.col("depth") >= 1 << 20), "left", "depth", "id")).alias("turn")
@@ -126,8 +130,9 @@ def apart(placed: DataFrame) -> DataFrame:
 
 def laid_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(tree_id, id, type, cx, cy): tidy trees, what they do not reach in rows below, and nothing over anything else."""
-    tree = stored(tidy(nodes, edges))
-    return apart(stored(tree.unionByName(rows_below(nodes, tree)))).select("tree_id", "id", "type", "cx", "cy")
+    nodes = stored(nodes)
+    tree = tidy(nodes, edges)  # levels that are written already
+    return apart(tree.unionByName(stored(rows_below(nodes, tree)))).select("tree_id", "id", "type", "cx", "cy")
 
 
 def boxes(placed: DataFrame, groups: DataFrame | None = None) -> DataFrame:

@@ -142,3 +142,8 @@ def test_connect_nodes(spark):
     assert changed == {("e", "f")} and types["f"] == "intermediate"
     assert after(("e", "f"), ("b", "f"))[0] == {("e", "new-1"), ("b", "new-1"), ("new-1", "f")}
     assert after(("h", "c"), ("e", "e"), ("d", "c"), ("gone", "c"), ("e", "gone"))[0] == set()
+
+
+def test_bands_without_near_nodes_are_not_gone_through(spark):
+    placed = spark.createDataFrame([("t", f"n{i}", "basic", 160.0 * i, 0.0, 160.0 * i, 1) for i in range(5)], "tree_id string, id string, type string, cx double, cy double, left double, depth int")
+    assert layout.apart(placed) is placed
