@@ -11,6 +11,7 @@ from causeway.functions import scalars as S
 from causeway.operators import diff, graph, retrieval, rewrite
 from causeway.plans import surrogate as V
 from causeway.plans.registry import query
+from causeway.storage import stored
 
 
 def _graph(spark: SparkSession, d: str) -> rewrite.Graph:
@@ -318,5 +319,6 @@ def dispatched_plan(spark: SparkSession, d: str) -> DataFrame:
     (nodes, edges), errors = rewrite.apply_plan(spark, _graph(spark, d), json.dumps({"operations": _PLAN}), tree_id=V.TREE)
     if errors:
         raise ValueError(errors)
-    up = edges.groupBy(F.col("source").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("parents"))
-    return nodes.filter("id RLIKE '^[rnx]'").join(up, "id", "left").select("id", "label", F.coalesce("gate", F.lit("")).alias("gate"), F.coalesce("parents", F.lit("")).alias("parents"))
+    shown = stored(nodes.filter("id RLIKE '^[rnx]'").select("id", "label", "gate"))
+    up = edges.withColumnRenamed("source", "id").join(shown.select("id"), "id", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("parents"))
+    return shown.join(up, "id", "left").select("id", "label", F.coalesce("gate", F.lit("")).alias("gate"), F.coalesce("parents", F.lit("")).alias("parents"))
