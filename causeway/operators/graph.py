@@ -174,16 +174,17 @@ def linked(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(*keys, id, component): the smallest id that each end of edges (*keys, a, b) is connected to, within equal keys.
 
     Smallest label among neighbours, then the label of that label, until nothing changes: about log n rounds for chains.
-    A round only sends labels that the round before has changed. Joins are on unique keys at one side, so a hot
-    vertex can be split.
+    A round only sends labels that the round before has changed, and looks only at labels that have one of their own: those that a component has
+    come down to, which most vertices share, are not joined. Joins are on unique keys at one side, so a hot vertex can be split.
     """
     keys = list(keys)
-    both = stored(edges.select(*keys, "a", "b").unionByName(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    pairs = stored(edges.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = pairs.unionByName(pairs.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
     labels = moved = stored(both.groupBy(*keys, F.col("a").alias("id")).agg(F.min("b").alias("m")).select(*keys, "id", F.least("id", "m").alias("component")))
     while True:
         near = both.join(moved.withColumnRenamed("id", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("component").alias("m"))
         step = labels.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("c"))
-        jump = labels.select(*keys, F.col("id").alias("c"), F.col("component").alias("j"))
+        jump = labels.filter("component < id").select(*keys, F.col("id").alias("c"), F.col("component").alias("j"))
         new = stored(step.join(jump, [*keys, "c"], "left").select(*keys, "id", "was", F.least("c", F.coalesce("j", "c")).alias("component")))
         labels, moved = new.drop("was"), new.filter("component <> was").drop("was")
         if not moved.limit(1).count():
