@@ -8,12 +8,19 @@ the lead, band), and no pair that is linked fails to meet.
 Sets that meet are joined by a prefix tree: ordered sets are stored in it, and what they have in common at their beginnings is one path.
 A set walks the tree from the root, all branches of a level at once; a branch carries the overlap so far, which is
 shared by all sets below it, and is cut when this and what is left on both sides is too little for any size below it. What reaches the end of a
-stored set is a link.
+stored set is a link. A tree holds the members of many cells (a set and those that it is held against): their number comes before their n-grams, so each cell is a branch of its own.
 
-The first class of a bucket is its centre; a class is joined with at most two of its buckets' centres, the first and the most frequent: on leads at
-first, which are a tenth of the sets, then what is left on whole sets. Where that leaves several components in a bucket, its members
+In a bucket of at most `FEW` members, each two may be near, unless their sizes and the places that the n-gram has in them leave too little: no n-gram before
+the first that two sets share is shared. What is left of these pairs, each once, is joined on whole sets. Of a larger bucket
+the first class is its centre; a class is joined with at most two of its larger buckets' centres, the first and the most frequent: on leads at
+first, which are a tenth of the sets, then what is left on whole sets. Where all that leaves several components in a larger bucket, its members
 are joined across components, block by block: by their leads, which says which of them may be near one of another component at all, then these on whole sets;
-only links leave the task, one for each two components. So every pair of a bucket is in one component or was compared.
+only links leave the task, one for each two components. So every pair of a bucket is in one component, was compared, or can't be near.
+
+Before whole sets are asked for, pairs are tried by sketches, a bit for each n-gram or two: a bit says whether the number of n-grams that fall on it is odd, so where two sets' bits
+differ, an n-gram is in one of them only; more of these than near sets may have, and the pair is not near. No pair that is near is lost by that.
+
+Whole sets are made again of the texts that are asked for only, which a map of hashes of texts tells before they are cut into words.
 
 An n-gram is known by 64 bits mixed from SipHash values of its words: that two of the n-grams of a pair of documents with a thousand n-grams each are alike
 by chance has probability 1e-13.
@@ -41,9 +48,15 @@ from causeway.storage import stored
 
 #: Counters of the order, in rows of so many.
 COUNTERS, COUNTER_ROW = 1 << 19, 1 << 12
+#: What a counter goes up to: 20 bits of a bucket's key, which follows the order.
+MOST_COUNT = (1 << 20) - 1
 #: Members of a bucket, and n-grams of theirs, that are joined at a time.
 BLOCK, BLOCK_GRAMS = 2048, 1 << 20
-#: Bits of the map of classes whose sets are asked for.
+#: Members of a bucket that are held against each other two by two.
+FEW = 16
+#: N-grams of the cells that one tree holds.
+TREE_GRAMS = 1 << 17
+#: Bits of the map of the texts whose sets are asked for.
 MOST_BITS = 1 << 27
 #: Depths at which a path of the tree is tried against the bound, and doubled from there.
 FIRST_DEPTH = 16
@@ -73,7 +86,7 @@ def ordered(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def bucket_keys(lead: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A number for each n-gram of a lead that follows the global order: its counter and the upper bits of its hash."""
     shift = T.U64(64 - (len(counts) - 1).bit_length())
-    return (np.minimum(counts[(lead >> shift).astype(np.int64)], (1 << 20) - 1) << 43) | (lead >> T.U64(21)).astype(np.int64)
+    return (counts[(lead >> shift).astype(np.int64)] << 43) | (lead >> T.U64(21)).astype(np.int64)
 
 
 def lead_size(n: int, percent: int) -> int:
@@ -117,36 +130,58 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def gram_counts(texts: DataFrame, k: int) -> np.ndarray:
-    """COUNTERS counters of the n-grams of (text), added up in two steps over the cluster."""
+    """COUNTERS counters of the n-grams of (text), added up in two steps over the cluster; none goes beyond MOST_COUNT."""
     schema = "chunk long, part long, counts binary"
     rows = texts.mapInArrow(_counted(k, COUNTERS, COUNTER_ROW), schema).repartition("chunk", "part").mapInArrow(_summed, schema).repartition("chunk").mapInArrow(_summed, schema)
     out = np.zeros(COUNTERS, np.int64)
     for r in rows.collect():  # COUNTERS / COUNTER_ROW rows
         out[r["chunk"] * COUNTER_ROW : (r["chunk"] + 1) * COUNTER_ROW] = np.frombuffer(r["counts"], np.int64)
-    return out
+    return np.minimum(out, MOST_COUNT)
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """Bits for a set, at most as many as it has n-grams (a power of 2, 64 at least): is the number of n-grams that fall on it odd?"""
+    size = max(64, 1 << (len(items).bit_length() - 1))
+    odd = np.bincount((items & T.U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
 
+def apart(a: bytes, b: bytes) -> int:
+    """How many n-grams are in one of two sets only, at least, by their sketches; the longer one is folded."""
+    x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
-_LEADS = "doc_id long, ka long, kb long, n long, lead binary"
+
+def may_be_near(n: int, m: int, a: bytes, b: bytes, percent: int) -> bool:
+    """For sets of n and m n-grams with these sketches."""
+    return (n + m - apart(a, b)) * (100 + percent) >= 2 * percent * (n + m)
+
+
+_LEADS = "doc_id long, th long, ka long, kb long, n long, lead binary, sketch binary"
 
 
 def _leads(k: int, percent: int, counts: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in T.slices(batches):
-            data, at = T.strings(batch.column(1))
+            data, at = T.strings(batch.column(2))
             n = len(batch)
-            keys, sizes, leads = np.zeros((n, 2), np.int64), np.zeros(n, np.int64), [b""] * n
+            keys, sizes, leads, sketches = np.zeros((n, 2), np.int64), np.zeros(n, np.int64), [b""] * n, [b""] * n
             for i, items in _sets(data, at, k):
                 keys[i], sizes[i] = _key(items), len(items)
-                leads[i] = ordered(items, counts.value)[: lead_size(len(items), percent)].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes), pa.array(leads, pa.binary())], names=[c.split()[0] for c in _LEADS.split(", ")]
-            )
+                leads[i], sketches[i] = ordered(items, counts.value)[: lead_size(len(items), percent)].tobytes(), sketch(items)
+            made = pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(sizes), pa.array(leads, pa.binary()), pa.array(sketches, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=[c.split()[0] for c in _LEADS.split(", ")])
 
     return rows
 
 
+_BUCKETS = "c long, n long, place int, key long, band int"
+
+
 def _buckets(percent: int, counts: Broadcast):
-    """(c, key, band) of (c, n, lead): a bucket for each n-gram of the lead in the band of n, and in the one below where a near set may be there."""
+    """(c, n, place, key, band) of (c, n, lead): a bucket for each n-gram of the lead in the band of n, and in the one below where a near set may be there."""
     least = next((n for n in range(1, 100) if 100 * n >= percent * (n + 1)), 1 << 62)  # no other set is near a smaller one
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +194,76 @@ def _buckets(percent: int, counts: Broadcast):
             also = 100 * (lower[band - 1] - 1) >= percent * n
             for of, step in ((many > 0, 0), ((many > 0) & also, 1)):
                 keys = bucket_keys(np.concatenate([np.zeros(0, np.uint64), *(leads[x] for x in np.flatnonzero(of))]), counts.value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c[of], many[of])), pa.array(keys), pa.array(np.repeat(band[of] - step, many[of]).astype(np.int32))], names=["c", "key", "band"])
+                own = many[of]
+                place = np.arange(len(keys)) - np.repeat(np.cumsum(own) - own, own)
+                out = np.repeat(c[of], own), np.repeat(n[of], own), place.astype(np.int32), keys, np.repeat(band[of] - step, own).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=[x.split()[0] for x in _BUCKETS.split(", ")])
+
+    return rows
+
+
+_MET = "a long, b long, n long, key long, band int"
+
+
+def _met(percent: int, few: int):
+    """Of bucket rows, sorted by (key, band): pairs (a, b) of classes that meet in a bucket of at most `few` and may be near by their sizes and the places of its n-gram,
+    if it is the first that they share; the members (a, n, key, band) of larger buckets, without b. A pair counts in the lower of its bands only."""
+
+    def out(a, b, n, key, band, pair: bool) -> pa.RecordBatch:
+        none = np.full(len(a), not pair)
+        arrays = [pa.array(a), pa.array(b, mask=none), pa.array(n), pa.array(key), pa.array(band.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _MET.split(", ")])
+
+    def handled(c, n, place, key, band, large: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole buckets' rows; large: is the bucket one of the larger ones?"""
+        if large.any():
+            yield out(c[large], c[large], n[large], key[large], band[large], False)
+            c, n, place, key, band = (x[~large] for x in (c, n, place, key, band))
+        own_band = np.searchsorted(bands(int(n.max(initial=1)), percent), n, "right")
+        found = [np.zeros((0, 2), np.int64)]
+        for step in range(1, few):
+            x = np.flatnonzero((key[:-step] == key[step:]) & (band[:-step] == band[step:]))
+            if not len(x):
+                break
+            y = x + step
+            most = np.minimum(n[x] - place[x], n[y] - place[y])
+            near = (most * (100 + percent) >= percent * (n[x] + n[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            near &= (c[x] != c[y]) & (np.minimum(own_band[x], own_band[y]) == band[x])
+            x, y = x[near], y[near]
+            found.append(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        if len(pairs):
+            none = np.zeros(len(pairs), np.int64)
+            yield out(pairs[:, 0], pairs[:, 1], none, none, none, True)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, going_on = None, None  # rows of a bucket that may go on; the larger bucket that may
+        for batch in T.slices(batches, 1 << 14):
+            if not len(batch):
+                continue
+            own = [x.to_numpy() for x in batch.columns]
+            own = own if held is None else [np.concatenate(x) for x in zip(held, own, strict=True)]
+            key, band = own[3], own[4]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])))
+            size = np.diff(np.append(first, len(key)))
+            large = size > few
+            large[0] |= going_on == (key[0], band[0])
+            end = len(key) if large[-1] else first[-1]
+            held, going_on = (None, (key[-1], band[-1])) if large[-1] else ([x[end:] for x in own], None)
+            yield from handled(*(x[:end] for x in own), np.repeat(large, size)[:end])
+        if held is not None:
+            yield from handled(*held, np.zeros(len(held[0]), bool))
+
+    return rows
+
+
+def _by_sketches(percent: int):
+    """Of (a, b, n, m, sketch_a, sketch_b) the pairs (a, b) that may be near."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in T.slices(batches):
+            keep = [may_be_near(*x, percent) for x in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows
 
@@ -223,9 +327,14 @@ class Tree:
         self.ending, bounds = by, np.searchsorted(end[by], np.arange(nodes + 1))
         self.end_first, self.end_end = bounds[:-1], bounds[1:]
 
-    def near(self, own: np.ndarray, codes: np.ndarray, n: int, label: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    def branches(self) -> dict[int, int]:
+        """The nodes below the root by their first codes."""
+        nodes = self.children[self.child_first[0] : self.child_end[0]]
+        return dict(zip(self.flat[self.flat_first[self.rep[nodes]]].tolist(), nodes.tolist(), strict=True))
+
+    def near(self, own: np.ndarray, codes: np.ndarray, n: int, label: int, percent: int, branch: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Stored sets that a set of n n-grams may be near to, and their overlap so far. codes: those that are known of it, the first in the order;
-        own: for each code whether it is one of these (or comes after them, and may be)."""
+        own: for each code whether it is one of these (or comes after them, and may be); branch: the only node below the root that is looked at."""
         hits, overlaps = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         front, carried = np.zeros(1, np.int64), np.zeros(1, np.int64)
         hidden = n - len(codes)
@@ -238,6 +347,8 @@ class Tree:
             many = self.child_end[front] - self.child_first[front]
             next_ = self.children[np.repeat(self.child_first[front] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
             carried = np.repeat(carried, many)
+            if branch is not None:
+                next_, carried, branch = np.array([branch]), np.zeros(1, np.int64), None
             other = (self.first[next_] != label) | (self.last[next_] != label)
             next_, carried = next_[other], carried[other]
             if not len(next_):
@@ -272,17 +383,29 @@ def _own(codes: np.ndarray, total: int, n: int) -> np.ndarray:
 
 
 def _with_centres(percent: int, counts: Broadcast, whole: bool):
-    """Pairs (a, b) of a cell's centre and its members (c, n, items, centre) that may be near enough; on whole sets, those that are."""
+    """Pairs (a, b) of each cell's centre and its members (a, part, c, n, items, centre) that may be near enough; on whole sets, those that are.
+
+    A cell's number is an n-gram more of each of its sets, the first in the order; with it, near sets are near all the more."""
 
     def rows(table: pa.Table) -> pa.Table:
-        c, n, centre = table.column("c").to_numpy(), table.column("n").to_numpy(), table.column("centre").to_numpy(zero_copy_only=False)
+        c, n, a, part = (table.column(x).to_numpy() for x in ("c", "n", "a", "part"))
+        centre = table.column("centre").to_numpy(zero_copy_only=False)
         codes, total = _coded([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()], counts.value)
-        members, x = np.flatnonzero(~centre), int(np.flatnonzero(centre)[0])
-        tree = Tree([codes[i] for i in members], n[members], np.zeros(len(members), np.int64))
-        hit, overlap = tree.near(_own(codes[x], total, int(n[x])), codes[x], int(n[x]), -1, percent)
-        b = members[hit]
-        keep = overlap * (100 + percent) >= percent * (n[x] + n[b]) if whole else np.ones(len(b), bool)
-        return pa.table({"a": np.full(keep.sum(), c[x]), "b": c[b[keep]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        numbers, cell = np.unique(np.stack([a, part], 1), axis=0, return_inverse=True)
+        cells, cell = len(numbers), cell.reshape(-1)
+        codes = [np.append(i, x + cells) for i, x in zip(cell, codes, strict=True)]
+        members = np.flatnonzero(~centre)
+        tree = Tree([codes[i] for i in members], n[members] + 1, np.zeros(len(members), np.int64))
+        branches, out = tree.branches(), [np.zeros((0, 2), np.int64)]
+        for x in np.flatnonzero(centre).tolist():
+            size = int(n[x])
+            hit, overlap = tree.near(_own(codes[x], total + cells, size + 1), codes[x], size + 1, -1, percent, branches[int(cell[x])])
+            b = members[hit]
+            if whole:
+                b = b[(overlap - 1) * (100 + percent) >= percent * (size + n[b])]
+            out.append(np.stack([np.full(len(b), c[x]), c[b]], 1))
+        found = np.concatenate(out)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return rows
 
@@ -300,7 +423,7 @@ def _open_cell(key, table: pa.Table, counts: np.ndarray):
 
 
 def _hopeful(percent: int, counts: Broadcast):
-    """(key, band, c) of a cell's members that may be near a member of another component, by their leads. A pair counts in one bucket only: that of the first n-gram
+    """(key, band, c) of a cell's members that may be near a member of another component, by their leads and sketches. A pair counts in one bucket only: that of the first n-gram
     that both leads have, in the lower of their bands."""
 
     def rows(key, table):
@@ -309,7 +432,7 @@ def _hopeful(percent: int, counts: Broadcast):
         keys = [np.sort(bucket_keys(np.frombuffer(x, np.uint64), counts.value)) for x in table.column("items").to_pylist()]
         before = [k[: np.searchsorted(k, own)] for k in keys]  # what comes earlier in the order
         bands_of = np.searchsorted(bands(int(n.max(initial=1)), percent), n, "right")
-        some = np.zeros(len(c), bool)
+        sketches, some = table.column("sketch").to_pylist(), np.zeros(len(c), bool)
         if len(members) and len(probes):
             tree = Tree([codes[x] for x in members], n[members], label[members])
             for x in probes.tolist():
@@ -319,6 +442,7 @@ def _hopeful(percent: int, counts: Broadcast):
                     sizes = np.array([len(before[i]) for i in y])
                     earlier = np.isin(np.concatenate([before[i] for i in y]), before[x])
                     y = y[np.bincount(np.repeat(np.arange(len(y)), sizes), earlier, len(y)) == 0]
+                    y = y[[may_be_near(int(n[x]), int(n[i]), sketches[x], sketches[i], percent) for i in y.tolist()]] if len(y) else y
                     some[y] = True
                     some[x] |= len(y) > 0
         found = np.unique(c[some])
@@ -350,16 +474,17 @@ def _across(percent: int, counts: Broadcast):
 
 
 def _wanted(k: int, bits: Broadcast):
-    """(ka, kb, items) of texts whose class may be wanted, each set once in a task."""
+    """(ka, kb, items) of the texts (th, text) that may be wanted by their hash, each set once in a task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in T.slices(batches):
-            data, at = T.strings(batch.column(0))
+            wanted = in_bit_map(bits.value, batch.column(0).to_numpy())
+            data, at = T.strings(batch.column(1).filter(pa.array(wanted)))
             out = []
             for _, items in _sets(data, at, k):
                 key = _key(items)
-                if key not in seen and in_bit_map(bits.value, np.array([key[0]]))[0]:
+                if key not in seen:
                     seen.add(key)
                     out.append((*key, items.tobytes()))
             yield pa.RecordBatch.from_arrays(
@@ -373,13 +498,16 @@ def _parts(many: Column, grams: Column) -> Column:
     return F.greatest(F.ceil(many / BLOCK), F.ceil(grams / BLOCK_GRAMS)).cast("int").alias("parts")
 
 
-def _cells(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (a, part, c, centre, n, items) of the cells of pairs (a, b): a centre with a block of what it is joined with."""
+def _cells(pairs: DataFrame, sets: DataFrame, share: float) -> GroupedData:
+    """Members (a, part, c, centre, n, items) of the cells of pairs (a, b), some cells at a time: a centre with a block of what it is joined with.
+    Sets hold `share` of n."""
     sized = pairs.join(sets.select(F.col("c").alias("b"), "n"), "b")
-    parts = sized.groupBy("a").agg(_parts(F.count("*"), F.sum("n")))
-    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("c"), F.lit(False).alias("centre"))
+    parts = stored(sized.groupBy("a").agg(_parts(F.count("*"), F.sum("n")), F.sum("n").alias("grams")))
+    grams = parts.agg(F.sum("grams")).first()[0] or 0
+    dealt = pairs.join(parts.select("a", "parts"), "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("c"), F.lit(False).alias("centre"))
     own = dealt.select("a", "part").distinct().select("a", "part", F.col("a").alias("c"), F.lit(True).alias("centre"))
-    return dealt.unionByName(own).join(sets, "c")
+    trees = F.pmod(F.xxhash64("a", "part"), F.lit(1 + int(grams * share) // TREE_GRAMS)).alias("tree")
+    return dealt.unionByName(own).join(sets, "c").groupBy(trees)
 
 
 def linked_documents(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame:
@@ -388,39 +516,45 @@ def linked_documents(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataF
     Documents are linked where 100 * |intersection| >= percent * |union| of their k-word n-grams; component_id is the smallest id that
     links lead to.
     """
-    spark = docs.sparkSession
+    spark, lead_share = docs.sparkSession, 1 - percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     counts = spark.sparkContext.broadcast(gram_counts(docs.select("text"), k))
     rows = stored(docs.mapInArrow(_leads(k, percent, counts), _LEADS).withColumn("r", F.monotonically_increasing_id()))
     live = rows.filter("n > 0 AND doc_id IS NOT NULL")
     # c, the number of one of its rows, names a class.
     classes = stored(live.groupBy("ka", "kb").agg(F.min("doc_id").alias("least_id"), F.min("r").alias("c")))
-    leads = stored(live.join(classes.select(F.col("c").alias("r")), "r", "left_semi").select(F.col("r").alias("c"), "n", F.col("lead").alias("items")))
-    in_bucket = leads.mapInArrow(_buckets(percent, counts), "c long, key long, band int")
-    bucket = ["key", "band"]
-    centres = in_bucket.groupBy(*bucket).agg(F.min("c").alias("a"), F.max("c").alias("z")).filter("a < z").select(*bucket, "a")
-    crowded = stored(in_bucket.join(centres, bucket))
-    votes = crowded.filter("c > a").groupBy("c", "a").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("c").agg(F.min("a").alias("low"), F.max_by("a", F.struct("votes", -F.col("a"))).alias("most"))
-    pairs = stored(chosen.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("c").alias("b")))
-    near = stored(_cells(pairs, leads).groupBy("a", "part").applyInArrow(_with_centres(percent, counts, False), "a long, b long"))
+
+    def leads_of(wanted: DataFrame) -> DataFrame:
+        """(c, n, items, sketch) of the classes (c), by their leads."""
+        return live.join(wanted.select(F.col("c").alias("r")), "r", "left_semi").select(F.col("r").alias("c"), "n", F.col("lead").alias("items"), "sketch")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(c, n, items) of the classes (c)."""
-        keys = stored(classes.join(wanted, "c", "left_semi").select("ka", "kb", "c"))
-        bits = spark.sparkContext.broadcast(bit_map(keys.select(F.col("ka").alias("h")), MOST_BITS))
-        once = docs.select("text").mapInArrow(_wanted(k, bits), "ka long, kb long, items binary").join(keys, ["ka", "kb"])
+        keys = stored(live.select("th", "ka", "kb", F.col("r").alias("c")).join(wanted, "c", "left_semi"))
+        bits = spark.sparkContext.broadcast(bit_map(keys.select(F.col("th").alias("h")), MOST_BITS))
+        once = docs.select("th", "text").mapInArrow(_wanted(k, bits), "ka long, kb long, items binary").join(keys, ["ka", "kb"])
         return stored(once.groupBy("c").agg(F.first("items").alias("items")).select("c", (F.octet_length("items") / 8).cast("long").alias("n"), "items"))
 
+    bucket = ["key", "band"]
+    in_bucket = leads_of(classes).drop("sketch").mapInArrow(_buckets(percent, counts), _BUCKETS)
+    met = stored(in_bucket.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(_met(percent, FEW), _MET))
+    near = met.filter("b IS NOT NULL").select("a", "b")
+    crowded = met.filter("b IS NULL").select(F.col("a").alias("c"), "n", *bucket)
+    any_crowded = crowded.limit(1).count() > 0
+    if any_crowded:
+        leads = stored(leads_of(crowded.select("c").distinct()))
+        votes = crowded.join(crowded.groupBy(*bucket).agg(F.min("c").alias("a")), bucket).filter("c > a").groupBy("c", "a").agg(F.count("*").alias("votes"))
+        chosen = votes.groupBy("c").agg(F.min("a").alias("low"), F.max_by("a", F.struct("votes", -F.col("a"))).alias("most"))
+        pairs = stored(chosen.select(F.explode(F.array_distinct(F.array("low", "most"))).alias("a"), F.col("c").alias("b")))
+        near = near.unionByName(_cells(pairs, leads.drop("sketch"), lead_share).applyInArrow(_with_centres(percent, counts, False), "a long, b long"))
+    of_a = live.select(F.col("r").alias("a"), "n", F.col("sketch").alias("sketch_a"))
+    of_b = live.select(F.col("r").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("sketch_b"))
+    sketched = stored(near.distinct()).join(of_a, "a").join(of_b, "b").select("a", "b", "n", "m", "sketch_a", "sketch_b")
+    near = stored(sketched.mapInArrow(_by_sketches(percent), "a long, b long"))
     ends = near.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    links = stored(_cells(near, sets_of(ends)).groupBy("a", "part").applyInArrow(_with_centres(percent, counts, True), "a long, b long"))
+    links = stored(_cells(near, sets_of(ends), 1.0).applyInArrow(_with_centres(percent, counts, True), "a long, b long"))
     found = components(links)
-    # Buckets whose members are in several components; of buckets with the same members the first in the order.
-    sized = crowded.select(*bucket, "c").join(leads.select("c", "n"), "c")
-    placed = stored(sized.join(found, F.col("c") == F.col("id"), "left").select(*bucket, "c", "n", F.coalesce("component_id", "c").alias("component")))
-    same = F.count("*").alias("many"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
-    mixed = placed.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("high"), *same).filter("low < high")
-    open_ = stored(placed.join(mixed.groupBy("band", "many", "x", "y").agg(F.min("key").alias("key")).select(*bucket), bucket))
 
     def open_cells(members: DataFrame, sets: DataFrame, share: float) -> GroupedData:
         """The cells of open buckets (key, band, c, n, component); sets hold `share` of n."""
@@ -429,11 +563,17 @@ def linked_documents(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataF
         pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         return pairs.select(*bucket, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "c", "component", "part").join(sets, "c").groupBy(*bucket, "i", "j")
 
-    hopeful = stored(open_cells(open_, leads, 1 - percent / 100).applyInArrow(_hopeful(percent, counts), "key long, band int, c long").distinct())
-    if hopeful.limit(1).count():
-        members = stored(open_.join(hopeful, [*bucket, "c"], "left_semi"))
-        cells = open_cells(members, sets_of(members.select("c").distinct()), 1.0)
-        found = components(links.unionByName(cells.applyInArrow(_across(percent, counts), "a long, b long").distinct()))
+    if any_crowded:
+        # Larger buckets whose members are in several components; of buckets with the same members the first in the order.
+        placed = stored(crowded.join(found, F.col("c") == F.col("id"), "left").select(*bucket, "c", "n", F.coalesce("component_id", "c").alias("component")))
+        same = F.count("*").alias("many"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")
+        mixed = placed.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("high"), *same).filter("low < high")
+        open_ = stored(placed.join(mixed.groupBy("band", "many", "x", "y").agg(F.min("key").alias("key")).select(*bucket), bucket))
+        hopeful = stored(open_cells(open_, leads, lead_share).applyInArrow(_hopeful(percent, counts), "key long, band int, c long").distinct())
+        if hopeful.limit(1).count():
+            members = stored(open_.join(hopeful, [*bucket, "c"], "left_semi"))
+            cells = open_cells(members, sets_of(members.select("c").distinct()), 1.0)
+            found = components(links.unionByName(cells.applyInArrow(_across(percent, counts), "a long, b long").distinct()))
     placed = classes.join(found, F.col("c") == F.col("id"), "left").select("ka", "kb", "least_id", F.coalesce("component_id", "c").alias("c"))
     least = placed.groupBy("c").agg(F.min("least_id").alias("component_id"))
     out = rows.join(placed.join(least, "c").select("ka", "kb", "component_id"), ["ka", "kb"], "left")
